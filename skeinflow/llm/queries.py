@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neighbours, sharding, simhash, token_counts
+from . import language_id, language_model, mixing, neighbours, sharding, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +45,8 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_token_counts": op4_token_counts,
+    "op6_language_id": op6_language_id,
+    "op7_language_model": op7_language_model,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_shard_documents": op10_shard_documents,
 }
