@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, language_model, mixing, neighbours, sharding, simhash, token_counts
+from . import decontamination, language_id, language_model, mixing, neighbours, pii, sharding, simhash, token_counts
+
+#: Where the session has the key of the pseudonyms; the default serves tests only.
+PII_KEY, PII_TEST_KEY = "spark.skeinflow.pii.key", "not a secret"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +28,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), spark.conf.get(PII_KEY, PII_TEST_KEY))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -33,6 +40,10 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -45,13 +56,16 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_token_counts": op4_token_counts,
+    "op5_pii": op5_pii,
     "op6_language_id": op6_language_id,
     "op7_language_model": op7_language_model,
+    "op8_decontamination": op8_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_shard_documents": op10_shard_documents,
 }
 
 ORACLES = {
+    "op8_decontamination": decontamination.oracle_sql(),
     "op3_nearest_neighbours": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
