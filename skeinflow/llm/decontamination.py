@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Fixed masks over consecutive words: those at a 1 are hashed, those at a 0 may differ.
 MASKS = ("1101001011011", "1011100100111", "1110010101011")
 SPAN = len(MASKS[0])
-#: Test keys up to this many rows are broadcast; beyond, both sides are dealt out by key.
+#: Words of a text that are laid out at once.
+BLOCK = 65_536
+#: Test keys, and places to verify, up to this many rows are broadcast; beyond, both sides are dealt out by key.
 BROADCAST_ROWS = 1_000_000
 WORD = r"[\p{L}\p{N}]+"
 
@@ -18,17 +22,26 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
 
 
-def _seed(words: Column, at: Column, name: str, offsets: list[int]) -> Column:
-    return F.xxhash64(F.lit(name), *[F.get(words, at + F.lit(o)) for o in offsets])
-
+def _seeds(df: DataFrame, id_col: str, words: str, at: str, short: list[int], *, whole: bool) -> DataFrame:
+    """(id, key, at): the masks' seeds at every word, and runs of the lengths ``short``.
 
-def _keyed(df: DataFrame, words: str, at: str, size: Column, short: list[int], whole: bool) -> DataFrame:
-    """A row for each key that begins at a word; whole: items shorter than a mask have their whole as key."""
-    keys = [F.when(F.col(at) + SPAN <= size, _seed(F.col(words), F.col(at), mask, [i for i, c in enumerate(mask) if c == "1"])) for mask in MASKS]
-    for n in short:
-        fits = (size == n) & (F.col(at) == 0) if whole else F.col(at) + n <= size
-        keys.append(F.when(fits, _seed(F.col(words), F.col(at), str(n), list(range(n)))))
-    return df.withColumn("key", F.explode(F.array(*keys))).where("key is not null")
+    whole: a run only counts if it is all there is.  Words come in blocks, so
+    that a long text is never laid out at once; in a block, the array and its
+    shifts are zipped to rows of SPAN words, of which compiled code takes seeds.
+    """
+    n = F.size(words)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.slice(F.col(words), b * BLOCK + 1, BLOCK + SPAN - 1))
+    rows = df.where(n > 0).select(id_col, n.alias("n"), F.posexplode_outer(F.when(n <= BLOCK, F.array(words)).otherwise(blocks)).alias("b", "w"))
+    shifts = [F.col("w") if o == 0 else F.slice("w", o + 1, BLOCK + SPAN) for o in range(SPAN)]
+    zipped = F.arrays_zip(*[x.alias(f"w{o}") for o, x in enumerate(shifts)]).cast("array<struct<" + ",".join(f"w{o}:bigint" for o in range(SPAN)) + ">>")
+    rows = rows.select(id_col, "n", "b", F.posexplode_outer(zipped).alias("p", "z")).where(F.col("p") < BLOCK)
+    word = [F.col(f"z.w{o}") for o in range(SPAN)]
+    keys = [F.when(word[-1].isNotNull(), F.xxhash64(F.lit(mask), *[word[o] for o, c in enumerate(mask) if c == "1"])) for mask in MASKS]
+    for k in short:
+        fits = (F.col("n") == k) & (F.col("b") + F.col("p") == 0) if whole else word[k - 1].isNotNull()
+        keys.append(F.when(fits, F.xxhash64(F.lit(str(k)), *word[:k])))
+    place = (F.col("b") * BLOCK + F.col("p")).alias(at)
+    return rows.select(id_col, place, F.explode_outer(F.array(*keys)).alias("key")).where("key is not null").select(id_col, "key", at)
 
 
 def leaks(
@@ -59,28 +72,37 @@ def leaks(
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text_col)).alias("item")).where(F.size("item") >= min_words)
     lengths = [r["n"] for r in items.select(F.size("item").alias("n")).where(F.col("n") < SPAN).distinct().collect()]  # SPAN at most
-    short = sorted(lengths)
-    tests = _keyed(items.select("item_id", "item", F.posexplode("item").alias("j", "_w")), "item", "j", F.size("item"), short, True)
-    tests = tests.select("key", "item_id", "item", "j").distinct()
-    if tests.select("key").limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    split = texts.select("doc_id", word_hashes(F.col("text")).alias("words"))
+    tests = _seeds(items, "item_id", "item", "j", sorted(lengths), whole=True)
+    seeds = _seeds(split, "doc_id", "words", "i", sorted(lengths), whole=False)
+    tests = materialize(tests.distinct(), "leaks-tests")
+    if tests.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         tests = F.broadcast(tests)
-
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), word_hashes(F.col(text_col)).alias("words"))
-    seeds = _keyed(texts.select("doc_id", "words", F.posexplode("words").alias("i", "_w")), "words", "i", F.size("words"), short, False)
-    hits = seeds.join(tests, "key").withColumn("shift", F.col("i") - F.col("j"))
+    laid = seeds.join(tests, "key").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("shift")).distinct()
+    laid = materialize(laid.join(items, "item_id").withColumnRenamed("doc_id", "at"), "leaks-laid")
+    if laid.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        laid = F.broadcast(laid)
+    # a text is only split again if a seed was found in it
+    ids = laid.select("at").distinct()
+    again = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("at")), "left_semi").select("doc_id", word_hashes(F.col("text")).alias("words"))
+    hits = again.join(laid, F.col("doc_id").eqNullSafe(F.col("at")))
 
     size = F.size("item")
     width = F.least(F.lit(window), size)
-    same = F.transform(F.col("item"), lambda w, k: F.when((F.col("shift") + k >= 0) & (F.get(F.col("words"), F.col("shift") + k) == w), 1).otherwise(0))
+
+    def same(k: Column) -> Column:
+        at = F.col("shift") + k
+        return F.when((at >= 0) & (F.get(F.col("words"), at) == F.get(F.col("item"), k)), 1).otherwise(0)
 
     def slide(state: Column, k: Column) -> Column:
-        gone = F.when(k >= width, F.get(F.col("same"), k - width)).otherwise(0)
-        now = state["now"] + F.get(F.col("same"), k) - gone
-        return F.struct(now.cast("int").alias("now"), F.greatest(state["best"], now).cast("int").alias("best"), (state["all"] + F.get(F.col("same"), k)).cast("int").alias("all"))
+        now = state["now"] + same(k) - F.when(k >= width, same(k - width)).otherwise(0)
+        return F.struct(now.cast("int").alias("now"), F.greatest(state["best"], now).cast("int").alias("best"), (state["all"] + same(k)).cast("int").alias("all"))
 
     zero = F.struct(*[F.lit(0).alias(c) for c in ("now", "best", "all")])
-    laid = hits.withColumn("same", same).withColumn("fold", F.aggregate(F.sequence(F.lit(0), size - 1), zero, slide))
-    laid = laid.select("doc_id", "item_id", size.alias("item_words"), width.alias("width"), F.col("fold.best").alias("best"), F.col("fold.all").alias("all"))
+    laid = hits.withColumn("fold", F.aggregate(F.sequence(F.lit(0), size - 1), zero, slide))
+    laid = laid.select("doc_id", "item_id", size.alias("item_words"), width.alias("width"), F.col("fold").alias("fold"))
+    laid = laid.select("doc_id", "item_id", "item_words", "width", F.col("fold.best").alias("best"), F.col("fold.all").alias("all"))
     held = laid.where(F.col("best") >= F.ceil(F.lit(identity) * F.col("width")))
     found = held.groupBy("doc_id", "item_id").agg(F.max("item_words").alias("item_words"), F.max("all").alias("matched"), F.max("best").alias("best_window"))
     return found.select("doc_id", "item_id", "item_words", "matched", "best_window")
