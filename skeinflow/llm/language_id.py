@@ -278,3 +278,47 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         name = F.when(F.col("n_letters") > 0, F.col("top.lang")).otherwise("und")
         share = F.when(F.col("n_letters") > 0, F.col("top.letters") / F.col("n_letters")).otherwise(0.0)
     return spans.select("doc_id", (crc_fold(F.col("doc_id"), folds) == held_out).alias("held_out"), name.alias("lang_pred"), share.alias("score"), "spans")
+
+
+def keep_identified(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held_out: int = 1, least: float = 0.3
+) -> DataFrame:
+    """docs without those of no language: no letter, or no language with a share of ``least`` of the letters.
+
+    If there is no language to learn from, only texts without letters go.
+    """
+    model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, folds=folds, held_out=held_out)
+    names = docs.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = _Memory(model)
+        for batch in batches:
+            at = 0
+            while at < len(batch):
+                numbers, n, stop = [], 0, at
+                while stop < len(batch) and n < GROUP:
+                    words = (batch.column(text_col)[stop].as_py() or "").lower().split()
+                    numbers.append(np.fromiter(map(memory.__getitem__, words), np.int64, len(words)))
+                    n, stop = n + len(words) + 1, stop + 1
+                part = batch.slice(at, stop - at)
+                memory.learn()
+                yield part.filter(pa.array(_identified(numbers, memory, least)))
+                at = stop
+                if len(memory) > REMEMBERED:
+                    memory = _Memory(model)
+
+    return docs.mapInArrow(keep, docs.schema).select(*names)
+
+
+def _identified(numbers: list[np.ndarray], memory: _Memory, least: float) -> np.ndarray:
+    lengths = np.array([len(n) for n in numbers], np.int64)
+    flat, n = np.concatenate(numbers) if numbers else np.zeros(0, np.int64), len(memory.model.languages)
+    if not len(flat):
+        return np.zeros(len(numbers), bool)
+    letters, text = memory.letters[flat], np.repeat(np.arange(len(numbers)), lengths)
+    total = np.bincount(text, weights=letters, minlength=len(numbers))
+    if not n:
+        return total > 0
+    labels = viterbi(memory.scores[flat], lengths[lengths > 0]).astype(np.int64)
+    shares = np.bincount(text * n + labels, weights=letters, minlength=len(numbers) * n).reshape(-1, n)
+    return (total > 0) & (shares.max(axis=1) >= least * total)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,7 +48,7 @@ def _histogram(rows: DataFrame, level: int) -> DataFrame:
     return rows.groupBy("source", _digits(F.col("h"), level).alias("digits")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
 
 
-def _boundary(histogram: DataFrame, state: DataFrame) -> DataFrame:
+def _boundary(histogram: DataFrame, state: DataFrame, small: Callable) -> DataFrame:
     """The bucket in which the words up to a source's budget end, and the budget left for it.
 
     At most 2 ** BITS rows of a source meet here, whatever the number of documents.
@@ -56,7 +56,7 @@ def _boundary(histogram: DataFrame, state: DataFrame) -> DataFrame:
     upto = Window.partitionBy("source").orderBy("digits")
     # no row of ``state`` is lost: a source whose words run out before its budget keeps its last bucket
     found = (
-        histogram.join(F.broadcast(state), histogram["source"].eqNullSafe(state["source"]))
+        histogram.join(small(state), histogram["source"].eqNullSafe(state["source"]))
         .select(histogram["source"], "digits", "words", "n", "left")
         .withColumn("upto", F.sum("words").over(upto))
         .withColumn("last", F.max("digits").over(Window.partitionBy("source")))
@@ -66,6 +66,42 @@ def _boundary(histogram: DataFrame, state: DataFrame) -> DataFrame:
     return found.groupBy("source").agg(first.alias("b")).select("source", "b.*")
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[Column, Column, Column]:
+    """Source, size, and 60 bits of hash of a document."""
+    h = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col(id_col), F.col(text_col)), 64 - BITS * LEVELS)
+    return F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), h.alias("h")
+
+
+def thresholds(rows: DataFrame, weights: Sequence[int], share: float, most: float) -> tuple[DataFrame, int, Callable]:
+    """rows: (source, size, h) -> a row for each source, the level of its digits, and how to join it."""
+    histogram = materialize(_histogram(rows, 0), "mix-histogram")
+    sizes = histogram.groupBy("source").agg(F.sum("words").alias("source_size"))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    targets = source_targets(sizes, weights, share, most).withColumn("whole", whole)
+    targets = materialize(targets.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
+    small = F.broadcast if targets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
+
+    found = materialize(_boundary(histogram, targets, small), "mix-level")
+    level = 0
+    while level < LEVELS - 1 and found.where("n > 1").head(1):
+        at = found.select(F.col("source").alias("s"), F.col("digits").alias("d"))
+        inside = rows.join(small(at), F.col("source").eqNullSafe(F.col("s")) & (_digits(F.col("h"), level) == F.col("d")))
+        level += 1
+        found = materialize(_boundary(_histogram(inside, level), found.select("source", F.col("rest").alias("left")), small), "mix-level")
+    cut = found.select(F.col("source").alias("s"), F.col("digits").alias("d"), "words", "n", "rest")
+    plan = targets.join(cut, F.col("source").eqNullSafe(F.col("s"))).drop("source", "left")
+    return small(plan), level, small
+
+
+def _taken(level: int, most: float) -> Column:
+    """Words taken of a document, whose source's thresholds stand beside it."""
+    here, size = _digits(F.col("h"), level), F.col("size")
+    alone = F.when(F.col("rest") * 2 >= F.col("words"), size).otherwise(0)
+    tied = F.when(F.col("words") > 0, F.floor(size * F.least(F.col("rest") / F.col("words"), F.lit(1.0)))).otherwise(0)
+    extra = F.when(here < F.col("d"), size).when(here == F.col("d"), F.when(F.col("n") == 1, alone).otherwise(tied)).otherwise(0)
+    return F.least(F.col("whole") * size + extra, F.lit(most) * size).cast("long")
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -92,34 +128,28 @@ def mix(
     source is a source of its own; a source without words has target 0; an
     empty table gives none.
     """
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        n_words(F.col(text_col)).alias("size"),
-        F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col(id_col), F.col(text_col)), 64 - BITS * LEVELS).alias("h"),
-    )
-    rows = materialize(rows, "mix-rows")
-    histogram = materialize(_histogram(rows, 0), "mix-histogram")
-    sizes = histogram.groupBy("source").agg(F.sum("words").alias("source_size"))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    targets = source_targets(sizes, weights, share, most).withColumn("whole", whole)
-    targets = materialize(targets.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
-    small = F.broadcast if targets.count() <= BROADCAST_ROWS else (lambda df: df)
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), *_rows(docs, id_col, text_col, source_col)), "mix-rows")
+    plan, level, _ = thresholds(rows, weights, share, most)
+    taken = _taken(level, most).alias("taken")
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", taken, "source")
 
-    found = materialize(_boundary(histogram, targets), "mix-level")
-    level = 0
-    while level < LEVELS - 1 and found.where("n > 1").head(1):
-        at = found.select(F.col("source").alias("s"), F.col("digits").alias("d"))
-        inside = rows.join(small(at), F.col("source").eqNullSafe(F.col("s")) & (_digits(F.col("h"), level) == F.col("d")))
-        level += 1
-        found = materialize(_boundary(_histogram(inside, level), found.select("source", F.col("rest").alias("left"))), "mix-level")
 
-    cut = found.select(F.col("source").alias("s"), F.col("digits").alias("d"), "words", "n", "rest")
-    plan = targets.join(cut, F.col("source").eqNullSafe(F.col("s"))).drop("source", "left")
-    here = _digits(F.col("h"), level)
-    on_cut = F.when(F.col("n") == 1, F.when(F.col("rest") * 2 >= F.col("words"), F.col("size")).otherwise(0)).otherwise(
-        F.when(F.col("words") > 0, F.floor(F.col("size") * F.least(F.col("rest") / F.col("words"), F.lit(1.0)))).otherwise(0)
-    )
-    extra = F.when(here < F.col("d"), F.col("size")).when(here == F.col("d"), on_cut).otherwise(0)
-    taken = F.least(F.col("whole") * F.col("size") + extra, (F.lit(most) * F.col("size"))).cast("long")
-    return rows.join(small(plan), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
+def mixed(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[int] = (3, 1, 2),
+    share: float = 1.5,
+    most: float = 2.0,
+) -> DataFrame:
+    """The mix itself: rows of docs, each as often as ``mix`` takes it whole."""
+    source, size, h = _rows(docs, id_col, text_col, source_col)
+    rows = materialize(docs.select(source, size, h), "mix-rows")
+    plan, level, _ = thresholds(rows, weights, share, most)
+    names = docs.columns
+    wide = docs.select(F.struct(*[docs[c] for c in names]).alias("doc"), source, size, h).join(plan, F.col("source").eqNullSafe(F.col("s")))
+    copies = F.when(F.col("size") > 0, F.floor(_taken(level, most) / F.col("size"))).otherwise(0).cast("int")
+    chosen = wide.select("doc", copies.alias("copies")).where("copies > 0")
+    return chosen.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col("doc")[c].alias(c) for c in names])

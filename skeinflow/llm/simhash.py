@@ -14,6 +14,8 @@ from .common import materialize
 
 #: Pivots of the distance tables, the fingerprints that a group compares as one piece, and rows of a step.
 PIVOTS, PIECE, STEP = 16, 4_096, 256
+#: Lists of rows up to this length are broadcast; longer ones are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -84,20 +86,43 @@ def near_pairs(left: np.ndarray, right: np.ndarray, most: int) -> Iterator[tuple
             yield a[near], b[near]
 
 
-def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest index that each of n nodes reaches, links given step by step."""
+def _joining(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Of the pairs, some that join what all of them join; label follows."""
+    chosen = []
+    while True:
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+        if not len(a):
+            return chosen
+        # one pair for each root that has any, then the rest is looked at again
+        _, first = np.unique(np.maximum(label[a], label[b]), return_index=True)
+        for i in first.tolist():
+            x, y = label[a[i]], label[b[i]]
+            while label[x] != x:
+                x = label[x]
+            while label[y] != y:
+                y = label[y]
+            if x != y:
+                label[max(x, y)] = min(x, y)
+                chosen.append((a[i], b[i]))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def spanning_pairs(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Pairs within ``most`` bits that join what all such pairs join, the nearest pairs first."""
+    n, chosen = len(fps), []
     label = np.arange(n)
-    for a, b in links:
-        while True:
-            low = np.minimum(label[a], label[b])
-            if (low == label[a]).all() and (low == label[b]).all():
-                break
-            # roots take the smaller label, then all nodes follow their roots
-            np.minimum.at(label, label[a], low)
-            np.minimum.at(label, label[b], low)
-            while (label[label] != label).any():
-                label = label[label]
-    return label
+    if n <= 64:
+        bits = np.bitwise_count(fps[:, None] ^ fps[None, :])
+        for d in range(most + 1):
+            i, j = np.nonzero(np.triu(bits == d, 1))
+            chosen += _joining(n, i, j, label)
+        return chosen
+    for d in range(most + 1):
+        for i, j in near_pairs(fps, fps, d):
+            chosen += _joining(n, i, j, label)
+    return chosen
 
 
 def _pieces(keyed: DataFrame) -> DataFrame:
@@ -109,18 +134,18 @@ def _pieces(keyed: DataFrame) -> DataFrame:
     sizes = keyed.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sized = keyed.join(sizes, ["block", "value"])
     pieces = F.ceil(F.col("n") / PIECE).cast("int")
-    sized = sized.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
+    sized = sized.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("fp", "node"), F.col("pieces")).cast("int"))
     others = F.when(F.col("pieces") > 1, F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(F.lit(0)))
     met = sized.withColumn("other", F.explode(others))
     return met.select("block", "value", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "fp", "node")
 
 
 def links(nodes: DataFrame, *, most: int = 3) -> DataFrame:
-    """(node, fp), fp distinct -> a, b: links that join exactly what pairs within ``most`` bits join.
+    """(node, fp), a row a node -> a, b: pairs within ``most`` bits that join all that such pairs join.
 
     Fingerprints that differ in at most ``most`` bits agree in one of most + 1
     blocks of bits, so those that share a block's value are compared.  A group
-    of m fingerprints gives m - 1 links at most, never its pairs.
+    of m fingerprints gives m - 1 pairs at most, the nearest ones.
     """
     width, blocks = -(-64 // (most + 1)), most + 1
     block = F.explode(
@@ -152,19 +177,12 @@ def links(nodes: DataFrame, *, most: int = 3) -> DataFrame:
             if n < 2:
                 continue
             own = fps[start:stop]
-            if n <= 32:
-                i, j = np.nonzero(np.triu(np.bitwise_count(own[:, None] ^ own[None, :]) <= most, 1))
-                if not len(i):
-                    continue
-                label = forest(n, iter([(i, j)]))
-            else:
-                label = forest(n, near_pairs(own, own, most))
-            moved = np.flatnonzero(label != np.arange(n))
-            a.append(ids[start:stop][moved])
-            b.append(ids[start:stop][label[moved]])
+            for i, j in spanning_pairs(own, most):
+                a.append(ids[start + i])
+                b.append(ids[start + j])
         if not a:
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+        return pd.DataFrame({"a": np.array(a), "b": np.array(b)})
 
     return cells.mapInPandas(batched, "a long, b long").distinct()
 
@@ -218,3 +236,66 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = member.join(ids, "root").select("fp", "component_id")
     fingerprint_hex = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return rows.join(named, "fp").select("doc_id", fingerprint_hex, "component_id")
+
+
+def _classes(docs: DataFrame, text_col: str, words: int, seed: int) -> DataFrame:
+    """docs with ``sim_fp`` and ``sim_text``, a hash of the words that a text has."""
+
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            texts = [bytes(t) for t in texts]
+            fp = np.array([fingerprint(t, words, seed) for t in texts], dtype=np.uint64)
+            same = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) for t in texts], dtype=np.uint64)
+            yield pd.DataFrame({"fp": fp.view(np.int64), "same": same.view(np.int64)})
+
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    both = F.pandas_udf(of, "fp long, same long")(text)
+    return docs.withColumn("sim_both", both).select("*", F.col("sim_both.fp").alias("sim_fp"), F.col("sim_both.same").alias("sim_text")).drop("sim_both")
+
+
+def shingle_similarity(left: bytes, right: bytes, words: int) -> float:
+    """Jaccard of both texts' sets of word shingles (fewer words: all of them)."""
+    sets = []
+    for text in (left, right):
+        tokens = text.lower().split()
+        sets.append({tuple(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def drop_near_duplicates(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, most: int = 3, shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """docs with one row of each group of near copies, the one with the smallest id.
+
+    Texts with the same words are copies.  Different texts are linked if their
+    fingerprints are within ``most`` bits and the Jaccard of their sets of
+    ``shingle`` words is ``similarity`` or more; of the pairs of a dense group,
+    the nearest ones that join it are verified.  Groups are what links reach.
+    Null and texts without words are one group; rows with null ids stay only if
+    their group has no others; an empty table stays empty.
+    """
+    names = docs.columns
+    rows = _classes(docs.withColumn("sim_uid", F.monotonically_increasing_id()), text_col, words, seed)
+    rows = materialize(rows, "simhash-docs")
+    nodes = rows.groupBy("sim_text").agg(F.min("sim_fp").alias("fp"), F.min("sim_uid").alias("uid"))
+    nodes = materialize(nodes, "simhash-nodes")
+    pairs = materialize(links(nodes.select(F.col("sim_text").alias("node"), "fp"), most=most), "simhash-pairs")
+    ends = pairs.select(F.col("a").alias("sim_text")).unionByName(pairs.select(F.col("b").alias("sim_text"))).distinct()
+    first = nodes.join(ends, "sim_text").select("uid", "sim_text")
+    few = F.broadcast if first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
+    texts = rows.select(F.col("sim_uid").alias("uid"), F.col(text_col).cast("binary").alias("t")).join(few(first), "uid").select("sim_text", F.coalesce("t", F.lit(b"")).alias("t"))
+    texts = materialize(texts, "simhash-texts")
+
+    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([shingle_similarity(bytes(a), bytes(b), shingle) for a, b in zip(left, right)], dtype="float64")
+
+    near = pairs.join(texts.withColumnRenamed("sim_text", "a").withColumnRenamed("t", "left"), "a")
+    near = near.join(texts.withColumnRenamed("sim_text", "b").withColumnRenamed("t", "right"), "b")
+    near = near.where(F.pandas_udf(similar, "double")("left", "right") >= similarity).select("a", "b")
+    linked = components(near, "simhash-links")
+    narrow = rows.select("sim_uid", "sim_text", F.col(id_col).alias("id"))
+    grouped = narrow.join(linked, F.col("sim_text") == F.col("node"), "left").select("sim_uid", "id", F.coalesce("root", "sim_text").alias("root"))
+    kept = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "sim_uid"))["sim_uid"].alias("kept")).where("n > 1")
+    gone = materialize(grouped.join(kept, "root").where("sim_uid <> kept").select("sim_uid"), "simhash-gone")
+    few = F.broadcast if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
+    return rows.join(few(gone), "sim_uid", "left_anti").select(*names)
