@@ -1,0 +1,316 @@
+"""Queries on windows, read graphs and clusters."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import contingency, partitions, read_graph, windows
+from .catalog import PARTS, query, table, view
+from .pileup_queries import cells
+
+PARTS["t_both"] = "select contig, r1, r2, sim, diff from t_sim union all select contig, r2, r1, sim, diff from t_sim"
+PARTS["t_dist"] = """
+select contig, r1, r2, case when sim <= 0 or sim + diff < 0.7 * max(sim) over (partition by contig, r1) then 0.0 else 1 - greatest(0, diff - 1) / cast(sim + diff as double) end as d from t_both"""
+PARTS["t_near"] = """
+select distinct contig, r1, r2 from (
+  with k as (select *, row_number() over w as k, first_value(d) over (w rows between unbounded preceding and unbounded following) as s0,
+    nth_value(d, 2) over (w rows between unbounded preceding and unbounded following) as s1,
+    count(*) filter (where d >= 1) over (partition by contig, r1) as ones, count(*) over (partition by contig, r1) as n
+    from t_dist window w as (partition by contig, r1 order by d desc, r2)),
+  h as (select *, max(case when k = least(ones + 5, n) then d end) over (partition by contig, r1) as after, s0 - 3 * (s0 - coalesce(s1, s0)) as steep from k),
+  g as (select contig, r1, r2 from h where d > 1 - 2 * 0.3 and (k <= 5 or d = 1 or d >= case when steep = 1 then after else steep end))
+  select contig, r1, r2 from g union all select contig, r2 as r1, r1 as r2 from g) t"""
+PARTS["t_lab0"] = "select distinct contig, r1 as read_idx, r1 as label from t_near"
+for _k in range(1, 4):
+    PARTS[f"t_lab{_k}"] = f"""
+select l.contig, l.read_idx, coalesce(b.label, l.label) as label from t_lab{_k - 1} l left join (
+  select contig, read_idx, label from (select e.contig, e.r1 as read_idx, l.label, row_number() over (partition by e.contig, e.r1 order by count(*) desc, l.label) as k
+    from t_near e join t_lab{_k - 1} l on l.contig = e.contig and l.read_idx = e.r2 group by e.contig, e.r1, l.label) x where k = 1) b
+on b.contig = l.contig and b.read_idx = l.read_idx"""
+PARTS["t_base"] = """
+select contig, label, pos, case when 2 * least(a, b) > greatest(a, b) or 2 * greatest(a, b) < a + b then -1 when a >= b then 1 else 0 end as base
+from (select c.contig, l.label, c.pos, count(*) filter (where is_ref = 1) as a, count(*) filter (where is_ref = 0) as b from t_cells c join t_lab3 l on l.contig = c.contig and l.read_idx = c.read_idx group by all) x"""
+PARTS["t_cov"] = "select supp as contig, cast(0 as bigint) as start_c from v_cigar"
+PARTS["t_len"] = "select contig, max(end_c) as len from v_aln group by contig"
+PARTS["t_tile"] = """
+select contig, cast(win as integer) as win, win * 400 as win_start, case when win = n - 1 then len else (win + 1) * 400 end as win_end
+from (select contig, len, n, unnest(range(0, n)) as win from (select contig, len, greatest(cast(floor((len - 100) / 400.0) as bigint) + 1, 1) as n from t_len) a) b"""
+PARTS["t_over"] = "select w.contig, w.win, w.win_start, w.win_end, a.read_idx, a.ord, least(w.win_end, a.end_c) - greatest(w.win_start, a.start_c) as overlap from t_tile w join v_aln a on a.contig = w.contig and least(w.win_end, a.end_c) > greatest(w.win_start, a.start_c)"
+PARTS["t_adj"] = "select a.contig, a.win, a.read_idx, a.grp, b.grp as before from v_groups a join v_groups b on a.contig = b.contig and a.read_idx = b.read_idx and b.win = a.win - 1"
+PARTS["t_stitch"] = "select contig, win, before, grp, shared, cast(size as bigint) as size from (select *, sum(shared) over (partition by contig, win, grp) as size from (select contig, win, before, grp, count(*) as shared from t_adj group by all) a) b where shared >= least(5, 0.7 * size)"
+
+
+def sims(spark, sf_dir):
+    return contingency.similarity_difference(cells(spark, sf_dir))
+
+
+def near(spark, sf_dir):
+    return read_graph.nearest_reads(read_graph.distances(sims(spark, sf_dir)), error=0.3)
+
+
+def start(edges):
+    return edges.select("contig", F.col("r1").alias("read_idx"), F.col("r1").alias("label")).distinct()
+
+
+def labelled(spark, sf_dir):
+    edges = near(spark, sf_dir).checkpoint()
+    return edges, read_graph.propagate(start(edges), edges, rounds=3, fixed=True)
+
+
+def lengths(spark, sf_dir):
+    return view(spark, sf_dir, "v_aln").groupBy("contig").agg(F.max("end_c").alias("len"))
+
+
+@query("G2_read_graph", "select contig, r1, r2, round(d, 6) as d from t_dist")
+def g2(spark, sf_dir):
+    return read_graph.distances(sims(spark, sf_dir)).withColumn("d", F.round("d", 6))
+
+
+@query("T1_knn_neighbors", "select contig, r1, r2 from t_near")
+def t1(spark, sf_dir):
+    return near(spark, sf_dir)
+
+
+@query("G3_label_propagation", "select * from t_lab3")
+def g3(spark, sf_dir):
+    return labelled(spark, sf_dir)[1]
+
+
+@query("G3_chinese_whispers")
+def g3s(spark, sf_dir):
+    edges = near(spark, sf_dir)
+    return read_graph.whispers(edges, start(edges))
+
+
+@query("G4_snp_seeded_clustering", "select contig, pos, read_idx, min(read_idx) over (partition by contig, pos, is_ref) as label from t_cells")
+def g4(spark, sf_dir):
+    return read_graph.seeds(cells(spark, sf_dir))
+
+
+@query("G5_merge_clusterings", "select contig, read_idx, min(read_idx) over (partition by contig, k) as label from (select contig, read_idx, string_agg(pos || ':' || is_ref, ',' order by pos) as k from t_cells group by all) t")
+def g5(spark, sf_dir):
+    c = cells(spark, sf_dir)
+    return read_graph.combine(read_graph.seeds(c))
+
+
+@query("G6_finalize_clustering")
+def g6(spark, sf_dir):
+    c = cells(spark, sf_dir)
+    edges = near(spark, sf_dir).checkpoint()
+    return read_graph.finalize(read_graph.seeds(c), edges, least=2)
+
+
+@query("G7_merge_close_clusters")
+def g7(spark, sf_dir):
+    edges, labels = labelled(spark, sf_dir)
+    return read_graph.merge_close(edges, labels)
+
+
+@query("A13_cluster_sizes", "select l.contig, l.read_idx, case when s.n < 5 then -1 else l.label end as label from t_lab3 l join (select contig, label, count(*) as n from t_lab3 group by all) s on s.contig = l.contig and s.label = l.label")
+def a13(spark, sf_dir):
+    return read_graph.drop_small(labelled(spark, sf_dir)[1])
+
+
+@query("A14_cluster_majority_base", "select * from t_base")
+def a14(spark, sf_dir):
+    return read_graph.majority_bases(cells(spark, sf_dir), labelled(spark, sf_dir)[1])
+
+
+@query(
+    "A15_cluster_incompatibility",
+    """with recursive d as (select a.contig, a.label as c1, b.label as c2, a.pos, row_number() over (partition by a.contig, a.label, b.label order by a.pos) as k
+  from t_base a join t_base b on a.contig = b.contig and a.pos = b.pos and a.label < b.label and a.base >= 0 and b.base >= 0 and a.base <> b.base),
+w as (select contig, c1, c2, k, pos, pos as kept from d where k = 1 union all
+  select d.contig, d.c1, d.c2, d.k, d.pos, case when d.pos - w.kept > 10 then d.pos else w.kept end from w join d on d.contig = w.contig and d.c1 = w.c1 and d.c2 = w.c2 and d.k = w.k + 1)
+select contig, c1, c2, count(*) as n from w where pos = kept group by contig, c1, c2""",
+)
+def a15(spark, sf_dir):
+    return read_graph.incompatible(read_graph.majority_bases(cells(spark, sf_dir), labelled(spark, sf_dir)[1]))
+
+
+@query(
+    "A16_inter_cluster_links",
+    "select contig, c1, c2, links, round(links / total, 6) as ratio from (select *, sum(links) over (partition by contig, c1) as total from (select e.contig, a.label as c1, b.label as c2, count(*) as links from t_near e join t_lab3 a on a.contig = e.contig and a.read_idx = e.r1 join t_lab3 b on b.contig = e.contig and b.read_idx = e.r2 group by all) x) y where c1 <> c2",
+)
+def a16(spark, sf_dir):
+    edges, labels = labelled(spark, sf_dir)
+    return read_graph.inter_cluster_links(edges, labels).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("G8_merge_wrongly_split")
+def g8(spark, sf_dir):
+    edges, labels = labelled(spark, sf_dir)
+    clashes = read_graph.incompatible(read_graph.majority_bases(cells(spark, sf_dir), labels))
+    return read_graph.greedy_merge(read_graph.inter_cluster_links(edges, labels), clashes, labels)
+
+
+@query("T2_topk_haplotypes", "select l.contig, l.read_idx, case when s.k <= 2 then l.label else -1 end as label from t_lab3 l join (select contig, label, row_number() over (partition by contig order by count(*) desc, label) as k from t_lab3 group by contig, label) s on s.contig = l.contig and s.label = l.label")
+def t2(spark, sf_dir):
+    return read_graph.largest(labelled(spark, sf_dir)[1], 2)
+
+
+@query("G9_limit_ploidy")
+def g9(spark, sf_dir):
+    edges, labels = labelled(spark, sf_dir)
+    return read_graph.limit_ploidy(labels, edges, 2)
+
+
+@query("G38_strengthen_adjacency", "select a.contig, a.r1, b.r2, count(*) as n from t_near a join t_near b on b.contig = a.contig and b.r1 = a.r2 and b.r2 <> a.r1 group by all")
+def g38(spark, sf_dir):
+    return read_graph.strengthen(near(spark, sf_dir))
+
+
+@query("W2_tile_windows", "select * from t_tile")
+def w2(spark, sf_dir):
+    return windows.tiles(lengths(spark, sf_dir), 400)
+
+
+@query(
+    "W3_window_read_mask",
+    """with c as (select contig, cast(floor(pos / 8.0) as integer) as win, pos, read_idx from v_pileup_event),
+s as (select contig, win, min(pos) as lo, max(pos) as hi from c group by all), r as (select contig, win, read_idx, min(pos) as a, max(pos) as b from c group by all)
+select r.contig, r.win, r.read_idx from r join s on s.contig = r.contig and s.win = r.win where a <= lo + 0.2 * (hi - lo) and b >= hi - 0.2 * (hi - lo)""",
+)
+def w3(spark, sf_dir):
+    c = view(spark, sf_dir, "v_pileup_event").select("contig", F.floor(F.col("pos") / 8).cast("int").alias("win"), "pos", "read_idx")
+    return windows.read_mask(c, slack=0.2)
+
+
+@query("J7_interval_point_overlap", "select w.contig, w.win, (w.win_start + w.win_end) // 2 as mid, a.read_idx, a.ord from t_tile w join v_aln a on a.contig = w.contig and a.start_c <= (w.win_start + w.win_end) // 2 and a.end_c >= (w.win_start + w.win_end) // 2")
+def j7(spark, sf_dir):
+    points = windows.tiles(lengths(spark, sf_dir), 400).select("contig", "win", F.floor((F.col("win_start") + F.col("win_end")) / 2).alias("mid"))
+    return windows.covering(points, view(spark, sf_dir, "v_aln"), bin_size=64).select("contig", "win", "mid", "read_idx", "ord")
+
+
+@query("J8_read_interval_clip", "select contig, win, read_idx, ord, overlap from t_over")
+def j8(spark, sf_dir):
+    return windows.clipped(windows.tiles(lengths(spark, sf_dir), 400), view(spark, sf_dir, "v_aln"), bin_size=256).select("contig", "win", "read_idx", "ord", "overlap")
+
+
+@query("A17_window_depths", "select contig, win, cast(read_idx % 3 as integer) as grp, round(sum(overlap) / cast(max(win_end - win_start) as double), 6) as depth from t_over group by all")
+def a17(spark, sf_dir):
+    over = windows.clipped(windows.tiles(lengths(spark, sf_dir), 400), view(spark, sf_dir, "v_aln"), bin_size=256)
+    groups = over.select("contig", "win", "read_idx", (F.col("read_idx") % 3).cast("int").alias("grp")).distinct()
+    return windows.window_depths(over, groups).withColumn("depth", F.round("depth", 6))
+
+
+@query("J9_window_adjacent_join", "select contig, win, read_idx, grp, before from t_adj")
+def j9(spark, sf_dir):
+    return windows.adjacent(view(spark, sf_dir, "v_groups"))
+
+
+@query("G10_stitch", "select * from t_stitch")
+def g10(spark, sf_dir):
+    return windows.stitch(view(spark, sf_dir, "v_groups"))
+
+
+@query("U2_unstitched_groups", "select distinct a.contig, a.win + 1 as win, a.grp as before, b.grp from v_groups a join v_groups b on b.contig = a.contig and b.win = a.win + 1 where not exists (select 1 from t_stitch s where s.contig = a.contig and s.win = a.win + 1 and s.before = a.grp)")
+def u2(spark, sf_dir):
+    groups = view(spark, sf_dir, "v_groups")
+    return windows.unstitched(groups, windows.stitch(groups))
+
+
+@query(
+    "G11_bijections",
+    """select m.contig, m.win from (select contig, win, count(*) as links, count(distinct grp) as r, count(distinct before) as l from t_stitch group by all) m
+join (select contig, win, count(distinct grp) as n from v_groups group by all) h on h.contig = m.contig and h.win = m.win
+join (select contig, win + 1 as win, count(distinct grp) as n from v_groups group by all) p on p.contig = m.contig and p.win = m.win
+where links = r and links = l and r = h.n and l = p.n""",
+)
+def g11b(spark, sf_dir):
+    groups = view(spark, sf_dir, "v_groups")
+    return windows.bijections(groups, windows.stitch(groups))
+
+
+@query("G11_merge_intervals")
+def g11(spark, sf_dir):
+    groups = view(spark, sf_dir, "v_groups")
+    return windows.merge_intervals(groups, windows.stitch(groups))
+
+
+@query("W5_sessionize_breakpoints", "select contig, read_idx, ord, end_c, cast(sum(new) over (partition by contig order by end_c, read_idx, ord) as bigint) as session from (select *, case when end_c - lag(end_c) over (partition by contig order by end_c, read_idx, ord) <= 3 then 0 else 1 end as new from v_aln) t")
+def w5(spark, sf_dir):
+    rows = view(spark, sf_dir, "v_aln").select("contig", "read_idx", "ord", "end_c")
+    return windows.sessions(rows, 3, by=("contig",), at="end_c")
+
+
+@query(
+    "W9_unaligned_gaps",
+    """with r as (select read_idx, start_c as s, end_c as e from v_aln union all select read_idx, max(end_c) + 1000, max(end_c) + 1000 from v_aln group by read_idx),
+g as (select *, coalesce(max(e) over (partition by read_idx order by s, e rows between unbounded preceding and 1 preceding), 0) as gap_start from r)
+select read_idx, gap_start, s as gap_end from g where s - gap_start > 200""",
+)
+def w9(spark, sf_dir):
+    rows = view(spark, sf_dir, "v_aln")
+    ends = rows.groupBy("read_idx").agg((F.max("end_c") + 1000).alias("len"))
+    return windows.unaligned_gaps(rows, ends, least=200, start="start_c", end="end_c")
+
+
+@query("W7_local_divergence", "select read_idx, ord as k, cast(sum(strand) over (partition by read_idx order by ord rows between 2 preceding and current row) as bigint) as recent from v_aln")
+def w7(spark, sf_dir):
+    rows = view(spark, sf_dir, "v_aln").select("read_idx", F.col("ord").alias("k"), F.col("strand").alias("mismatch"))
+    return windows.local_divergence(rows, 3).drop("mismatch")
+
+
+def parted(spark, sf_dir):
+    """Partitions by parity of the position, as stand-ins for those that G1 grows."""
+    c = cells(spark, sf_dir).withColumn("part", (F.col("pos") % 2).cast("int"))
+    v = c.groupBy("contig", "part", "read_idx").agg(F.count_if(F.col("is_ref") == 1).alias("a"), F.count_if(F.col("is_ref") == 0).alias("b"))
+    return v.select("contig", "part", "read_idx", F.when(F.col("a") >= F.col("b"), 1).otherwise(-1).alias("state"), F.greatest("a", "b").alias("more"), F.least("a", "b").alias("less"))
+
+
+PARTS["t_part"] = """
+select contig, part, read_idx, case when a >= b then 1 else -1 end as state, greatest(a, b) as more, least(a, b) as less
+from (select contig, cast(pos % 2 as integer) as part, read_idx, count(*) filter (where is_ref = 1) as a, count(*) filter (where is_ref = 0) as b from t_cells group by all) t"""
+
+
+@query(
+    "A7_partition_distance",
+    """with b as (select a.contig, a.part as p, c.part as q, a.state as s, c.state as t,
+  a.more > 0.5 * (a.more + a.less) + 3 * sqrt((a.more + a.less) / 4.0) and c.more > 0.5 * (c.more + c.less) + 3 * sqrt((c.more + c.less) / 4.0) as solid
+  from t_part a join t_part c on a.contig = c.contig and a.read_idx = c.read_idx and a.part < c.part and a.more > 1 and c.more > 1)
+select contig, p, q, count(*) filter (where s = -1 and t = -1) as n00, count(*) filter (where s = -1 and t = 1) as n01, count(*) filter (where s = 1 and t = -1) as n10, count(*) filter (where s = 1 and t = 1) as n11,
+  case when count(*) filter (where s = t) >= count(*) filter (where s <> t) then 1 else -1 end as phase,
+  not ((count(*) filter (where s = t and solid) >= 2 and count(*) filter (where s <> t and solid) >= 2) or (count(*) filter (where s = t and not solid) >= 5 and count(*) filter (where s <> t and not solid) >= 5)) as comparable
+from b group by contig, p, q""",
+)
+def a7(spark, sf_dir):
+    p = parted(spark, sf_dir)
+    return contingency.partition_distance(p, p)
+
+
+@query(
+    "A9_partition_informative",
+    """select contig, part, plus, minus, plus >= 0.05 * n / 2 and minus >= 0.05 * n / 2 and plus > 0 and minus > 0 as informative from (
+  select contig, part, count(*) as n, count(*) filter (where state = 1 and backed) as plus, count(*) filter (where state = -1 and backed) as minus from (
+    select *, more > least(0.5 * (more + less) + 3 * sqrt((more + less) / 4.0), more + less - 1.0) as backed from t_part) a group by all) b""",
+)
+def a9(spark, sf_dir):
+    return contingency.informative(parted(spark, sf_dir), 0.05)
+
+
+@query("A10_partition_confidence", "select contig, part, round(power(1 / greatest(1 - exp(avg(ln(more / cast(more + less as double)))), 1e-6), 2) * count(*), 4) as confidence from t_part where more > 1 group by all")
+def a10(spark, sf_dir):
+    return contingency.confidence(parted(spark, sf_dir)).withColumn("confidence", F.round("confidence", 4))
+
+
+@query("A11_vote_merge")
+def a11(spark, sf_dir):
+    p = parted(spark, sf_dir)
+    return partitions.merge_votes(p.where("part = 0").drop("part"), p.where("part = 1").drop("part"))
+
+
+@query("A31_partition_ops", "select contig, read_idx, -state as state, more, less from t_part where part = 0")
+def a31(spark, sf_dir):
+    return partitions.flip(parted(spark, sf_dir).where("part = 0")).drop("part")
+
+
+@query("A31_partition_extend", "select coalesce(a.contig, b.contig) as contig, coalesce(a.read_idx, b.read_idx) as read_idx, coalesce(a.state, b.state) as state from (select * from t_part where part = 0) a full join (select * from t_part where part = 1) b on a.contig = b.contig and a.read_idx = b.read_idx")
+def a31e(spark, sf_dir):
+    p = parted(spark, sf_dir)
+    return partitions.extend(p.where("part = 0").drop("part"), p.where("part = 1").drop("part")).select("contig", "read_idx", "state")
+
+
+@query("G1_robust_variants")
+def g1(spark, sf_dir):
+    return partitions.robust_sites(cells(spark, sf_dir))

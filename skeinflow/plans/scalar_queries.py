@@ -1,0 +1,203 @@
+"""Queries on sequences, CIGARs and paths."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import cigar as cg
+from ..functions import paths, seq
+from ..operators import contingency, sequences
+from .catalog import PARTS, query, table, view
+
+_N = "list_transform(regexp_extract_all(cigar, '(\\d+)([MIDNSHP=X])', 1), lambda x: cast(x as integer))"
+_OP = "regexp_extract_all(cigar, '(\\d+)([MIDNSHP=X])', 2)"
+PARTS["t_cig"] = "select distinct cigar from v_cigar where part < 100"
+PARTS["t_run"] = f"select cigar, unnest({_N}) as n, unnest({_OP}) as op, unnest(range(5)) as k from t_cig"
+PARTS["t_contig"] = "select contig, source, n_chars, seq from v_seq"
+
+
+def cigars(spark, sf_dir):
+    return view(spark, sf_dir, "v_cigar").where("part < 100").select("cigar").distinct()
+
+
+def contigs(spark, sf_dir):
+    return view(spark, sf_dir, "v_seq")
+
+
+@query("C1_cigar_expand", "select cigar, string_agg(repeat(op, n), '' order by k) as val from t_run group by cigar")
+def c1(spark, sf_dir):
+    return cigars(spark, sf_dir).select("cigar", cg.expand(F.col("cigar")).alias("val"))
+
+
+@query("C2_cigar_compress", "select cigar, regexp_replace(cigar, '([A-Z])0D', '\\1') as val from t_cig")
+def c2(spark, sf_dir):
+    return cigars(spark, sf_dir).select("cigar", cg.compress(cg.expand(F.col("cigar"))).alias("val"))
+
+
+@query("C3_cigar_lengths", "select cigar, cast(sum(case when op in ('M','D','=','X') then n else 0 end) as integer) as ref_len, cast(sum(case when op in ('M','I','=','X') then n else 0 end) as integer) as query_len from t_run group by cigar")
+def c3(spark, sf_dir):
+    return cigars(spark, sf_dir).select("cigar", cg.reference_length(F.col("cigar")).alias("ref_len"), cg.query_length(F.col("cigar")).alias("query_len"))
+
+
+@query("C4_cigar_clips", "select cigar, cast(max(case when k = 0 then n end) as integer) as head, 0 as tail, 0 as head_r, cast(max(case when k = 0 then n end) as integer) as tail_r from t_run group by cigar")
+def c4(spark, sf_dir):
+    head, tail = cg.clips(F.col("cigar"), F.lit(True))
+    head_r, tail_r = cg.clips(F.col("cigar"), F.lit(False))
+    return cigars(spark, sf_dir).select("cigar", head.alias("head"), tail.alias("tail"), head_r.alias("head_r"), tail_r.alias("tail_r"))
+
+
+@query("C5_reverse_complement", "select contig, translate(reverse(seq), 'ACGTacgt', 'TGCAtgca') as val from v_seq")
+def c5(spark, sf_dir):
+    return contigs(spark, sf_dir).select("contig", seq.reverse_complement(F.col("seq")).alias("val"))
+
+
+PARTS["t_trip"] = """
+select contig, i, substr(seq, cast(i as integer), 1) as b2, substr(seq, cast(i + 1 as integer), 1) as b1, substr(seq, cast(i + 2 as integer), 1) as b0
+from (select contig, seq, unnest(range(1, 21)) as i from v_seq where length(seq) >= 30) t"""
+
+
+def _trip(spark, sf_dir):
+    rows = contigs(spark, sf_dir).where(F.length("seq") >= 30).select("contig", "seq", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("i"))
+    base = lambda o: F.substring(F.col("seq"), F.col("i") + o, F.lit(1))
+    return rows.select("contig", F.col("i").cast("long").alias("i"), base(0).alias("b2"), base(1).alias("b1"), base(2).alias("b0"))
+
+
+@query("C6_triplet_encode", "select contig, i, cast(33 + 5 * (instr('ACGT-', b2) - 1) + instr('ACGT-', b1) - 1 + 25 * (instr('ACGT-', b0) - 1) as smallint) as symbol from t_trip")
+def c6(spark, sf_dir):
+    return _trip(spark, sf_dir).select("contig", "i", seq.triplet(F.col("b2"), F.col("b1"), F.col("b0")).alias("symbol"))
+
+
+@query("C6_triplet_decode", "select contig, i, b2 || b1 || b0 as val from t_trip")
+def c6d(spark, sf_dir):
+    return _trip(spark, sf_dir).select("contig", "i", seq.triplet_text(seq.triplet(F.col("b2"), F.col("b1"), F.col("b0"))).alias("val"))
+
+
+@query("C7_sequence_2bit", "select contig, regexp_replace(substr(seq, 11, 50), '[^ACG]', 'T', 'g') as val from v_seq")
+def c7(spark, sf_dir):
+    return contigs(spark, sf_dir).select("contig", seq.two_bit(F.substring("seq", 11, 50)).alias("val"))
+
+
+@query("C8_minimizers")
+def c8(spark, sf_dir):
+    return contigs(spark, sf_dir).select("contig", F.explode(seq.minimizers(F.col("seq"), 15, 10)).alias("minimizer"))
+
+
+@query("C9_edit_distance", "select cigar, cast(sum(case when op in ('X','I','D') then n else 0 end) as integer) as val from t_run group by cigar")
+def c9(spark, sf_dir):
+    return cigars(spark, sf_dir).select("cigar", cg.edit_distance(F.col("cigar")).alias("val"))
+
+
+@query("C12_gaf_path_parse", "select read_idx, contig, orient, cast(idx - 1 as integer) as k from v_path_step")
+def c12(spark, sf_dir):
+    order = F.sort_array(F.collect_list(F.struct("idx", "orient", F.col("contig").cast("string").alias("contig"))))
+    path = view(spark, sf_dir, "v_path_step").groupBy("read_idx").agg(order.alias("s")).select("read_idx", paths.render(F.col("s")).alias("path"))
+    step = path.select("read_idx", F.posexplode(paths.parse(F.col("path"))).alias("k", "s"))
+    return step.select("read_idx", F.col("s.contig").cast("long").alias("contig"), F.col("s.orient").alias("orient"), "k")
+
+
+@query("C13_path_reverse", "select read_idx, string_agg(case orient when '>' then '<' else '>' end || contig, '' order by idx desc) as val from v_path_step group by read_idx")
+def c13(spark, sf_dir):
+    order = F.sort_array(F.collect_list(F.struct("idx", "orient", F.col("contig").cast("string").alias("contig"))))
+    path = view(spark, sf_dir, "v_path_step").groupBy("read_idx").agg(order.alias("s"))
+    return path.select("read_idx", paths.render(paths.flip(F.col("s"))).alias("val"))
+
+
+@query("C14_flag_bits", "select distinct f, (f & 4) <> 0 as unmapped, (f & 16) <> 0 as reversed, (f & 256) <> 0 as secondary, (f & 2048) <> 0 as supplementary from (select l_partkey % 4096 as f from lineitem) t")
+def c14(spark, sf_dir):
+    bits = seq.flags(F.col("f"))
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 4096).alias("f")).distinct()
+    return rows.select("f", bits["unmapped"].alias("unmapped"), bits["reverse"].alias("reversed"), bits["secondary"].alias("secondary"), bits["supplementary"].alias("supplementary"))
+
+
+PARTS["t_qual"] = "select doc_id, regexp_replace(substr(text, 1, 100), '[^!-~]', '', 'g') as qual from documents"
+
+
+def _quals(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 100), "[^!-~]", "").alias("qual")).where("qual <> ''")
+
+
+@query("C15_mean_phred", "select doc_id, round(list_sum(list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)) / length(qual), 6) as val from t_qual where qual <> ''")
+def c15(spark, sf_dir):
+    return _quals(spark, sf_dir).select("doc_id", F.round(seq.mean_phred(F.col("qual")), 6).alias("val"))
+
+
+@query("F2_filter_read_quality", "select doc_id, qual from t_qual where qual <> '' and list_sum(list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)) / length(qual) >= 71")
+def f2(spark, sf_dir):
+    return sequences.filter_quality(_quals(spark, sf_dir), 71)
+
+
+@query("C17_log_choose", "select distinct p_size as n, p_size // 3 as k, round(lgamma(p_size + 1) - lgamma(p_size // 3 + 1) - lgamma(p_size - p_size // 3 + 1), 6) as val from part")
+def c17(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_size").alias("n"), F.floor(F.col("p_size") / 3).cast("int").alias("k")).distinct()
+    return rows.select("n", "k", F.round(contingency.ln_choose(F.col("n"), F.col("k")), 6).alias("val"))
+
+
+@query("A8_partition_significance", """
+select distinct p_size as n, p_size // 4 + 1 as m, round(least(1.0, exp((p_size // 4 + 1) * 3 * ln((p_size // 4 + 1) / (p_size + 5.0)) + lgamma(p_size + 6) - lgamma(p_size // 4 + 2) - lgamma(p_size + 5 - p_size // 4) + lgamma(1001) - lgamma(4) - lgamma(998))), 6) as p from part""")
+def a8(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_size").alias("n"), (F.floor(F.col("p_size") / 4) + 1).cast("int").alias("m")).distinct()
+    return rows.select("n", "m", F.round(contingency.significance(F.col("n") + 5, F.col("m"), F.lit(3), F.lit(1000)), 6).alias("p"))
+
+
+@query("C18_name_window", "select contig || '_' || win || '_' || grp as val, count(*) as n from v_groups group by 1")
+def c18(spark, sf_dir):
+    return view(spark, sf_dir, "v_groups").groupBy(paths.window_name(F.col("contig"), F.col("win"), F.col("grp")).alias("val")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("C19_gc_fraction", "select contig, round((length(seq) - length(regexp_replace(seq, '[GC]', '', 'g'))) / length(seq), 6) as gc from v_seq where seq <> ''")
+def c19(spark, sf_dir):
+    return contigs(spark, sf_dir).where("seq <> ''").select("contig", F.round(seq.gc_fraction(F.col("seq")), 6).alias("gc"))
+
+
+@query("C19_count_substring", "select contig, cast((length(seq) - length(replace(seq, 'GATC', ''))) // 4 as integer) as n from v_seq")
+def c19s(spark, sf_dir):
+    return contigs(spark, sf_dir).select("contig", seq.count_site(F.col("seq"), "GATC").alias("n"))
+
+
+@query("C20_large_indels", "select cigar, cast(count(*) filter (where op in ('I','D') and n >= 30) as integer) as n from t_run group by cigar")
+def c20(spark, sf_dir):
+    return cigars(spark, sf_dir).select("cigar", cg.large_indels(F.col("cigar")).alias("n"))
+
+
+@query("F1_normalize_assembly", "select doc_id, regexp_replace(regexp_replace(translate(substr(text, 1, 300), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[-\\x00-\\x20]', '', 'g'), '[^ACGT]', 'A', 'g') as seq from documents")
+def f1(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 300).alias("seq"))
+    return sequences.normalise_assembly(rows)
+
+
+@query("A18_n50", "select source, max(len) as n50 from (select source, len, sum(len) over (partition by source order by len desc, k) as upto, sum(len) over (partition by source) as total from (select source, length(seq) as len, row_number() over () as k from v_seq) a) b where upto * 2 > total group by source")
+def a18(spark, sf_dir):
+    rows = contigs(spark, sf_dir).select("source", F.length("seq").cast("long").alias("len"))
+    return sequences.n50(rows, by=("source",))
+
+
+@query("W8_cumulative_n50", "select max(len) as n50 from (select len, sum(len) over (order by len desc, k) as upto, sum(len) over () as total from (select length(seq) as len, row_number() over () as k from v_seq) a) b where upto * 2 > total")
+def w8(spark, sf_dir):
+    return sequences.n50(contigs(spark, sf_dir).select(F.length("seq").cast("long").alias("len")))
+
+
+@query("W10_chunk_contigs", "select contig as name, cast(k as integer) as chunk, contig || '@' || k as chunk_name, substr(seq, cast(k * 90 + 1 as integer), 90) as seq from (select contig, seq, unnest(range(0, greatest(length(seq) - 1, 0) // 90 + 1)) as k from v_seq) t")
+def w10(spark, sf_dir):
+    return sequences.cut_contigs(contigs(spark, sf_dir), 90, name="contig")
+
+
+@query("S16_load_reads_for_contig", "select contig, seq from v_seq where contig in (select l_suppkey from lineitem)")
+def s16(spark, sf_dir):
+    aln = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("contig"))
+    return sequences.reads_on_contigs(contigs(spark, sf_dir).select("contig", "seq"), aln, read="contig")
+
+
+@query("J1_name_lookup", "select s_name as name, s_nationkey, n_name from supplier join nation on s_nationkey = n_nationkey")
+def j1(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), "s_nationkey")
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    return sequences.look_up(rows, names, name="s_nationkey").select("name", "s_nationkey", "n_name")
+
+
+@query("T3_sort_contigs", "select contig, length(seq) as len, cast(row_number() over (order by length(seq) desc, contig) as integer) as place from v_seq qualify place <= 50")
+def t3(spark, sf_dir):
+    """The longest fifty: a top-k needs no window over all rows."""
+    rows = contigs(spark, sf_dir).select("contig", F.length("seq").cast("long").alias("len")).orderBy(F.desc("len"), "contig").limit(50)
+    from pyspark.sql import Window
+
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("len"), "contig")))
