@@ -295,3 +295,8 @@ def trim_overlaps(links: DataFrame, contigs: DataFrame) -> DataFrame:
     rows = contigs.join(ends, "contig")
     cut = lambda least, other: F.greatest(F.least(F.coalesce(least, zero), F.col("len") - F.coalesce(other, zero)), zero)
     return rows.select("contig", cut(F.col("min_l"), F.col("max_r")).alias("trim_left"), cut(F.col("min_r"), F.col("max_l")).alias("trim_right"))
+
+
+def distance_law(pairs: DataFrame, width: int, *, left: str = "c1", right: str = "c2") -> DataFrame:
+    """Contacts by distance, in steps of ``width`` -> distance, n."""
+    return pairs.groupBy(F.floor((F.col(right) - F.col(left)) / width).alias("distance")).agg(F.sum("n").alias("n"))
