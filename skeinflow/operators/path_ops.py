@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ORDER = Window.partitionBy("read_idx").orderBy("idx")
+
+
+def _order():
+    return Window.partitionBy("read_idx").orderBy("idx")
+
 
 
 def end_towards_next(orient: Column) -> Column:
@@ -16,7 +20,7 @@ def end_towards_next(orient: Column) -> Column:
 def steps(paths: DataFrame) -> DataFrame:
     """Each step with the next and the previous one."""
     return paths.select(
-        "*", F.lead("contig").over(_ORDER).alias("next_contig"), F.lead("orient").over(_ORDER).alias("next_orient"), F.lag("contig").over(_ORDER).alias("prev_contig"), F.lag("orient").over(_ORDER).alias("prev_orient")
+        "*", F.lead("contig").over(_order()).alias("next_contig"), F.lead("orient").over(_order()).alias("next_orient"), F.lag("contig").over(_order()).alias("prev_contig"), F.lag("orient").over(_order()).alias("prev_orient")
     )
 
 
@@ -84,7 +88,7 @@ def split_invalid(paths: DataFrame, links: DataFrame) -> DataFrame:
     known = dedupe_links(links).withColumn("_ok", F.lit(True))
     joined = s.select("read_idx", "idx", "contig", "orient", "prev_contig", *ends).join(known, ["n1", "e1", "n2", "e2"], "left")
     cut = F.when(F.col("prev_contig").isNotNull() & F.col("_ok").isNull(), 1).otherwise(0)
-    return joined.withColumn("_cut", cut).withColumn("part", F.sum("_cut").over(_ORDER)).select("read_idx", "part", "idx", "contig", "orient")
+    return joined.withColumn("_cut", cut).withColumn("part", F.sum("_cut").over(_order())).select("read_idx", "part", "idx", "contig", "orient")
 
 
 def next_alignment(alignments: DataFrame) -> DataFrame:
