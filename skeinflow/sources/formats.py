@@ -44,9 +44,9 @@ def gfa_segments(lines: DataFrame) -> DataFrame:
     """S lines -> name, len, seq, depth (dp or DP; else RC or KC over the length; else null), tags."""
     f = F.split("value", "\t")
     rows = lines.where(F.col("value").startswith("S\t"))
-    size = F.length(f[2])
+    size = F.length(F.get(f, F.lit(2)))
     depth = F.coalesce(_tag("value", "[dD][pP]").try_cast("double"), _tag("value", "[RK]C").try_cast("double") / size)
-    return rows.select(f[1].alias("name"), size.alias("len"), f[2].alias("seq"), depth.alias("depth"), F.array_join(F.slice(f, 4, 1000), "\t").alias("tags"))
+    return rows.select(F.get(f, F.lit(1)).alias("name"), size.alias("len"), F.get(f, F.lit(2)).alias("seq"), depth.alias("depth"), F.array_join(F.slice(f, 4, 1000), "\t").alias("tags"))
 
 
 def gfa_links(lines: DataFrame, segments: DataFrame | None = None) -> DataFrame:
@@ -57,8 +57,8 @@ def gfa_links(lines: DataFrame, segments: DataFrame | None = None) -> DataFrame:
     """
     f = F.split("value", "\t")
     rows = lines.where(F.col("value").startswith("L\t"))
-    e1, e2 = F.when(f[2] == "+", 1).otherwise(0), F.when(f[4] == "+", 0).otherwise(1)
-    links = rows.select(f[1].alias("a"), e1.alias("ea"), f[3].alias("b"), e2.alias("eb"), F.coalesce(F.get(f, F.lit(5)), F.lit("*")).alias("cigar"))
+    e1, e2 = F.when(F.get(f, F.lit(2)) == "+", 1).otherwise(0), F.when(F.get(f, F.lit(4)) == "+", 0).otherwise(1)
+    links = rows.select(F.get(f, F.lit(1)).alias("a"), e1.alias("ea"), F.get(f, F.lit(3)).alias("b"), e2.alias("eb"), F.coalesce(F.get(f, F.lit(5)), F.lit("*")).alias("cigar"))
     swap = (F.col("b") < F.col("a")) | ((F.col("b") == F.col("a")) & (F.col("eb") < F.col("ea")))
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     links = links.select(pick("a", "b").alias("n1"), pick("ea", "eb").alias("e1"), pick("b", "a").alias("n2"), pick("eb", "ea").alias("e2"), "cigar").dropDuplicates(["n1", "e1", "n2", "e2"])
@@ -81,7 +81,7 @@ def sam(lines: DataFrame, *, amplicon: bool = False) -> DataFrame:
     f = F.split("value", "\t")
     rows = lines.where(~F.col("value").startswith("@")).where(F.size(f) >= 11)
     flag = F.get(f, F.lit(1)).try_cast("int")
-    rows = rows.select(f[0].alias("name"), flag.alias("flag"), f[2].alias("contig"), (f[3].try_cast("int") - 1).alias("ts"), f[4].try_cast("int").alias("mapq"), f[5].alias("cigar"), f[9].alias("seq"), _tag("value", "LN").try_cast("int").alias("ln"), F.coalesce(_tag("value", "NM").try_cast("int"), F.lit(0)).alias("nm"))
+    rows = rows.select(F.get(f, F.lit(0)).alias("name"), flag.alias("flag"), F.get(f, F.lit(2)).alias("contig"), (F.get(f, F.lit(3)).try_cast("int") - 1).alias("ts"), F.get(f, F.lit(4)).try_cast("int").alias("mapq"), F.get(f, F.lit(5)).alias("cigar"), F.get(f, F.lit(9)).alias("seq"), _tag("value", "LN").try_cast("int").alias("ln"), F.coalesce(_tag("value", "NM").try_cast("int"), F.lit(0)).alias("nm"))
     bits = sq.flags(F.col("flag"))
     rows = rows.where(~bits["unmapped"] & ~bits["secondary"] & (F.col("cigar") != "*"))
     head, tail = cg.clips(F.col("cigar"), ~bits["reverse"])
@@ -102,7 +102,7 @@ def paf(lines: DataFrame, *, end_to_end: bool = False) -> DataFrame:
     """
     f = F.split("value", "\t")
     ints = {"qlen": 1, "qs": 2, "qe": 3, "tlen": 6, "ts": 7, "te": 8, "matches": 9, "span": 10, "mapq": 11}
-    rows = lines.where(F.size(f) >= 12).select(f[0].alias("name"), f[5].alias("contig"), (f[4] == "+").alias("strand"), *[f[k].try_cast("int").alias(c) for c, k in ints.items()], _tag("value", "cg").alias("cigar"), _tag("value", "dv").try_cast("double").alias("dv"))
+    rows = lines.where(F.size(f) >= 12).select(F.get(f, F.lit(0)).alias("name"), F.get(f, F.lit(5)).alias("contig"), (F.get(f, F.lit(4)) == "+").alias("strand"), *[F.get(f, F.lit(k)).try_cast("int").alias(c) for c, k in ints.items()], _tag("value", "cg").alias("cigar"), _tag("value", "dv").try_cast("double").alias("dv"))
     if not end_to_end:
         return rows
     slack = F.least(F.lit(1000.0), F.least("qlen", "tlen") / 7)
@@ -129,7 +129,7 @@ def gaf(lines: DataFrame, *, identity: float = 0.0, mapped: float = 0.0, mapq: i
     S9 takes paths of two steps or more.
     """
     f = F.split("value", "\t")
-    rows = lines.where(F.size(f) >= 6).select(f[0].alias("name"), f[1].try_cast("int").alias("qlen"), f[2].try_cast("int").alias("qs"), f[3].try_cast("int").alias("qe"), f[5].alias("path"), F.get(f, F.lit(11)).try_cast("int").alias("mapq"), _tag("value", "id").try_cast("double").alias("identity"))
+    rows = lines.where(F.size(f) >= 6).select(F.get(f, F.lit(0)).alias("name"), F.get(f, F.lit(1)).try_cast("int").alias("qlen"), F.get(f, F.lit(2)).try_cast("int").alias("qs"), F.get(f, F.lit(3)).try_cast("int").alias("qe"), F.get(f, F.lit(5)).alias("path"), F.get(f, F.lit(11)).try_cast("int").alias("mapq"), _tag("value", "id").try_cast("double").alias("identity"))
     rows = rows.where(F.size(F.regexp_extract_all("path", F.lit("[<>]"), F.lit(0))) >= least_steps)
     if identity > 0:
         rows = rows.where(F.col("identity").isNull() | (F.col("identity") > identity))
@@ -148,7 +148,7 @@ def path_steps(rows: DataFrame, *, name: str = "name") -> DataFrame:
 def spaligner(lines: DataFrame) -> DataFrame:
     """Column 6 has alignments by ; and contigs with signs by , -> name, part, path (two contigs or more)."""
     f = F.split("value", "\t")
-    rows = lines.where(F.size(f) >= 6).select(f[0].alias("name"), F.posexplode(F.split(f[5], ";")).alias("part", "steps"))
+    rows = lines.where(F.size(f) >= 6).select(F.get(f, F.lit(0)).alias("name"), F.posexplode(F.split(F.get(f, F.lit(5)), ";")).alias("part", "steps"))
     step = F.transform(F.filter(F.split("steps", ","), lambda x: F.trim(x) != ""), lambda x: F.concat(F.when(F.trim(x).endswith("+"), ">").otherwise("<"), F.regexp_replace(F.trim(x), "[+-]$", "")))
     return rows.where(F.size(step) >= 2).select("name", "part", F.array_join(step, "").alias("path"))
 
@@ -157,7 +157,7 @@ def _sections(lines: DataFrame) -> DataFrame:
     """Lines under a CONTIG line, with its name, length and depth."""
     filled = fill_down(lines, F.col("value").startswith("CONTIG\t"))
     f = F.split("value", "\t")
-    heads = filled.where(F.col("line_no") == F.col("section")).select("file", "section", f[1].alias("contig"), F.get(f, F.lit(2)).try_cast("int").alias("contig_len"), F.get(f, F.lit(3)).try_cast("double").alias("contig_depth"))
+    heads = filled.where(F.col("line_no") == F.col("section")).select("file", "section", F.get(f, F.lit(1)).alias("contig"), F.get(f, F.lit(2)).try_cast("int").alias("contig_len"), F.get(f, F.lit(3)).try_cast("double").alias("contig_depth"))
     return filled.where(F.col("line_no") != F.col("section")).join(heads, ["file", "section"])
 
 
@@ -166,7 +166,7 @@ def _read_rows(rows: DataFrame) -> DataFrame:
     f = F.split("value", "\t")
     order = Window.partitionBy("file", "section").orderBy("line_no")
     reads = rows.where(F.col("value").startswith("READ\t"))
-    return reads.select("file", "section", "contig", (F.row_number().over(order) - 1).try_cast("int").alias("read_idx"), f[1].alias("name"), F.get(f, F.lit(2)).try_cast("int").alias("start"), F.get(f, F.lit(3)).try_cast("int").alias("end"))
+    return reads.select("file", "section", "contig", (F.row_number().over(order) - 1).try_cast("int").alias("read_idx"), F.get(f, F.lit(1)).alias("name"), F.get(f, F.lit(2)).try_cast("int").alias("start"), F.get(f, F.lit(3)).try_cast("int").alias("end"))
 
 
 def col(lines: DataFrame, *, abundance: float = 0.0, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -178,7 +178,7 @@ def col(lines: DataFrame, *, abundance: float = 0.0, cap: int | None = None) ->
     """
     rows = _sections(lines)
     f = F.split("value", "\t")
-    snps = rows.where(F.col("value").startswith("SNPS\t")).select("contig", f[1].try_cast("int").alias("pos"), f[2].alias("ref"), f[3].alias("alt"), F.filter(F.split(f[4], ","), lambda x: x != "").alias("r"), F.filter(F.split(f[5], ","), lambda x: x != "").alias("a"))
+    snps = rows.where(F.col("value").startswith("SNPS\t")).select("contig", F.get(f, F.lit(1)).try_cast("int").alias("pos"), F.get(f, F.lit(2)).alias("ref"), F.get(f, F.lit(3)).alias("alt"), F.filter(F.split(F.get(f, F.lit(4)), ","), lambda x: x != "").alias("r"), F.filter(F.split(F.get(f, F.lit(5)), ","), lambda x: x != "").alias("a"))
     both = F.arrays_zip("r", "a")
     cells = snps.select("contig", "pos", "ref", "alt", "a", F.posexplode(both).alias("k", "x"))
     n = lambda c: F.size(F.filter("a", lambda x: x == F.col(c)))
@@ -193,7 +193,7 @@ def gro(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """-> reads, groups (contig, win_start, win_end, read_idx, grp).  Reads that a GROUP line doesn't name have no row; empty lists are skipped."""
     rows = _sections(lines)
     f = F.split("value", "\t")
-    groups = rows.where(F.col("value").startswith("GROUP\t")).select("contig", f[1].try_cast("int").alias("win_start"), f[2].try_cast("int").alias("win_end"), F.filter(F.split(f[3], ","), lambda x: x != "").alias("r"), F.filter(F.split(f[4], ","), lambda x: x != "").alias("g"))
+    groups = rows.where(F.col("value").startswith("GROUP\t")).select("contig", F.get(f, F.lit(1)).try_cast("int").alias("win_start"), F.get(f, F.lit(2)).try_cast("int").alias("win_end"), F.filter(F.split(F.get(f, F.lit(3)), ","), lambda x: x != "").alias("r"), F.filter(F.split(F.get(f, F.lit(4)), ","), lambda x: x != "").alias("g"))
     each = groups.select("contig", "win_start", "win_end", F.explode(F.arrays_zip("r", "g")).alias("x"))
     return _read_rows(rows).drop("file", "section"), each.select("contig", "win_start", "win_end", F.col("x.r").try_cast("int").alias("read_idx"), F.col("x.g").try_cast("int").alias("grp"))
 
@@ -201,27 +201,27 @@ def gro(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def ploidy(lines: DataFrame) -> DataFrame:
     """Contig and ploidy -> contig, ploidy"""
     f = F.split(F.trim("value"), r"\s+")
-    return lines.where(F.size(f) >= 2).select(f[0].alias("contig"), f[1].try_cast("int").alias("ploidy")).where("ploidy is not null")
+    return lines.where(F.size(f) >= 2).select(F.get(f, F.lit(0)).alias("contig"), F.get(f, F.lit(1)).try_cast("int").alias("ploidy")).where("ploidy is not null")
 
 
 def fragments(lines: DataFrame) -> DataFrame:
     """Tab-separated with a header line; contacts refer to row numbers -> fragment, contig, start, end, size"""
     f = F.split("value", "\t")
     rows = lines.where((F.col("line_no") > 0) & (F.size(f) >= 5))
-    return rows.select((F.col("line_no") - 1).alias("fragment"), f[1].alias("contig"), f[2].try_cast("int").alias("start"), f[3].try_cast("int").alias("end"), f[4].try_cast("int").alias("size"))
+    return rows.select((F.col("line_no") - 1).alias("fragment"), F.get(f, F.lit(1)).alias("contig"), F.get(f, F.lit(2)).try_cast("int").alias("start"), F.get(f, F.lit(3)).try_cast("int").alias("end"), F.get(f, F.lit(4)).try_cast("int").alias("size"))
 
 
 def contact_pairs(lines: DataFrame) -> DataFrame:
     """Fragment pairs, header dropped -> f1, f2, n"""
     f = F.split("value", "\t")
-    return lines.where((F.col("line_no") > 0) & (F.size(f) >= 3)).select(f[0].try_cast("long").alias("f1"), f[1].try_cast("long").alias("f2"), f[2].try_cast("long").alias("n"))
+    return lines.where((F.col("line_no") > 0) & (F.size(f) >= 3)).select(F.get(f, F.lit(0)).try_cast("long").alias("f1"), F.get(f, F.lit(1)).try_cast("long").alias("f2"), F.get(f, F.lit(2)).try_cast("long").alias("n"))
 
 
 def barcodes(lines: DataFrame) -> DataFrame:
     """Mapped SAM records with BX or BC -> barcode, contig"""
     f = F.split("value", "\t")
     rows = lines.where(~F.col("value").startswith("@")).where(F.size(f) >= 11)
-    return rows.select(F.coalesce(_tag("value", "BX"), _tag("value", "BC")).alias("barcode"), f[2].alias("contig")).where("barcode is not null and contig <> '*'")
+    return rows.select(F.coalesce(_tag("value", "BX"), _tag("value", "BC")).alias("barcode"), F.get(f, F.lit(2)).alias("contig")).where("barcode is not null and contig <> '*'")
 
 
 def load_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
