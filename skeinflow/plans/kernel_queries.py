@@ -18,7 +18,7 @@ def a1(spark, sf_dir):
     return pileup.build_pileup(aln, reads, seqs.select(F.col("contig").alias("contig_id"), "seq"))
 
 
-@query("C10_edlib_infix_align", "select contig, cast(0 as bigint) as distance, instr(substr(seq, 1, 120), substr(seq, 31, 40)) - 1 as start from v_seq where length(seq) >= 120")
+@query("C10_infix_align", "select contig, cast(0 as bigint) as distance, instr(substr(seq, 1, 120), substr(seq, 31, 40)) - 1 as start from v_seq where length(seq) >= 120")
 def c10(spark, sf_dir):
     """Exact infixes are found where they first end."""
     rows = view(spark, sf_dir, "v_seq").where(F.length("seq") >= 120).select("contig", F.substring("seq", 31, 40).alias("query"), F.substring("seq", 1, 120).alias("target"))
@@ -89,7 +89,7 @@ def g28(spark, sf_dir):
     return kernels.cut_overlaps(graph_contigs(spark, sf_dir).select("contig", "len"), links(spark, sf_dir).withColumn("overlap", (F.col("n1") * 7 + F.col("n2")) % 60))
 
 
-@query("G36_bihap_biclustering")
+@query("G36_biclustering")
 def g36(spark, sf_dir):
     cells = view(spark, sf_dir, "v_pileup_event").where("contig <= 5")
     values = cells.select("contig", F.floor(F.col("pos") / 12).alias("win"), "read_idx", "pos", F.col("allele").isin("A", "C").cast("int").alias("v"))

@@ -85,13 +85,13 @@ def a4(spark, sf_dir):
     return pileup.contig_depth(view(spark, sf_dir, "v_pileup_part")).withColumn("depth", F.round("depth", 6))
 
 
-@query("F12_bihap_suspicious", "select contig, pos, cast(sum(m) as bigint) as n, max(m) as top from (select contig, pos, allele, count(*) as m from v_pileup_event group by all) t group by contig, pos having sum(m) >= 5 and max(m) < 0.95 * sum(m)")
+@query("F12_strongly_mixed", "select contig, pos, cast(sum(m) as bigint) as n, max(m) as top from (select contig, pos, allele, count(*) as m from v_pileup_event group by all) t group by contig, pos having sum(m) >= 5 and max(m) < 0.95 * sum(m)")
 def f12(spark, sf_dir):
     return pileup.strongly_mixed(view(spark, sf_dir, "v_pileup_event"))
 
 
 @query(
-    "F13_bihap_span_filter",
+    "F13_span_filter",
     """with p as (select contig, pos, ntile(3) over (partition by contig order by pos) as third from (select distinct contig, pos from v_pileup_event) a),
 c as (select v.*, p.third from v_pileup_event v join p on p.contig = v.contig and p.pos = v.pos),
 reach as (select contig, read_idx from c group by all having min(third) = 1 and max(third) = 3),

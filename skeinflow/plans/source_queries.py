@@ -264,7 +264,7 @@ def k11(spark, sf_dir):
     return sinks.error_lines(solid(spark, sf_dir), st.piers(mappings(spark, sf_dir))).select("value")
 
 
-@query("K12_sink_bihap", "select 'LABELS' || chr(9) || string_agg(case when mx = mn then -1 else grp end, ',' order by read_idx) as value from (select *, max(grp) over (partition by contig, win) as mx, min(grp) over (partition by contig, win) as mn from v_groups) t group by contig, win")
+@query("K12_sink_clusters", "select 'LABELS' || chr(9) || string_agg(case when mx = mn then -1 else grp end, ',' order by read_idx) as value from (select *, max(grp) over (partition by contig, win) as mx, min(grp) over (partition by contig, win) as mn from v_groups) t group by contig, win")
 def k12(spark, sf_dir):
     rows = view(spark, sf_dir, "v_groups").select("contig", F.col("win").alias("win_start"), "read_idx", F.col("read_idx").cast("string").alias("name"), F.col("grp").alias("label"))
     return sinks.cluster_lines(rows).where("kind = 2").select("value")
