@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, lower_ascii, materialize
+from .common import materialize
 
 #: Buckets in which words are counted (the table of them is all that tasks hold), and bits of a word's hash in its code.
 BUCKETS, BITS = 1 << 20, 53
@@ -16,7 +16,9 @@ BROADCAST_ROWS = 1_000_000
 
 
 def _words(line: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(line), F.lit(WORD), F.lit(0))
+    """Runs of anything but ASCII white space, lower-cased; a plain split where blanks are the only white space."""
+    plain = F.when(line.rlike(r"[\x09-\x0D]"), F.regexp_replace(line, r"[\x09-\x0D]", " ")).otherwise(line)
+    return F.array_remove(F.split(F.lower(plain), " ", -1), "")
 
 
 def _hashes(words: Column) -> Column:
@@ -73,8 +75,8 @@ def _verified(pairs: DataFrame, lines: DataFrame, levels: Column, similarity: fl
 def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """Lines to remove -> doc_id, n_lines, n_removed, removed (sorted line numbers from 0).
 
-    Lines are what line feeds separate; a line's set is its different words, a
-    run of anything but ASCII white space with A-Z lower-cased.  A line goes if
+    Lines are what line feeds separate; a line's set is its different words, runs
+    of anything but ASCII white space in lower case.  A line goes if
     an earlier line of the corpus, by (id, line number), kept or not, has a
     Jaccard of ``similarity`` or more with it.  A row for each document.
 
@@ -96,41 +98,41 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     reach = split.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.size("lines"))).first()
     packed = reach[0] is None or (reach[0] >= 0 and reach[1] < 1 << 42 and (reach[2] or 0) < 1 << 20)
     rows = split.select("doc_id", F.posexplode_outer("lines").alias("line_no", "line")).where("line is not null")
-    words = F.array_distinct(_hashes(_words(F.col("line"))))
-    rows = rows.select("doc_id", "line_no", "line", F.sort_array(words).alias("set")).where(F.size("set") > 0)
-    rows = rows.select("doc_id", "line_no", "line", F.xxhash64("set").alias("class"), _order(F.col("doc_id"), F.col("line_no"), packed).alias("at"))
-    lines = materialize(rows.groupBy("class").agg(F.min("at").alias("first"), F.any_value("line").alias("line")), "lines-classes")
+    rows = rows.select("doc_id", "line_no", "line", _hashes(_words(F.col("line"))).alias("h")).where(F.size("h") > 0)
+    rows = rows.select("doc_id", "line_no", "line", "h", F.xxhash64(F.sort_array(F.array_distinct("h"))).alias("class"), _order(F.col("doc_id"), F.col("line_no"), packed).alias("at"))
+    edge = lambda name, begin: F.when(F.size("h") > EDGE, F.xxhash64(F.lit(name), F.slice("h", begin, EDGE)))
+    firsts = rows.groupBy("class").agg(F.min("at").alias("first"), F.any_value("line").alias("line"), F.any_value(edge("begin", 1)).alias("begin"), F.any_value(edge("end", -EDGE)).alias("end"))
+    lines = materialize(firsts, "lines-classes")
     levels = _rarity(lines)
 
-    edge = _words(F.col("line"))
-    ends = F.array(*[F.when(F.size(edge) > EDGE, F.xxhash64(F.lit(name), part)) for name, part in (("begin", F.slice(edge, 1, EDGE)), ("end", F.slice(edge, -EDGE, EDGE)))])
-    keyed = lines.select("first", F.explode_outer(ends).alias("key")).where("key is not null")
+    keyed = lines.select("first", F.explode(F.array("begin", "end")).alias("key")).where("key is not null")
     leads = keyed.groupBy("key").agg(F.min("first").alias("earlier"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "earlier")
     tried = keyed.join(leads, "key").where("first > earlier").select(F.col("first").alias("later"), "earlier").distinct()
     gone = materialize(_verified(tried, lines, levels, similarity), "lines-gone")
 
     few = F.broadcast if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
     marked = lines.join(few(gone.select(F.col("later").alias("gone"))), F.col("first") == F.col("gone"), "left")
-    sets = marked.select((F.col("first") * 2 + F.when(F.col("gone").isNull(), 1).otherwise(0)).alias("at2"), _codes(F.col("line"), levels).alias("codes"))
+    sets = marked.select(F.col("first").alias("at"), F.when(F.col("gone").isNull(), 1).otherwise(0).alias("asks"), _codes(F.col("line"), levels).alias("codes"))
     n = F.size("codes")
     bits = F.aggregate("codes", F.lit(0).cast("long"), lambda s, c: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(63).cast("int"))))
     heads = F.slice("codes", 1, (n - F.ceil(F.lit(similarity) * n - 1e-9) + 1).cast("int"))
-    posts = sets.select("at2", n.cast("long").alias("n"), bits.alias("bits"), heads.alias("heads")).select("at2", "n", "bits", F.posexplode_outer("heads").alias("pos", "word"))
-    posts = posts.select("word", "at2", (F.col("n") * (1 << 32) + F.col("pos")).alias("n_pos"), "bits")
-    # both sides are the same rows in the same columns, so that they are dealt out once
+    posts = sets.select("at", "asks", n.cast("long").alias("n"), bits.alias("bits"), heads.alias("heads")).select("at", "asks", "n", "bits", F.posexplode_outer("heads").alias("pos", "word"))
+    zero = F.lit(0).cast("long")
+    n_pos = F.shiftleft("n", 32) + F.col("pos")
+    posts = posts.where("word is not null").select(F.coalesce(F.hash("word"), F.lit(0)).alias("word"), F.coalesce("at", zero).alias("at"), F.coalesce("asks", F.lit(0)).alias("asks"), F.coalesce(n_pos, zero).alias("n_pos"), F.coalesce("bits", zero).alias("bits"))
+    # both sides are the same rows in the same columns, and no condition is on one side only, so that they are dealt out once
     a, b = posts.alias("a"), posts.alias("b")
-    len_ = lambda s: F.floor(F.col(f"{s}.n_pos") / (1 << 32))
-    pos = lambda s: F.col(f"{s}.n_pos") % (1 << 32)
-    half = lambda s: F.floor(F.col(f"{s}.at2") / 2)
+    len_ = lambda s: F.shiftright(f"{s}.n_pos", 32)
+    pos = lambda s: F.col(f"{s}.n_pos").bitwiseAND((1 << 32) - 1)
     need = F.ceil(similarity / (1 + similarity) * (len_("a") + len_("b")) - 1e-9)
     met = (
         (F.col("a.word") == F.col("b.word"))
-        & (half("b") < F.when(F.col("a.at2") % 2 == 1, half("a")).otherwise(F.lit(-(1 << 62))))
+        & ((F.col("b.at") < F.col("a.at")) & (F.col("a.asks") + 0 * F.col("b.asks") == 1))
         & (F.least(len_("a"), len_("b")) >= F.lit(similarity) * F.greatest(len_("a"), len_("b")) - 1e-9)
-        & (1 + F.least(len_("a") - pos("a"), len_("b") - pos("b")) - 1 >= need)
+        & (F.least(len_("a") - pos("a"), len_("b") - pos("b")) >= need)
         & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= len_("a") + len_("b") - 2 * need)
     )
-    pairs = a.join(b, met).select(half("a").alias("later"), half("b").alias("earlier")).distinct()
+    pairs = a.join(b, met).select(F.col("a.at").alias("later"), F.col("b.at").alias("earlier")).distinct()
     also = _verified(pairs, lines, levels, similarity)
 
     flagged = lines.select("class", "first").join(gone.unionByName(also).distinct().withColumn("hit", F.lit(True)), F.col("first") == F.col("later"), "left").select("class", "first", "hit")

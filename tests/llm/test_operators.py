@@ -117,7 +117,7 @@ def removed_by_hand(rows):
         parts = [] if text is None else text.split("\n")
         total[i] = max(total.get(i, 0), len(parts))
         for k, line in enumerate(parts):
-            if s := frozenset(words(lower(line))):
+            if s := frozenset(words(line.lower())):
                 lines.append(((i is not None, i or 0, k), i, k, s))
     lines.sort(key=lambda x: x[0])
     for place, i, k, s in lines:
