@@ -127,7 +127,7 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     need = F.ceil(similarity / (1 + similarity) * (len_("a") + len_("b")) - 1e-9)
     met = (
         (F.col("a.word") == F.col("b.word"))
-        & ((F.col("b.at") < F.col("a.at")) & (F.col("a.asks") + 0 * F.col("b.asks") == 1))
+        & ((F.col("b.at") < F.col("a.at")) & (2 * F.col("a.asks") + F.col("b.asks") >= 2))
         & (F.least(len_("a"), len_("b")) >= F.lit(similarity) * F.greatest(len_("a"), len_("b")) - 1e-9)
         & (F.least(len_("a") - pos("a"), len_("b") - pos("b")) >= need)
         & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= len_("a") + len_("b") - 2 * need)
