@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +19,12 @@ BROADCAST_ROWS = 1_000_000
 
 
 def _words(line: Column) -> Column:
-    """Runs of anything but ASCII white space, lower-cased; a plain split where blanks are the only white space."""
-    plain = F.when(line.rlike(r"[\x09-\x0D]"), F.regexp_replace(line, r"[\x09-\x0D]", " ")).otherwise(line)
-    return F.array_remove(F.split(F.lower(plain), " ", -1), "")
+    """Runs of anything but ASCII white space, lower-cased; a plain split where single blanks are the only white space."""
+    other = [line.contains(c) for c in "\t\n\x0b\x0c\r"]
+    plain = F.when(functools.reduce(operator.or_, other), F.regexp_replace(line, r"[\x09-\x0D]", " ")).otherwise(line)
+    parts = F.split(F.lower(plain), " ", -1)
+    ragged = plain.contains("  ") | plain.startswith(" ") | plain.endswith(" ")
+    return F.when(ragged, F.array_remove(parts, "")).otherwise(parts)
 
 
 def _hashes(words: Column) -> Column:
@@ -36,15 +42,16 @@ def _order(doc: Column, line: Column, packed: bool) -> Column:
     return F.coalesce(doc.cast("decimal(20,0)"), F.lit(-(1 << 63) - 1).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(11,0)") + line
 
 
-def _rarity(lines: DataFrame) -> Column:
+def _rarity(text: DataFrame) -> Column:
     """A byte for each bucket, sixths of log2 of its frequency: small ones are rare words.
 
     The table has BUCKETS bytes at any size of the corpus and goes to the tasks
-    as a literal.
+    as a literal.  Any table gives an exact join, so words count as often as
+    they stand there.
     """
-    words = lines.select(F.explode(F.array_distinct(_hashes(_words(F.col("line"))))).alias("h"))
+    words = text.select(F.explode(_words(F.col("text"))).alias("w")).select(F.xxhash64("w").alias("h"))
     counts = words.groupBy(_bucket(F.col("h")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    every = lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
+    every = text.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
     level = F.least(F.floor(6 * F.log2(F.col("n") + 1)), F.lit(126)) + 1
     full = counts.unionByName(every).groupBy("b").agg(F.max("n").alias("n")).select("b", F.char(level).alias("level"))
     table = full.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "level"))), lambda x: x["level"]), "").alias("levels"))
@@ -55,21 +62,31 @@ def _level(levels: Column, h: Column) -> Column:
     return F.ascii(F.substring(levels, _bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
 
 
-def _codes(line: Column, levels: Column) -> Column:
-    """The line's different words as numbers in order of rarity: level, then hash."""
+def _codes(words: Column, levels: Column) -> Column:
+    """The different words as numbers in order of rarity: level, then hash."""
     code = lambda h: F.shiftleft(_level(levels, h), BITS).bitwiseOR(h.bitwiseAND((1 << BITS) - 1))
-    return F.sort_array(F.array_distinct(F.transform(_hashes(_words(line)), code)))
+    return F.sort_array(F.array_distinct(F.transform(_hashes(words), code)))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is short; df is a written table."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, levels: Column, similarity: float) -> DataFrame:
-    """(later, earlier) -> later of the pairs whose Jaccard is high enough."""
+    """(later, earlier) -> (later, class) of the pairs whose Jaccard is high enough.
+
+    Lines are split again rather than kept as sets, which are larger than text.
+    """
     pairs = materialize(pairs, "lines-pairs")
-    ids = pairs.select(F.col("later").alias("id")).unionByName(pairs.select(F.col("earlier").alias("id"))).distinct()
-    few = F.broadcast if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
-    sets = materialize(lines.join(few(ids), F.col("first") == F.col("id"), "left_semi").select(F.col("first").alias("id"), _codes(F.col("line"), levels).alias("codes")), "lines-sets")
+    ids = materialize(pairs.select(F.col("later").alias("id")).unionByName(pairs.select(F.col("earlier").alias("id"))).distinct(), "lines-ids")
+    sets = lines.join(_few(ids), F.col("at") == F.col("id"), "left_semi").select(F.col("at").alias("id"), _codes(_words(F.col("line")), levels).alias("codes"))
+    sets = materialize(sets, "lines-sets")
     both = pairs.join(sets.select(F.col("id").alias("later"), F.col("codes").alias("x")), "later").join(sets.select(F.col("id").alias("earlier"), F.col("codes").alias("y")), "earlier")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common / (F.size("x") + F.size("y") - common) >= similarity).select("later").distinct()
+    # array functions are costly: only one of them, and only once for a pair
+    union = F.size(F.array_union("x", "y"))
+    alike = F.size("x") + F.size("y") >= (1 + similarity) * union - 1e-9
+    return both.where(alike).select("later", F.xxhash64("x").alias("class")).distinct()
 
 
 def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
@@ -97,29 +114,38 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     split = docs.select(F.col(id_col).alias("doc_id"), F.when(text.isNotNull(), F.split(text, "\n", -1)).alias("lines"))
     reach = split.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.size("lines"))).first()
     packed = reach[0] is None or (reach[0] >= 0 and reach[1] < 1 << 42 and (reach[2] or 0) < 1 << 20)
-    rows = split.select("doc_id", F.posexplode_outer("lines").alias("line_no", "line")).where("line is not null")
-    rows = rows.select("doc_id", "line_no", "line", _hashes(_words(F.col("line"))).alias("h")).where(F.size("h") > 0)
-    rows = rows.select("doc_id", "line_no", "line", "h", F.xxhash64(F.sort_array(F.array_distinct("h"))).alias("class"), _order(F.col("doc_id"), F.col("line_no"), packed).alias("at"))
-    edge = lambda name, begin: F.when(F.size("h") > EDGE, F.xxhash64(F.lit(name), F.slice("h", begin, EDGE)))
-    firsts = rows.groupBy("class").agg(F.min("at").alias("first"), F.any_value("line").alias("line"), F.any_value(edge("begin", 1)).alias("begin"), F.any_value(edge("end", -EDGE)).alias("end"))
-    lines = materialize(firsts, "lines-classes")
-    levels = _rarity(lines)
-
-    keyed = lines.select("first", F.explode(F.array("begin", "end")).alias("key")).where("key is not null")
-    leads = keyed.groupBy("key").agg(F.min("first").alias("earlier"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "earlier")
-    tried = keyed.join(leads, "key").where("first > earlier").select(F.col("first").alias("later"), "earlier").distinct()
-    gone = materialize(_verified(tried, lines, levels, similarity), "lines-gone")
+    rows = split.select("doc_id", F.posexplode_outer("lines").alias("line_no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    rows = rows.select("doc_id", "line_no", _order(F.col("doc_id"), F.col("line_no"), packed).alias("at"), "line")
+    lines = rows.select("at", "line")
+    levels = _rarity(docs.where(text.isNotNull()).select(F.replace(text, F.lit("\n"), F.lit(" ")).alias("text")))
 
-    few = F.broadcast if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
-    marked = lines.join(few(gone.select(F.col("later").alias("gone"))), F.col("first") == F.col("gone"), "left")
-    sets = marked.select(F.col("first").alias("at"), F.when(F.col("gone").isNull(), 1).otherwise(0).alias("asks"), _codes(F.col("line"), levels).alias("codes"))
+    # one pass over the words leaves what the join needs
     n = F.size("codes")
+    edge = lambda name, begin: F.when(F.size("words") > EDGE, F.xxhash64(F.lit(name), F.slice("words", begin, EDGE)))
     bits = F.aggregate("codes", F.lit(0).cast("long"), lambda s, c: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(63).cast("int"))))
     heads = F.slice("codes", 1, (n - F.ceil(F.lit(similarity) * n - 1e-9) + 1).cast("int"))
-    posts = sets.select("at", "asks", n.cast("long").alias("n"), bits.alias("bits"), heads.alias("heads")).select("at", "asks", "n", "bits", F.posexplode_outer("heads").alias("pos", "word"))
+    worded = rows.select("doc_id", "line_no", "at", _words(F.col("line")).alias("words"))
+    coded = worded.select("doc_id", "line_no", "at", edge("begin", 1).alias("begin"), edge("end", -EDGE).alias("end"), _codes(F.col("words"), levels).alias("codes"))
+    head = F.transform(heads, lambda c: c.bitwiseAND(0x7FFFFFFF).cast("int"))
+    sets = coded.select("doc_id", "line_no", "at", "begin", "end", F.xxhash64("codes").alias("class"), n.alias("n"), bits.alias("bits"), head.alias("heads"))
+    sets = materialize(sets, "lines-coded")
+    firsts = materialize(sets.groupBy("class").agg(F.min("at").alias("first")), "lines-firsts")
+    chosen = _few(firsts.select(F.col("first").alias("at"), "class"))
+
+    keyed = sets.select("at", "class", F.explode(F.array("begin", "end")).alias("key")).where("key is not null").join(chosen, ["at", "class"], "left_semi")
+    keyed = materialize(keyed, "lines-edges")
+    leads = _few(materialize(keyed.groupBy("key").agg(F.min("at").alias("earlier"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "earlier"), "lines-leads"))
+    tried = keyed.join(leads, "key").where("at > earlier").select(F.col("at").alias("later"), "earlier").distinct()
+    gone = materialize(_verified(tried, lines, levels, similarity), "lines-gone")
+
+    left = firsts.join(_few(gone.withColumnRenamed("class", "gone")), (F.col("first") == F.col("later")) & (F.col("class") == F.col("gone")), "left")
+    left = left.select(F.col("first").alias("at"), "class", F.when(F.col("gone").isNull(), 1).otherwise(0).alias("asks"))
+    left = _few(materialize(left, "lines-asks"))
+    picked = sets.select("at", "class", "n", "bits", "heads").join(left, ["at", "class"])
+    posts = picked.select("at", "asks", F.col("n").cast("long").alias("n"), "bits", F.posexplode_outer("heads").alias("pos", "word"))
     zero = F.lit(0).cast("long")
     n_pos = F.shiftleft("n", 32) + F.col("pos")
-    posts = posts.where("word is not null").select(F.coalesce(F.hash("word"), F.lit(0)).alias("word"), F.coalesce("at", zero).alias("at"), F.coalesce("asks", F.lit(0)).alias("asks"), F.coalesce(n_pos, zero).alias("n_pos"), F.coalesce("bits", zero).alias("bits"))
+    posts = posts.where("word is not null").select(F.coalesce("word", F.lit(0)).alias("word"), F.coalesce("at", zero).alias("at"), F.coalesce("asks", F.lit(0)).alias("asks"), F.coalesce(n_pos, zero).alias("n_pos"), F.coalesce("bits", zero).alias("bits"))
     # both sides are the same rows in the same columns, and no condition is on one side only, so that they are dealt out once
     a, b = posts.alias("a"), posts.alias("b")
     len_ = lambda s: F.shiftright(f"{s}.n_pos", 32)
@@ -133,10 +159,12 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= len_("a") + len_("b") - 2 * need)
     )
     pairs = a.join(b, met).select(F.col("a.at").alias("later"), F.col("b.at").alias("earlier")).distinct()
-    also = _verified(pairs, lines, levels, similarity)
+    also = materialize(_verified(pairs, lines, levels, similarity), "lines-also")
 
-    flagged = lines.select("class", "first").join(gone.unionByName(also).distinct().withColumn("hit", F.lit(True)), F.col("first") == F.col("later"), "left").select("class", "first", "hit")
-    placed = rows.select("doc_id", "line_no", "class", "at").join(flagged, "class").where((F.col("at") > F.col("first")) | F.col("hit"))
+    hits = gone.unionByName(also).distinct().select("later", F.col("class").alias("of"), F.lit(True).alias("hit"))
+    flagged = firsts.join(hits, (F.col("first") == F.col("later")) & (F.col("class") == F.col("of")), "left").select("class", "first", "hit")
+    flagged = _few(materialize(flagged, "lines-flagged"))
+    placed = sets.select("doc_id", "line_no", "class", "at").join(flagged, "class").where((F.col("at") > F.col("first")) | F.col("hit"))
     taken = placed.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
     counted = split.groupBy("doc_id").agg(F.max(F.coalesce(F.size("lines"), F.lit(0))).alias("n_lines"))
     out = counted.join(taken.withColumnRenamed("doc_id", "at_doc"), F.col("doc_id").eqNullSafe(F.col("at_doc")), "left")
