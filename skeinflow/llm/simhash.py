@@ -1,7 +1,8 @@
-"""SimHash fingerprints, linked through tables of pivot distances."""
+"""SimHash fingerprints, linked through tables of pivot distances; near copies by sets of shingles."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from .common import materialize
 
 #: Pivots of the distance tables, the fingerprints that a group compares as one piece, and rows of a step.
 PIVOTS, PIECE, STEP = 16, 4_096, 256
+#: Bits of a set's sketch; one text of so many is sampled for common shingles, of which so many are kept.
+SKETCH, SAMPLE, COMMON = 1_024, 64, 200_000
 #: Lists of rows up to this length are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -125,7 +128,7 @@ def spanning_pairs(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
     return chosen
 
 
-def _pieces(keyed: DataFrame) -> DataFrame:
+def _pieces(keyed: DataFrame, carried: list[str] | None = None) -> DataFrame:
     """Cut groups above PIECE into numbered pieces that meet pairwise.
 
     A row of piece t goes to all cells (t, u), so that any two rows share a
@@ -134,10 +137,10 @@ def _pieces(keyed: DataFrame) -> DataFrame:
     sizes = keyed.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sized = keyed.join(sizes, ["block", "value"])
     pieces = F.ceil(F.col("n") / PIECE).cast("int")
-    sized = sized.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("fp", "node"), F.col("pieces")).cast("int"))
+    sized = sized.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64(*([] if carried else ["fp"]), "node"), F.col("pieces")).cast("int"))
     others = F.when(F.col("pieces") > 1, F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(F.lit(0)))
     met = sized.withColumn("other", F.explode(others))
-    return met.select("block", "value", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "fp", "node")
+    return met.select("block", "value", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), *(carried or ["fp"]), "node")
 
 
 def links(nodes: DataFrame, *, most: int = 3) -> DataFrame:
@@ -238,19 +241,144 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.join(named, "fp").select("doc_id", fingerprint_hex, "component_id")
 
 
-def _classes(docs: DataFrame, text_col: str, words: int, seed: int) -> DataFrame:
-    """docs with ``sim_fp`` and ``sim_text``, a hash of the words that a text has."""
+def shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
+    """64-bit hashes of a text's set of word shingles, ascending (fewer words: all of them)."""
+    joined = b" ".join(tokens)
+    ends = np.cumsum([len(t) + 1 for t in tokens], dtype=np.int64) - 1
+    starts = [0, *(ends[:-1] + 1).tolist()]
+    stops = ends.tolist()[words - 1 :] or [len(joined)]
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts, stops)), dtype=np.uint64, count=len(stops)))
+
+
+def parity_sketch(hashes: np.ndarray) -> bytes:
+    """SKETCH bits, each the parity of the hashes that fall on it.
+
+    Sketches differ in no more bits than the sets do in members.
+    """
+    return np.packbits(np.bincount((hashes % SKETCH).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+
+
+def _common(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
+    """Shingles that a sample of the texts repeats, ascending; they only order prefixes, so what a sample misses costs time."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [shingle_hashes(bytes(t).lower().split(), shingle) for t in batch["t"]]
+            yield pd.DataFrame({"key": np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)})
+
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    sample = docs.select(text.alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(SAMPLE)) == 0).distinct()
+    keys = sample.mapInPandas(of, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    top = keys.orderBy(F.desc("n"), "key").limit(COMMON).collect()
+    return np.sort(np.array([r["key"] for r in top], dtype=np.int64).view(np.uint64))
+
+
+def _classes(docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """docs with ``sim_text``, a hash of a text's words, and of its set of shingles the size, the sketch and the prefix.
+
+    Shingles have one order everywhere: common ones last, then by hash.  Two
+    sets of at least ``similarity`` share a shingle among the first
+    n - ceil(similarity * n) + 1 of both.
+    """
+    common = _common(docs, text_col, shingle)
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            texts = [bytes(t) for t in texts]
-            fp = np.array([fingerprint(t, words, seed) for t in texts], dtype=np.uint64)
-            same = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) for t in texts], dtype=np.uint64)
-            yield pd.DataFrame({"fp": fp.view(np.int64), "same": same.view(np.int64)})
+            same, size, sketch, prefix = [], [], [], []
+            for t in texts:
+                tokens = bytes(t).lower().split()
+                hashes = shingle_hashes(tokens, shingle)
+                same.append(xxhash.xxh3_64_intdigest(b" ".join(tokens)))
+                size.append(len(hashes))
+                sketch.append(parity_sketch(hashes))
+                if len(common):
+                    late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+                    hashes = np.concatenate([hashes[~late], hashes[late]])
+                prefix.append(hashes[: size[-1] - math.ceil(similarity * size[-1] - 1e-9) + 1].view(np.int64))
+            yield pd.DataFrame({"same": np.array(same, dtype=np.uint64).view(np.int64), "size": size, "sketch": sketch, "prefix": prefix})
 
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    both = F.pandas_udf(of, "fp long, same long")(text)
-    return docs.withColumn("sim_both", both).select("*", F.col("sim_both.fp").alias("sim_fp"), F.col("sim_both.same").alias("sim_text")).drop("sim_both")
+    all_ = F.pandas_udf(of, "same long, size long, sketch binary, prefix array<long>")(text)
+    named = [F.col(f"sim_all.{c}").alias(f"sim_{n}") for c, n in (("same", "text"), ("size", "size"), ("sketch", "sketch"), ("prefix", "prefix"))]
+    return docs.withColumn("sim_all", all_).select("*", *named).drop("sim_all")
+
+
+def _sketch_pairs(sizes: np.ndarray, sketches: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs, step by step and nearest first, without those that sizes or sketches show to be below ``similarity``."""
+    order = np.argsort(sizes, kind="stable")
+    size, own = sizes[order], sketches[order]
+    share = (1 - similarity) / (1 + similarity)
+    for at in range(0, len(order), STEP):
+        stop = min(at + STEP, len(order))
+        last = np.searchsorted(size, size[stop - 1] / similarity + 1e-9, "right")
+        differ = np.zeros((stop - at, last - at), dtype=np.int16)
+        for w in range(own.shape[1]):
+            differ += np.bitwise_count(own[at:stop, None, w] ^ own[None, at:last, w])
+        near = differ <= share * (size[at:stop, None] + size[None, at:last]) + 1e-9
+        near &= size[None, at:last] * similarity <= size[at:stop, None] + 1e-9
+        a, b = np.nonzero(np.triu(near, 1))
+        by = np.argsort(differ[a, b], kind="stable")
+        yield order[a[by] + at], order[b[by] + at]
+
+
+def _sketches(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, column)), dtype=np.uint64).reshape(len(column), -1)
+
+
+def _cells(rows: DataFrame, carried: list[str], linked) -> DataFrame:
+    """(value, node, carried) -> a, b: what ``linked`` gives of the rows of each value, large groups in pieces that meet pairwise."""
+    keyed = _pieces(rows.withColumn("block", F.lit(0)), carried)
+    cells = keyed.repartition("value", "p", "q").sortWithinPartitions("value", "p", "q")
+
+    def batched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            keys = rows[["value", "p", "q"]].to_numpy()
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            if len(cuts):
+                yield of(rows.iloc[: cuts[-1]], np.concatenate([[0], cuts]))
+                rest = rows.iloc[cuts[-1] :]
+            else:
+                rest = rows
+        if rest is not None and len(rest):
+            yield of(rest, np.array([0, len(rest)]))
+
+    def of(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+        ids, found = rows["node"].to_numpy(), linked(rows, cuts)
+        a, b = (np.array([f[k] for f in found], dtype=np.int64) for k in (0, 1))
+        return pd.DataFrame({"a": ids[a], "b": ids[b]}).drop_duplicates()
+
+    return cells.mapInPandas(batched, "a long, b long").distinct()
+
+
+def shingle_links(nodes: DataFrame, *, similarity: float) -> DataFrame:
+    """(node, size, sketch, prefix) -> a, b: pairs that may be similar and join all that may be.
+
+    Similar sets share a shingle of their prefixes, so those that share one are
+    compared by size and sketch.  A group of m gives m - 1 pairs at most.
+    """
+    postings = nodes.select("node", F.explode("prefix").alias("value"))
+    shared = postings.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("value")
+    met = materialize(postings.join(shared, "value"), "simhash-postings")
+    met = met.join(nodes.select("node", "size", "sketch"), "node")
+
+    def linked(rows: pd.DataFrame, cuts: np.ndarray) -> list[tuple[int, int]]:
+        sizes, sketches, found = rows["size"].to_numpy(), _sketches(rows["sketch"]), []
+        two = cuts[:-1][np.diff(cuts) == 2]
+        low, high = (f(sizes[two], sizes[two + 1]) for f in (np.minimum, np.maximum))
+        differ = np.bitwise_count(sketches[two] ^ sketches[two + 1]).sum(axis=1, dtype=np.int64)
+        near = (differ <= (1 - similarity) / (1 + similarity) * (low + high) + 1e-9) & (high * similarity <= low + 1e-9)
+        found += [(i, i + 1) for i in two[near].tolist()]
+        for start, stop in zip(cuts[:-1], cuts[1:]):
+            if stop - start > 2:
+                label = np.arange(stop - start)
+                for a, b in _sketch_pairs(sizes[start:stop], sketches[start:stop], similarity):
+                    found += [(start + i, start + j) for i, j in _joining(len(label), a, b, label)]
+        return found
+
+    return _cells(met, ["size", "sketch"], linked)
 
 
 def shingle_similarity(left: bytes, right: bytes, words: int) -> float:
@@ -263,23 +391,25 @@ def shingle_similarity(left: bytes, right: bytes, words: int) -> float:
 
 
 def drop_near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, most: int = 3, shingle: int = 5, similarity: float = 0.8
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """docs with one row of each group of near copies, the one with the smallest id.
 
-    Texts with the same words are copies.  Different texts are linked if their
-    fingerprints are within ``most`` bits and the Jaccard of their sets of
-    ``shingle`` words is ``similarity`` or more; of the pairs of a dense group,
+    Texts with the same words are copies.  Different texts are linked if the
+    Jaccard of their sets of ``shingle`` words is ``similarity`` or more; all
+    such pairs are candidates; of the pairs of a dense group,
     the nearest ones that join it are verified.  Groups are what links reach.
     Null and texts without words are one group; rows with null ids stay only if
     their group has no others; an empty table stays empty.
     """
     names = docs.columns
-    rows = _classes(docs.withColumn("sim_uid", F.monotonically_increasing_id()), text_col, words, seed)
+    rows = _classes(docs.withColumn("sim_uid", F.monotonically_increasing_id()), text_col, shingle, similarity)
     rows = materialize(rows, "simhash-docs")
-    nodes = rows.groupBy("sim_text").agg(F.min("sim_fp").alias("fp"), F.min("sim_uid").alias("uid"))
+    first = rows.groupBy("sim_text").agg(F.min("sim_uid").alias("uid"))
+    nodes = rows.select(F.col("sim_uid").alias("uid"), "sim_size", "sim_sketch", "sim_prefix").join(first, "uid")
+    nodes = nodes.select("uid", "sim_text", F.col("sim_text").alias("node"), F.col("sim_size").alias("size"), F.col("sim_sketch").alias("sketch"), F.col("sim_prefix").alias("prefix"))
     nodes = materialize(nodes, "simhash-nodes")
-    pairs = materialize(links(nodes.select(F.col("sim_text").alias("node"), "fp"), most=most), "simhash-pairs")
+    pairs = materialize(shingle_links(nodes, similarity=similarity), "simhash-pairs")
     ends = pairs.select(F.col("a").alias("sim_text")).unionByName(pairs.select(F.col("b").alias("sim_text"))).distinct()
     first = nodes.join(ends, "sim_text").select("uid", "sim_text")
     few = F.broadcast if first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)

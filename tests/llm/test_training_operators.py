@@ -449,6 +449,46 @@ def test_drop_near_duplicates(spark, odd):
     assert simhash.drop_near_duplicates(odd.limit(0)).count() == 0
 
 
+def copies_by_hand(rows, least=0.8):
+    """Ids that stay: the smallest of each group that five-word Jaccard links, all pairs compared."""
+    sets = []
+    for _, text in rows:
+        w = lower(text).split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if group[a] != group[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = group[a], group[b]
+                group = [y if g == x else g for g in group]
+    return sorted(min(rows[k][0] for k in range(len(rows)) if group[k] == g) for g in set(group))
+
+
+def edited_copies(rng, words_, n, most):
+    """n copies of a text, each with 1 to most of its words replaced."""
+    out = []
+    for _ in range(n):
+        copy = list(words_)
+        for k in rng.choice(len(copy), rng.integers(1, most + 1), replace=False):
+            copy[k] = f"e{rng.integers(10**9)}"
+        out.append(copy)
+    return out
+
+
+def test_drop_near_duplicates_at_every_similarity(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for n in (30, 100, 300):
+        for _ in range(40):
+            text = [f"w{i}" for i in rng.integers(5000, size=n)]
+            rows += [text, *edited_copies(rng, text, 1, max(2, n // 40))]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    kept = simhash.drop_near_duplicates(frame(spark, [(i, t, "en", "a", 1) for i, t in rows]))
+    expected = copies_by_hand(rows)
+    assert 120 <= len(expected) < 200
+    assert sorted(r[0] for r in kept.select("doc_id").collect()) == expected
+
+
 # 10
 
 
