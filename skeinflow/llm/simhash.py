@@ -381,13 +381,40 @@ def shingle_links(nodes: DataFrame, *, similarity: float) -> DataFrame:
     return _cells(met, ["size", "sketch"], linked)
 
 
-def shingle_similarity(left: bytes, right: bytes, words: int) -> float:
-    """Jaccard of both texts' sets of word shingles (fewer words: all of them)."""
-    sets = []
-    for text in (left, right):
-        tokens = text.lower().split()
-        sets.append({tuple(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))})
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+def verified_links(pairs: DataFrame, nodes: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
+    """Candidate pairs and nodes (node, size, sketch, t) -> a, b: pairs of at least ``similarity`` that join what all such pairs join.
+
+    Whatever candidates chain together is compared in one place: there a pair
+    is skipped only if pairs that hold have joined it already, so one that
+    fails takes no other with it.
+    """
+    linked = components(pairs, "simhash-candidates")
+    blocks = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "value")
+
+    def joined(rows: pd.DataFrame, cuts: np.ndarray) -> list[tuple[int, int]]:
+        sizes, sketches, found = rows["size"].to_numpy(), _sketches(rows["sketch"]), []
+        for start, stop in zip(cuts[:-1], cuts[1:]):
+            sets = [shingle_hashes(bytes(t).lower().split(), shingle) for t in rows["t"].iloc[start:stop]]
+            label = np.arange(len(sets))
+            for a, b in _sketch_pairs(sizes[start:stop], sketches[start:stop], similarity):
+                open_ = label[a] != label[b]
+                for i, j in zip(a[open_].tolist(), b[open_].tolist()):
+                    x, y = label[i], label[j]
+                    while label[x] != x:
+                        x = label[x]
+                    while label[y] != y:
+                        y = label[y]
+                    if x == y:
+                        continue
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if both / (len(sets[i]) + len(sets[j]) - both) >= similarity:
+                        label[max(x, y)] = min(x, y)
+                        found.append((start + i, start + j))
+                while (label[label] != label).any():
+                    label[:] = label[label]
+        return found
+
+    return _cells(blocks.join(nodes, "node"), ["size", "sketch", "t"], joined)
 
 
 def drop_near_duplicates(
@@ -397,8 +424,8 @@ def drop_near_duplicates(
 
     Texts with the same words are copies.  Different texts are linked if the
     Jaccard of their sets of ``shingle`` words is ``similarity`` or more; all
-    such pairs are candidates; of the pairs of a dense group,
-    the nearest ones that join it are verified.  Groups are what links reach.
+    such pairs are candidates, and none is passed over but those whose ends
+    verified pairs join already.  Groups are what links reach.
     Null and texts without words are one group; rows with null ids stay only if
     their group has no others; an empty table stays empty.
     """
@@ -411,17 +438,11 @@ def drop_near_duplicates(
     nodes = materialize(nodes, "simhash-nodes")
     pairs = materialize(shingle_links(nodes, similarity=similarity), "simhash-pairs")
     ends = pairs.select(F.col("a").alias("sim_text")).unionByName(pairs.select(F.col("b").alias("sim_text"))).distinct()
-    first = nodes.join(ends, "sim_text").select("uid", "sim_text")
+    first = nodes.join(ends, "sim_text").select("uid", "node", "size", "sketch")
     few = F.broadcast if first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
-    texts = rows.select(F.col("sim_uid").alias("uid"), F.col(text_col).cast("binary").alias("t")).join(few(first), "uid").select("sim_text", F.coalesce("t", F.lit(b"")).alias("t"))
+    texts = rows.select(F.col("sim_uid").alias("uid"), F.col(text_col).cast("binary").alias("t")).join(few(first), "uid").select("node", "size", "sketch", F.coalesce("t", F.lit(b"")).alias("t"))
     texts = materialize(texts, "simhash-texts")
-
-    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([shingle_similarity(bytes(a), bytes(b), shingle) for a, b in zip(left, right)], dtype="float64")
-
-    near = pairs.join(texts.withColumnRenamed("sim_text", "a").withColumnRenamed("t", "left"), "a")
-    near = near.join(texts.withColumnRenamed("sim_text", "b").withColumnRenamed("t", "right"), "b")
-    near = near.where(F.pandas_udf(similar, "double")("left", "right") >= similarity).select("a", "b")
+    near = materialize(verified_links(pairs, texts, shingle=shingle, similarity=similarity), "simhash-near")
     linked = components(near, "simhash-links")
     narrow = rows.select("sim_uid", "sim_text", F.col(id_col).alias("id"))
     grouped = narrow.join(linked, F.col("sim_text") == F.col("node"), "left").select("sim_uid", "id", F.coalesce("root", "sim_text").alias("root"))

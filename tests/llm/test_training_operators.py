@@ -489,6 +489,34 @@ def test_drop_near_duplicates_at_every_similarity(spark):
     assert sorted(r[0] for r in kept.select("doc_id").collect()) == expected
 
 
+def test_drop_near_duplicates_of_copies_edited_apart(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(3):
+        text = [f"w{k}x{i}" for i in rng.integers(5000, size=200)]
+        rows += [*edited_copies(rng, text, 150, 3), text]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    expected = copies_by_hand(rows)
+    table = frame(spark, [(i, t, "en", "a", 1) for i, t in rows])
+    assert sorted(r[0] for r in simhash.drop_near_duplicates(table).select("doc_id").collect()) == expected
+    monkeypatch.setattr(simhash, "PIECE", 20)
+    assert sorted(r[0] for r in simhash.drop_near_duplicates(table).select("doc_id").collect()) == expected
+
+
+def test_verified_links_past_a_candidate_that_fails(spark):
+    original = [f"w{i}" for i in range(200)]
+    left, right = ([f"{side}{i}" if i in places else w for i, w in enumerate(original)] for side, places in (("l", (20, 60, 100)), ("r", (40, 80, 120))))
+    texts = [" ".join(w).encode() for w in (left, right, original)]
+    sets = [simhash.shingle_hashes(t.split(), 5) for t in texts]
+    jaccard = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+    assert jaccard(0, 1) < 0.8 <= min(jaccard(0, 2), jaccard(1, 2))
+    rows = [(i, len(s), simhash.parity_sketch(s), t) for i, (s, t) in enumerate(zip(sets, texts))]
+    nodes = spark.createDataFrame([(i, n, bytearray(k), bytearray(t)) for i, n, k, t in rows], "node long, size long, sketch binary, t binary")
+    spanning = spark.createDataFrame([(0, 1), (1, 2)], "a long, b long")  # verified alone, 0 is lost
+    found = {frozenset(r) for r in simhash.verified_links(spanning, nodes, shingle=5, similarity=0.8).collect()}
+    assert found == {frozenset((0, 2)), frozenset((1, 2))}
+
+
 # 10
 
 
