@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Fixed masks over consecutive words: those at a 1 are hashed, those at a 0 may differ.
+#: Masks of the SQL below, which finds less than ``leaks``: it misses most substitutions near a passage's ends.
 MASKS = ("1101001011011", "1011100100111", "1110010101011")
 SPAN = len(MASKS[0])
 #: Words of a text that are laid out at once.
 BLOCK = 65_536
 #: Test keys, and places to verify, up to this many rows are broadcast; beyond, both sides are dealt out by key.
 BROADCAST_ROWS = 1_000_000
+#: Up to this many patterns, a width's substitutions are all listed; beyond, blocks stand for them.
+PATTERNS = 16
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -22,8 +27,22 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
 
 
-def _seeds(df: DataFrame, id_col: str, words: str, at: str, short: list[int], *, whole: bool) -> DataFrame:
-    """(id, key, at): the masks' seeds at every word, and runs of the lengths ``short``.
+def masks(width: int, misses: int) -> set[str]:
+    """Masks, from a 1 to a 1, of which one fits anywhere in each pattern of ``width`` places with up to ``misses`` others.
+
+    Those at a 1 are hashed, those at a 0 may differ.  Of misses + 2 blocks two
+    have no miss; pairs of blocks equally far apart have one mask.
+    """
+    block = width // (misses + 2)
+    if block < 2 and math.comb(width, misses) <= PATTERNS:
+        return {"".join("0" if i in off else "1" for i in range(width)).strip("0") for off in combinations(range(width), misses)}
+    if not block:
+        return {"1"}
+    return {"1" * block + "0" * (block * d) + "1" * block for d in range(misses + 1)}
+
+
+def _seeds(df: DataFrame, id_col: str, words: str, at: str, long: list[str], short: list[int], *, whole: bool) -> DataFrame:
+    """(id, key, at): the seeds of the masks ``long`` at every word, and runs of the lengths ``short``.
 
     whole: a run only counts if it is all there is.  Words come in blocks, so
     that a long text is never laid out at once; in a block, the array and its
@@ -36,7 +55,8 @@ def _seeds(df: DataFrame, id_col: str, words: str, at: str, short: list[int], *,
     zipped = F.arrays_zip(*[x.alias(f"w{o}") for o, x in enumerate(shifts)]).cast("array<struct<" + ",".join(f"w{o}:bigint" for o in range(SPAN)) + ">>")
     rows = rows.select(id_col, "n", "b", F.posexplode_outer(zipped).alias("p", "z")).where(F.col("p") < BLOCK)
     word = [F.col(f"z.w{o}") for o in range(SPAN)]
-    keys = [F.when(word[-1].isNotNull(), F.xxhash64(F.lit(mask), *[word[o] for o, c in enumerate(mask) if c == "1"])) for mask in MASKS]
+    own = F.col("n") >= SPAN if whole else F.lit(True)
+    keys = [F.when(own & word[len(mask) - 1].isNotNull(), F.xxhash64(F.lit(mask), *[word[o] for o, c in enumerate(mask) if c == "1"])) for mask in long]
     for k in short:
         fits = (F.col("n") == k) & (F.col("b") + F.col("p") == 0) if whole else word[k - 1].isNotNull()
         keys.append(F.when(fits, F.xxhash64(F.lit(str(k)), *word[:k])))
@@ -74,8 +94,9 @@ def leaks(
     lengths = [r["n"] for r in items.select(F.size("item").alias("n")).where(F.col("n") < SPAN).distinct().collect()]  # SPAN at most
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     split = texts.select("doc_id", word_hashes(F.col("text")).alias("words"))
-    tests = _seeds(items, "item_id", "item", "j", sorted(lengths), whole=True)
-    seeds = _seeds(split, "doc_id", "words", "i", sorted(lengths), whole=False)
+    long = sorted(masks(window, window - math.ceil(identity * window)))
+    tests = _seeds(items, "item_id", "item", "j", long, sorted(lengths), whole=True)
+    seeds = _seeds(split, "doc_id", "words", "i", long, sorted(lengths), whole=False)
     tests = materialize(tests.distinct(), "leaks-tests")
     if tests.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         tests = F.broadcast(tests)

@@ -4,6 +4,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -387,6 +388,52 @@ def test_decontamination_across_blocks(spark, monkeypatch):
     assert decontamination.leaks(table, bench).count() == bench.count()
 
 
+def leaks_by_hand(docs_, items, window=13, identity=0.8):
+    """All places of all items, without seeds."""
+    found = {}
+    for d, text in docs_.items():
+        for i, item in items.items():
+            width, n = min(window, len(item)), len(item)
+            for shift in range(1 - n, len(text)):
+                agree = [0 <= shift + k < len(text) and text[shift + k] == item[k] for k in range(n)]
+                best = max(sum(agree[k : k + width]) for k in range(n - width + 1))
+                if best >= math.ceil(identity * width):
+                    old = found.get((d, i), (n, 0, 0))
+                    found[d, i] = (n, max(old[1], sum(agree)), max(old[2], best))
+    return found
+
+
+def leaks_found(spark, docs_, items):
+    table = frame(spark, [(i, " ".join(w), "en", "a", 1) for i, w in docs_.items()])
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): (r["item_words"], r["matched"], r["best_window"]) for r in decontamination.leaks(table, bench).collect()}
+
+
+def substituted(item, *places):
+    return [f"s{k}" if k in places else w for k, w in enumerate(item)]
+
+
+def test_masks_cover_all_patterns():
+    for width in range(5, 14):
+        misses = width - math.ceil(0.8 * width)
+        for off in combinations(range(width), misses):
+            free = [k not in off for k in range(width)]
+            assert any(all(free[at + k] for k, c in enumerate(m) if c == "1") for m in decontamination.masks(width, misses) for at in range(width - len(m) + 1))
+
+
+def test_decontamination_of_any_substitutions(spark):
+    around = lambda words_: [f"a{k}" for k in range(4)] + words_ + [f"b{k}" for k in range(4)]
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in (13, 14, 16)} | {30: [f"i30x{k}" for k in range(30)]}
+    docs_ = {}
+    for n in (13, 14, 16):
+        for off in [*combinations(range(n), 1), *combinations(range(n), 2), *[c for c in combinations(range(n), 3) if n == 16]]:
+            docs_[len(docs_)] = around(substituted(items[n], *off))
+    docs_ |= {len(docs_) + k: around(items[30][k : k + size]) for size in (10, 11, 12) for k in range(0, 18)}
+    expected = leaks_by_hand(docs_, items)
+    assert len(expected) > 200
+    assert leaks_found(spark, docs_, items) == expected
+
+
 # 9
 
 
