@@ -41,27 +41,27 @@ def masks(width: int, misses: int) -> set[str]:
     return {"1" * block + "0" * (block * d) + "1" * block for d in range(misses + 1)}
 
 
-def _seeds(df: DataFrame, id_col: str, words: str, at: str, long: list[str], short: list[int], *, whole: bool) -> DataFrame:
-    """(id, key, at): the seeds of the masks ``long`` at every word, and runs of the lengths ``short``.
+def _seeds(df: DataFrame, id_col: str, words: str, at: str, uses: dict[str, set[int]], window: int | None = None) -> DataFrame:
+    """(id, key, at): the masks' seeds at every word; with ``window``, of texts whose windows' widths use the mask.
 
-    whole: a run only counts if it is all there is.  Words come in blocks, so
-    that a long text is never laid out at once; in a block, the array and its
-    shifts are zipped to rows of SPAN words, of which compiled code takes seeds.
+    Words come in blocks, so that a long text is never laid out at once; in a
+    block, the array and its shifts are zipped to rows, of which compiled code
+    takes seeds.
     """
+    span = max(map(len, uses), default=1)
     n = F.size(words)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.slice(F.col(words), b * BLOCK + 1, BLOCK + SPAN - 1))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.slice(F.col(words), b * BLOCK + 1, BLOCK + span - 1))
     rows = df.where(n > 0).select(id_col, n.alias("n"), F.posexplode_outer(F.when(n <= BLOCK, F.array(words)).otherwise(blocks)).alias("b", "w"))
-    shifts = [F.col("w") if o == 0 else F.slice("w", o + 1, BLOCK + SPAN) for o in range(SPAN)]
-    zipped = F.arrays_zip(*[x.alias(f"w{o}") for o, x in enumerate(shifts)]).cast("array<struct<" + ",".join(f"w{o}:bigint" for o in range(SPAN)) + ">>")
+    shifts = [F.col("w") if o == 0 else F.slice("w", o + 1, BLOCK + span) for o in range(span)]
+    zipped = F.arrays_zip(*[x.alias(f"w{o}") for o, x in enumerate(shifts)]).cast("array<struct<" + ",".join(f"w{o}:bigint" for o in range(span)) + ">>")
     rows = rows.select(id_col, "n", "b", F.posexplode_outer(zipped).alias("p", "z")).where(F.col("p") < BLOCK)
-    word = [F.col(f"z.w{o}") for o in range(SPAN)]
-    own = F.col("n") >= SPAN if whole else F.lit(True)
-    keys = [F.when(own & word[len(mask) - 1].isNotNull(), F.xxhash64(F.lit(mask), *[word[o] for o, c in enumerate(mask) if c == "1"])) for mask in long]
-    for k in short:
-        fits = (F.col("n") == k) & (F.col("b") + F.col("p") == 0) if whole else word[k - 1].isNotNull()
-        keys.append(F.when(fits, F.xxhash64(F.lit(str(k)), *word[:k])))
+    word = [F.col(f"z.w{o}") for o in range(span)]
+    keys = []
+    for mask, widths in sorted(uses.items()):
+        own = F.least("n", F.lit(window)).isin(sorted(widths)) if window else F.lit(True)
+        keys.append(F.when(own & word[len(mask) - 1].isNotNull(), F.xxhash64(F.lit(mask), *[word[o] for o, c in enumerate(mask) if c == "1"])))
     place = (F.col("b") * BLOCK + F.col("p")).alias(at)
-    return rows.select(id_col, place, F.explode_outer(F.array(*keys)).alias("key")).where("key is not null").select(id_col, "key", at)
+    return rows.select(id_col, place, F.explode_outer(F.array(*keys) if keys else F.lit(None).cast("array<long>")).alias("key")).where("key is not null").select(id_col, "key", at)
 
 
 def leaks(
@@ -86,17 +86,20 @@ def leaks(
     and a part of an item is enough.  ``matched`` and ``best_window`` count the
     agreeing words, of the whole item and of its best window, at the best place.
 
-    Items shorter than a mask are found by their whole; those of fewer than
+    Shorter items have masks of their own widths; those of fewer than
     ``min_words`` words, null or empty ones take no part.  Null and empty texts
     hold nothing.  Repeated rows and ids give one row for an id and an item.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text_col)).alias("item")).where(F.size("item") >= min_words)
-    lengths = [r["n"] for r in items.select(F.size("item").alias("n")).where(F.col("n") < SPAN).distinct().collect()]  # SPAN at most
+    widths = [r["n"] for r in items.select(F.least(F.size("item"), F.lit(window)).alias("n")).distinct().collect()]  # window at most
+    uses: dict[str, set[int]] = {}
+    for width in widths:
+        for mask in masks(width, width - math.ceil(identity * width)):
+            uses.setdefault(mask, set()).add(width)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     split = texts.select("doc_id", word_hashes(F.col("text")).alias("words"))
-    long = sorted(masks(window, window - math.ceil(identity * window)))
-    tests = _seeds(items, "item_id", "item", "j", long, sorted(lengths), whole=True)
-    seeds = _seeds(split, "doc_id", "words", "i", long, sorted(lengths), whole=False)
+    tests = _seeds(items, "item_id", "item", "j", uses, window)
+    seeds = _seeds(split, "doc_id", "words", "i", uses)
     tests = materialize(tests.distinct(), "leaks-tests")
     if tests.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         tests = F.broadcast(tests)

@@ -434,6 +434,23 @@ def test_decontamination_of_any_substitutions(spark):
     assert leaks_found(spark, docs_, items) == expected
 
 
+def test_decontamination_of_short_items_and_texts(spark):
+    around = lambda words_: [f"a{k}" for k in range(3)] + words_ + [f"b{k}" for k in range(3)]
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in (5, 6, 7, 8, 9, 10, 11, 12, 40)}
+    docs_ = {}
+    for n in range(5, 13):
+        for off in [*combinations(range(n), 1), *combinations(range(n), 2)]:
+            docs_[len(docs_)] = around(substituted(items[n], *off))
+        docs_[len(docs_)] = items[n][1:]
+    for size in (10, 11, 12):
+        docs_[len(docs_)] = items[40][7 : 7 + size]
+        docs_[len(docs_)] = items[40][:size]
+        docs_[len(docs_)] = items[40][-size:]
+    expected = leaks_by_hand(docs_, items)
+    assert len(expected) > 200
+    assert leaks_found(spark, docs_, items) == expected
+
+
 # 9
 
 
