@@ -8,31 +8,30 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-
-#: Buckets in which words are counted (the table of them is all that tasks hold), and bits of a word's hash in its code.
-BUCKETS, BITS = 1 << 20, 53
-#: Words at either end of a line whose equality is tried first.
-EDGE = 6
-#: Lists of lines up to this length are broadcast; longer ones are joined by shuffle.
+from .common import drop_table, free_name, materialize
+
+#: Bits of a word's hash that choose its bucket in the table of rarity (all that tasks hold), and that stand in its code.
+BUCKET_BITS, BITS = 16, 53
+#: Words of the pieces at either end of a line whose equality is tried first; lines of more than WIDE words have a second sketch.
+EDGE, WIDE = 6, 40
+#: Sixteenths of the words, by number, that are joined one after the other, so that only one part's postings are on disk.
+#: What the first EARLY parts bring together is verified before the others are joined.
+SLICES, EARLY = ((0, 0), (1, 2), (3, 8), (9, 15)), 2
+#: Lists of lines up to this length are broadcast; longer ones are joined by shuffle.  A row has four numbers at most.
 BROADCAST_ROWS = 1_000_000
 
 
-def _words(line: Column) -> Column:
-    """Runs of anything but ASCII white space, lower-cased; a plain split where single blanks are the only white space."""
-    other = [line.contains(c) for c in "\t\n\x0b\x0c\r"]
-    plain = F.when(functools.reduce(operator.or_, other), F.regexp_replace(line, r"[\x09-\x0D]", " ")).otherwise(line)
-    parts = F.split(F.lower(plain), " ", -1)
-    ragged = plain.contains("  ") | plain.startswith(" ") | plain.endswith(" ")
-    return F.when(ragged, F.array_remove(parts, "")).otherwise(parts)
-
+def _plain(text: Column) -> Column:
+    """Lower case, with blanks for all ASCII white space but line feeds."""
+    other = [text.contains(c) for c in "\t\x0b\x0c\r"]
+    return F.lower(F.when(functools.reduce(operator.or_, other), F.regexp_replace(text, r"[\x09\x0B-\x0D]", " ")).otherwise(text))
 
-def _hashes(words: Column) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(w))
 
-
-def _bucket(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 44).cast("int")
+def _words(line: Column) -> Column:
+    """Words of a line that ``_plain`` gave."""
+    parts = F.split(line, " ", -1)
+    ragged = line.contains("  ") | line.startswith(" ") | line.endswith(" ") | (line == "")
+    return F.when(ragged, F.array_remove(parts, "")).otherwise(parts)
 
 
 def _order(doc: Column, line: Column, packed: bool) -> Column:
@@ -42,30 +41,39 @@ def _order(doc: Column, line: Column, packed: bool) -> Column:
     return F.coalesce(doc.cast("decimal(20,0)"), F.lit(-(1 << 63) - 1).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(11,0)") + line
 
 
-def _rarity(text: DataFrame) -> Column:
-    """A byte for each bucket, sixths of log2 of its frequency: small ones are rare words.
+def _rarity(words: DataFrame) -> Column:
+    """An array of a level for each bucket of words, sixths of log2 of its lines: small ones are rare words.
 
-    The table has BUCKETS bytes at any size of the corpus and goes to the tasks
-    as a literal.  Any table gives an exact join, so words count as often as
-    they stand there.
+    It has 2 ** BUCKET_BITS numbers at any size of the corpus and goes to the
+    tasks as a literal.  Any table gives an exact join, so words count as often
+    as they stand there.
     """
-    words = text.select(F.explode(_words(F.col("text"))).alias("w")).select(F.xxhash64("w").alias("h"))
-    counts = words.groupBy(_bucket(F.col("h")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    every = text.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
-    level = F.least(F.floor(6 * F.log2(F.col("n") + 1)), F.lit(126)) + 1
-    full = counts.unionByName(every).groupBy("b").agg(F.max("n").alias("n")).select("b", F.char(level).alias("level"))
-    table = full.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "level"))), lambda x: x["level"]), "").alias("levels"))
-    return F.lit(table.first()[0].encode("ascii"))
+    buckets = words.select(F.explode("h").alias("h")).select(F.shiftrightunsigned("h", 64 - BUCKET_BITS).cast("int").alias("b"))
+    counts = buckets.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    levels = ["0"] * (1 << BUCKET_BITS)
+    for b, value in counts.select("b", F.least(F.floor(6 * F.log2(F.col("n") + 1)), F.lit(300))).collect():  # 2 ** BUCKET_BITS rows at most
+        levels[b] = str(value)
+    return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>")
 
 
-def _level(levels: Column, h: Column) -> Column:
-    return F.ascii(F.substring(levels, _bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
+def _codes(hashes: Column, levels: Column) -> Column:
+    """Words as numbers in order of rarity: level, then hash."""
 
+    def code(h: Column) -> Column:
+        level = F.coalesce(F.get(levels, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")), F.lit(0).cast("long"))
+        return F.shiftleft(level, BITS).bitwiseOR(h.bitwiseAND((1 << BITS) - 1))
 
-def _codes(words: Column, levels: Column) -> Column:
-    """The different words as numbers in order of rarity: level, then hash."""
-    code = lambda h: F.shiftleft(_level(levels, h), BITS).bitwiseOR(h.bitwiseAND((1 << BITS) - 1))
-    return F.sort_array(F.array_distinct(F.transform(_hashes(words), code)))
+    return F.sort_array(F.transform(hashes, code))
+
+
+def _parity(hashes: Column, of: Column | None = None) -> Column:
+    """64 bits, each the parity of the words that fall on it: sketches differ in no more bits than sets do in words."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def bit(h: Column) -> Column:
+        return F.call_function("shiftleft", one if of is None else F.shiftright(h, 6).bitwiseAND(1), h.bitwiseAND(63).cast("int"))
+
+    return F.aggregate(hashes, zero, lambda s, h: s.bitwiseXOR(bit(h)))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -73,20 +81,62 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, levels: Column, similarity: float) -> DataFrame:
-    """(later, earlier) -> (later, class) of the pairs whose Jaccard is high enough.
+class _Sizes:
+    """What the sizes of two sets and their sketches say of the pair."""
 
-    Lines are split again rather than kept as sets, which are larger than text.
-    """
-    pairs = materialize(pairs, "lines-pairs")
+    def __init__(self, a: Column, b: Column, similarity: float):
+        self.a, self.b = a, b
+        self.need = F.ceil(similarity / (1 + similarity) * (a + b) - 1e-9)
+        self.fit = F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
+
+    def apart(self, bits: tuple[Column, Column], wide: tuple[Column, Column]) -> Column:
+        """A lower bound of the words that are in one set only: two sketches of half the words each tell more than one of all."""
+        all_, half = bits[0].bitwiseXOR(bits[1]), wide[0].bitwiseXOR(wide[1])
+        both = (self.a > WIDE) & (self.b > WIDE)
+        return F.when(both, F.bit_count(half) + F.bit_count(all_.bitwiseXOR(half))).otherwise(F.bit_count(all_))
+
+    def near(self, apart: Column) -> Column:
+        return apart <= self.a + self.b - 2 * self.need
+
+
+def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """(later, earlier), a written table -> (later, class) of the pairs whose Jaccard is high enough."""
     ids = materialize(pairs.select(F.col("later").alias("id")).unionByName(pairs.select(F.col("earlier").alias("id"))).distinct(), "lines-ids")
-    sets = lines.join(_few(ids), F.col("at") == F.col("id"), "left_semi").select(F.col("at").alias("id"), _codes(_words(F.col("line")), levels).alias("codes"))
+    sets = words.join(_few(ids), F.col("at") == F.col("id"), "left_semi").select("at", "class", "h")
     sets = materialize(sets, "lines-sets")
-    both = pairs.join(sets.select(F.col("id").alias("later"), F.col("codes").alias("x")), "later").join(sets.select(F.col("id").alias("earlier"), F.col("codes").alias("y")), "earlier")
+    both = pairs.join(sets.select(F.col("at").alias("later"), "class", F.col("h").alias("x")), "later").join(sets.select(F.col("at").alias("earlier"), F.col("h").alias("y")), "earlier")
     # array functions are costly: only one of them, and only once for a pair
     union = F.size(F.array_union("x", "y"))
     alike = F.size("x") + F.size("y") >= (1 + similarity) * union - 1e-9
-    return both.where(alike).select("later", F.xxhash64("x").alias("class")).distinct()
+    found = materialize(both.where(alike).select("later", "class").distinct(), "lines-found")
+    drop_table(ids, sets)
+    return found
+
+
+def _met(firsts: DataFrame, part: tuple[int, int], similarity: float) -> DataFrame:
+    """firsts: (at, asks, n, bits, wide, heads) -> later, earlier, apart: lines that ask with earlier ones that may be similar.
+
+    Two sets share no more words than stand in either from the first shared one
+    on, so of a similar pair some shared head leaves room for what it needs.
+    """
+    zero = F.lit(0).cast("long")
+    # asks stands in n's sign
+    signed = F.when(F.col("asks"), F.col("n")).otherwise(-F.col("n")).cast("long")
+    posts = firsts.select("at", signed.alias("n"), "bits", "wide", F.posexplode("heads").alias("pos", "word"))
+    own = posts.where(F.pmod("word", F.lit(16)).between(*part))
+    own = own.select(*[F.coalesce(c, zero if c not in ("word", "pos") else F.lit(0)).alias(c) for c in ("word", "at", "n", "pos", "bits", "wide")])
+    # both sides are the same rows in the same columns, and no condition is on one side only, so that they are dealt out once
+    a, b = own.alias("a"), own.alias("b")
+    sizes = _Sizes(F.abs("a.n"), F.abs("b.n"), similarity)
+    apart = sizes.apart((F.col("a.bits"), F.col("b.bits")), (F.col("a.wide"), F.col("b.wide")))
+    asks = F.col("a.n") + F.abs("b.n") > F.abs("b.n")
+    room = F.least(F.abs("a.n") - F.col("a.pos"), F.abs("b.n") - F.col("b.pos")) >= sizes.need
+    met = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("b.at") < F.col("a.at")) & asks & room & sizes.fit & sizes.near(apart))
+    return materialize(met.select(F.col("a.at").alias("later"), F.col("b.at").alias("earlier"), apart.alias("apart")), "lines-met")
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    return materialize(pairs.groupBy("later").agg(F.min_by("earlier", "apart").alias("earlier")), "lines-nearest")
 
 
 def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
@@ -99,11 +149,14 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     Lines of one set are one class, known by its first line.  Words are ordered
     by rarity; two similar sets share one of their first n - ceil(similarity n)
-    + 1 words, which joins them; length, position of the shared word and a
-    bitmap of the words bound what the sets can have in common; what is left is
-    verified.  Classes that a class with the same words at the begin or end
-    already removes are no longer queries of that join, so large groups of near
-    copies don't meet pairwise.  The result is exact (sets by 64-bit hashes).
+    + 1 words, which joins them.  Length, the position of the shared word and
+    parity sketches of all words bound what the sets can have in common.
+    What is left is verified: for each class first the pair whose sketches are
+    nearest, then all other pairs of the classes that this doesn't settle.
+    Classes that a class with the same words near the begin or end, or one
+    that a part of the words brings them together with, already removes are no
+    longer queries of the rest of that join, so large groups of near copies
+    don't meet pairwise.  The result is exact (words and sets by 64-bit hashes).
 
     Lines without words stay.  A null text has no lines, an empty one has one.
     Rows of a null id come first and are one document; so are repeated ids,
@@ -111,71 +164,98 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     go together.  An empty table gives none.
     """
     text = F.col(text_col)
-    split = docs.select(F.col(id_col).alias("doc_id"), F.when(text.isNotNull(), F.split(text, "\n", -1)).alias("lines"))
-    reach = split.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.size("lines"))).first()
-    packed = reach[0] is None or (reach[0] >= 0 and reach[1] < 1 << 42 and (reach[2] or 0) < 1 << 20)
-    rows = split.select("doc_id", F.posexplode_outer("lines").alias("line_no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    rows = rows.select("doc_id", "line_no", _order(F.col("doc_id"), F.col("line_no"), packed).alias("at"), "line")
-    lines = rows.select("at", "line")
-    levels = _rarity(docs.where(text.isNotNull()).select(F.replace(text, F.lit("\n"), F.lit(" ")).alias("text")))
-
-    # one pass over the words leaves what the join needs
-    n = F.size("codes")
-    edge = lambda name, begin: F.when(F.size("words") > EDGE, F.xxhash64(F.lit(name), F.slice("words", begin, EDGE)))
-    bits = F.aggregate("codes", F.lit(0).cast("long"), lambda s, c: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(63).cast("int"))))
-    heads = F.slice("codes", 1, (n - F.ceil(F.lit(similarity) * n - 1e-9) + 1).cast("int"))
-    worded = rows.select("doc_id", "line_no", "at", _words(F.col("line")).alias("words"))
-    coded = worded.select("doc_id", "line_no", "at", edge("begin", 1).alias("begin"), edge("end", -EDGE).alias("end"), _codes(F.col("words"), levels).alias("codes"))
-    head = F.transform(heads, lambda c: c.bitwiseAND(0x7FFFFFFF).cast("int"))
-    sets = coded.select("doc_id", "line_no", "at", "begin", "end", F.xxhash64("codes").alias("class"), n.alias("n"), bits.alias("bits"), head.alias("heads"))
-    sets = materialize(sets, "lines-coded")
-    firsts = materialize(sets.groupBy("class").agg(F.min("at").alias("first")), "lines-firsts")
-    chosen = _few(firsts.select(F.col("first").alias("at"), "class"))
-
-    keyed = sets.select("at", "class", F.explode(F.array("begin", "end")).alias("key")).where("key is not null").join(chosen, ["at", "class"], "left_semi")
-    keyed = materialize(keyed, "lines-edges")
-    leads = _few(materialize(keyed.groupBy("key").agg(F.min("at").alias("earlier"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "earlier"), "lines-leads"))
-    tried = keyed.join(leads, "key").where("at > earlier").select(F.col("at").alias("later"), "earlier").distinct()
-    gone = materialize(_verified(tried, lines, levels, similarity), "lines-gone")
-
-    left = firsts.join(_few(gone.withColumnRenamed("class", "gone")), (F.col("first") == F.col("later")) & (F.col("class") == F.col("gone")), "left")
-    left = left.select(F.col("first").alias("at"), "class", F.when(F.col("gone").isNull(), 1).otherwise(0).alias("asks"))
-    left = _few(materialize(left, "lines-asks"))
-    picked = sets.select("at", "class", "n", "bits", "heads").join(left, ["at", "class"])
-    posts = picked.select("at", "asks", F.col("n").cast("long").alias("n"), "bits", F.posexplode_outer("heads").alias("pos", "word"))
-    zero = F.lit(0).cast("long")
-    n_pos = F.shiftleft("n", 32) + F.col("pos")
-    posts = posts.where("word is not null").select(F.coalesce("word", F.lit(0)).alias("word"), F.coalesce("at", zero).alias("at"), F.coalesce("asks", F.lit(0)).alias("asks"), F.coalesce(n_pos, zero).alias("n_pos"), F.coalesce("bits", zero).alias("bits"))
-    # both sides are the same rows in the same columns, and no condition is on one side only, so that they are dealt out once
-    a, b = posts.alias("a"), posts.alias("b")
-    len_ = lambda s: F.shiftright(f"{s}.n_pos", 32)
-    pos = lambda s: F.col(f"{s}.n_pos").bitwiseAND((1 << 32) - 1)
-    need = F.ceil(similarity / (1 + similarity) * (len_("a") + len_("b")) - 1e-9)
-    met = (
-        (F.col("a.word") == F.col("b.word"))
-        & ((F.col("b.at") < F.col("a.at")) & (2 * F.col("a.asks") + F.col("b.asks") >= 2))
-        & (F.least(len_("a"), len_("b")) >= F.lit(similarity) * F.greatest(len_("a"), len_("b")) - 1e-9)
-        & (F.least(len_("a") - pos("a"), len_("b") - pos("b")) >= need)
-        & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= len_("a") + len_("b") - 2 * need)
-    )
-    pairs = a.join(b, met).select(F.col("a.at").alias("later"), F.col("b.at").alias("earlier")).distinct()
-    also = materialize(_verified(pairs, lines, levels, similarity), "lines-also")
-
-    hits = gone.unionByName(also).distinct().select("later", F.col("class").alias("of"), F.lit(True).alias("hit"))
-    flagged = firsts.join(hits, (F.col("first") == F.col("later")) & (F.col("class") == F.col("of")), "left").select("class", "first", "hit")
-    flagged = _few(materialize(flagged, "lines-flagged"))
-    placed = sets.select("doc_id", "line_no", "class", "at").join(flagged, "class").where((F.col("at") > F.col("first")) | F.col("hit"))
+    # the texts are read once; what follows has hashes of their words
+    split = docs.select(F.col(id_col).alias("doc_id"), F.split(_plain(text), "\n", -1).alias("lines"))
+    rows = split.select("doc_id", F.posexplode("lines").alias("line_no", "line")).select("doc_id", "line_no", _words(F.col("line")).alias("words"))
+    rows = rows.select("doc_id", "line_no", F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("h"))
+    rows = rows.select("doc_id", "line_no", F.xxhash64(F.sort_array("h")).alias("class"), "h")
+    words = materialize(rows, "lines-words", **{"parquet.enable.dictionary": "false"})
+    of_text = words.groupBy("doc_id").agg((F.max("line_no") + 1).alias("n_lines")).withColumnRenamed("doc_id", "of")
+    counted = docs.groupBy(F.col(id_col).alias("doc_id")).agg(F.count(F.lit(1)).alias("rows"))
+    counted = counted.join(of_text, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "rows", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+    counted = materialize(counted, "lines-counted")
+    reach = counted.agg(F.min("doc_id"), F.max("doc_id"), F.max("n_lines"), F.max("rows")).first()
+    packed = reach[0] is None or (reach[0] >= 0 and reach[1] < 1 << 42 and reach[2] < 1 << 20)
+    single = (reach[3] or 0) <= 1  # no id is repeated, so a place in the order is one line
+    levels = _rarity(words)
+
+    words = words.where(F.size("h") > 0).withColumn("at", _order(F.col("doc_id"), F.col("line_no"), packed))
+    copies = words.groupBy("class").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("lines")).where("lines > 1").select("class", "first")
+    copies = materialize(copies, "lines-copies")
+
+    def first_only(rows: DataFrame) -> DataFrame:
+        rows = rows.join(_few(copies), "class", "left").where(F.col("first").isNull() | (F.col("at") == F.col("first"))).drop("first")
+        return rows if single else rows.dropDuplicates(["class", "at"])
+
+    def coded(rows: DataFrame) -> DataFrame:
+        n = F.size("h")
+        # the second sketch is of those words that have bit 6
+        wide = F.when(n > WIDE, _parity(F.col("h"), F.lit(1))).otherwise(0).alias("wide")
+        pieces = {"begin": 1, "next": EDGE + 1, "end": -EDGE, "before": -2 * EDGE}
+        keys = F.array(*[F.when(n >= (EDGE + 1 if abs(at) <= EDGE else 2 * EDGE), F.xxhash64(F.lit(name), F.slice("h", at, EDGE))) for name, at in pieces.items()])
+        rows = rows.select("class", "at", n.alias("n"), _parity(F.col("h")).alias("bits"), wide, _codes(F.col("h"), levels).alias("codes"), keys.alias("keys"))
+        heads = F.slice("codes", 1, (F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).cast("int"))
+        return rows.withColumn("heads", F.transform(heads, lambda c: c.bitwiseAND(0x7FFFFFFF).cast("int"))).drop("codes")
+
+    # the shorter rows are dealt out, if any
+    short = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    firsts = materialize(coded(first_only(words)) if short else first_only(coded(words)), "lines-firsts")
+
+    keyed = firsts.select("at", "n", "bits", "wide", F.explode("keys").alias("key")).where("key is not null")
+    shared = materialize(keyed.groupBy("key").agg(F.min("at").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "lines-shared")
+    keyed = materialize(keyed.join(_few(shared), "key"), "lines-keyed")
+    of_lead = keyed.where("at = lead").select("key", *[F.col(c).alias(f"lead_{c}") for c in ("n", "bits", "wide")])
+    sizes = _Sizes(F.col("n"), F.col("lead_n"), similarity)
+    apart = sizes.apart((F.col("bits"), F.col("lead_bits")), (F.col("wide"), F.col("lead_wide")))
+    tried = keyed.join(of_lead, "key").where((F.col("at") > F.col("lead")) & sizes.fit & sizes.near(apart)).select("at", "lead", apart.alias("apart"))
+    tried = materialize(tried.groupBy(F.col("at").alias("later")).agg(F.min_by("lead", "apart").alias("earlier")), "lines-tried")
+    gone = _verified(tried, words, similarity)
+    drop_table(shared, keyed, tried)
+
+    def asking() -> DataFrame:
+        settled = _few(materialize(functools.reduce(DataFrame.unionByName, hits).distinct().withColumnRenamed("class", "gone"), "lines-settled"))
+        picked = firsts.join(settled, (F.col("at") == F.col("later")) & (F.col("class") == F.col("gone")), "left")
+        return picked.select("at", F.col("gone").isNull().alias("asks"), "n", "bits", "wide", "heads")
+
+    def open_pairs(pairs: DataFrame) -> DataFrame:
+        if not single:
+            return pairs
+        settled = _few(materialize(functools.reduce(DataFrame.unionByName, hits).select(F.col("later").alias("l")).distinct(), "lines-settled"))
+        return pairs.join(settled, F.col("later") == F.col("l"), "left_anti")
+
+    hits, met = [gone], []
+    for k, part in enumerate(SLICES):
+        met.append(_met(asking(), part, similarity))
+        if k < EARLY:
+            hits.append(_verified(_nearest(met[-1]), words, similarity))
+    pairs = open_pairs(functools.reduce(DataFrame.unionByName, met)).groupBy("later", "earlier").agg(F.min("apart").alias("apart"))
+    pairs = materialize(pairs, "lines-pairs")
+    drop_table(*met)
+    tried = _nearest(pairs)
+    hits.append(_verified(tried, words, similarity))
+    tried = _few(tried.select(F.col("later").alias("l"), F.col("earlier").alias("e")))
+    left = pairs.select("later", "earlier").join(tried, (F.col("later") == F.col("l")) & (F.col("earlier") == F.col("e")), "left_anti")
+    left = materialize(open_pairs(left), "lines-left")
+    hits.append(_verified(left, words, similarity))
+    drop_table(pairs, left)
+
+    hits = functools.reduce(DataFrame.unionByName, hits).distinct()
+    if not single:  # a place may hold lines of several classes, of which it is not the first
+        hits = hits.join(firsts.select(F.col("at").alias("later"), "class"), ["later", "class"], "left_semi")
+    flagged = copies.join(hits.select("class", F.lit(True).alias("hit")), "class", "full")
+    flagged = materialize(flagged, "lines-flagged")
+    placed = words.select("doc_id", "line_no", "at", "class").join(_few(flagged), "class").where((F.col("at") > F.col("first")) | F.col("hit"))
     taken = placed.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
-    counted = split.groupBy("doc_id").agg(F.max(F.coalesce(F.size("lines"), F.lit(0))).alias("n_lines"))
     out = counted.join(taken.withColumnRenamed("doc_id", "at_doc"), F.col("doc_id").eqNullSafe(F.col("at_doc")), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.select("doc_id", F.greatest("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """docs with ``text_col`` freed of the lines that ``removed_lines`` names; a null text stays null."""
-    gone = removed_lines(docs, id_col=id_col, text_col=text_col, similarity=similarity).where("n_removed > 0").select(F.col("doc_id").alias("_at"), F.col("removed").alias("_removed"))
+    at, gone = free_name(docs, "at"), free_name(docs, "gone")
+    lines = removed_lines(docs, id_col=id_col, text_col=text_col, similarity=similarity).where("n_removed > 0").select(F.col("doc_id").alias(at), F.col("removed").alias(gone))
     names = docs.columns
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_at")), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda line, k: ~F.coalesce(F.array_contains("_removed", k), F.lit(False))), "\n")
-    return joined.withColumn(text_col, F.when(F.col("_removed").isNotNull(), kept).otherwise(F.col(text_col))).select(*names)
+    joined = docs.join(lines, F.col(id_col).eqNullSafe(F.col(at)), "left")
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda line, k: ~F.coalesce(F.array_contains(gone, k), F.lit(False))), "\n")
+    return joined.withColumn(text_col, F.when(F.col(gone).isNotNull(), kept).otherwise(F.col(text_col))).select(*names)
