@@ -11,12 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_table, materialize
 
 #: Pivots of the distance tables, the fingerprints that a group compares as one piece, and rows of a step.
 PIVOTS, PIECE, STEP = 16, 4_096, 256
-#: Bits of a set's sketch; one text of so many is sampled for common shingles, of which so many are kept.
-SKETCH, SAMPLE, COMMON = 1_024, 64, 200_000
+#: Bits of a set's sketch, and of the longest one; one text of so many is sampled for common shingles, of which so many are kept.
+SKETCH, LONGEST, SAMPLE, COMMON = 1_024, 32_768, 64, 200_000
+#: Sets of shingles that a worker remembers between pairs.
+REMEMBERED = 1_000
 #: Lists of rows up to this length are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -199,7 +201,6 @@ def components(pairs: DataFrame, name: str = "components") -> DataFrame:
     """
     edges = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialize(edges, name)
-    before = None
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -208,11 +209,13 @@ def components(pairs: DataFrame, name: str = "components") -> DataFrame:
         small_min = large.groupBy("a").agg(F.min("b").alias("m"))
         pointed = large.join(small_min, "a")
         moved = pointed.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = materialize(moved.unionByName(small_min.select("a", F.col("m").alias("b"))).distinct(), name)
-        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
-        if state == before:
+        after = materialize(moved.unionByName(small_min.select("a", F.col("m").alias("b"))).distinct(), name)
+        # a round that leaves the same rows is the last
+        same = after.count() == edges.count() and not after.join(edges, ["a", "b"], "left_anti").head(1)
+        drop_table(edges, large)
+        edges = after
+        if same:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, most: int = 3) -> DataFrame:
@@ -251,12 +254,22 @@ def shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts, stops)), dtype=np.uint64, count=len(stops)))
 
 
-def parity_sketch(hashes: np.ndarray) -> bytes:
-    """SKETCH bits, each the parity of the hashes that fall on it.
+def parity_sketch(hashes: np.ndarray, bits: int = SKETCH) -> bytes:
+    """Bits, each the parity of the hashes that fall on it.
 
     Sketches differ in no more bits than the sets do in members.
     """
-    return np.packbits(np.bincount((hashes % SKETCH).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+    return np.packbits(np.bincount((hashes % bits).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def long_sketch(hashes: np.ndarray) -> bytes:
+    """A sketch of at least two bits for each member, up to LONGEST; ``folded`` makes it comparable with a shorter one."""
+    return parity_sketch(hashes, min(LONGEST, max(SKETCH, 1 << (2 * len(hashes)).bit_length())))
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch of uint64 words as the one of fewer bits: parities of what falls together are added."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
 
 
 def _common(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
@@ -274,8 +287,8 @@ def _common(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
     return np.sort(np.array([r["key"] for r in top], dtype=np.int64).view(np.uint64))
 
 
-def _classes(docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """docs with ``sim_text``, a hash of a text's words, and of its set of shingles the size, the sketch and the prefix.
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """docs -> doc, uid, id, text, same (a 128-bit hash of the text's words), and of its set of shingles size, sketch, long and prefix.
 
     Shingles have one order everywhere: common ones last, then by hash.  Two
     sets of at least ``similarity`` share a shingle among the first
@@ -285,23 +298,25 @@ def _classes(docs: DataFrame, text_col: str, shingle: int, similarity: float) ->
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            same, size, sketch, prefix = [], [], [], []
+            found: dict[str, list] = {c: [] for c in ("same", "size", "sketch", "long", "prefix")}
             for t in texts:
                 tokens = bytes(t).lower().split()
                 hashes = shingle_hashes(tokens, shingle)
-                same.append(xxhash.xxh3_64_intdigest(b" ".join(tokens)))
-                size.append(len(hashes))
-                sketch.append(parity_sketch(hashes))
+                found["same"].append(xxhash.xxh3_128_digest(b" ".join(tokens)))
+                found["size"].append(len(hashes))
+                found["sketch"].append(parity_sketch(hashes))
+                found["long"].append(long_sketch(hashes))
+                keep = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
                 if len(common):
                     late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
                     hashes = np.concatenate([hashes[~late], hashes[late]])
-                prefix.append(hashes[: size[-1] - math.ceil(similarity * size[-1] - 1e-9) + 1].view(np.int64))
-            yield pd.DataFrame({"same": np.array(same, dtype=np.uint64).view(np.int64), "size": size, "sketch": sketch, "prefix": prefix})
+                found["prefix"].append(hashes[:keep].view(np.int64))
+            yield pd.DataFrame(found)
 
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    all_ = F.pandas_udf(of, "same long, size long, sketch binary, prefix array<long>")(text)
-    named = [F.col(f"sim_all.{c}").alias(f"sim_{n}") for c, n in (("same", "text"), ("size", "size"), ("sketch", "sketch"), ("prefix", "prefix"))]
-    return docs.withColumn("sim_all", all_).select("*", *named).drop("sim_all")
+    all_ = F.pandas_udf(of, "same binary, size long, sketch binary, long binary, prefix array<long>")(text)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), text.alias("text"), all_.alias("of"))
+    return rows.select("doc", "uid", "id", "of.*")
 
 
 def _sketch_pairs(sizes: np.ndarray, sketches: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -353,68 +368,108 @@ def _cells(rows: DataFrame, carried: list[str], linked) -> DataFrame:
     return cells.mapInPandas(batched, "a long, b long").distinct()
 
 
-def shingle_links(nodes: DataFrame, *, similarity: float) -> DataFrame:
-    """(node, size, sketch, prefix) -> a, b: pairs that may be similar and join all that may be.
+def shingle_postings(nodes: DataFrame) -> DataFrame:
+    """(node, prefix) -> node, value: the shingles of prefixes that several nodes have."""
+    postings = nodes.select("node", F.explode("prefix").alias("value"))
+    shared = postings.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("value")
+    return materialize(postings.join(shared, "value"), "simhash-postings")
+
+
+def shingle_links(postings: DataFrame, nodes: DataFrame, *, similarity: float, apart: DataFrame | None = None) -> DataFrame:
+    """Postings and nodes (node, size, sketch) -> a, b: pairs that may be similar.
 
     Similar sets share a shingle of their prefixes, so those that share one are
-    compared by size and sketch.  A group of m gives m - 1 pairs at most.
+    compared by size and sketch.  A group of m gives m - 1 pairs at most, that
+    join what all its pairs would join.  With ``apart`` (node, label) it gives
+    all pairs whose labels differ instead; nodes without a label have their own.
     """
-    postings = nodes.select("node", F.explode("prefix").alias("value"))
-    shared = postings.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("value")
-    met = materialize(postings.join(shared, "value"), "simhash-postings")
-    met = met.join(nodes.select("node", "size", "sketch"), "node")
+    spanning = apart is None
+    if spanning:
+        met = postings.join(nodes.select("node", "size", "sketch"), "node").withColumn("label", F.col("node"))
+    else:
+        labels = postings.join(_few(apart), "node", "left").select("node", "value", F.coalesce("label", "node").alias("label"))
+        several = labels.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("value")
+        met = labels.join(several, "value").join(nodes.select("node", "size", "sketch"), "node")
 
     def linked(rows: pd.DataFrame, cuts: np.ndarray) -> list[tuple[int, int]]:
-        sizes, sketches, found = rows["size"].to_numpy(), _sketches(rows["sketch"]), []
+        sizes, sketches, labels, found = rows["size"].to_numpy(), _sketches(rows["sketch"]), rows["label"].to_numpy(), []
         two = cuts[:-1][np.diff(cuts) == 2]
         low, high = (f(sizes[two], sizes[two + 1]) for f in (np.minimum, np.maximum))
         differ = np.bitwise_count(sketches[two] ^ sketches[two + 1]).sum(axis=1, dtype=np.int64)
-        near = (differ <= (1 - similarity) / (1 + similarity) * (low + high) + 1e-9) & (high * similarity <= low + 1e-9)
+        near = (differ <= (1 - similarity) / (1 + similarity) * (low + high) + 1e-9) & (high * similarity <= low + 1e-9) & (labels[two] != labels[two + 1])
         found += [(i, i + 1) for i in two[near].tolist()]
         for start, stop in zip(cuts[:-1], cuts[1:]):
             if stop - start > 2:
+                own = labels[start:stop]
                 label = np.arange(stop - start)
                 for a, b in _sketch_pairs(sizes[start:stop], sketches[start:stop], similarity):
-                    found += [(start + i, start + j) for i, j in _joining(len(label), a, b, label)]
+                    if spanning:
+                        found += [(start + i, start + j) for i, j in _joining(len(label), a, b, label)]
+                    else:
+                        cross = own[a] != own[b]
+                        found += zip((start + a[cross]).tolist(), (start + b[cross]).tolist())
+                    if spanning and (label == label[0]).all():
+                        break
         return found
 
-    return _cells(met, ["size", "sketch"], linked)
+    pairs = _cells(met, ["size", "sketch", "label"], linked)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verified_links(pairs: DataFrame, nodes: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
-    """Candidate pairs and nodes (node, size, sketch, t) -> a, b: pairs of at least ``similarity`` that join what all such pairs join.
+def _few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is short; df is a written table of some numbers a row."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
-    Whatever candidates chain together is compared in one place: there a pair
-    is skipped only if pairs that hold have joined it already, so one that
-    fails takes no other with it.
-    """
-    linked = components(pairs, "simhash-candidates")
-    blocks = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "value")
 
-    def joined(rows: pd.DataFrame, cuts: np.ndarray) -> list[tuple[int, int]]:
-        sizes, sketches, found = rows["size"].to_numpy(), _sketches(rows["sketch"]), []
-        for start, stop in zip(cuts[:-1], cuts[1:]):
-            sets = [shingle_hashes(bytes(t).lower().split(), shingle) for t in rows["t"].iloc[start:stop]]
-            label = np.arange(len(sets))
-            for a, b in _sketch_pairs(sizes[start:stop], sketches[start:stop], similarity):
-                open_ = label[a] != label[b]
-                for i, j in zip(a[open_].tolist(), b[open_].tolist()):
-                    x, y = label[i], label[j]
-                    while label[x] != x:
-                        x = label[x]
-                    while label[y] != y:
-                        y = label[y]
-                    if x == y:
-                        continue
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if both / (len(sets[i]) + len(sets[j]) - both) >= similarity:
-                        label[max(x, y)] = min(x, y)
-                        found.append((start + i, start + j))
-                while (label[label] != label).any():
-                    label[:] = label[label]
-        return found
+def _both(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """pairs with the columns of both ends."""
+    for end in ("a", "b"):
+        pairs = pairs.join(of.select(F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in of.columns if c != "node"]), end)
+    return pairs
+
+
+def verified_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
+    """a, b, a written table; nodes (node, uid, size, long); texts (uid, text) -> the pairs of at least ``similarity``.
+
+    Long sketches discard most others, then sets of shingles are compared.
+    """
+    share = (1 - similarity) / (1 + similarity)
 
-    return _cells(blocks.join(nodes, "node"), ["size", "sketch", "t"], joined)
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            keep = []
+            for x, y, n, m in zip(rows["a_long"], rows["b_long"], rows["a_size"], rows["b_size"]):
+                x, y = (np.frombuffer(bytes(k), np.uint64) for k in (x, y))
+                least = min(len(x), len(y))
+                keep.append(int(np.bitwise_count(folded(x, least) ^ folded(y, least)).sum(dtype=np.int64)) <= share * (n + m) + 1e-9)
+            yield rows.loc[np.array(keep, dtype=bool), ["a", "b"]]
+
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets: dict[int, np.ndarray] = {}
+
+        def of(node: int, text: bytes) -> np.ndarray:
+            if node not in sets:
+                if len(sets) >= REMEMBERED:
+                    sets.clear()
+                sets[node] = shingle_hashes(bytes(text).lower().split(), shingle)
+            return sets[node]
+
+        for rows in batches:
+            keep = []
+            for a, b, s, t in zip(rows["a"], rows["b"], rows["a_text"], rows["b_text"]):
+                x, y = of(a, s), of(b, t)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield rows.loc[np.array(keep, dtype=bool), ["a", "b"]]
+
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    left = _both(pairs, nodes.join(ends(pairs), "node").select("node", "size", "long")).mapInPandas(near, "a long, b long")
+    left = materialize(left, "simhash-near")
+    needed = materialize(nodes.join(ends(left), "node").select("node", "uid"), "simhash-ends")
+    own = materialize(texts.join(_few(needed), "uid").select("node", "text"), "simhash-texts")
+    found = materialize(_both(left, own).mapInPandas(alike, "a long, b long"), "simhash-alike")
+    drop_table(left, needed, own)
+    return found
 
 
 def drop_near_duplicates(
@@ -422,31 +477,35 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """docs with one row of each group of near copies, the one with the smallest id.
 
-    Texts with the same words are copies.  Different texts are linked if the
-    Jaccard of their sets of ``shingle`` words is ``similarity`` or more; all
-    such pairs are candidates, and none is passed over but those whose ends
-    verified pairs join already.  Groups are what links reach.
+    Texts with the same words are copies (by 128-bit hashes).  Different texts
+    are linked if the Jaccard of their sets of ``shingle`` words is
+    ``similarity`` or more.  Candidates that join what all candidates would join
+    are verified first; then all candidates that the links found leave apart, so
+    that no link between groups is lost.  Groups are what links reach.
     Null and texts without words are one group; rows with null ids stay only if
     their group has no others; an empty table stays empty.
     """
-    names = docs.columns
-    rows = _classes(docs.withColumn("sim_uid", F.monotonically_increasing_id()), text_col, shingle, similarity)
-    rows = materialize(rows, "simhash-docs")
-    first = rows.groupBy("sim_text").agg(F.min("sim_uid").alias("uid"))
-    nodes = rows.select(F.col("sim_uid").alias("uid"), "sim_size", "sim_sketch", "sim_prefix").join(first, "uid")
-    nodes = nodes.select("uid", "sim_text", F.col("sim_text").alias("node"), F.col("sim_size").alias("size"), F.col("sim_sketch").alias("sketch"), F.col("sim_prefix").alias("prefix"))
-    nodes = materialize(nodes, "simhash-nodes")
-    pairs = materialize(shingle_links(nodes, similarity=similarity), "simhash-pairs")
-    ends = pairs.select(F.col("a").alias("sim_text")).unionByName(pairs.select(F.col("b").alias("sim_text"))).distinct()
-    first = nodes.join(ends, "sim_text").select("uid", "node", "size", "sketch")
-    few = F.broadcast if first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
-    texts = rows.select(F.col("sim_uid").alias("uid"), F.col(text_col).cast("binary").alias("t")).join(few(first), "uid").select("node", "size", "sketch", F.coalesce("t", F.lit(b"")).alias("t"))
-    texts = materialize(texts, "simhash-texts")
-    near = materialize(verified_links(pairs, texts, shingle=shingle, similarity=similarity), "simhash-near")
+    rows = materialize(_classes(docs, id_col, text_col, shingle, similarity), "simhash-docs")
+    text = F.coalesce(F.col("doc").getField(text_col).cast("binary"), F.lit(b"")).alias("text")
+    texts = rows.select("uid", text)
+    # a class of copies is known by its first row
+    copies = materialize(rows.groupBy("same").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "simhash-copies")
+    classed = rows.select("uid", "id", "same").join(_few(copies), "same", "left").select("uid", "id", F.coalesce("first", "uid").alias("node"))
+    firsts = rows.join(_few(copies), "same", "left").where(F.col("first").isNull() | (F.col("first") == F.col("uid")))
+    nodes = materialize(firsts.select("uid", F.col("uid").alias("node"), "size", "sketch", "long", "prefix"), "simhash-nodes")
+    postings = shingle_postings(nodes)
+
+    tried = materialize(shingle_links(postings, nodes, similarity=similarity), "simhash-pairs")
+    near = verified_links(tried, nodes, texts, shingle=shingle, similarity=similarity)
     linked = components(near, "simhash-links")
-    narrow = rows.select("sim_uid", "sim_text", F.col(id_col).alias("id"))
-    grouped = narrow.join(linked, F.col("sim_text") == F.col("node"), "left").select("sim_uid", "id", F.coalesce("root", "sim_text").alias("root"))
-    kept = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "sim_uid"))["sim_uid"].alias("kept")).where("n > 1")
-    gone = materialize(grouped.join(kept, "root").where("sim_uid <> kept").select("sim_uid"), "simhash-gone")
-    few = F.broadcast if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
-    return rows.join(few(gone), "sim_uid", "left_anti").select(*names)
+    others = shingle_links(postings, nodes, similarity=similarity, apart=linked.withColumnRenamed("root", "label"))
+    others = materialize(others.join(_few(tried.select(F.col("a").alias("x"), F.col("b").alias("y"))), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"), "simhash-others")
+    near = near.unionByName(verified_links(others, nodes, texts, shingle=shingle, similarity=similarity))
+    linked = _few(components(near, "simhash-links"))
+    drop_table(nodes, postings, tried, others)
+
+    grouped = classed.join(linked, "node", "left").select("uid", "id", F.coalesce("root", "node").alias("root"))
+    kept = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "uid"))["uid"].alias("kept")).where("n > 1")
+    kept = materialize(kept.select("root", "kept"), "simhash-kept")
+    gone = materialize(grouped.join(_few(kept), "root").where("uid <> kept").select("uid"), "simhash-gone")
+    return rows.join(_few(gone), "uid", "left_anti").select("doc.*")

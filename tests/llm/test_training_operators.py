@@ -574,11 +574,33 @@ def test_verified_links_past_a_candidate_that_fails(spark):
     sets = [simhash.shingle_hashes(t.split(), 5) for t in texts]
     jaccard = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
     assert jaccard(0, 1) < 0.8 <= min(jaccard(0, 2), jaccard(1, 2))
-    rows = [(i, len(s), simhash.parity_sketch(s), t) for i, (s, t) in enumerate(zip(sets, texts))]
-    nodes = spark.createDataFrame([(i, n, bytearray(k), bytearray(t)) for i, n, k, t in rows], "node long, size long, sketch binary, t binary")
-    spanning = spark.createDataFrame([(0, 1), (1, 2)], "a long, b long")  # verified alone, 0 is lost
-    found = {frozenset(r) for r in simhash.verified_links(spanning, nodes, shingle=5, similarity=0.8).collect()}
-    assert found == {frozenset((0, 2)), frozenset((1, 2))}
+    nodes = spark.createDataFrame([(i, i, len(s), bytearray(simhash.long_sketch(s))) for i, s in enumerate(sets)], "node long, uid long, size long, long binary")
+    rows = spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate(texts)], "uid long, text binary")
+    # whichever two of the candidates span the group, the three are one
+    for order in ((0, 1, 2), (1, 2, 0), (2, 0, 1)):
+        table = frame(spark, [(i, texts[k].decode(), "en", "a", 1) for i, k in enumerate(order)])
+        assert [r[0] for r in simhash.drop_near_duplicates(table).select("doc_id").collect()] == [0]
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a long, b long")
+    assert {tuple(r) for r in simhash.verified_links(pairs, nodes, rows, shingle=5, similarity=0.8).collect()} == {(0, 2), (1, 2)}
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(8)
+    for n, m in ((10, 12), (700, 900), (9000, 400), (30_000, 31_000)):
+        pool = rng.integers(0, 2**63, n + m, dtype=np.uint64)
+        x, y = np.unique(pool[:n]), np.unique(pool[n // 2 : n // 2 + m])
+        apart = len(np.setxor1d(x, y))
+        short, long = ([np.frombuffer(f(s), np.uint64) for s in (x, y)] for f in (simhash.parity_sketch, simhash.long_sketch))
+        least = min(map(len, long))
+        both = [simhash.folded(s, least) for s in long]
+        assert np.bitwise_count(short[0] ^ short[1]).sum() <= np.bitwise_count(both[0] ^ both[1]).sum() <= apart
+        assert all((simhash.folded(s, len(short[0])) == k).all() for s, k in zip(long, short))
+
+
+@pytest.mark.parametrize("names", [("sim_uid", "uid", "same", "node"), ("doc", "text_", "label", "size")])
+def test_drop_near_duplicates_keeps_columns_of_any_name(spark, names):
+    table = spark.createDataFrame([(1, "a b c", 7, 8, 9, 10), (2, "a b c", 17, 18, 19, 20), (3, "x y z", 27, 28, 29, 30)], f"doc_id long, text string, {' long, '.join(names)} long")
+    assert sorted(map(tuple, simhash.drop_near_duplicates(table).collect())) == [(1, "a b c", 7, 8, 9, 10), (3, "x y z", 27, 28, 29, 30)]
 
 
 # 10
