@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -116,8 +118,18 @@ def _secret(value: Column, key: str, back: bool) -> Column:
     )
 
 
+def _days(value: Column) -> dict[str, Column]:
+    """Days since 1900 by the shape of the date; null if it isn't a date from 1900 to 2099 in that shape."""
+    found = {}
+    for pattern, shape in ((r"^\d{4}-", "yyyy-MM-dd"), (r"^\d{2}\.\d{2}\.", "dd.MM.yyyy"), (r"^\d{2}/\d{2}/", "dd/MM/yyyy")):
+        date = F.try_to_date(value, shape) if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(value, F.lit(shape)))
+        day = F.datediff(date, F.lit("1900-01-01").cast("date"))
+        found[shape] = F.when(value.rlike(pattern) & (day >= 0) & (day < DAYS), day)
+    return found
+
+
 def _date(value: Column, key: str, back: bool) -> Column:
-    """A date from 1900 to 2099, by its day; one that isn't a date is left to its digits' permutation."""
+    """A date from 1900 to 2099, by its day."""
 
     def walk(day: Column) -> Column:
         a, b = DAY_SIDES
@@ -130,33 +142,31 @@ def _date(value: Column, key: str, back: bool) -> Column:
 
         return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), start, step)["day"]
 
-    out = permute_text(value, key, "digits", _DIGITS, back=back)
-    for pattern, shape in ((r"^\d{4}-", "yyyy-MM-dd"), (r"^\d{2}\.\d{2}\.", "dd.MM.yyyy"), (r"^\d{2}/\d{2}/", "dd/MM/yyyy")):
-        date = F.try_to_date(value, shape) if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(value, F.lit(shape)))
-        day = F.datediff(date, F.lit("1900-01-01").cast("date"))
-        fits = value.rlike(pattern) & F.coalesce((day >= 0) & (day < DAYS), F.lit(False))
-        out = F.when(fits, F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), walk(day).cast("int")), shape)).otherwise(out)
+    out = value
+    for shape, day in _days(value).items():
+        out = F.when(day.isNotNull(), F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), walk(day).cast("int")), shape)).otherwise(out)
     return out
 
 
+def _ssn_parts(value: Column) -> tuple[Column, Column, Column]:
+    area, group, serial = (F.substring(value, a, n).try_cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
+    return area, group, serial
+
+
 def _ssn(value: Column, key: str, back: bool) -> Column:
     """Valid areas (001-899 without 666), groups (01-99) and serials (0001-9999) are permuted among themselves."""
-    area, group, serial = (F.substring(value, a, n).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
-    valid = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
+    area, group, serial = _ssn_parts(value)
     left = (area - 1 - F.when(area > 666, 1).otherwise(0)) * 99 + group - 1
     pair = permute_pair(left, serial - 1, (898 * 99, 9999), key, "ssn", back=back)
     area2 = F.floor(pair["l"] / 99) + 1
     area2 = area2 + F.when(area2 >= 666, 1).otherwise(0)
-    text = F.format_string("%03d-%02d-%04d", area2.cast("long"), (pair["l"] % 99 + 1).cast("long"), (pair["r"] + 1).cast("long"))
-    return F.when(valid, text).otherwise(permute_text(value, key, "digits", _DIGITS, back=back))
+    return F.format_string("%03d-%02d-%04d", area2.cast("long"), (pair["l"] % 99 + 1).cast("long"), (pair["r"] + 1).cast("long"))
 
 
 def _ip(value: Column, key: str, back: bool) -> Column:
-    part = F.transform(F.split(value, r"\."), lambda p: p.cast("long"))
-    valid = F.forall(F.split(value, r"\."), lambda p: p.cast("int") < 256)
+    part = F.transform(F.split(value, r"\."), lambda p: p.try_cast("long"))
     pair = permute_pair(F.get(part, 0) * 256 + F.get(part, 1), F.get(part, 2) * 256 + F.get(part, 3), (65536, 65536), key, "ip", back=back)
-    text = F.concat_ws(".", *[x.cast("string") for side in ("l", "r") for x in (F.floor(pair[side] / 256), pair[side] % 256)])
-    return F.when(valid, text).otherwise(permute_text(value, key, "digits", _DIGITS, back=back))
+    return F.concat_ws(".", *[x.cast("string") for side in ("l", "r") for x in (F.floor(pair[side] / 256), pair[side] % 256)])
 
 
 def _phone(value: Column, key: str, back: bool) -> Column:
@@ -168,12 +178,20 @@ def _phone(value: Column, key: str, back: bool) -> Column:
 
 
 def _long_number(value: Column, key: str, back: bool) -> Column:
-    """13 to 19 digits: what the last one adds to Luhn's check digit stays, so that valid numbers stay valid."""
+    """13 to 19 digits, of which the last is Luhn's check digit."""
     digits = _only_digits(value)
-    body, last = F.substring(digits, F.lit(1), F.length(digits) - 1), F.substring(digits, -1, 1).cast("int")
-    moved = permute_text(body, key, "number", _DIGITS, back=back)
-    check = F.pmod(check_digit(moved) + last - check_digit(body), F.lit(10)).cast("string")
-    return _into_shape(value, F.concat(moved, check))
+    moved = permute_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "number", _DIGITS, back=back)
+    return _into_shape(value, F.concat(moved, check_digit(moved).cast("string")))
+
+
+def _has_check_digit(value: Column) -> Column:
+    digits = _only_digits(value)
+    return check_digit(F.substring(digits, F.lit(1), F.length(digits) - 1)) == F.substring(digits, -1, 1).try_cast("int")
+
+
+def _has_areas(value: Column) -> Column:
+    area, group, serial = _ssn_parts(value)
+    return (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
 
 
 KINDS: dict[str, Callable[[Column, str, bool], Column]] = {
@@ -187,32 +205,51 @@ KINDS: dict[str, Callable[[Column, str, bool], Column]] = {
 }
 
 
-def pseudonym(value: Column, key: str, *, back: bool = False) -> Column:
-    """value: a whole match of ANY -> its pseudonym, or with ``back`` the value that has it."""
-    out = value
+#: What a match must be besides its pattern; the other kinds are valid as they stand.
+VALID: dict[str, Callable[[Column], Column]] = {
+    "date": lambda value: functools.reduce(operator.or_, [day.isNotNull() for day in _days(value).values()]),
+    "ssn": _has_areas,
+    "ip": lambda value: F.forall(F.split(value, r"\."), lambda p: (p.try_cast("int") < 256) & (p.try_cast("int").cast("string") == p)),
+    "number": _has_check_digit,
+}
+
+
+def _kind(value: Column) -> Column:
+    """The kind of a whole match of ANY, null if it isn't valid."""
+    out = F.lit(None).cast("string")
     for kind in reversed(KINDS):
-        out = F.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), KINDS[kind](value, key, back)).otherwise(out)
+        found = F.when(F.coalesce(VALID[kind](value), F.lit(False)), kind) if kind in VALID else F.lit(kind)
+        out = F.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), found).otherwise(out)
+    return out
+
+
+def pseudonym(value: Column, key: str, *, back: bool = False) -> Column:
+    """value: a whole match of ANY -> its pseudonym, or with ``back`` the value that has it; itself if it isn't valid."""
+    kind, out = _kind(value), value
+    for name in KINDS:
+        out = F.when(kind == name, KINDS[name](value, key, back)).otherwise(out)
     return out
 
 
 def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
     """Whole texts with pseudonyms for personal data -> doc_id, text, n_found.
 
-    E-mail names, hexadecimal secrets, dates, social security numbers, IPv4
-    addresses, phone numbers and long numbers (cards) are permuted by a Feistel
-    network under ``key``, each within its format: a valid date, number or
-    address becomes a valid one, and what only looks like one has its
-    characters permuted.  Equal values get equal pseudonyms in all documents,
-    different values of one shape different ones, and whoever has the key gets
-    the texts back (``back``).
+    E-mail names, hexadecimal secrets, dates from 1900 to 2099, social security
+    numbers, IPv4 addresses, phone numbers and long numbers with a check digit
+    (cards) are permuted by a Feistel network under ``key``, each among the
+    valid values of its format.  What only looks like one (30.02.2020, 999.1.1.1,
+    a number whose check digit is wrong) stays and isn't counted.  Equal values
+    get equal pseudonyms in all documents, different values of one shape
+    different ones, and whoever has the key gets the texts back (``back``).
 
     A null text stays null with n_found 0; the empty text stays.  Every row
     counts for itself, so repeated rows, ties and an empty table need no rule.
     """
-    text = F.col("text")
+    text, none = F.col("text"), F.array().cast("array<string>")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = F.when(text.rlike(r"[0-9@]") & text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("found", F.when(text.isNotNull(), found).otherwise(F.array().cast("array<string>")))
+    found = F.when(text.rlike(r"[0-9@]") & text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none)
+    rows = rows.withColumn("found", F.when(text.isNotNull(), found).otherwise(none))
+    rows = rows.withColumn("n_found", F.size(F.filter("found", lambda v: _kind(v).isNotNull())).cast("long"))
     new = F.transform("found", lambda v: pseudonym(v, key, back=back))
     woven = F.zip_with(F.split(text, ANY, -1), new, lambda part, name: F.concat(part, F.coalesce(name, F.lit(""))))
-    return rows.select("doc_id", F.when(F.size("found") > 0, F.array_join(woven, "")).otherwise(text).alias("text"), F.size("found").cast("long").alias("n_found"))
+    return rows.select("doc_id", F.when(F.col("n_found") > 0, F.array_join(woven, "")).otherwise(text).alias("text"), "n_found")
