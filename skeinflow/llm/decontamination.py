@@ -10,12 +10,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Masks of the SQL below, which finds less than ``leaks``: it misses most substitutions near a passage's ends.
-MASKS = ("1101001011011", "1011100100111", "1110010101011")
-SPAN = len(MASKS[0])
 #: Words of a text that are laid out at once.
 BLOCK = 65_536
-#: Test keys, and places to verify, up to this many rows are broadcast; beyond, both sides are dealt out by key.
+#: Test keys, places to verify (three numbers a row) and words of items up to this many are broadcast; beyond, both sides are dealt out.
 BROADCAST_ROWS = 1_000_000
 #: Up to this many patterns, a width's substitutions are all listed; beyond, blocks stand for them.
 PATTERNS = 16
@@ -86,11 +83,13 @@ def leaks(
     and a part of an item is enough.  ``matched`` and ``best_window`` count the
     agreeing words, of the whole item and of its best window, at the best place.
 
-    Shorter items have masks of their own widths; those of fewer than
-    ``min_words`` words, null or empty ones take no part.  Null and empty texts
-    hold nothing.  Repeated rows and ids give one row for an id and an item.
+    Shorter items have masks of their own widths.  An item of fewer than
+    ``min_words`` words, which chance would find anywhere, is held by a text
+    that has its words and no others.  Null and empty items and texts hold
+    nothing.  Repeated rows and ids give one row for an id and an item.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text_col)).alias("item")).where(F.size("item") >= min_words)
+    all_items = benchmark.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text_col)).alias("item")).where(F.size("item") > 0)
+    items = materialize(all_items.where(F.size("item") >= min_words), "leaks-items")
     widths = [r["n"] for r in items.select(F.least(F.size("item"), F.lit(window)).alias("n")).distinct().collect()]  # window at most
     uses: dict[str, set[int]] = {}
     for width in widths:
@@ -104,13 +103,14 @@ def leaks(
     if tests.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         tests = F.broadcast(tests)
     laid = seeds.join(tests, "key").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("shift")).distinct()
-    laid = materialize(laid.join(items, "item_id").withColumnRenamed("doc_id", "at"), "leaks-laid")
+    laid = materialize(laid.withColumnRenamed("doc_id", "at"), "leaks-laid")
     if laid.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         laid = F.broadcast(laid)
+    few = F.broadcast if (items.agg(F.sum(F.size("item") + 2)).first()[0] or 0) <= BROADCAST_ROWS else (lambda df: df)
     # a text is only split again if a seed was found in it
     ids = laid.select("at").distinct()
     again = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("at")), "left_semi").select("doc_id", word_hashes(F.col("text")).alias("words"))
-    hits = again.join(laid, F.col("doc_id").eqNullSafe(F.col("at")))
+    hits = again.join(laid, F.col("doc_id").eqNullSafe(F.col("at"))).join(few(items), "item_id")
 
     size = F.size("item")
     width = F.least(F.lit(window), size)
@@ -129,41 +129,39 @@ def leaks(
     laid = laid.select("doc_id", "item_id", "item_words", "width", F.col("fold.best").alias("best"), F.col("fold.all").alias("all"))
     held = laid.where(F.col("best") >= F.ceil(F.lit(identity) * F.col("width")))
     found = held.groupBy("doc_id", "item_id").agg(F.max("item_words").alias("item_words"), F.max("all").alias("matched"), F.max("best").alias("best_window"))
-    return found.select("doc_id", "item_id", "item_words", "matched", "best_window")
+    found = found.select("doc_id", "item_id", "item_words", "matched", "best_window")
+    tiny = all_items.where(F.size("item") < min_words).distinct()
+    whole = split.where((F.size("words") > 0) & (F.size("words") < min_words)).join(tiny, F.col("words") == F.col("item"))
+    n = F.size("item")
+    return found.unionByName(whole.select("doc_id", "item_id", n.alias("item_words"), n.alias("matched"), n.alias("best_window")).distinct())
 
 
 def oracle_sql() -> str:
-    """``leaks`` with its defaults, in DuckDB's SQL."""
+    """``leaks`` with its defaults in DuckDB's SQL, without seeds: every place where enough words agree is looked at."""
     words = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
-
-    def key(mask: str, at: str) -> str:
-        parts = " || ' ' || ".join(f"w[{at} + {i + 1}]" for i, c in enumerate(mask) if c == "1")
-        return f"'{mask} ' || {parts}"
-
-    def keyed(table: str) -> str:
-        return " union all ".join(f"select id, i, {key(mask, 'i')} as k from {table} where i + {SPAN} <= len(w)" for mask in MASKS)
-
     return f"""
 with d as (select doc_id as id, {words} as w from documents where text is not null),
-b as (select item_id as id, {words} as w from benchmark),
-bl as (select * from b where len(w) >= 5),
-dp as (select id, w, unnest(range(len(w))) as i from d),
-bp as (select id, w, unnest(range(len(w))) as i from bl),
-short as (select distinct len(w) as n from bl where len(w) < {SPAN}),
-dk as ({keyed("dp")} union all
-  select id, i, n || ':' || array_to_string(w[i + 1:i + n], ' ') as k from dp, short where i + n <= len(w)),
-bk as ({keyed("bp")} union all
-  select id, i, len(w) || ':' || array_to_string(w, ' ') as k from bp where i = 0 and len(w) < {SPAN}),
-laid as (select distinct dk.id as doc_id, bk.id as item_id, dk.i - bk.i as shift from dk join bk on dk.k = bk.k),
-cells as (
-  select l.doc_id, l.item_id, l.shift, p.i, len(p.w) as item_words,
-    case when l.shift + p.i >= 0 and d.w[l.shift + p.i + 1] = p.w[p.i + 1] then 1 else 0 end as same
-  from laid l join bp p on p.id = l.item_id join d on d.id = l.doc_id
+b as (select item_id as id, {words} as w from benchmark where text is not null),
+bl as (select distinct * from b where len(w) >= 5),
+dp as (select id, unnest(w) as word, unnest(range(len(w))) as i from d),
+bp as (select id, len(w) as n, unnest(w) as word, unnest(range(len(w))) as i from bl),
+same as (
+  select distinct dp.id as doc_id, bp.id as item_id, dp.i - bp.i as shift, bp.n, bp.i from dp join bp on dp.word = bp.word
+), laid as (
+  select doc_id, item_id, shift, n, count(*) as matched from same group by all having count(*) >= ceil(0.8 * least(13, n))
 ), slid as (
-  select *, sum(same) over (partition by doc_id, item_id, shift order by i rows between 12 preceding and current row) as now from cells
-), places as (
-  select doc_id, item_id, shift, max(item_words) as item_words, sum(same) as matched, max(now) as best from slid group by all
+  select s.doc_id, s.item_id, s.shift, count(*) over (
+    partition by s.doc_id, s.item_id, s.shift order by s.i range between 12 preceding and current row) as now
+  from same s join laid l on l.doc_id = s.doc_id and l.item_id = s.item_id and l.shift = s.shift
+), best as (select doc_id, item_id, shift, max(now) as best from slid group by all),
+found as (
+  select l.doc_id, l.item_id, max(l.n) as item_words, max(l.matched) as matched, max(k.best) as best_window
+  from laid l join best k on k.doc_id = l.doc_id and k.item_id = l.item_id and k.shift = l.shift
+  where k.best >= ceil(0.8 * least(13, l.n)) group by l.doc_id, l.item_id
+), tiny as (
+  select distinct d.id as doc_id, b.id as item_id, len(b.w) as item_words, len(b.w) as matched, len(b.w) as best_window
+  from d join b on d.w = b.w where len(b.w) between 1 and 4
 )
-select doc_id, item_id, cast(max(item_words) as integer) as item_words, cast(max(matched) as integer) as matched, cast(max(best) as integer) as best_window
-from places where best >= ceil(0.8 * least(13, item_words)) group by doc_id, item_id
+select doc_id, item_id, cast(item_words as integer) as item_words, cast(matched as integer) as matched, cast(best_window as integer) as best_window
+from (select * from found union all select * from tiny)
 """
