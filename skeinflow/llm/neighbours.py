@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Rows of a candidate slice, of a query block, and of the tiles in which a cell is computed.
 SLICE, BLOCK, TILE = 16_384, 4_096, 1_024
 #: Slices whose heaps one merging task reads.
@@ -20,7 +22,7 @@ _HEAPS = "query_id long, part int, vec_id long, score double"
 def quantise(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes, scales and the length of what quantising loses, a row each."""
     scale = np.abs(vectors).max(axis=1) / 127.0
-    codes = np.rint(vectors / scale[:, None]).astype(np.int8)
+    codes = np.rint(vectors / np.where(scale > 0, scale, 1.0)[:, None]).astype(np.int8)
     return codes, scale, np.sqrt(np.square(vectors - codes * scale[:, None]).sum(axis=1))
 
 
@@ -40,8 +42,10 @@ def cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
     |quantised distance - distance| is at most the sum of both rows' losses.
     A pair survives if its lower bound is not above the k-th least upper bound.
     """
-    q_codes, q_scale, q_loss = quantise(queries)
-    codes, scale, loss = quantise(vectors)
+    # a common power of two keeps the squares of the bounds finite, and of any distance the order
+    unit = np.exp2(-np.ceil(np.log2(max(np.abs(queries).max(), np.abs(vectors).max()))))
+    q_codes, q_scale, q_loss = quantise(queries * unit)
+    codes, scale, loss = quantise(vectors * unit)
     square = np.square(codes.astype(np.float32)).sum(axis=1) * np.square(scale)
     q_square = np.square(q_codes.astype(np.float32)).sum(axis=1) * np.square(q_scale)
     found = []
@@ -91,15 +95,16 @@ def nearest(
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v"))
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(good)
+    # dealt by position, so that no value of the data can crowd a cell; written, so that a task that runs again deals alike
+    rows = materialize(rows.withColumn("at", F.monotonically_increasing_id()), "neighbours-rows")
     queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     n, n_queries = rows.count(), queries.count()
     slices, blocks = max(1, math.ceil(n / SLICE)), max(1, math.ceil(n_queries / BLOCK))
 
     size = F.size("v").alias("size")
-    # dealt by position, so that no value of the data can crowd a cell
-    q = queries.select("id", "v", size, F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int").alias("block"))
+    q = queries.select("id", "v", size, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     q = q.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    c = rows.select("id", "v", size, F.pmod(F.monotonically_increasing_id(), F.lit(slices)).cast("int").alias("slice"))
+    c = rows.select("id", "v", size, F.pmod("at", F.lit(slices)).cast("int").alias("slice"))
     c = c.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     as_bytes = _packer()
     key = ["block", "slice", "size"]
