@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from .common import drop_table, materialize
 
 #: Pivots of the distance tables, the fingerprints that a group compares as one piece, and rows of a step.
 PIVOTS, PIECE, STEP = 16, 4_096, 256
+#: Fingerprints that may share a key by chance before keys are made longer.
+CHANCE = 16
 #: Bits of a set's sketch, and of the longest one; one text of so many is sampled for common shingles, of which so many are kept.
 SKETCH, LONGEST, SAMPLE, COMMON = 1_024, 32_768, 64, 200_000
 #: Sets of shingles that a worker remembers between pairs.
@@ -114,15 +117,23 @@ def _joining(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> list[tu
             label[:] = label[label]
 
 
-def spanning_pairs(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
+def pivot_distances(fps: np.ndarray) -> np.ndarray:
+    """Hamming distances to all pivots, a row a fingerprint."""
+    return np.bitwise_count(fps[:, None] ^ pivots()[None, :]).astype(np.int8)
+
+
+def spanning_pairs(fps: np.ndarray, most: int, table: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs within ``most`` bits that join what all such pairs join, the nearest pairs first."""
     n, chosen = len(fps), []
     label = np.arange(n)
-    if n <= 64:
-        bits = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    if n <= STEP:  # one step: the table's pairs stand in memory at once
+        table = pivot_distances(fps) if table is None else table
+        a, b = np.triu_indices(n, 1)
+        near = np.abs(table[a] - table[b]).max(axis=1, initial=0) <= most
+        a, b = a[near], b[near]
+        bits = np.bitwise_count(fps[a] ^ fps[b])
         for d in range(most + 1):
-            i, j = np.nonzero(np.triu(bits == d, 1))
-            chosen += _joining(n, i, j, label)
+            chosen += _joining(n, a[bits == d], b[bits == d], label)
         return chosen
     for d in range(most + 1):
         for i, j in near_pairs(fps, fps, d):
@@ -148,15 +159,23 @@ def _pieces(keyed: DataFrame, carried: list[str] | None = None) -> DataFrame:
 def links(nodes: DataFrame, *, most: int = 3) -> DataFrame:
     """(node, fp), a row a node -> a, b: pairs within ``most`` bits that join all that such pairs join.
 
-    Fingerprints that differ in at most ``most`` bits agree in one of most + 1
-    blocks of bits, so those that share a block's value are compared.  A group
-    of m fingerprints gives m - 1 pairs at most, the nearest ones.
+    Of b blocks of bits, fingerprints that differ in at most ``most`` bits agree
+    in b - most or more, so those that share the bits of so many are compared.
+    More blocks make longer keys and more of them; b follows the number of
+    nodes, so that few of them share a key by chance.  A group of m
+    fingerprints gives m - 1 pairs at most, the nearest ones.
     """
-    width, blocks = -(-64 // (most + 1)), most + 1
-    block = F.explode(
-        F.array(*[F.struct(F.lit(j).alias("block"), F.shiftrightunsigned("fp", j * width).bitwiseAND((1 << min(width, 64 - j * width)) - 1).alias("value")) for j in range(blocks)])
-    )
-    keyed = nodes.select("node", "fp", block.alias("k")).select("node", "fp", "k.*")
+    n = nodes.count()
+    blocks = most + 1
+    while blocks < most + 4 and n >> (64 * (blocks - most) // blocks) > CHANCE:
+        blocks += 1
+    ends = [64 * j // blocks for j in range(blocks + 1)]
+    keys = []
+    for k, chosen in enumerate(combinations(range(blocks), blocks - most)):
+        mask = sum((1 << ends[j + 1]) - (1 << ends[j]) for j in chosen)
+        mask -= (mask >> 63) << 64
+        keys.append(F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("value")))
+    keyed = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("k")).select("node", "fp", "k.*")
     cells = _pieces(keyed).repartition("block", "value", "p", "q").sortWithinPartitions("block", "value", "p", "q")
 
     def batched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,13 +195,11 @@ def links(nodes: DataFrame, *, most: int = 3) -> DataFrame:
 
     def _linked(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
         fps, ids = rows["fp"].to_numpy().view(np.uint64), rows["node"].to_numpy()
-        a, b = [], []
+        a, b, table = [], [], pivot_distances(fps)
         for start, stop in zip(cuts[:-1], cuts[1:]):
-            n = stop - start
-            if n < 2:
+            if stop - start < 2:
                 continue
-            own = fps[start:stop]
-            for i, j in spanning_pairs(own, most):
+            for i, j in spanning_pairs(fps[start:stop], most, table[start:stop]):
                 a.append(ids[start + i])
                 b.append(ids[start + j])
         if not a:
