@@ -43,7 +43,7 @@ SCRIPTS = [
     (0xAC00, 0xD7AF, 15),  # Hangul
 ]
 N_SCRIPTS = 16
-_SPANS = "doc_id long, n_letters long, spans array<struct<lang: string, first_word: int, n_words: int, letters: long>>"
+_SPANS = "n_letters long, spans array<struct<lang: string, first_word: int, n_words: int, letters: long>>"
 
 
 @cache
@@ -226,7 +226,7 @@ def _span_batch(ids: list, numbers: list[np.ndarray], memory: _Memory, schema: p
         offsets[1:] = np.cumsum(np.bincount(text[begins], minlength=len(ids)))
     names = pa.array(memory.model.languages or [""], pa.string()).take(pa.array(columns[0]))
     spans = pa.StructArray.from_arrays([names, pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64())], names=["lang", "first_word", "n_words", "letters"])
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_letters), pa.ListArray.from_arrays(pa.array(offsets), spans)], schema=schema)
+    return pa.RecordBatch.from_arrays([pa.array(ids, schema.field("doc_id").type), pa.array(n_letters), pa.ListArray.from_arrays(pa.array(offsets), spans)], schema=schema)
 
 
 def label_spans(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,11 +236,12 @@ def label_spans(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_c
     languages, has no spans.
     """
     fields = [("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("letters", pa.int64())]
-    schema = pa.schema([("doc_id", pa.int64()), ("n_letters", pa.int64()), ("spans", pa.list_(pa.struct(fields)))])
+    rest = [("n_letters", pa.int64()), ("spans", pa.list_(pa.struct(fields)))]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, ids, numbers, n = _Memory(model), [], [], 0
+        memory, ids, numbers, n, schema = _Memory(model), [], [], 0, None
         for batch in batches:
+            schema = pa.schema([batch.schema.field("doc_id"), *rest])
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 words = (text.as_py() or "").lower().split()
                 ids.append(i)
@@ -254,7 +255,7 @@ def label_spans(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_c
         if ids:
             yield _span_batch(ids, numbers, memory, schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(label, _SPANS)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(label, f"doc_id {docs.schema[id_col].dataType.simpleString()}, {_SPANS}")
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held_out: int = 1) -> DataFrame:

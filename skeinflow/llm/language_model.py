@@ -27,7 +27,7 @@ BUCKETS, STEPS, ROUNDS = 40, 4, 60
 #: No word hashes like the empty one: it ends each text and stands before its first word.
 END = np.uint64(xxhash.xxh64_intdigest(b""))
 
-_CHUNKS = "chunk long, deleted boolean, ids array<long>, lengths binary, train binary, words binary, tokens binary"
+_CHUNKS = "chunk long, deleted boolean, ids array<%s>, lengths binary, train binary, words binary, tokens binary"
 _SENT = "chunk long, deleted boolean, part int, n int, keys binary, kept binary, held binary"
 _TOTALS = "chunk long, deleted boolean, part int, n long, kept binary, held binary, total long"
 
@@ -75,22 +75,24 @@ def _chunk_row(number: int, deleted: bool, docs: list) -> dict:
     }
 
 
-_CHUNK_SCHEMA = pa.schema([("chunk", pa.int64()), ("deleted", pa.bool_()), ("ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("lengths", "train", "words", "tokens"))])
+def _chunk_schema(id_type: pa.DataType) -> pa.Schema:
+    return pa.schema([("chunk", pa.int64()), ("deleted", pa.bool_()), ("ids", pa.list_(id_type)), *((c, pa.binary()) for c in ("lengths", "train", "words", "tokens"))])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, text, train, deleted -> chunks; texts whose counts are deleted get chunks of their own."""
     cache, open_docs, held_bytes = _Hashes(), {False: [], True: []}, {False: 0, True: 0}
-    number = TaskContext.get().partitionId() << 32
+    number, schema = TaskContext.get().partitionId() << 32, None
 
     def close(kind: bool) -> pa.RecordBatch:
         nonlocal number
         row = _chunk_row(number, kind, open_docs[kind])
         number += 1
         open_docs[kind], held_bytes[kind] = [], 0
-        return pa.RecordBatch.from_pylist([row], schema=_CHUNK_SCHEMA)
+        return pa.RecordBatch.from_pylist([row], schema=schema)
 
     for batch in batches:
+        schema = _chunk_schema(batch.schema.field("id").type)
         ids, train, deleted = (batch.column(c).to_pylist() for c in ("id", "train", "deleted"))
         for i, text, t, d in zip(ids, batch.column("text"), train, deleted):
             words = text.as_buffer().to_pybytes().lower().split()
@@ -249,9 +251,10 @@ def mixture(cells: list[tuple[int, int, int, int]], types: int) -> np.ndarray:
 
 
 def _score(tokens_n: int, types: int, weights: np.ndarray):
-    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_tokens", "n_known")), ("base_score", pa.float64()), ("score", pa.float64())])
+    numbers = [*((c, pa.int64()) for c in ("n_tokens", "n_known")), ("base_score", pa.float64()), ("score", pa.float64())]
 
     def score(table: pa.Table) -> pa.Table:
+        id_type = table.schema.field("ids").type.value_type
         own, chunk, kept, held = _meet(table)
         c = [a + b for a, b in zip(kept, held)]
         context, single, pair = c[0][chunk.context], c[0][chunk.at[0]], c[1][chunk.at[1]]
@@ -259,7 +262,7 @@ def _score(tokens_n: int, types: int, weights: np.ndarray):
         p = w[:, 0] * (pair / np.maximum(context, 1)) + w[:, 1] * (single / max(tokens_n, 1)) + w[:, 2] / (types + 1)
         base = np.log10((single + 1) / (tokens_n + types + 1))
         sums = [np.add.reduceat(x, chunk.starts) for x in ((single > 0).astype(np.int64), base, np.log10(p))]
-        return pa.table([pa.array(own["ids"], pa.int64()), pa.array(chunk.lengths), *map(pa.array, sums)], schema=schema)
+        return pa.table([pa.array(own["ids"], id_type), pa.array(chunk.lengths), *map(pa.array, sums)], schema=pa.schema([("doc_id", id_type), *numbers]))
 
     return score
 
@@ -282,26 +285,27 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     fold = crc_fold(F.col(id_col), folds)
     rows = docs.select(
-        F.col(id_col).cast("long").alias("id"),
+        F.col(id_col).alias("id"),
         F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"),
         (fold != held_out).alias("train"),
         (fold == deleted).alias("deleted"),
     )
-    chunks = materialize(rows.mapInArrow(_chunks, _CHUNKS), "lm-chunks")
+    id_type = docs.schema[id_col].dataType.simpleString()
+    chunks = materialize(rows.mapInArrow(_chunks, _CHUNKS % id_type), "lm-chunks")
     parts = max(1, chunks.count())
     sent = chunks.mapInArrow(_send(parts), _SENT)
     totals = materialize(sent.groupBy("part").applyInArrow(_add_up, _TOTALS), "lm-totals")
     sums = {r["n"]: r["s"] for r in totals.where("chunk = -1").groupBy("n").agg(F.sum("total").alias("s")).collect()}
     tokens_n, types, kept_n = (sums.get(k, 0) for k in (-1, -2, -3))
 
-    empty = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("lengths", "binary"), ("train", "binary"), ("words", "binary"), ("tokens", "binary"))]
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("ids", f"array<{id_type}>"), ("lengths", "binary"), ("train", "binary"), ("words", "binary"), ("tokens", "binary"))]
     blank = [F.lit(None).cast(t).alias(c) for c, t in (("part", "int"), ("n", "long"), ("kept", "binary"), ("held", "binary"))]
     both = chunks.select("*", *blank).unionByName(totals.where("chunk >= 0").drop("total").select("*", *empty))
     cells = both.where("deleted").groupBy("chunk").applyInArrow(_held_out(kept_n), "bucket int, p2 int, p1 int, n long")
     # at most BUCKETS * (64 * STEPS) ** 2 cells however much text there is
     cells = cells.groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n")).collect()
     weights = mixture([tuple(r) for r in cells], types)
-    scored = both.groupBy("chunk").applyInArrow(_score(tokens_n, types, weights), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    scored = both.groupBy("chunk").applyInArrow(_score(tokens_n, types, weights), f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double")
     return scored.select(
         "doc_id",
         (crc_fold(F.col("doc_id"), folds) == held_out).alias("held_out"),

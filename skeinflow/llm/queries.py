@@ -37,7 +37,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(_table(spark, sf_dir, "documents")).drop("spans")
+    return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
