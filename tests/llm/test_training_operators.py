@@ -1,9 +1,11 @@
 """Operators for training data against brute force, and on odd tables."""
 
+import hashlib
 import math
 import re
 import zlib
 from collections import Counter
+from datetime import date, timedelta
 from itertools import combinations
 
 import numpy as np
@@ -178,6 +180,14 @@ def test_neighbours(spark):
     assert neighbours.nearest(few.limit(0)).count() == 0
 
 
+def test_neighbours_of_very_long_vectors(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(120, 5)) * 1e160
+    table = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    out = neighbours.nearest(table).toPandas()
+    assert sorted(out["rank"][out["query_id"] == 0]) == list(range(1, 11)) and len(out) == 20
+
+
 def test_neighbours_in_several_cells(spark, monkeypatch):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(900, 6))
@@ -235,7 +245,7 @@ def test_pii(spark, odd):
     out = {r["doc_id"]: r for r in pii.pseudonymise(table, "k").collect()}
     assert out[4]["text"] == texts[4] and out[4]["n_found"] == 0
     a, b, bad = re.findall(r"\d[\d ]{14,18}\d", out[0]["text"])
-    assert a.replace(" ", "") == b and a.count(" ") == 3 and luhn(b) and not luhn(bad) and b != "4111111111111111"
+    assert a.replace(" ", "") == b and a.count(" ") == 3 and luhn(b) and bad == "4111111111111112" and b != "4111111111111111"
     assert "john.doe" not in out[1]["text"] and "@mail1.example.com!" in out[1]["text"] and "123-45-6789" not in out[1]["text"]
     iso, dotted = re.search(r"born (\S+), (\S+) or", out[1]["text"]).groups()
     assert iso != "1984-02-29" and dotted == ".".join(reversed(iso.split("-")))
@@ -251,6 +261,68 @@ def test_pii(spark, odd):
     assert pii.pseudonymise(odd.limit(0), "k").count() == 0
 
 
+def test_pii_leaves_what_is_not_valid(spark):
+    texts = ["ISBN 978-0-306-40615-7, order 1234567890123456", "31.02.2020 2021-13-01 30/02/1999 1850-01-01", "666-12-3456 000-12-3456 123-00-4567", "256.1.1.1 10.0.0.01 1.2.3.999"]
+    out = pii.pseudonymise(frame(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)]), "k").orderBy("doc_id").collect()
+    assert [(r["text"], r["n_found"]) for r in out] == [(t, 0) for t in texts]
+
+
+def feistel(kind, key, left, right, round_):
+    """Ten rounds; round_(half, other, r) turns a half by the other."""
+    for r in range(pii.ROUNDS):
+        left, right = (round_(left, right, r), right) if r % 2 == 0 else (left, round_(right, left, r))
+    return left, right
+
+
+def amount(key, kind, r, other, n):
+    return int(hashlib.sha256(f"{key}:{kind}:{r}:{other}".encode()).hexdigest()[:13], 16) % n
+
+
+def digits_by_hand(text, key, kind):
+    def turn(half, other, r):
+        return "".join(str((int(c) + amount(key, kind, f"{r}.{i}", other, 10)) % 10) for i, c in enumerate(half))
+
+    return "".join(feistel(kind, key, text[: len(text) // 2], text[len(text) // 2 :], turn))
+
+
+def pair_by_hand(left, right, sides, key, kind):
+    for r in range(pii.ROUNDS):
+        if r % 2 == 0:
+            left = (left + amount(key, kind, r, right, sides[0])) % sides[0]
+        else:
+            right = (right + amount(key, kind, r, left, sides[1])) % sides[1]
+    return left, right
+
+
+def test_pii_against_plain_feistel(spark):
+    rng = np.random.default_rng(12)
+    values, expected = [], []
+    for _ in range(40):
+        body = "".join(map(str, rng.integers(0, 10, 15)))
+        check = lambda d: next(c for c in "0123456789" if luhn(d + c))
+        moved = digits_by_hand(body, "k", "number")
+        values.append(body + check(body))
+        expected.append(moved + check(moved))
+        a, b, c = int(rng.integers(1, 666)), int(rng.integers(1, 100)), int(rng.integers(1, 10000))
+        left, right = pair_by_hand((a - 1) * 99 + b - 1, c - 1, (898 * 99, 9999), "k", "ssn")
+        area = left // 99 + 1
+        values.append(f"{a:03d}-{b:02d}-{c:04d}")
+        expected.append(f"{area + (area >= 666):03d}-{left % 99 + 1:02d}-{right + 1:04d}")
+        ip = rng.integers(0, 256, 4).tolist()
+        left, right = pair_by_hand(ip[0] * 256 + ip[1], ip[2] * 256 + ip[3], (65536, 65536), "k", "ip")
+        values.append(".".join(map(str, ip)))
+        expected.append(f"{left // 256}.{left % 256}.{right // 256}.{right % 256}")
+        day = int(rng.integers(0, pii.DAYS))
+        values.append(str(date(1900, 1, 1) + timedelta(day)))
+        while True:
+            left, right = pair_by_hand(day // 270, day % 270, pii.DAY_SIDES, "k", "date")
+            if (day := left * 270 + right) < pii.DAYS:
+                break
+        expected.append(str(date(1900, 1, 1) + timedelta(day)))
+    out = pii.pseudonymise(frame(spark, [(i, f"is {v}.", "en", "a", 1) for i, v in enumerate(values)]), "k").orderBy("doc_id").collect()
+    assert [r["text"] for r in out] == [f"is {v}." for v in expected]
+
+
 def test_pii_is_a_permutation(spark):
     days = spark.range(0, pii.DAYS, 40).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("v"))
     moved = days.select("v", pii.pseudonym(F.col("v"), "k").alias("p")).withColumn("b", pii.pseudonym(F.col("p"), "k", back=True))
@@ -346,6 +418,12 @@ def test_language_model_in_many_chunks(docs, monkeypatch):
     assert whole == cut
 
 
+def test_ids_of_other_types(odd):
+    named = odd.withColumn("doc_id", F.concat(F.lit("d-"), F.coalesce("doc_id", F.lit(-1)).cast("string")))
+    for out in (language_model.score_texts(named), language_id.identify(named)):
+        assert Counter(r[0] for r in out.select("doc_id").collect()) == Counter(r[0] for r in named.select("doc_id").collect())
+
+
 def test_language_model_of_nothing(odd):
     assert language_model.score_texts(odd.limit(0)).count() == 0
 
@@ -451,6 +529,12 @@ def test_decontamination_of_short_items_and_texts(spark):
     assert leaks_found(spark, docs_, items) == expected
 
 
+def test_decontamination_of_tiny_items(spark):
+    items = {1: ["yes"], 2: ["one", "two", "three", "four"], 3: [f"x{k}" for k in range(5)]}
+    docs_ = {1: ["YES!"], 2: ["yes", "yes"], 3: ["one,", "two", "three", "four."], 4: ["one", "two", "three", "four", "five"], 5: items[3]}
+    assert leaks_found(spark, docs_, items) == {(1, 1): (1, 1, 1), (3, 2): (4, 4, 4), (5, 3): (5, 5, 5)}
+
+
 # 9
 
 
@@ -501,6 +585,30 @@ def test_simhash_pieces(docs, monkeypatch):
     assert Counter(map(tuple, simhash.near_duplicates(docs).collect())) == by_hand(rows)
 
 
+@pytest.mark.parametrize("chance", [0, 4])
+def test_simhash_with_longer_keys(docs, monkeypatch, chance):
+    rows = [(r[0], r[1]) for r in docs.select("doc_id", "text").collect()]
+    monkeypatch.setattr(simhash, "CHANCE", chance / 1000)
+    assert Counter(map(tuple, simhash.near_duplicates(docs).collect())) == by_hand(rows)
+
+
+def test_links_are_complete(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    edited = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, d, replace=False)) for b in base for d in (1, 2, 3, 4)]
+    fps = np.unique(np.concatenate([base, np.array(edited, dtype=np.uint64)]))
+    close = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+    label = np.arange(len(fps))
+    while (new := np.array([label[c].min() for c in close])).tolist() != label.tolist():
+        label = new
+    signed = fps.view(np.int64).tolist()
+    nodes = spark.createDataFrame([(i, f) for i, f in enumerate(signed)], "node long, fp long")
+    for chance in (16, 2, 0):
+        monkeypatch.setattr(simhash, "CHANCE", chance)
+        root = {r["node"]: r["root"] for r in simhash.components(simhash.links(nodes)).collect()}
+        assert [root.get(i, i) for i in range(len(fps))] == label.tolist()
+
+
 def test_drop_near_duplicates(spark, odd):
     base = " ".join(f"w{i}" for i in range(300))
     edited = base.replace("w150 ", "other ")
