@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .path_ops import both_ways, dedupe_links, degrees, pair_support
+from .path_ops import both_ways, dedupe_links, degrees, pair_support, steps
 
 
 def link_ends_valid(links: DataFrame) -> DataFrame:
@@ -164,6 +164,56 @@ def unzip_round(links: DataFrame, paths: DataFrame, *, least: int = 2) -> tuple[
     return copies, text.unionByName(left).unionByName(right).distinct()
 
 
+def rewrite_paths(paths: DataFrame, copies: DataFrame) -> DataFrame:
+    """Paths over the copies of ``unzip_round`` -> read_idx (text), idx, contig (text), orient.
+
+    A step goes to the copy that has both its neighbours, at a path's end to
+    the only copy that has the one; where there is none, it goes and the path
+    falls in two, named read.part.
+    """
+    flip = lambda o: F.when(F.col(o) == ">", "<").otherwise(">")
+    ahead = F.col("orient") == ">"
+    s = steps(paths.withColumn("read_idx", F.col("read_idx").cast("string")).withColumn("contig", F.col("contig").cast("string")))
+    none = lambda c, o: F.when(F.col(c).isNotNull(), o)
+    s = s.select(
+        "read_idx", "idx", "contig", "orient",
+        F.when(ahead, F.col("prev_contig")).otherwise(F.col("next_contig")).alias("left"),
+        F.when(ahead, none("prev_contig", F.col("prev_orient"))).otherwise(none("next_contig", flip("next_orient"))).alias("left_orient"),
+        F.when(ahead, F.col("next_contig")).otherwise(F.col("prev_contig")).alias("right"),
+        F.when(ahead, none("next_contig", F.col("next_orient"))).otherwise(none("prev_contig", flip("prev_orient"))).alias("right_orient"),
+    )
+    own = copies.select(*[F.col(c).cast("string").alias(c) for c in ("contig", "copy", "left", "left_orient", "right", "right_orient")])
+    both = s.join(own, ["contig", "left", "left_orient", "right", "right_orient"], "left")
+    for side, other in (("left", "right"), ("right", "left")):
+        single = own.groupBy("contig", side, f"{side}_orient").agg(F.count(F.lit(1)).alias("n"), F.min("copy").alias(f"only_{side}")).where("n = 1").drop("n")
+        both = both.join(single, ["contig", side, f"{side}_orient"], "left").withColumn(f"only_{side}", F.when(F.col(other).isNull(), F.col(f"only_{side}")))
+    both = both.join(own.select("contig", F.lit(True).alias("gone")).distinct(), "contig", "left")
+    both = both.withColumn("new", F.coalesce("copy", "only_left", "only_right", F.when(F.col("gone").isNull(), F.col("contig"))))
+    part = F.sum(F.col("new").isNull().cast("int")).over(Window.partitionBy("read_idx").orderBy("idx"))
+    both = both.withColumn("part", part).where("new is not null")
+    return both.select(F.when(F.col("part") > 0, F.concat_ws(".", "read_idx", "part")).otherwise(F.col("read_idx")).alias("read_idx"), "idx", F.col("new").alias("contig"), "orient")
+
+
+def unzip(links: DataFrame, paths: DataFrame, *, least: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """G17 until stable -> (links, paths, copies); contigs and reads are named by text, copies by contig_number.
+
+    Rounds of independent contigs; paths are rewritten to the copies after
+    each.  A contig is replaced once at most, and a copy has one link at each
+    end, so the rounds end.  copies: (contig, copy, part of its depth).
+    """
+    links = links.select(F.col("n1").cast("string").alias("n1"), "e1", F.col("n2").cast("string").alias("n2"), "e2")
+    paths = paths.select(F.col("read_idx").cast("string").alias("read_idx"), "idx", F.col("contig").cast("string").alias("contig"), "orient").checkpoint()
+    every = None
+    while True:
+        copies, links = unzip_round(links, paths, least=least)
+        links = links.checkpoint()
+        told = copies.select("contig", "copy", "part")
+        every = told if every is None else every.unionByName(told)
+        if not copies.head(1):
+            return links, paths, every
+        paths = rewrite_paths(paths, copies).checkpoint()
+
+
 def duplicated(contigs: DataFrame, links: DataFrame, *, share: float = 0.7) -> DataFrame:
     """Contigs whose one end meets several contigs that have no other way, with at least ``share`` of their depth -> contig, end, copies."""
     ways = both_ways(dedupe_links(links)).join(contigs.select(F.col("contig").alias("n2"), F.col("depth").alias("d2")), "n2")
@@ -179,14 +229,14 @@ def reference_coverage(contigs: DataFrame, links: DataFrame) -> DataFrame:
     return contigs.join(many, "contig", "left_anti").agg((F.sum(F.col("len") * F.col("depth")) / (1 + F.sum("len"))).alias("reference"))
 
 
-def multiplicity(contigs: DataFrame, links: DataFrame, reference: float, *, rounds: int = 10) -> DataFrame:
+def multiplicity(contigs: DataFrame, links: DataFrame, reference: float) -> DataFrame:
     """Copy numbers -> contig, copies: from depth where a contig is unbranched, else the sum of an end's neighbours that are known, until nothing changes."""
     clean = dedupe_links(links).checkpoint()
     d = degrees(clean).groupBy("contig").agg(F.max("degree").alias("most"))
     start = contigs.join(d, "contig", "left").select("contig", F.when(F.coalesce("most", F.lit(0)) <= 1, F.greatest(F.round(F.col("depth") / reference), F.lit(1.0)).cast("int")).alias("copies")).checkpoint()
     ways = both_ways(clean)
     only = degrees(clean).where("degree = 1").select(F.col("contig").alias("n2"), F.col("end").alias("e2"), F.lit(1).alias("one"))
-    for _ in range(rounds):
+    while True:  # each round but the last gives some contig its number
         known = start.select(F.col("contig").alias("n2"), F.col("copies").alias("c2"))
         ends = ways.join(only, ["n2", "e2"], "left").join(known, "n2").groupBy(F.col("n1").alias("contig"), F.col("e1").alias("end")).agg(F.sum("c2").alias("total"), F.bool_and(F.col("c2").isNotNull() & F.col("one").isNotNull()).alias("all"))
         told = ends.where("all").groupBy("contig").agg(F.max("total").cast("int").alias("told"))
@@ -194,7 +244,6 @@ def multiplicity(contigs: DataFrame, links: DataFrame, reference: float, *, roun
         if new.where("copies is not null").count() == start.where("copies is not null").count():
             return new
         start = new
-    return start
 
 
 def contacts(pairs: DataFrame, fragments: DataFrame | None = None) -> DataFrame:
@@ -215,14 +264,16 @@ def barcode_contacts(reads: DataFrame) -> DataFrame:
 
 
 def sinkhorn(matrix: DataFrame, *, rounds: int = 10) -> DataFrame:
-    """(i, j, v) with rows and columns scaled to 1 in turn, rows last -> i, j, v."""
+    """(i, j, v) with rows and columns scaled to 1 in turn, rows last -> i, j, v.
+
+    The matrix stays; only a factor for each row and each column changes.
+    """
+    factors = {side: matrix.select(side).distinct().withColumn(f"f{side}", F.lit(1.0)) for side in ("i", "j")}
     for k in range(2 * rounds + 1):
-        side = "i" if k % 2 == 0 else "j"
-        sums = matrix.groupBy(side).agg(F.sum("v").alias("s"))
-        matrix = matrix.join(sums, side).select("i", "j", (F.col("v") / F.col("s")).alias("v"))
-        if k % 6 == 5:
-            matrix = matrix.checkpoint()
-    return matrix
+        side, other = ("i", "j") if k % 2 == 0 else ("j", "i")
+        sums = matrix.join(factors[other], other).groupBy(side).agg(F.sum(F.col("v") * F.col(f"f{other}")).alias("s"))
+        factors[side] = sums.select(side, (1 / F.col("s")).alias(f"f{side}")).checkpoint()
+    return matrix.join(factors["i"], "i").join(factors["j"], "j").select("i", "j", (F.col("v") * F.col("fi") * F.col("fj")).alias("v"))
 
 
 def best_contacts(matrix: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,9 +50,9 @@ def degrees(links: DataFrame) -> DataFrame:
 
 
 def both_ways(links: DataFrame) -> DataFrame:
-    turned = links.select(F.col("n2").alias("n1"), F.col("e2").alias("e1"), F.col("n1").alias("n2"), F.col("e1").alias("e2"))
+    way, turned = F.struct("n1", "e1", "n2", "e2"), F.struct(F.col("n2").alias("n1"), F.col("e2").alias("e1"), F.col("n1").alias("n2"), F.col("e1").alias("e2"))
     same = (F.col("n1") == F.col("n2")) & (F.col("e1") == F.col("e2"))
-    return links.select("n1", "e1", "n2", "e2").unionByName(turned.where(~same))
+    return links.select(F.explode(F.when(same, F.array(way)).otherwise(F.array(way, turned))).alias("way")).select("way.*")
 
 
 def remove_unsupported(links: DataFrame, paths: DataFrame, *, least: int = 1, careful: bool = False) -> DataFrame:
@@ -117,16 +119,16 @@ def consensus_next(paths: DataFrame) -> DataFrame:
     return ranked.where("k = 1 and (n > 0.6 * total or (n = total - 1 and n >= 2))").drop("k")
 
 
-def consensus_paths(paths: DataFrame, *, most: int = 10) -> DataFrame:
+def consensus_paths(paths: DataFrame) -> DataFrame:
     """From each oriented contig, on along the consensus of the paths that share the way so far -> contig, orient, steps, path.
 
-    Paths are extended step by step; those that leave the consensus drop out.
+    Paths are extended step by step, until there is no consensus anywhere; those that leave it drop out.
     """
     first = paths.select("read_idx", "idx", F.col("contig").alias("start"), F.col("orient").alias("start_orient"))
     own = paths.select("read_idx", F.col("idx").alias("at"), "contig", "orient")
     live = first.withColumn("at", F.col("idx") + 1)
     best = first.select("start", "start_orient").distinct().withColumn("steps", F.lit(0)).withColumn("path", F.lit(""))
-    for k in range(1, most + 1):
+    for k in count(1):
         seen = live.join(own, ["read_idx", "at"])
         n = seen.groupBy("start", "start_orient", "contig", "orient").agg(F.count(F.lit(1)).alias("n"))
         by = Window.partitionBy("start", "start_orient")
@@ -155,22 +157,21 @@ def assign_reads(paths: DataFrame, segments: DataFrame) -> DataFrame:
     return placed.where(F.slice("p", F.col("at") + 1, F.size("m")) == F.col("m")).select("seg_id", "read_idx", "at", "reversed")
 
 
-def reach(links: DataFrame, starts: DataFrame, lengths: DataFrame, *, most: int, hops: int = 8) -> DataFrame:
+def reach(links: DataFrame, starts: DataFrame, lengths: DataFrame, *, most: int) -> DataFrame:
     """Simple paths from contig ends, inner length at most ``most`` -> start, end, target, target_end, inner, path.
 
     starts: (start, end): leaving ``start`` by ``end``; lengths: (contig, len).
-    ``hops`` bounds the rounds; each joins once and is cut from its lineage.
+    Rounds go on until no path does; each joins once and is cut from its lineage.
     """
     ways = both_ways(links).checkpoint()
     live = starts.select("start", "end", F.col("start").alias("n1"), F.col("end").alias("e1"), F.lit(0).cast("long").alias("inner"), F.array("start").alias("path"))
     found = None
-    for _ in range(hops):
+    while True:
         here = live.join(ways, ["n1", "e1"]).where(~F.array_contains("path", F.col("n2"))).select("start", "end", F.col("n2").alias("target"), F.col("e2").alias("target_end"), "inner", F.concat("path", F.array("n2")).alias("path")).checkpoint()
         if not here.head(1):
-            break
+            return here if found is None else found
         found = here if found is None else found.unionByName(here)
         live = here.join(lengths, F.col("target") == F.col("contig")).select("start", "end", F.col("target").alias("n1"), (1 - F.col("target_end")).alias("e1"), (F.col("inner") + F.col("len")).alias("inner"), "path").where(F.col("inner") <= most)
-    return found if found is not None else here
 
 
 def common_contigs(reached: DataFrame, *, n: int) -> DataFrame:

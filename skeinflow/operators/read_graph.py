@@ -14,13 +14,18 @@ from pyspark.sql import functions as F
 CUT = 4
 
 
+def _both_ways(pairs: DataFrame, by: tuple[str, ...], *values: str) -> DataFrame:
+    """Each pair and its turn, from one pass over the pairs."""
+    ends = F.explode(F.array(F.struct("r1", "r2"), F.struct(F.col("r2").alias("r1"), F.col("r1").alias("r2"))))
+    return pairs.select(*by, ends.alias("ends"), *values).select(*by, "ends.r1", "ends.r2", *values)
+
+
 def distances(sims: DataFrame, *, by: tuple[str, ...] = ("contig",)) -> DataFrame:
     """Both directions of each pair with d = 1 - max(0, diff - 1) / (sim + diff), 0 if too little is shared -> by, r1, r2, d.
 
     Too little is less than 0.7 of the read's largest similarity.
     """
-    turned = sims.select(*by, F.col("r2").alias("r1"), F.col("r1").alias("r2"), "sim", "diff")
-    both = sims.select(*by, "r1", "r2", "sim", "diff").unionByName(turned)
+    both = _both_ways(sims, by, "sim", "diff")
     top = F.max("sim").over(Window.partitionBy(*by, "r1"))
     value = 1 - F.greatest(F.lit(0), F.col("diff") - 1) / (F.col("sim") + F.col("diff"))
     far = (F.col("sim") <= 0) | (F.col("sim") + F.col("diff") < 0.7 * F.col("top"))
@@ -43,7 +48,7 @@ def nearest_reads(pairs: DataFrame, *, error: float = 0.05, by: tuple[str, ...]
     steep = F.col("s0") - 3 * (F.col("s0") - F.coalesce("s1", "s0"))
     ranked = ranked.withColumn("high", F.when(steep == 1, after).otherwise(steep))
     kept = ranked.where((F.col("d") > 1 - 2 * error) & ((F.col("k") <= 5) | (F.col("d") == 1) | (F.col("d") >= F.col("high")))).select(*by, "r1", "r2")
-    return kept.unionByName(kept.select(*by, F.col("r2").alias("r1"), F.col("r1").alias("r2"))).distinct()
+    return _both_ways(kept, by).distinct()
 
 
 def strengthen(edges: DataFrame, *, by: tuple[str, ...] = ("contig",)) -> DataFrame:

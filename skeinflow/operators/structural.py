@@ -5,6 +5,8 @@ Mappings are rows (read_idx, ord, contig, qs, qe, qlen, ts, te, clen, strand).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,19 +82,27 @@ def greedy_bridges(bridges_: DataFrame, *, near: int = 1000, gap_near: int = 100
     order = Window.partitionBy(*key).orderBy("pos1")
     rows = bridges_.withColumn("_new", F.when(F.col("pos1") - F.lag("pos1").over(order) <= near, 0).otherwise(1)).withColumn("run", F.sum("_new").over(order)).drop("_new")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pos1", "pos2", "read_idx", "ord"], ignore_index=True)
-        anchors: list[tuple[int, int, int]] = []
-        found = []
-        for p1, p2, gap in zip(pdf["pos1"], pdf["pos2"], pdf["gap"]):
-            at = next((a for a in anchors if abs(a[0] - p1) <= near and abs(a[1] - p2) <= near and abs(a[2] - gap) <= gap_near), None)
-            if at is None:
-                anchors.append(at := (p1, p2, gap))
-            found.append(f"{at[0]}:{at[1]}:{at[2]}")
-        return pdf.assign(anchor=found)
+    rows = rows.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy(*key, "run")))
+    alone = rows.where("members = 1").withColumn("anchor", F.concat_ws(":", "pos1", "pos2", "gap"))
+    # runs one after the other, many of them in a batch
+    parts = [*key, "run"]
+    runs = rows.where("members > 1").repartition(*parts).sortWithinPartitions(*parts, "pos1", "pos2", "read_idx", "ord")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, anchors = None, []
+        for pdf in batches:
+            found = []
+            for name, p1, p2, gap in zip(zip(*[pdf[c] for c in parts]), pdf["pos1"], pdf["pos2"], pdf["gap"]):
+                if name != now:
+                    now, anchors = name, []
+                at = next((a for a in anchors if abs(a[0] - p1) <= near and abs(a[1] - p2) <= near and abs(a[2] - gap) <= gap_near), None)
+                if at is None:
+                    anchors.append(at := (p1, p2, gap))
+                found.append(f"{at[0]}:{at[1]}:{at[2]}")
+            yield pdf.assign(anchor=found)
 
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", anchor string"
-    return rows.groupBy(*key, "run").applyInPandas(run, schema).drop("run")
+    return alone.unionByName(runs.mapInPandas(fold, schema)).drop("run", "members")
 
 
 def new_bridges(solid: DataFrame, links: DataFrame) -> DataFrame:

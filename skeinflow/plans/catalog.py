@@ -29,6 +29,9 @@ from lineitem""",
 select l_orderkey as read_idx, l_suppkey as contig, case when l_linestatus = 'F' then '>' else '<' end as orient,
        cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as bigint) as idx
 from lineitem""",
+    "v_walk": """
+select read_idx, idx, cast((read_idx + idx) % 40 + case when contig % 7 = 0 then 40 else 0 end as bigint) as contig, case when contig % 11 = 0 then '<' else '>' end as orient
+from (select l_orderkey as read_idx, l_suppkey as contig, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as bigint) as idx from lineitem) t""",
     "v_links": """
 select c1, c2, count(*) as n from (
   select least(contig, nxt) as c1, greatest(contig, nxt) as c2 from (
@@ -50,7 +53,7 @@ select l_orderkey as read_idx, l_linenumber as ln, l_partkey as part, l_suppkey
 from lineitem""",
 }
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC"
-_SEQ = "select doc_id as contig, source, n_chars, translate(upper(substr(regexp_replace(lower(text), '[^a-z]', ''{flag}), 1, 400)), '{a}', '{b}') as seq from documents"
+_SEQ = "select doc_id as contig, source, n_chars, translate(upper(regexp_replace(lower(text), '[^a-z]', ''{flag})), '{a}', '{b}') as seq from documents"
 VIEWS["v_seq"] = _SEQ.format(flag="", a=_LETTERS[0], b=_LETTERS[1])
 #: Parts that several oracles share, in DuckDB's SQL.
 PARTS: dict[str, str] = {}

@@ -16,11 +16,16 @@ PARTS["t_take"] = "select contig as a, case when orient = '>' then 1 else 0 end
 PARTS["t_used"] = """
 select case when s then b else a end as n1, case when s then eb else ea end as e1, case when s then a else b end as n2, case when s then ea else eb end as e2, count(*) as support
 from (select *, b < a or (b = a and eb < ea) as s from t_take) t group by all"""
-#: The graph of the tests: links that a read takes through the first contigs, once each.
-PARTS["t_link"] = "select n1, e1, n2, e2 from t_used where (n1 + n2) % 7 = 0 and n1 <> n2"
+#: The links that reads take, once each; a graph in which nearly every contig meets every other.
+PARTS["t_taken"] = "select n1, e1, n2, e2 from t_used where n1 <> n2"
+PARTS["t_taken_way"] = "select n1, e1, n2, e2 from t_taken union all select n2, e2, n1, e1 from t_taken"
+#: A sparse graph of all parts: what follows a contig is told by its part's size, so that there are chains, forks, tips and turns.
+PARTS["t_link"] = """
+select n1, e1, n2, e2 from (select distinct p_partkey as n1, 1 as e1, p_partkey + unnest(case p_size % 10 when 0 then [] when 1 then [1, 2] when 2 then [1, 3] else [1] end) as n2, 0 as e2 from part) t
+where n2 in (select p_partkey from part)"""
 PARTS["t_way"] = "select n1, e1, n2, e2 from t_link union all select n2, e2, n1, e1 from t_link"
 PARTS["t_deg"] = "select n1 as contig, e1 as \"end\", count(*) as degree from t_way group by all"
-PARTS["t_ctg"] = "select s_suppkey as contig, cast(s_nationkey * 100 + 40 as bigint) as len, cast(abs(s_acctbal) / 100 as double) as depth from supplier"
+PARTS["t_ctg"] = "select p_partkey as contig, cast(p_size * 40 + 40 as bigint) as len, cast((p_partkey * 37) % 100 as double) as depth from part"
 PARTS["t_map"] = """
 select l_orderkey as read_idx, cast(row_number() over w as bigint) as ord, l_suppkey as contig, cast(l_partkey as bigint) as qs, cast(l_partkey + l_quantity * 40 as bigint) as qe,
   cast(6000 as bigint) as qlen, cast(l_partkey as bigint) as ts, cast(l_partkey + l_quantity * 40 as bigint) as te, cast(9000 as bigint) as clen, case when l_linestatus = 'F' then 1 else 0 end as strand
@@ -34,12 +39,22 @@ def path_steps(spark, sf_dir):
     return view(spark, sf_dir, "v_path_step")
 
 
+def taken_links(spark, sf_dir):
+    return po.used_links(path_steps(spark, sf_dir)).where("n1 <> n2").select("n1", "e1", "n2", "e2")
+
+
 def links(spark, sf_dir):
-    return po.used_links(path_steps(spark, sf_dir)).where("(n1 + n2) % 7 = 0 and n1 <> n2").select("n1", "e1", "n2", "e2")
+    part = table(spark, sf_dir, "part")
+    steps = lambda *n: F.array(*map(F.lit, n)).cast("array<int>")
+    kind = F.col("p_size") % 10
+    next_ = F.explode(F.when(kind == 0, steps()).when(kind == 1, steps(1, 2)).when(kind == 2, steps(1, 3)).otherwise(steps(1)))
+    made = part.select(F.col("p_partkey").alias("n1"), next_.alias("step")).select("n1", F.lit(1).alias("e1"), (F.col("n1") + F.col("step")).alias("n2"), F.lit(0).alias("e2")).distinct()
+    return made.join(part.select(F.col("p_partkey").alias("n2")), "n2", "left_semi").select("n1", "e1", "n2", "e2")
 
 
 def contigs(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("contig"), (F.col("s_nationkey") * 100 + 40).cast("long").alias("len"), (F.abs("s_acctbal") / 100).alias("depth"))
+    depth = ((F.col("p_partkey") * 37) % 100).cast("double")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("contig"), (F.col("p_size") * 40 + 40).cast("long").alias("len"), depth.alias("depth"))
 
 
 def mappings(spark, sf_dir):
@@ -64,9 +79,9 @@ def u3(spark, sf_dir):
     return po.dedupe_links(po.both_ways(links(spark, sf_dir)))
 
 
-@query("F7_remove_unsupported_links", "select n1, e1, n2, e2 from t_used where (n1 + n2) % 7 = 0 and n1 <> n2 and support >= 2")
+@query("F7_remove_unsupported_links", "select n1, e1, n2, e2 from t_used where n1 <> n2 and support >= 2")
 def f7(spark, sf_dir):
-    return po.remove_unsupported(links(spark, sf_dir), path_steps(spark, sf_dir), least=2)
+    return po.remove_unsupported(taken_links(spark, sf_dir), path_steps(spark, sf_dir), least=2)
 
 
 _PAIR = """
@@ -88,11 +103,11 @@ def j12(spark, sf_dir):
 
 @query(
     "G16_split_invalid_paths",
-    """with c as (select s.read_idx, s.idx, s.contig, s.orient, case when s.prev_contig is not null and not exists (select 1 from t_way w where w.n1 = s.prev_contig and w.e1 = case when s.prev_orient = '>' then 1 else 0 end and w.n2 = s.contig and w.e2 = case when s.orient = '>' then 0 else 1 end) then 1 else 0 end as cut from t_step s)
+    """with c as (select s.read_idx, s.idx, s.contig, s.orient, case when s.prev_contig is not null and not exists (select 1 from t_taken_way w where w.n1 = s.prev_contig and w.e1 = case when s.prev_orient = '>' then 1 else 0 end and w.n2 = s.contig and w.e2 = case when s.orient = '>' then 0 else 1 end) then 1 else 0 end as cut from t_step s)
 select read_idx, cast(sum(cut) over (partition by read_idx order by idx) as bigint) as part, idx, contig, orient from c""",
 )
 def g16(spark, sf_dir):
-    return po.split_invalid(path_steps(spark, sf_dir), links(spark, sf_dir))
+    return po.split_invalid(path_steps(spark, sf_dir), taken_links(spark, sf_dir))
 
 
 @query("J10_next_alignment", "select read_idx, ord, contig, lead(contig) over w as next_contig, lead(start_c) over w - end_c as gap from v_aln window w as (partition by read_idx order by ord)")
@@ -110,17 +125,17 @@ def a23(spark, sf_dir):
     return po.coverage(p, ends).withColumn("coverage", F.round("coverage", 6))
 
 
-_NEXT = "select contig, orient, next_contig, next_orient, n, cast(sum(n) over (partition by contig, orient) as bigint) as total, row_number() over (partition by contig, orient order by n desc, next_contig, next_orient) as k from (select contig, orient, next_contig, next_orient, count(*) as n from t_step where next_contig is not null group by all) a"
+_NEXT = "with t_walk_step as (select contig, orient, lead(contig) over w as next_contig, lead(orient) over w as next_orient from v_walk window w as (partition by read_idx order by idx)) select contig, orient, next_contig, next_orient, n, cast(sum(n) over (partition by contig, orient) as bigint) as total, row_number() over (partition by contig, orient order by n desc, next_contig, next_orient) as k from (select contig, orient, next_contig, next_orient, count(*) as n from t_walk_step where next_contig is not null group by all) a"
 
 
 @query("A25_consensus_next", f"select contig, orient, next_contig, next_orient, n, total from ({_NEXT}) t where k = 1 and (n > 0.6 * total or (n = total - 1 and n >= 2))")
 def a25(spark, sf_dir):
-    return po.consensus_next(path_steps(spark, sf_dir))
+    return po.consensus_next(view(spark, sf_dir, "v_walk"))
 
 
 @query("A25_consensus_path")
 def a25p(spark, sf_dir):
-    return po.consensus_paths(path_steps(spark, sf_dir))
+    return po.consensus_paths(view(spark, sf_dir, "v_walk"))
 
 
 @query(
@@ -139,20 +154,20 @@ def j19(spark, sf_dir):
 
 @query(
     "J18_graph_reach_paths",
-    """with recursive w as (select n1 as start, e1 as "end", n2 as target, e2 as target_end, cast(0 as bigint) as inner_len, [n1, n2] as path from t_way where n1 <= 3 and n1 <> n2
-union all select w.start, w."end", t.n2, t.e2, w.inner_len + c.len, list_append(w.path, t.n2) from w join t_ctg c on c.contig = w.target join t_way t on t.n1 = w.target and t.e1 = 1 - w.target_end where not list_contains(w.path, t.n2) and w.inner_len + c.len <= 700 and len(w.path) < 4)
+    """with recursive w as (select n1 as start, e1 as "end", n2 as target, e2 as target_end, cast(0 as bigint) as inner_len, [n1, n2] as path from t_way where n1 <> n2
+union all select w.start, w."end", t.n2, t.e2, w.inner_len + c.len, list_append(w.path, t.n2) from w join t_ctg c on c.contig = w.target join t_way t on t.n1 = w.target and t.e1 = 1 - w.target_end where not list_contains(w.path, t.n2) and w.inner_len + c.len <= 700)
 select start, "end", target, target_end, inner_len, len(path) as n from w""",
 )
 def j18(spark, sf_dir):
-    ways = po.both_ways(links(spark, sf_dir)).where("n1 <= 3").select(F.col("n1").alias("start"), F.col("e1").alias("end")).distinct()
-    found = po.reach(links(spark, sf_dir), ways, contigs(spark, sf_dir), most=700, hops=3)
+    ways = po.both_ways(links(spark, sf_dir)).select(F.col("n1").alias("start"), F.col("e1").alias("end")).distinct()
+    found = po.reach(links(spark, sf_dir), ways, contigs(spark, sf_dir), most=700)
     return found.select("start", "end", "target", "target_end", F.col("inner").alias("inner_len"), F.size("path").cast("long").alias("n"))
 
 
-@query("U1_common_contigs", "select t.n2 as target from t_way t where t.n1 <= 10 group by t.n2 having count(distinct (t.n1, t.e1)) >= 3")
+@query("U1_common_contigs", "select t.n2 as target from t_way t group by t.n2 having count(distinct (t.n1, t.e1)) >= 3")
 def u1(spark, sf_dir):
-    ways = po.both_ways(links(spark, sf_dir)).where("n1 <= 10").select(F.col("n1").alias("start"), F.col("e1").alias("end")).distinct()
-    return po.common_contigs(po.reach(links(spark, sf_dir), ways, contigs(spark, sf_dir), most=0, hops=1), n=3)
+    ways = po.both_ways(links(spark, sf_dir)).select(F.col("n1").alias("start"), F.col("e1").alias("end")).distinct()
+    return po.common_contigs(po.reach(links(spark, sf_dir), ways, contigs(spark, sf_dir), most=0), n=3)
 
 
 @query("G15_read_paths")
@@ -247,14 +262,14 @@ def f10(spark, sf_dir):
     return ag.redundant_contigs(rows, links(spark, sf_dir))
 
 
-@query("G17_repeat_pairs", "select p.*, row_number() over (partition by p.contig order by n desc, \"left\", left_orient, \"right\", right_orient) as k from t_pairs2 p where n >= 2 and contig in (select contig from t_deg where degree > 1)")
+@query("G17_repeat_pairs", "select p.*, row_number() over (partition by p.contig order by n desc, \"left\", left_orient, \"right\", right_orient) as k from t_pairs2 p where n >= 2 and contig in (select contig from (select n1 as contig, e1 from t_taken_way group by n1, e1 having count(*) > 1) d)")
 def g17p(spark, sf_dir):
-    return ag.repeat_pairs(links(spark, sf_dir), path_steps(spark, sf_dir)).withColumn("k", F.col("k").cast("long"))
+    return ag.repeat_pairs(taken_links(spark, sf_dir), path_steps(spark, sf_dir)).withColumn("k", F.col("k").cast("long"))
 
 
 @query("G17_unzip_repeats")
 def g17(spark, sf_dir):
-    return ag.unzip_round(links(spark, sf_dir), path_steps(spark, sf_dir), least=1)[1]
+    return ag.unzip(taken_links(spark, sf_dir), path_steps(spark, sf_dir))[0]
 
 
 @query(

@@ -13,22 +13,27 @@ from .graph_queries import links, matrix
 @query("A1_pileup_build")
 def a1(spark, sf_dir):
     seqs = view(spark, sf_dir, "v_seq").where(F.length("seq") >= 60)
-    reads = seqs.select(F.col("contig").alias("read_idx"), F.substring("seq", 11, 40).alias("seq"))
-    aln = reads.select("read_idx", F.col("read_idx").alias("contig_id"), F.lit(10).alias("start"), F.lit(True).alias("strand"), F.lit("2S18M2D3I17M").alias("cigar"))
+    reads = seqs.select(F.col("contig").alias("read_idx"), F.substring("seq", F.lit(11), F.length("seq")).alias("seq"))
+    cigar = F.concat(F.lit("2S18M2D3I"), (F.length("seq") - 23).cast("string"), F.lit("M"))
+    aln = reads.select("read_idx", F.col("read_idx").alias("contig_id"), F.lit(10).alias("start"), F.lit(True).alias("strand"), cigar.alias("cigar"))
     return pileup.build_pileup(aln, reads, seqs.select(F.col("contig").alias("contig_id"), "seq"))
 
 
-@query("C10_infix_align", "select contig, cast(0 as bigint) as distance, instr(substr(seq, 1, 120), substr(seq, 31, 40)) - 1 as start from v_seq where length(seq) >= 120")
+@query("C10_infix_align", "select contig, cast(0 as bigint) as distance, instr(seq, substr(seq, 31, 40)) - 1 as start from v_seq where length(seq) >= 120")
 def c10(spark, sf_dir):
     """Exact infixes are found where they first end."""
-    rows = view(spark, sf_dir, "v_seq").where(F.length("seq") >= 120).select("contig", F.substring("seq", 31, 40).alias("query"), F.substring("seq", 1, 120).alias("target"))
+    rows = view(spark, sf_dir, "v_seq").where(F.length("seq") >= 120).select("contig", F.substring("seq", 31, 40).alias("query"), F.col("seq").alias("target"))
     return kernels.infix_align(rows).select("contig", "distance", "start")
 
 
 @query("C11_greedy_align")
 def c11(spark, sf_dir):
-    rows = view(spark, sf_dir, "v_seq").where(F.length("seq") >= 60).select("contig", F.substring("seq", 1, 50).alias("query"), F.concat(F.substring("seq", 1, 20), F.substring("seq", 23, 30)).alias("target"))
-    return kernels.greedy_align(rows).select("contig", "cigar")
+    """Every piece of 90 letters of the whole texts, against itself without two letters."""
+    starts = F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / 90).cast("int"))).alias("piece")
+    pieces = view(spark, sf_dir, "v_seq").where(F.length("seq") > 0).select("contig", "seq", starts)
+    pieces = pieces.select("contig", "piece", F.substring(F.col("seq"), F.col("piece") * 90 + 1, F.lit(90)).alias("query"))
+    rows = pieces.select("contig", "piece", "query", F.concat(F.substring("query", 1, 20), F.substring("query", 23, 90)).alias("target"))
+    return kernels.greedy_align(rows).select("contig", "piece", "cigar")
 
 
 @query("C21_alternative_backbone")
@@ -91,13 +96,13 @@ def g28(spark, sf_dir):
 
 @query("G36_biclustering")
 def g36(spark, sf_dir):
-    cells = view(spark, sf_dir, "v_pileup_event").where("contig <= 5")
+    cells = view(spark, sf_dir, "v_pileup_event")
     values = cells.select("contig", F.floor(F.col("pos") / 12).alias("win"), "read_idx", "pos", F.col("allele").isin("A", "C").cast("int").alias("v"))
     return bicluster.haplotypes(values)
 
 
-@query("G32_reassemble_unaligned", "select cast(read_idx as bigint) as read_idx, count(*) as n from (select read_idx, start_c - coalesce(max(end_c) over (partition by read_idx order by start_c, end_c rows between unbounded preceding and 1 preceding), 0) as gap from v_aln) t where gap > 100 group by read_idx")
+@query("G32_reassemble_unaligned", "select cast(read_idx as bigint) as read_idx, count(*) as n from (select read_idx, start_c - coalesce(max(end_c) over (partition by read_idx order by start_c, end_c rows between unbounded preceding and 1 preceding), 0) as gap from v_aln union all select read_idx, 2500 - max(end_c) from v_aln group by read_idx union all select o_orderkey, 2500 from orders where o_orderkey not in (select read_idx from v_aln)) t where gap > 100 group by read_idx")
 def g32(spark, sf_dir):
     rows = view(spark, sf_dir, "v_aln")
-    none = table(spark, sf_dir, "orders").limit(0).select(F.col("o_orderkey").alias("read_idx"), F.col("o_orderkey").alias("len"))
-    return windows.unaligned_gaps(rows, none, least=100, start="start_c", end="end_c").groupBy("read_idx").agg(F.count(F.lit(1)).alias("n"))
+    lengths = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("read_idx"), F.lit(2500).cast("long").alias("len"))
+    return windows.unaligned_gaps(rows, lengths, least=100, start="start_c", end="end_c").groupBy("read_idx").agg(F.count(F.lit(1)).alias("n"))

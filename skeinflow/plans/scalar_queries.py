@@ -11,13 +11,13 @@ from .catalog import PARTS, query, table, view
 
 _N = "list_transform(regexp_extract_all(cigar, '(\\d+)([MIDNSHP=X])', 1), lambda x: cast(x as integer))"
 _OP = "regexp_extract_all(cigar, '(\\d+)([MIDNSHP=X])', 2)"
-PARTS["t_cig"] = "select distinct cigar from v_cigar where part < 100"
+PARTS["t_cig"] = "select distinct cigar from v_cigar"
 PARTS["t_run"] = f"select cigar, unnest({_N}) as n, unnest({_OP}) as op, unnest(range(5)) as k from t_cig"
 PARTS["t_contig"] = "select contig, source, n_chars, seq from v_seq"
 
 
 def cigars(spark, sf_dir):
-    return view(spark, sf_dir, "v_cigar").where("part < 100").select("cigar").distinct()
+    return view(spark, sf_dir, "v_cigar").select("cigar").distinct()
 
 
 def contigs(spark, sf_dir):
@@ -53,13 +53,14 @@ def c5(spark, sf_dir):
 
 PARTS["t_trip"] = """
 select contig, i, substr(seq, cast(i as integer), 1) as b2, substr(seq, cast(i + 1 as integer), 1) as b1, substr(seq, cast(i + 2 as integer), 1) as b0
-from (select contig, seq, unnest(range(1, 21)) as i from v_seq where length(seq) >= 30) t"""
+from (select contig, seq, unnest(range(1, length(seq) - 1)) as i from v_seq where length(seq) >= 3) t"""
 
 
 def _trip(spark, sf_dir):
-    rows = contigs(spark, sf_dir).where(F.length("seq") >= 30).select("contig", "seq", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("i"))
-    base = lambda o: F.substring(F.col("seq"), F.col("i") + o, F.lit(1))
-    return rows.select("contig", F.col("i").cast("long").alias("i"), base(0).alias("b2"), base(1).alias("b1"), base(2).alias("b0"))
+    letters = contigs(spark, sf_dir).where(F.length("seq") >= 3).select("contig", F.regexp_extract_all("seq", F.lit("."), F.lit(0)).alias("c"))
+    shift = lambda o: F.slice("c", o, F.size("c") - 2)
+    rows = letters.select("contig", F.posexplode(F.arrays_zip(shift(1).alias("b2"), shift(2).alias("b1"), shift(3).alias("b0"))).alias("i", "b"))
+    return rows.select("contig", (F.col("i") + 1).cast("long").alias("i"), "b.b2", "b.b1", "b.b0")
 
 
 @query("C6_triplet_encode", "select contig, i, cast(33 + 5 * (instr('ACGT-', b2) - 1) + instr('ACGT-', b1) - 1 + 25 * (instr('ACGT-', b0) - 1) as smallint) as symbol from t_trip")
@@ -72,9 +73,9 @@ def c6d(spark, sf_dir):
     return _trip(spark, sf_dir).select("contig", "i", seq.triplet_text(seq.triplet(F.col("b2"), F.col("b1"), F.col("b0"))).alias("val"))
 
 
-@query("C7_sequence_2bit", "select contig, regexp_replace(substr(seq, 11, 50), '[^ACG]', 'T', 'g') as val from v_seq")
+@query("C7_sequence_2bit", "select contig, regexp_replace(seq, '[^ACG]', 'T', 'g') as val from v_seq")
 def c7(spark, sf_dir):
-    return contigs(spark, sf_dir).select("contig", seq.two_bit(F.substring("seq", 11, 50)).alias("val"))
+    return contigs(spark, sf_dir).select("contig", seq.two_bit(F.col("seq")).alias("val"))
 
 
 @query("C8_minimizers")
@@ -109,11 +110,11 @@ def c14(spark, sf_dir):
     return rows.select("f", bits["unmapped"].alias("unmapped"), bits["reverse"].alias("reversed"), bits["secondary"].alias("secondary"), bits["supplementary"].alias("supplementary"))
 
 
-PARTS["t_qual"] = "select doc_id, regexp_replace(substr(text, 1, 100), '[^!-~]', '', 'g') as qual from documents"
+PARTS["t_qual"] = "select doc_id, regexp_replace(text, '[^!-~]', '', 'g') as qual from documents"
 
 
 def _quals(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 100), "[^!-~]", "").alias("qual")).where("qual <> ''")
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^!-~]", "").alias("qual")).where("qual <> ''")
 
 
 @query("C15_mean_phred", "select doc_id, round(list_sum(list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)) / length(qual), 6) as val from t_qual where qual <> ''")
@@ -159,9 +160,9 @@ def c20(spark, sf_dir):
     return cigars(spark, sf_dir).select("cigar", cg.large_indels(F.col("cigar")).alias("n"))
 
 
-@query("F1_normalize_assembly", "select doc_id, regexp_replace(regexp_replace(translate(substr(text, 1, 300), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[-\\x00-\\x20]', '', 'g'), '[^ACGT]', 'A', 'g') as seq from documents")
+@query("F1_normalize_assembly", "select doc_id, regexp_replace(regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[-\\x00-\\x20]', '', 'g'), '[^ACGT]', 'A', 'g') as seq from documents")
 def f1(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 300).alias("seq"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("seq"))
     return sequences.normalise_assembly(rows)
 
 
@@ -194,10 +195,6 @@ def j1(spark, sf_dir):
     return sequences.look_up(rows, names, name="s_nationkey").select("name", "s_nationkey", "n_name")
 
 
-@query("T3_sort_contigs", "select contig, length(seq) as len, cast(row_number() over (order by length(seq) desc, contig) as integer) as place from v_seq qualify place <= 50")
+@query("T3_sort_contigs", "select contig, length(seq) as len from v_seq order by len desc, contig")
 def t3(spark, sf_dir):
-    """The longest fifty: a top-k needs no window over all rows."""
-    rows = contigs(spark, sf_dir).select("contig", F.length("seq").cast("long").alias("len")).orderBy(F.desc("len"), "contig").limit(50)
-    from pyspark.sql import Window
-
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("len"), "contig")))
+    return contigs(spark, sf_dir).select("contig", F.length("seq").cast("long").alias("len")).orderBy(F.desc("len"), "contig")

@@ -33,7 +33,7 @@ def s1(spark, sf_dir):
 @query("S1_scan_fasta", "select name, length(seq) as len, seq from t_doc")
 def s1f(spark, sf_dir):
     rows = _seqs(spark, sf_dir)
-    lines = _lines(rows, 3, F.concat(F.lit(">"), "name", F.lit(" extra")), F.substring("seq", 1, 10), F.substring("seq", 11, 10_000))
+    lines = _lines(rows, 3, F.concat(F.lit(">"), "name", F.lit(" extra")), F.substring("seq", 1, 10), F.substring("seq", F.lit(11), F.length("seq")))
     return formats.fasta(lines).select("name", F.col("len").cast("long").alias("len"), "seq")
 
 
@@ -214,11 +214,11 @@ def s19(spark, sf_dir):
     return matrix(spark, sf_dir).groupBy("i").agg(F.sum("v").alias("coverage"))
 
 
-@query("S20_lookup_contig", "select contig, seq from v_seq where contig < 20")
+@query("S20_lookup_contig", "select contig, seq from v_seq")
 def s20(spark, sf_dir):
     from ..operators import sequences
 
-    wanted = table(spark, sf_dir, "documents").where("doc_id < 20").select(F.col("doc_id").alias("contig"))
+    wanted = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("contig"))
     return sequences.look_up(wanted, view(spark, sf_dir, "v_seq").select("contig", "seq"), name="contig")
 
 
@@ -239,15 +239,15 @@ def k5(spark, sf_dir):
     return sinks.gaf_lines(rows).select("value")
 
 
-@query("K6_export_gfa_segments", "select read_idx as seg_id, string_agg(case when idx % 3 > 0 then contig || '-' || (idx % 3) else contig || '' end, '_' order by idx) as name from v_path_step where read_idx <= 200 group by read_idx")
+@query("K6_export_gfa_segments", "select read_idx as seg_id, string_agg(case when idx % 3 > 0 then contig || '-' || (idx % 3) else contig || '' end, '_' order by idx) as name from v_path_step group by read_idx")
 def k6(spark, sf_dir):
-    rows = view(spark, sf_dir, "v_path_step").where("read_idx <= 200").select(F.col("read_idx").alias("seg_id"), "idx", "contig", (F.col("idx") % 3).alias("copy"))
+    rows = view(spark, sf_dir, "v_path_step").select(F.col("read_idx").alias("seg_id"), "idx", "contig", (F.col("idx") % 3).alias("copy"))
     return sinks.segment_names(rows)
 
 
-@query("K7_export_fasta_segments", "select read_idx as seg_id, string_agg(case when orient = '>' then seq else translate(reverse(seq), 'ACGT', 'TGCA') end, '' order by idx) as seq from v_path_step p join v_seq s on s.contig = p.contig where read_idx <= 200 group by read_idx")
+@query("K7_export_fasta_segments", "select read_idx as seg_id, string_agg(case when orient = '>' then seq else translate(reverse(seq), 'ACGT', 'TGCA') end, '' order by idx) as seq from v_path_step p join v_seq s on s.contig = p.contig group by read_idx")
 def k7(spark, sf_dir):
-    rows = view(spark, sf_dir, "v_path_step").where("read_idx <= 200").select(F.col("read_idx").alias("seg_id"), "idx", "contig", "orient")
+    rows = view(spark, sf_dir, "v_path_step").select(F.col("read_idx").alias("seg_id"), "idx", "contig", "orient")
     return sinks.segment_sequences(rows, view(spark, sf_dir, "v_seq"))
 
 

@@ -181,6 +181,49 @@ def test_unzip(spark):
     assert ag.unzip_round(links, walk(1))[0].count() == 0
 
 
+def test_unzip_until_stable(spark):
+    """Two repeats side by side: one is replaced a round, and the reads go through the copies."""
+    links = spark.createDataFrame([(1, 1, 3, 0), (2, 1, 3, 0), (3, 1, 4, 0), (4, 1, 5, 0), (4, 1, 6, 0)], "n1 long, e1 int, n2 long, e2 int")
+    walks = [(1, 3, 4, 5)] * 5 + [(2, 3, 4, 6)] * 5 + [(6, 4, 3, 2)]
+    rows = [(r, i + 1, c, "<" if r == 10 else ">") for r, path in enumerate(walks) for i, c in enumerate(path)]
+    paths = spark.createDataFrame(rows, "read_idx long, idx long, contig long, orient string")
+    copies = spark.createDataFrame([(4, "4_0", "3_0", ">", 5, ">"), (4, "4_1", "3_1", ">", 6, ">")], "contig long, copy string, left string, left_orient string, right long, right_orient string")
+    over = spark.createDataFrame([("a", 1, "3_0", ">"), ("a", 2, "4", ">"), ("b", 1, "6", "<"), ("b", 2, "4", "<"), ("b", 3, "3_0", "<")], "read_idx string, idx long, contig string, orient string")
+    got = {(r.read_idx, r.idx): r.contig for r in ag.rewrite_paths(over, copies).collect()}
+    assert got == {("a", 1): "3_0", ("a", 2): "4_0", ("b", 1): "6", ("b.1", 3): "3_0"}  # no copy joins 3_0 and 6
+    new, walked, every = ag.unzip(links, paths)
+    one_round = ag.unzip_round(links, paths)[0].count()
+    if one_round:
+        assert every.count() >= one_round and ag.unzip_round(new, walked)[0].count() == 0
+    ends = {(r.n1, r.e1, r.n2, r.e2) for r in new.collect()} | {(r.n2, r.e2, r.n1, r.e1) for r in new.collect()}
+    steps = sorted((r.read_idx, r.idx, r.contig, r.orient) for r in walked.collect())
+    for a, b in zip(steps, steps[1:]):
+        if a[0] == b[0]:
+            assert (a[2], int(a[3] == ">"), b[2], int(b[3] != ">")) in ends
+
+
+def test_greedy_bridges_of_runs(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.randrange(3), 1, 7, 0, rng.randrange(6000), rng.randrange(4000), rng.randrange(3000), 1) for k in range(400)] + [(900, 9, 1, 9, 1, 5, 6, 7, 1)]
+    names = "read_idx long, contig1 long, strand1 int, contig2 long, strand2 int, pos1 long, pos2 long, gap long, ord long"
+    expected, anchors = {}, {}
+    for r in sorted(rows, key=lambda r: (r[5], r[6], r[0], r[8])):
+        own = anchors.setdefault(r[1:5], [])
+        at = next((a for a in own if all(abs(x - y) <= 1000 for x, y in zip(a, r[5:8]))), None)
+        if at is None:
+            own.append(at := r[5:8])
+        expected[r[0]] = ":".join(map(str, at))
+    got = {r.read_idx: r.anchor for r in st.greedy_bridges(spark.createDataFrame(rows, names)).collect()}
+    assert got == expected
+
+
+def test_minimizers_across_pieces(spark):
+    text = "ACGTTGCAACGGTACCATGACCTAGGTTACGATTACAGGC" * 60
+    own = [r.h for r in spark.createDataFrame([(text[i : i + 15],) for i in range(len(text) - 14)], "s string").select(F.xxhash64("s").alias("h")).collect()]
+    expected = list(dict.fromkeys(min(own[i : i + 10]) for i in range(len(own) - 9)))
+    assert one(spark, m=seq.minimizers(F.lit(text), 15, 10)).m == expected
+
+
 def test_chains_and_tips(spark):
     links = spark.createDataFrame([(i, 1, i + 1, 0) for i in range(1, 40)] + [(40, 1, 50, 0), (40, 1, 60, 0), (60, 1, 61, 0)], "n1 long, e1 int, n2 long, e2 int")
     chain = {r.contig: r.chain for r in ag.chains(links).collect()}
