@@ -83,17 +83,19 @@ def partition_distance(left: DataFrame, right: DataFrame, by: tuple[str, ...] =
 
     -> by, p, q, n00, n01, n10, n11, phase, comparable.  Only reads whose vote
     is backed more than once on both sides count; both phasings diverging on
-    two reads strongly or on five weakly means not comparable.
+    two reads that both sides are sure of, or on five that either is sure of,
+    means not comparable.
     """
     a = left.select(*by, F.col("part").alias("p"), "read_idx", F.col("state").alias("s"), F.col("more").alias("m1"), F.col("less").alias("l1"))
     b = right.select(*by, F.col("part").alias("q"), "read_idx", F.col("state").alias("t"), F.col("more").alias("m2"), F.col("less").alias("l2"))
     both = a.join(b, [*by, "read_idx"]).where("p < q and abs(s) = 1 and abs(t) = 1 and m1 > 1 and m2 > 1")
-    solid = (F.col("m1") > divergence_threshold(F.col("m1") + F.col("l1"))) & (F.col("m2") > divergence_threshold(F.col("m2") + F.col("l2")))
+    sure1, sure2 = (F.col(f"m{k}") > divergence_threshold(F.col(f"m{k}") + F.col(f"l{k}")) for k in (1, 2))
+    solid, weak = sure1 & sure2, sure1 | sure2
     same = F.col("s") == F.col("t")
     n = lambda x, y: F.count_if((F.col("s") == x) & (F.col("t") == y))
     sums = both.groupBy(*by, "p", "q").agg(
         n(-1, -1).alias("n00"), n(-1, 1).alias("n01"), n(1, -1).alias("n10"), n(1, 1).alias("n11"),
-        F.count_if(same & solid).alias("same_solid"), F.count_if(~same & solid).alias("other_solid"), F.count_if(same & ~solid).alias("same_weak"), F.count_if(~same & ~solid).alias("other_weak"),
+        F.count_if(same & solid).alias("same_solid"), F.count_if(~same & solid).alias("other_solid"), F.count_if(same & weak).alias("same_weak"), F.count_if(~same & weak).alias("other_weak"),
     )
     phase = F.when(F.col("n00") + F.col("n11") >= F.col("n01") + F.col("n10"), 1).otherwise(-1)
     clash = ((F.col("same_solid") >= 2) & (F.col("other_solid") >= 2)) | ((F.col("same_weak") >= 5) & (F.col("other_weak") >= 5))

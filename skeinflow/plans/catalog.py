@@ -20,6 +20,10 @@ select contig, pos, read_idx, min(allele) as allele from (
   select cast(dayofmonth(ts) as int) as contig, cast(hour(ts) as int) as pos, user_id as read_idx,
          case event_type when 'click' then 'A' when 'error' then 'C' when 'purchase' then 'G' when 'signup' then 'T' else '-' end as allele
   from events) t group by contig, pos, read_idx""",
+    "v_planted": """
+select cast(l_orderkey % 3 as int) as contig, cast(l_linenumber * 10 as int) as pos, l_orderkey as read_idx,
+       min(case when l_linenumber in (5, 6) then case when l_partkey % 3 = 0 then 0 else 1 end when l_orderkey % 2 = 0 then 1 else 0 end) as is_ref
+from lineitem group by l_orderkey, l_linenumber""",
     "v_aln": """
 select l_orderkey as read_idx, l_suppkey as contig, l_partkey as start_c, l_partkey + cast(l_quantity as bigint) as end_c,
        case when l_linestatus = 'F' then 1 else 0 end as strand,

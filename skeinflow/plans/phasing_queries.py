@@ -267,11 +267,12 @@ from (select contig, cast(pos % 2 as integer) as part, read_idx, count(*) filter
 @query(
     "A7_partition_distance",
     """with b as (select a.contig, a.part as p, c.part as q, a.state as s, c.state as t,
-  a.more > 0.5 * (a.more + a.less) + 3 * sqrt((a.more + a.less) / 4.0) and c.more > 0.5 * (c.more + c.less) + 3 * sqrt((c.more + c.less) / 4.0) as solid
+  a.more > 0.5 * (a.more + a.less) + 3 * sqrt((a.more + a.less) / 4.0) and c.more > 0.5 * (c.more + c.less) + 3 * sqrt((c.more + c.less) / 4.0) as solid,
+  a.more > 0.5 * (a.more + a.less) + 3 * sqrt((a.more + a.less) / 4.0) or c.more > 0.5 * (c.more + c.less) + 3 * sqrt((c.more + c.less) / 4.0) as weak
   from t_part a join t_part c on a.contig = c.contig and a.read_idx = c.read_idx and a.part < c.part and a.more > 1 and c.more > 1)
 select contig, p, q, count(*) filter (where s = -1 and t = -1) as n00, count(*) filter (where s = -1 and t = 1) as n01, count(*) filter (where s = 1 and t = -1) as n10, count(*) filter (where s = 1 and t = 1) as n11,
   case when count(*) filter (where s = t) >= count(*) filter (where s <> t) then 1 else -1 end as phase,
-  not ((count(*) filter (where s = t and solid) >= 2 and count(*) filter (where s <> t and solid) >= 2) or (count(*) filter (where s = t and not solid) >= 5 and count(*) filter (where s <> t and not solid) >= 5)) as comparable
+  not ((count(*) filter (where s = t and solid) >= 2 and count(*) filter (where s <> t and solid) >= 2) or (count(*) filter (where s = t and weak) >= 5 and count(*) filter (where s <> t and weak) >= 5)) as comparable
 from b group by contig, p, q""",
 )
 def a7(spark, sf_dir):
@@ -314,3 +315,11 @@ def a31e(spark, sf_dir):
 @query("G1_robust_variants")
 def g1(spark, sf_dir):
     return partitions.robust_sites(cells(spark, sf_dir))
+
+
+@query("G1_planted_variants", "select distinct contig, pos from v_planted where pos not in (50, 60)")
+def g1p(spark, sf_dir):
+    """Reads split in two at most sites, noise at 50 and 60; sites 40 and 70 are not suspicious and to be rescued."""
+    planted = view(spark, sf_dir, "v_planted")
+    suspicious = ~F.col("pos").isin(40, 70)
+    return partitions.robust_sites(planted.where(suspicious), others=planted.where(~suspicious)).select("contig", "pos")

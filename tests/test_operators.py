@@ -109,6 +109,112 @@ def test_planted_sites_are_kept(planted):
     assert found == {60 * (k + 1) for k in range(0, 20, 2)}
 
 
+def plain_fold(columns, spacing, reach):
+    """The fold over columns, read by read: votes {read: [state, more, less]}, right end, columns, correlated."""
+    parts, last = [], -(10**9)
+    for pos, reads, side in columns:
+        if pos - last <= spacing:
+            continue
+        akin, home = 0, None
+        for p in parts:
+            if pos - p["right"] > reach:
+                continue
+            n = {(x, y): 0 for x in (-1, 1) for y in (0, 1)}
+            for r, y in zip(reads, side):
+                if r in p["votes"]:
+                    n[p["votes"][r][0], y] += 1
+            a, b, c, d = n[-1, 0], n[-1, 1], n[1, 0], n[1, 1]
+            total = a + b + c + d
+            if not total:
+                continue
+            if all(0.1 < x / total < 0.9 for x in (c + d, b + d)) and total * (a * d - b * c) ** 2 > 15 * (a + b) * (c + d) * (a + c) * (b + d):
+                akin, p["correlated"] = akin + 1, p["correlated"] + 1
+            low, high = max(0.1 * (a + b), 1), max(0.1 * (c + d), 1)
+            turn = 1 if b <= low and c < high else -1 if a <= low and d < high else 0
+            if turn and total >= len(reads) // 2:
+                home = p
+                break
+        if home is None:
+            parts.append({"votes": {r: [1 if y else -1, 1, 0] for r, y in zip(reads, side)}, "left": pos, "right": pos, "columns": 1, "correlated": akin})
+            continue
+        for r, y in zip(reads, side):
+            sign, v = turn * (1 if y else -1), home["votes"].setdefault(r, [0, 0, 0])
+            if v[0] == sign:
+                v[1] += 1
+            elif v[0] == 0 or v[2] + 1 > v[1]:
+                v[0], v[1] = sign, v[1] + 1
+            else:
+                v[2] += 1
+        home["right"], home["columns"], last = pos, home["columns"] + 1, pos
+    return parts
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_partitions_grow_as_read_by_read(seed):
+    rng = np.random.default_rng(seed)
+    truth, columns, pos = rng.integers(0, 2, (3, 40)), [], 0
+    for _ in range(60):
+        pos += int(rng.integers(1, 30)) + (400 if rng.random() < 0.05 else 0)
+        at = np.sort(rng.choice(40, int(rng.integers(1, 30)), replace=False))
+        wrong = rng.random(len(at)) < 0.1
+        columns.append((pos, at, (truth[rng.integers(0, 3)][at] != wrong).astype(bool)))
+    names = np.arange(100, 140)
+    ours = partitions.grown(columns, names, spacing=5, reach=200)
+    plain = plain_fold([(p, names[at].tolist(), side.astype(int).tolist()) for p, at, side in columns], 5, 200)
+    assert [(p.left, p.columns, p.correlated) for p in ours] == [(p["left"], p["columns"], p["correlated"]) for p in plain]
+    assert [dict(zip(p.reads.tolist(), zip(p.state.tolist(), p.more.tolist(), p.less.tolist()))) for p in ours] == [{r: tuple(v) for r, v in p["votes"].items()} for p in plain]
+
+
+def part(states, more, less, columns=5, left=0, reads=None):
+    as_array = lambda x: np.array(x if isinstance(x, list) else [x] * len(states))
+    return partitions.Partition(np.arange(len(states)) if reads is None else np.array(reads), np.array(states), as_array(more), as_array(less), left, columns, 2)
+
+
+def test_a_new_partition_counts_what_it_correlates_with():
+    at, side = np.arange(40), np.arange(40) % 2 == 0
+    other = side.copy()
+    other[:6] = ~other[:6]  # chi-square 19.6: correlates, but does not fit
+    found = partitions.grown([(10, at, side), (30, at, other)], at)
+    assert [(p.left, p.correlated) for p in found] == [(10, 1), (30, 1)]
+
+
+def test_partitions_that_agree_merge_in_either_phase():
+    a, b = part([1] * 10 + [-1] * 10, 6, 0), part([-1] * 10 + [1] * 10, 6, 0, left=500, reads=list(range(20)))
+    for other in (a, b):
+        phase, comparable, n = a.compared(other)
+        assert (phase, comparable, n) == (1 if other is a else -1, True, (10, 0, 0, 10))
+    merged = partitions.kept([a, b], 20, 0.05)
+    assert len(merged) == 1 and merged[0].state.tolist() == [1] * 10 + [-1] * 10
+    assert merged[0].more.tolist() == [12] * 20 and merged[0].columns == 10
+    crossed = part([1, -1] * 10, 6, 0)
+    assert len(partitions.kept([a, crossed], 20, 0.05)) == 2
+    assert not a.compared(crossed)[1]
+    assert not a.compared(part([1, -1], 6, 0, reads=[90, 91]))[1]
+
+
+def test_merged_votes_of_a_read():
+    a, b = part([1, 1, 1, 0, -2], [3, 2, 12, 0, 1], [0, 1, 0, 0, 0]), part([1, -1, -1, -1, 1], [2, 5, 2, 2, 4], [1, 0, 2, 0, 0])
+    both = a.merged(b, 1)
+    assert [*zip(both.state.tolist(), both.more.tolist(), both.less.tolist())][:4] == [(1, 5, 1), (-1, 6, 2), (1, 12, 0), (-1, 2, 0)]
+    assert both.state[4] == -2
+
+
+def test_other_columns_are_rescued(spark, planted):
+    few = planted.where("pos % 120 = 60 and pos <= 660")
+    rest = planted.where("pos > 660")
+    found = {r.pos for r in partitions.robust_sites(few, others=rest).collect()}
+    assert found == {60 * (k + 1) for k in range(0, 20, 2)}
+
+
+def test_greedy_merge_keeps_clashing_clusters_apart(spark):
+    ratios = spark.createDataFrame([("c", 0, 1, 0.9), ("c", 1, 2, 0.8), ("c", 0, 2, 0.7), ("c", 3, 4, 0.005)], "contig string, c1 long, c2 long, ratio double")
+    labels = spark.createDataFrame([("c", r, r % 5) for r in range(10)], "contig string, read_idx long, label long")
+    clash = spark.createDataFrame([("c", 0, 2, 2), ("c", 1, 2, 1)], "contig string, c1 long, c2 long, n long")
+    merged = lambda bad: {r.label: r.merged for r in read_graph.greedy_merge(ratios, bad, labels).collect()}
+    assert merged(clash) == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+    assert merged(clash.where("n < 2")) == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
+
+
 def test_planted_reads_are_separated(planted):
     robust = planted.where("pos % 120 = 60")
     sims = contingency.similarity_difference(robust)
