@@ -186,9 +186,9 @@ def test_partitions_that_agree_merge_in_either_phase():
     merged = partitions.kept([a, b], 20, 0.05)
     assert len(merged) == 1 and merged[0].state.tolist() == [1] * 10 + [-1] * 10
     assert merged[0].more.tolist() == [12] * 20 and merged[0].columns == 10
-    crossed = part([1, -1] * 10, 6, 0)
+    a, crossed = part([1] * 10 + [-1] * 10, 12, 0), part([1, -1] * 10, 12, 0)  # twelve votes of twelve are sure, six are not
     assert len(partitions.kept([a, crossed], 20, 0.05)) == 2
-    assert not a.compared(crossed)[1]
+    assert not a.compared(crossed)[1] and part([1] * 10 + [-1] * 10, 6, 0).compared(part([1, -1] * 10, 6, 0))[1]
     assert not a.compared(part([1, -1], 6, 0, reads=[90, 91]))[1]
 
 
