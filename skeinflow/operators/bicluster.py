@@ -8,6 +8,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def impute(matrix: np.ndarray, k: int = 10, low: float = 0.3, high: float = 0.7) -> np.ndarray:
@@ -30,13 +31,13 @@ def impute(matrix: np.ndarray, k: int = 10, low: float = 0.3, high: float = 0.7)
     return np.where(out >= high, 1, np.where(out <= low, 0, -1))
 
 
-def complete_linkage(rows: np.ndarray, most: float) -> np.ndarray:
-    """Labels of clusters whose farthest pair differs in at most ``most`` of the columns; nearest clusters first, ties to the earlier."""
+def complete_linkage(rows: np.ndarray, most: float, *, clusters: int = 1) -> np.ndarray:
+    """Labels of clusters whose farthest pair differs in at most ``most`` of the columns, ``clusters`` at least; nearest clusters first, ties to the earlier."""
     n = len(rows)
     far = (rows[:, None, :] != rows[None, :, :]).mean(axis=2) if n else np.zeros((0, 0))
     np.fill_diagonal(far, np.inf)
     label, alive = np.arange(n), np.ones(n, bool)
-    while alive.sum() > 1:
+    while alive.sum() > clusters:
         i, j = divmod(int(np.argmin(far)), n)
         if far[i, j] > most:
             break
@@ -48,6 +49,41 @@ def complete_linkage(rows: np.ndarray, most: float) -> np.ndarray:
     return label
 
 
+def _groups(label: np.ndarray) -> list[np.ndarray]:
+    return [np.flatnonzero(label == k) for k in dict.fromkeys(label.tolist())]
+
+
+def regions(matrix: np.ndarray, quality: int = 3) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    """Columns that go together -> (columns, None), or (columns, which rows have ones) where the rows split in two.
+
+    Columns differ in at most 0.35 of the rows in a region; one of more than 15
+    columns is taken apart at 0.025.  Regions below ``quality`` columns go.  Where
+    ten rows at most are neither ones nor zeros, and two clusters of the rows
+    are each over 0.9 or under 0.1 ones, the region is a split; where they
+    aren't, it goes.  Matrices of 5 rows or 15 columns at most are one region.
+    """
+    rows, cols = matrix.shape
+    if rows <= 5 or cols <= 15:
+        return [(np.arange(cols), None)]
+    found: list[np.ndarray] = []
+    for region in _groups(complete_linkage(matrix.T, 0.35)):
+        parts = [region] if len(region) <= 15 else [region[g] for g in _groups(complete_linkage(matrix[:, region].T, 0.025))]
+        found += [p for p in parts if len(p) >= quality]
+    out: list[tuple[np.ndarray, np.ndarray | None]] = []
+    for region in found:
+        block = np.maximum(matrix[:, region], 0)
+        share, bar = block.mean(axis=1), quality / len(region)
+        if ((share >= bar) & (share <= 1 - bar)).sum() > 10:
+            out.append((region, None))
+            continue
+        label = complete_linkage(block, 1.0, clusters=2)
+        sides = [label == k for k in dict.fromkeys(label.tolist())]
+        means = [block[side].mean() for side in sides]
+        if all(m > 0.9 or m < 0.1 for m in means):
+            out.append((region, sides[int(np.argmax(means))]))
+    return out
+
+
 def quasi_biclique(ones: np.ndarray, error: float = 0.025) -> tuple[np.ndarray, np.ndarray]:
     """G35, greedily and so not equal to an exact solver: rows and columns of a block that is all but ``error`` ones.
 
@@ -137,3 +173,42 @@ def haplotypes(values: DataFrame, *, by: tuple[str, ...] = ("contig", "win"), er
 
     types = dict(values.dtypes)
     return values.groupBy(*keys).applyInPandas(run, ", ".join([*[f"{k} {types[k]}" for k in keys], f"read_idx {types['read_idx']}", "label long"]))
+
+
+def _windows(values: DataFrame, by: tuple[str, ...], found, columns: str) -> DataFrame:
+    """found(matrix, reads, positions) -> rows of ``columns``, of each window."""
+    keys = list(by)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = pdf.pivot_table(index="read_idx", columns="pos", values="v", aggfunc="first")
+        out = pd.DataFrame(found(impute(table.to_numpy(dtype=float)), table.index.to_numpy(), table.columns.to_numpy()), columns=[c.split()[0] for c in columns.split(", ")])
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+
+    types = dict(values.dtypes)
+    return values.groupBy(*keys).applyInPandas(run, ", ".join([*[f"{k} {types[k]}" for k in keys], columns]))
+
+
+def window_regions(values: DataFrame, *, by: tuple[str, ...] = ("contig", "win"), quality: int = 3) -> DataFrame:
+    """Each window's regions -> by, region, positions, ones (reads; null where the rows don't split)."""
+
+    def found(matrix, reads, positions):
+        return [(k, positions[cols].tolist(), None if ones is None else reads[ones].tolist()) for k, (cols, ones) in enumerate(regions(matrix, quality))]
+
+    return _windows(values, by, found, "region int, positions array<long>, ones array<long>")
+
+
+def window_blocks(values: DataFrame, *, by: tuple[str, ...] = ("contig", "win"), error: float = 0.025) -> DataFrame:
+    """Each window's greedy block of ones -> by, reads, positions."""
+
+    def found(matrix, reads, positions):
+        rows, cols = quasi_biclique((matrix == 1).astype(int), error)
+        return [(reads[rows].tolist(), positions[cols].tolist())]
+
+    return _windows(values, by, found, "reads array<long>, positions array<long>")
+
+
+def mean_vectors(values: DataFrame, labels: DataFrame, *, by: tuple[str, ...] = ("contig", "win")) -> DataFrame:
+    """Each cluster's rounded mean at each position, halves to the even -> by, label, pos, mean."""
+    return values.join(labels, [*by, "read_idx"]).groupBy(*by, "label", "pos").agg(F.rint(F.avg("v")).cast("int").alias("mean"))

@@ -194,3 +194,70 @@ def window_paths(alignments: DataFrame, intervals: DataFrame) -> DataFrame:
     steps_ = first.groupBy("read_idx", "ord", "strand").agg(F.transform(F.sort_array(F.collect_list(F.struct("win_start", name.alias("name")))), lambda s: s["name"]).alias("names"))
     forward = F.transform("names", lambda x: F.concat(F.lit(">"), x))
     return steps_.select("read_idx", "ord", F.array_join(F.when(F.col("strand") == 1, forward).otherwise(F.reverse(F.transform("names", lambda x: F.concat(F.lit("<"), x)))), "").alias("steps"))
+
+
+def trim_straight(paths: DataFrame, links: DataFrame) -> DataFrame:
+    """Paths without the straight lines at their ends -> read_idx, idx, contig, orient.
+
+    A link is straight if it is alone at both of its ends.  At least one step of a path stays.
+    """
+    d = degrees(dedupe_links(links))
+    here, there = (d.select(F.col("contig").alias(c), F.col("end").alias(e), F.col("degree").alias(n)) for c, e, n in (("contig", "e1", "d1"), ("next_contig", "e2", "d2")))
+    s = steps(paths).withColumn("next_idx", F.lead("idx").over(_order()))
+    s = s.withColumn("e1", end_towards_next(F.col("orient"))).withColumn("e2", 1 - end_towards_next(F.col("next_orient")))
+    bent = ~F.coalesce((F.col("d1") == 1) & (F.col("d2") == 1), F.lit(False))  # the last step has no link, so it is bent
+    s = s.join(here, ["contig", "e1"], "left").join(there, ["next_contig", "e2"], "left").withColumn("bent", bent)
+    kept = s.groupBy("read_idx").agg(F.min(F.when(F.col("bent"), F.col("idx"))).alias("lo"), F.max(F.when(F.col("bent"), F.col("next_idx"))).alias("hi"))
+    return paths.join(kept, "read_idx").where(F.col("idx").between(F.col("lo"), F.coalesce("hi", "lo"))).select("read_idx", "idx", "contig", "orient")
+
+
+def replace_steps(paths: DataFrame, edits: DataFrame) -> DataFrame:
+    """Steps with another contig; edits: (read_idx, idx, before, after); one whose ``before`` doesn't stand there changes nothing."""
+    joined = paths.join(edits.select("read_idx", "idx", "before", "after"), ["read_idx", "idx"], "left")
+    return joined.select("read_idx", "idx", F.when(F.col("before") == F.col("contig"), F.col("after")).otherwise(F.col("contig")).alias("contig"), "orient")
+
+
+def cancel(paths: DataFrame, gone: DataFrame) -> DataFrame:
+    """A path's first step on each contig of gone (contig) is void, its contig null."""
+    first = F.row_number().over(Window.partitionBy("read_idx", "contig").orderBy("idx"))
+    marked = paths.withColumn("_k", first).join(gone.select("contig", F.lit(True).alias("_gone")).distinct(), "contig", "left")
+    return marked.select("read_idx", "idx", F.when((F.col("_k") == 1) & F.coalesce("_gone", F.lit(False)), None).otherwise(F.col("contig")).alias("contig"), "orient")
+
+
+def reads_between_unique(paths: DataFrame, segments: DataFrame, copies: DataFrame) -> DataFrame:
+    """The reads that polish a segment's contigs -> seg_id, contig, read_idx.
+
+    segments: (seg_id, idx, contig, orient), idx from 0; copies: (contig,
+    copies).  A read's path and a segment are laid on each other either way
+    round; where all their common steps agree, the contigs between those that
+    stand once get the read.  The first such contig gets it only if the common
+    steps begin with it.
+    """
+    p = paths.select("read_idx", (F.row_number().over(_order()) - 1).alias("at"), "contig", "orient", F.count(F.lit(1)).over(Window.partitionBy("read_idx")).alias("long"))
+    s = segments.select("seg_id", "idx", "contig", F.col("orient").alias("_o"), F.count(F.lit(1)).over(Window.partitionBy("seg_id")).alias("size"))
+    turned = F.col("orient") != F.col("_o")
+    met = p.join(s, "contig").join(copies, "contig").withColumn("turned", turned)
+    # where the segment's first step falls on the path, in the path's direction
+    from_ = F.when(turned, F.col("at") - (F.col("size") - 1 - F.col("idx"))).otherwise(F.col("at") - F.col("idx"))
+    met = met.withColumn("shift", from_).withColumn("lo", F.greatest(F.col("shift"), F.lit(0))).withColumn("hi", F.least("long", F.col("shift") + F.col("size")) - 1)
+    lay = Window.partitionBy("read_idx", "seg_id", "turned", "shift")
+    once = F.when(F.col("copies") == 1, F.col("at"))
+    met = met.withColumn("n", F.count(F.lit(1)).over(lay)).withColumn("u1", F.min(once).over(lay)).withColumn("u2", F.max(once).over(lay))
+    inside = (F.col("n") == F.col("hi") - F.col("lo") + 1) & (F.col("at") <= F.col("u2")) & ((F.col("at") > F.col("u1")) | (F.col("u1") == F.col("lo")) & (F.col("at") == F.col("u1")))
+    return met.where(inside).select("seg_id", "contig", "read_idx").distinct()
+
+
+def full_overlap(strand: Column, s1: Column, e1: Column, n1: Column, s2: Column, e2: Column, n2: Column) -> Column:
+    """an overlap goes on to a read's end on both sides, but for less than half of it."""
+    half1, half2 = (e1 - s1) / 2, (e2 - s2) / 2
+    head1, tail1, head2, tail2 = s1 < half1, n1 - e1 < half1, s2 < half2, n2 - e2 < half2
+    return F.when(strand == 1, (head1 | head2) & (tail1 | tail2)).otherwise((head1 | tail2) & (tail1 | head2))
+
+
+def drop_split_overlaps(overlaps: DataFrame, groups: DataFrame, *, by: tuple[str, ...] = ("contig",)) -> DataFrame:
+    """overlaps (r1, r2, ...) but those whose reads are in different groups of a backbone; groups: (by, read_idx, grp), -1 is none."""
+    own = groups.where("grp <> -1")
+    a, b = (own.select(*by, F.col("read_idx").alias(r), F.col("grp").alias(g)) for r, g in (("r1", "g1"), ("r2", "g2")))
+    pairs = overlaps.select("r1", "r2").distinct()
+    apart = pairs.join(a, "r1").join(b, [*by, "r2"]).where("g1 <> g2").select("r1", "r2").distinct()
+    return overlaps.join(apart, ["r1", "r2"], "left_anti")

@@ -154,3 +154,9 @@ def spanning(cells: DataFrame, *, coverage: float = 0.6, contig: str = "contig",
     rows = reach.groupBy("contig").agg(F.count(F.lit(1)).alias("rows"))
     full = inside.groupBy("contig", "pos").agg(F.count(F.lit(1)).alias("n")).join(rows, "contig").where(F.col("n") >= coverage * F.col("rows"))
     return inside.join(full.select("contig", "pos"), ["contig", "pos"]).drop("third")
+
+
+def overlap_depth(alignments: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Aligned bases over length -> contig, depth; alignments: (contig, start_c, end_c), lengths: (contig, len)."""
+    bases = alignments.groupBy("contig").agg(F.sum(F.col("end_c") - F.col("start_c")).alias("bases"))
+    return lengths.join(bases, "contig", "left").select("contig", F.try_divide(F.coalesce("bases", F.lit(0)).cast("double"), F.col("len")).alias("depth"))

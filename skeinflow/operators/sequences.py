@@ -64,3 +64,8 @@ def reads_on_contigs(reads: DataFrame, alignments: DataFrame, *, read: str = "re
 def look_up(rows: DataFrame, contigs: DataFrame, *, name: str = "name") -> DataFrame:
     """Rows with what their contig has."""
     return rows.join(contigs, name)
+
+
+def reads_of_contigs(reads: DataFrame, alignments: DataFrame, *, read: str = "read_idx") -> DataFrame:
+    """Each contig's reads, once each, with what the reads have -> contig, read, ..."""
+    return alignments.select("contig", read).distinct().join(reads, read)

@@ -487,3 +487,91 @@ def g31(spark, sf_dir):
 @query("G31_piece_links", "select piece as piece1, nxt as piece2, '0M' as cigar from (select piece, lead(piece) over (partition by contig order by lo) as nxt from t_piece) t where nxt is not null")
 def g31l(spark, sf_dir):
     return st.piece_links(_pieces(spark, sf_dir))
+
+
+# contigs' reads, overlaps and edits of paths
+
+
+@query("J2_reads_on_contig", "select distinct contig, read_idx, o_totalprice from v_aln join orders on o_orderkey = read_idx")
+def j2(spark, sf_dir):
+    from ..operators import sequences
+
+    reads = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("read_idx"), "o_totalprice")
+    return sequences.reads_of_contigs(reads, view(spark, sf_dir, "v_aln"))
+
+
+@query("C16_overlap_depth", "select contig, round(sum(end_c - start_c) / cast(max(end_c) as double), 6) as depth from v_aln group by contig")
+def c16(spark, sf_dir):
+    from ..operators import pileup
+
+    rows = view(spark, sf_dir, "v_aln")
+    return pileup.overlap_depth(rows, rows.groupBy("contig").agg(F.max("end_c").alias("len"))).withColumn("depth", F.round("depth", 6))
+
+
+PARTS["t_over11"] = """
+select l_suppkey as r1, l_partkey as r2, l_linenumber as ln, case when l_linestatus = 'F' then 1 else 0 end as strand, cast(l_quantity as bigint) * 20 as s1, cast(l_quantity as bigint) * 20 + 900 as e1,
+  1800 as n1, l_linenumber * 200 as s2, l_linenumber * 200 + 900 as e2, 2000 as n2 from lineitem"""
+
+
+@query(
+    "F11_filter_overlaps_by_group",
+    """with o as (select *, case when strand = 1 then (s1 < (e1 - s1) / 2.0 or s2 < (e2 - s2) / 2.0) and (n1 - e1 < (e1 - s1) / 2.0 or n2 - e2 < (e2 - s2) / 2.0)
+  else (s1 < (e1 - s1) / 2.0 or n2 - e2 < (e2 - s2) / 2.0) and (n1 - e1 < (e1 - s1) / 2.0 or s2 < (e2 - s2) / 2.0) end as whole from t_over11)
+select r1, r2, ln, strand, cast(s1 as bigint) as s1 from o where whole and not exists (select 1 from v_groups a join v_groups b on a.contig = b.contig and a.win = b.win and a.grp <> b.grp where a.read_idx = o.r1 and b.read_idx = o.r2)""",
+)
+def f11(spark, sf_dir):
+    length = F.col("l_quantity").cast("long") * 20
+    place = F.col("l_linenumber") * 200
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("r1"), F.col("l_partkey").alias("r2"), F.col("l_linenumber").alias("ln"), F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("strand"), length.alias("s1"), place.alias("s2")
+    )
+    whole = po.full_overlap(F.col("strand"), F.col("s1"), F.col("s1") + 900, F.lit(1800), F.col("s2"), F.col("s2") + 900, F.lit(2000))
+    return po.drop_split_overlaps(rows.where(whole), view(spark, sf_dir, "v_groups"), by=("contig", "win")).select("r1", "r2", "ln", "strand", "s1")
+
+
+PARTS["t_wlink"] = """
+select distinct case when s then b else a end as n1, case when s then eb else ea end as e1, case when s then a else b end as n2, case when s then ea else eb end as e2 from (
+  select *, b < a or (b = a and eb < ea) as s from (select contig as a, case when orient = '>' then 1 else 0 end as ea, lead(contig) over w as b, case when lead(orient) over w = '>' then 0 else 1 end as eb
+    from v_walk window w as (partition by read_idx order by idx)) t where b is not null) u"""
+#: A chain of contigs with some forks, from what the walks take.
+_FORKS = "e1 = 1 and e2 = 0 and (n2 = n1 + 1 or n1 % 3 = 0)"
+
+
+@query(
+    "G41_path_trim",
+    f"""with l as (select * from t_wlink where {_FORKS}), d as (select c, e, count(*) as n from (select n1 as c, e1 as e from l union all select n2, e2 from l) t group by all),
+s as (select *, lead(idx) over w as nidx, lead(contig) over w as nc, lead(orient) over w as no from v_walk window w as (partition by read_idx order by idx)),
+b as (select s.*, not coalesce(x.n = 1 and y.n = 1, false) as bent from s left join d x on x.c = s.contig and x.e = case when s.orient = '>' then 1 else 0 end left join d y on y.c = s.nc and y.e = case when s.no = '>' then 0 else 1 end),
+k as (select read_idx, min(idx) filter (where bent) as lo, max(nidx) filter (where bent) as hi from b group by read_idx)
+select v.read_idx, v.idx, v.contig, v.orient from v_walk v join k on k.read_idx = v.read_idx and v.idx between lo and coalesce(hi, lo)""",
+)
+def g41(spark, sf_dir):
+    walk = view(spark, sf_dir, "v_walk")
+    return po.trim_straight(walk, po.used_links(walk).where(_FORKS))
+
+
+@query("G41_path_edits", "select read_idx, idx, case when contig >= 40 and row_number() over (partition by read_idx, contig order by idx) = 1 then null when contig < 40 and idx = 1 then contig + 100 else contig end as contig, orient from v_walk")
+def g41e(spark, sf_dir):
+    walk = view(spark, sf_dir, "v_walk")
+    edits = walk.where("idx = 1 and contig < 40").select("read_idx", "idx", F.col("contig").alias("before"), (F.col("contig") + 100).alias("after"))
+    return po.cancel(po.replace_steps(walk, edits), walk.where("contig between 40 and 99").select("contig"))
+
+
+@query(
+    "G33_read_assignment",
+    """with f as (select contig, next_contig, next_orient from (select *, row_number() over (partition by contig order by read_idx, idx) as k from t_step where orient = '>' and next_contig is not null) t where k = 1),
+m as (select contig as seg_id, 0 as j, contig as c, '>' as o from f union all select contig, 1, next_contig, next_orient from f),
+p as (select read_idx, row_number() over (partition by read_idx order by idx) - 1 as pt, contig, orient, count(*) over (partition by read_idx) as np from v_path_step),
+way as (select seg_id, j as k, c, o, false as turned from m union all select seg_id, 1 - j, c, case when o = '>' then '<' else '>' end, true from m),
+lay as (select distinct p.read_idx, p.np, w.seg_id, w.turned, p.pt - w.k as shift from p join way w on w.c = p.contig and w.o = p.orient),
+cell as (select l.*, p.pt, p.contig, case when p.contig % 4 = 0 then 2 else 1 end as copies, p.contig = w.c and p.orient = w.o as ok from lay l join way w on w.seg_id = l.seg_id and w.turned = l.turned join p on p.read_idx = l.read_idx and p.pt = l.shift + w.k),
+g as (select *, bool_and(ok) over v as fine, min(pt) over v as lo, min(case when copies = 1 then pt end) over v as u1, max(case when copies = 1 then pt end) over v as u2 from cell window v as (partition by read_idx, seg_id, turned, shift))
+select distinct seg_id, contig, read_idx from g where fine and pt <= u2 and (pt > u1 or (pt = u1 and u1 = lo))""",
+)
+def g33(spark, sf_dir):
+    p = path_steps(spark, sf_dir)
+    first = po.steps(p).where("orient = '>' and next_contig is not null").groupBy("contig").agg(F.min_by(F.struct("next_contig", "next_orient"), F.struct("read_idx", "idx")).alias("n"))
+    a = first.select(F.col("contig").alias("seg_id"), F.lit(0).alias("idx"), "contig", F.lit(">").alias("orient"))
+    b = first.select(F.col("contig").alias("seg_id"), F.lit(1).alias("idx"), F.col("n.next_contig").alias("contig"), F.col("n.next_orient").alias("orient"))
+    copies = p.select("contig").distinct().withColumn("copies", F.when(F.col("contig") % 4 == 0, 2).otherwise(1))
+    return po.reads_between_unique(p, a.unionByName(b), copies)

@@ -94,11 +94,38 @@ def g28(spark, sf_dir):
     return kernels.cut_overlaps(graph_contigs(spark, sf_dir).select("contig", "len"), links(spark, sf_dir).withColumn("overlap", (F.col("n1") * 7 + F.col("n2")) % 60))
 
 
+def _values(spark, sf_dir, width):
+    cells = view(spark, sf_dir, "v_pileup_event")
+    return cells.select("contig", F.floor(F.col("pos") / width).alias("win"), "read_idx", "pos", F.col("allele").isin("A", "C").cast("int").alias("v"))
+
+
 @query("G36_biclustering")
 def g36(spark, sf_dir):
-    cells = view(spark, sf_dir, "v_pileup_event")
-    values = cells.select("contig", F.floor(F.col("pos") / 12).alias("win"), "read_idx", "pos", F.col("allele").isin("A", "C").cast("int").alias("v"))
-    return bicluster.haplotypes(values)
+    return bicluster.haplotypes(_values(spark, sf_dir, 12))
+
+
+@query("G34_bihap_preprocess")
+def g34(spark, sf_dir):
+    """Two planted splits of the users, each in eight hours, and eight hours of noise."""
+    hour, user = F.hour("ts"), F.col("user_id")
+    v = F.when(hour % 3 == 0, user % 2).when(hour % 3 == 1, F.floor(user / 2) % 2).otherwise((F.col("event_type") == "click").cast("long"))
+    rows = table(spark, sf_dir, "events").select((F.dayofmonth("ts") > 15).cast("int").alias("contig"), F.lit(0).alias("win"), user.alias("read_idx"), hour.alias("pos"), v.cast("int").alias("v"))
+    return bicluster.window_regions(rows.groupBy("contig", "win", "read_idx", "pos").agg(F.max("v").alias("v")))
+
+
+@query("G35_quasibiclique")
+def g35(spark, sf_dir):
+    return bicluster.window_blocks(_values(spark, sf_dir, 12))
+
+
+@query(
+    "A26_cluster_mean_vector",
+    "select contig, cast(floor(pos / 12) as bigint) as win, cast(read_idx % 3 as bigint) as label, pos, cast(round_even(avg(case when allele in ('A', 'C') then 1 else 0 end), 0) as integer) as mean from v_pileup_event group by all",
+)
+def a26(spark, sf_dir):
+    values = _values(spark, sf_dir, 12)
+    labels = values.select("contig", "win", "read_idx", (F.col("read_idx") % 3).cast("long").alias("label")).distinct()
+    return bicluster.mean_vectors(values, labels)
 
 
 @query("G32_reassemble_unaligned", "select cast(read_idx as bigint) as read_idx, count(*) as n from (select read_idx, start_c - coalesce(max(end_c) over (partition by read_idx order by start_c, end_c rows between unbounded preceding and 1 preceding), 0) as gap from v_aln union all select read_idx, 2500 - max(end_c) from v_aln group by read_idx union all select o_orderkey, 2500 from orders where o_orderkey not in (select read_idx from v_aln)) t where gap > 100 group by read_idx")

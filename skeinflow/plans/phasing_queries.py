@@ -323,3 +323,22 @@ def g1p(spark, sf_dir):
     planted = view(spark, sf_dir, "v_planted")
     suspicious = ~F.col("pos").isin(40, 70)
     return partitions.robust_sites(planted.where(suspicious), others=planted.where(~suspicious)).select("contig", "pos")
+
+
+@query(
+    "T4_sorted_links_greedy_merge",
+    """with recursive p as (select contig, cast((win - 1) * 3 + before as bigint) as a, cast(win * 3 + grp as bigint) as b, count(*) as n from t_adj group by all),
+r as (select contig, a, b, n / sum(n) over (partition by contig, a) as ratio from p),
+e as (select contig, a, b from r where ratio > 0.3456 union select contig, b, a from r where ratio > 0.3456),
+w as (select distinct contig, cast(win * 3 + grp as bigint) as label, cast(win * 3 + grp as bigint) as merged from v_groups union select w.contig, w.label, e.b from w join e on e.contig = w.contig and e.a = w.merged)
+select contig, label, min(merged) as merged from w group by contig, label""",
+)
+def t4(spark, sf_dir):
+    """Groups of neighbouring windows as clusters, none of which clash."""
+    groups = view(spark, sf_dir, "v_groups")
+    name = lambda win, grp: (F.col(win) * 3 + F.col(grp)).cast("long")
+    labels = groups.select("contig", "read_idx", name("win", "grp").alias("label"))
+    n = windows.adjacent(groups).withColumn("prev", F.col("win") - 1).groupBy("contig", name("prev", "before").alias("c1"), name("win", "grp").alias("c2")).agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy("contig", "c1").agg(F.sum("n").alias("total"))
+    ratios = n.join(total, ["contig", "c1"]).select("contig", "c1", "c2", (F.col("n") / F.col("total")).alias("ratio"))
+    return read_graph.greedy_merge(ratios, ratios.select("contig", "c1", "c2", F.lit(0).cast("long").alias("n")), labels, least=0.3456)

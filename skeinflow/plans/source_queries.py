@@ -285,3 +285,12 @@ def a30(spark, sf_dir):
 @query("A30_hic_distance_law", "select cast(floor((c2 - c1) / 5.0) as bigint) as distance, cast(sum(n) as bigint) as n from v_contacts group by 1")
 def a30d(spark, sf_dir):
     return ag.distance_law(view(spark, sf_dir, "v_contacts"), 5)
+
+
+@query("S18_gunzip_reads", "select cast(contig * 2 as bigint) as line_no, '>' || name || ' extra' as value from t_doc union all select cast(contig * 2 + 1 as bigint), seq from t_doc")
+def s18(spark, sf_dir):
+    from ..sources import lines as numbered
+
+    rows = _seqs(spark, sf_dir)
+    lines = _lines(rows, 4, F.concat(F.lit("@"), "name", F.lit(" extra")), F.col("seq"), F.lit("+"), F.repeat(F.lit("I"), F.length("seq")))
+    return numbered.fastq_to_fasta(lines).select(F.col("line_no").cast("long").alias("line_no"), "value")

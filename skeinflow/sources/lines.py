@@ -32,3 +32,10 @@ def fill_down(lines: DataFrame, header: Column) -> DataFrame:
     blocks = blocks.select("file", "block", F.max("_last").over(before).alias("_carry"))
     filled = inside.join(blocks, ["file", "block"]).withColumn("section", F.coalesce("_s", "_carry"))
     return filled.where("section is not null").drop("_h", "_s", "_carry")
+
+
+def fastq_to_fasta(lines: DataFrame) -> DataFrame:
+    """Numbered lines of FASTQ files, gzipped or not, as FASTA lines -> file, block, line_no, value; line_no counts from 0."""
+    k = F.col("line_no") % 4
+    header = F.regexp_replace("value", "^@", ">")
+    return lines.where(k < 2).select("file", "block", (F.floor(F.col("line_no") / 4) * 2 + k).alias("line_no"), F.when(k == 0, header).otherwise(F.col("value")).alias("value"))

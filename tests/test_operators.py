@@ -467,3 +467,92 @@ def test_consensus_paths(spark):
     rows = [(r, i + 1, c, ">") for r, p in enumerate([(1, 2, 3), (1, 2, 3), (1, 2, 4), (1, 9, 9)]) for i, c in enumerate(p)]
     got = {(r.contig, r.orient): r.path for r in po.consensus_paths(spark.createDataFrame(rows, "read_idx int, idx long, contig int, orient string")).collect()}
     assert got[(1, ">")] == ">2>3"
+
+
+STEPS = "read_idx long, idx long, contig long, orient string"
+
+
+def steps_of(spark, *texts):
+    return spark.createDataFrame([(r, i, int(step[1:]), step[0]) for r, text in enumerate(texts) for i, step in enumerate(text.split())], STEPS)
+
+
+def texts_of(frame):
+    found = {}
+    for r in sorted(frame.collect(), key=lambda r: (r.read_idx, r.idx)):
+        found.setdefault(r.read_idx, []).append(f"{r.orient}{r.contig}")
+    return {r: " ".join(s) for r, s in found.items()}
+
+
+def test_straight_ends_of_paths_go(spark):
+    # 1-2-3 is a line, 3 forks to 4 and 5, 4-6 is a line
+    links = spark.createDataFrame([(1, 1, 2, 0), (2, 1, 3, 0), (3, 1, 4, 0), (3, 1, 5, 0), (4, 1, 6, 0)], "n1 long, e1 int, n2 long, e2 int")
+    paths_ = steps_of(spark, ">1 >2 >3 >4 >6", "<6 <4 <3 <2 <1", ">1 >2 >3", ">3 >4", ">5", ">2 >9 >1")
+    assert texts_of(po.trim_straight(paths_, links)) == {0: ">3 >4", 1: "<4 <3", 2: ">3", 3: ">3 >4", 4: ">5", 5: ">2 >9 >1"}
+
+
+def test_path_edits(spark):
+    paths_ = steps_of(spark, ">1 >2 >1", ">3 >4")
+    edits = spark.createDataFrame([(0, 1, 2, 7), (1, 0, 9, 8)], "read_idx long, idx long, before long, after long")
+    assert texts_of(po.replace_steps(paths_, edits)) == {0: ">1 >7 >1", 1: ">3 >4"}
+    assert texts_of(po.cancel(paths_, spark.createDataFrame([(1,), (4,)], "contig long"))) == {0: ">None >2 >1", 1: ">3 >None"}
+
+
+def test_reads_between_unique_contigs(spark):
+    rng = random.Random(3)
+    walk = lambda n: [(rng.choice("<>"), rng.randrange(4)) for _ in range(n)]
+    reads, segs = [walk(rng.randrange(1, 7)) for _ in range(150)], [walk(rng.randrange(1, 5)) for _ in range(12)]
+    copies = {0: 1, 1: 2, 2: 1, 3: 1}
+    expected = set()
+    for r, p in enumerate(reads):
+        for k, s in enumerate(segs):
+            for way in (s, [("<" if o == ">" else ">", c) for o, c in reversed(s)]):
+                for shift in range(-len(way) + 1, len(p)):
+                    at = range(max(0, shift), min(len(p), shift + len(way)))
+                    if any(p[i] != way[i - shift] for i in at):
+                        continue
+                    unique = [i for i in at if copies[p[i][1]] == 1]
+                    if unique:
+                        low = unique[0] if unique[0] == at[0] else unique[0] + 1
+                        expected |= {(k, p[i][1], r) for i in range(low, unique[-1] + 1)}
+    paths_ = steps_of(spark, *[" ".join(f"{o}{c}" for o, c in p) for p in reads])
+    segments = steps_of(spark, *[" ".join(f"{o}{c}" for o, c in s) for s in segs]).withColumnRenamed("read_idx", "seg_id")
+    got = po.reads_between_unique(paths_, segments, spark.createDataFrame([*copies.items()], "contig long, copies int"))
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+
+
+def test_full_overlaps(spark):
+    f = lambda *v: po.full_overlap(*map(F.lit, v))
+    row = one(spark, a=f(1, 0, 100, 100, 500, 600, 600), b=f(1, 400, 500, 1000, 400, 500, 1000), c=f(0, 0, 100, 500, 0, 100, 500), d=f(0, 0, 100, 500, 300, 400, 1000))
+    assert (row.a, row.b, row.c, row.d) == (True, False, True, False)
+
+
+def test_split_reads_overlap_no_more(spark):
+    overlaps = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (4, 9), (1, 4)], "r1 long, r2 long")
+    groups = spark.createDataFrame([("b", 1, 0), ("b", 2, 0), ("b", 3, 1), ("c", 3, 1), ("c", 2, 1), ("b", 4, -1)], "contig string, read_idx long, grp int")
+    assert sorted(map(tuple, po.drop_split_overlaps(overlaps, groups).collect())) == [(1, 2), (1, 4), (4, 9)]
+
+
+def test_regions_of_planted_columns():
+    rng = np.random.default_rng(5)
+    first, second = np.arange(20) % 2, np.arange(20) // 10
+    matrix = np.column_stack([*[first] * 8, *[second] * 8, *[rng.integers(0, 2, 20) for _ in range(4)]])
+    found = [(cols.tolist(), None if ones is None else ones.astype(int).tolist()) for cols, ones in bicluster.regions(matrix)]
+    assert found == [(list(range(8)), first.tolist()), (list(range(8, 16)), second.tolist())]
+    small = bicluster.regions(matrix[:, :10])
+    assert len(small) == 1 and small[0][1] is None
+
+
+def test_block_of_ones_is_found():
+    matrix = np.zeros((12, 9), int)
+    matrix[np.ix_([1, 2, 5, 7, 8, 9], [0, 3, 4, 6])] = 1
+    rows, cols = bicluster.quasi_biclique(matrix)
+    assert (rows.tolist(), cols.tolist()) == ([1, 2, 5, 7, 8, 9], [0, 3, 4, 6])
+
+
+def test_gzipped_fastq_as_fasta(spark, tmp_path):
+    import gzip
+
+    with gzip.open(tmp_path / "r.fastq.gz", "wt") as f:
+        f.write("@a x\nACGT\n+\n@III\n@b\nTT\n+\nII\n")
+    out = lines.fastq_to_fasta(lines.read_lines(spark, str(tmp_path / "r.fastq.gz"))).orderBy("line_no")
+    assert [r.value for r in out.collect()] == [">a x", "ACGT", ">b", "TT"]
