@@ -25,9 +25,13 @@ def impute(matrix: np.ndarray, k: int = 10, low: float = 0.3, high: float = 0.7)
     np.fill_diagonal(far, np.inf)
     order = np.argsort(far, axis=1, kind="stable")
     out = matrix.copy()
-    for i, j in zip(*np.nonzero(~known)):
-        near = [r for r in order[i] if known[r, j] and np.isfinite(far[i, r])][:k]
-        out[i, j] = matrix[near, j].mean() if near else 0.5
+    for i in np.flatnonzero(~known.all(axis=1)):
+        open_ = np.flatnonzero(~known[i])
+        near = order[i][np.isfinite(far[i, order[i]])]
+        has = known[np.ix_(near, open_)]
+        use = has & (np.cumsum(has, axis=0) <= k)
+        n, ones = use.sum(axis=0), np.where(use, filled[np.ix_(near, open_)], 0).sum(axis=0)
+        out[i, open_] = np.where(n > 0, ones / np.maximum(n, 1), 0.5)
     return np.where(out >= high, 1, np.where(out <= low, 0, -1))
 
 
