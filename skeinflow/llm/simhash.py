@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -36,7 +37,11 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     starts = [0, *(ends[:-1] + 1).tolist()]
     stops = ends.tolist()[words - 1 :] or [len(joined)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops)), dtype=">u8", count=len(stops))
+    return majority(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops)), dtype=">u8", count=len(stops)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes, 64-bit numbers of big-endian bytes."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65_536):
         part = hashes[at : at + 65_536]
@@ -305,7 +310,7 @@ def _common(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """docs -> doc, uid, id, text, same (a 128-bit hash of the text's words), and of its set of shingles size, sketch, long and prefix.
+    """docs -> doc, uid, id, same (a 128-bit hash of the text's words), and of its set of shingles fp (the fingerprint), size, sketch, long and prefix.
 
     Shingles have one order everywhere: common ones last, then by hash.  Two
     sets of at least ``similarity`` share a shingle among the first
@@ -315,11 +320,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            found: dict[str, list] = {c: [] for c in ("same", "size", "sketch", "long", "prefix")}
+            found: dict[str, list] = {c: [] for c in ("same", "fp", "size", "sketch", "long", "prefix")}
             for t in texts:
                 tokens = bytes(t).lower().split()
                 hashes = shingle_hashes(tokens, shingle)
                 found["same"].append(xxhash.xxh3_128_digest(b" ".join(tokens)))
+                found["fp"].append(majority(hashes.astype(">u8")))
                 found["size"].append(len(hashes))
                 found["sketch"].append(parity_sketch(hashes))
                 found["long"].append(long_sketch(hashes))
@@ -328,10 +334,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
                     late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
                     hashes = np.concatenate([hashes[~late], hashes[late]])
                 found["prefix"].append(hashes[:keep].view(np.int64))
-            yield pd.DataFrame(found)
+            yield pd.DataFrame(found | {"fp": np.array(found["fp"], dtype=np.uint64).view(np.int64)})
 
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    all_ = F.pandas_udf(of, "same binary, size long, sketch binary, long binary, prefix array<long>")(text)
+    all_ = F.pandas_udf(of, "same binary, fp long, size long, sketch binary, long binary, prefix array<long>")(text)
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), text.alias("text"), all_.alias("of"))
     return rows.select("doc", "uid", "id", "of.*")
 
@@ -392,17 +398,31 @@ def shingle_postings(nodes: DataFrame) -> DataFrame:
     return materialize(postings.join(shared, "value"), "simhash-postings")
 
 
-def shingle_links(postings: DataFrame, nodes: DataFrame, *, similarity: float, apart: DataFrame | None = None) -> DataFrame:
-    """Postings and nodes (node, size, sketch) -> a, b: pairs that may be similar.
+def fingerprint_links(nodes: DataFrame, *, most: int = 3) -> DataFrame:
+    """(node, fp) -> a, b: pairs within ``most`` bits that join all that such pairs join.
+
+    Nodes of one fingerprint are known by the smallest, which has links to the
+    others; fingerprints are linked through tables of pivot distances.
+    """
+    first = nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("m"))
+    first = materialize(first, "simhash-fingerprints")
+    several = first.where("m > 1").select(F.col("fp").alias("of"), F.col("node").alias("a"))
+    equal = nodes.join(_few(several), F.col("fp") == F.col("of")).where("node > a").select("a", F.col("node").alias("b"))
+    near = links(first.select("node", "fp"), most=most)
+    return equal.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+
+
+def shingle_links(postings: DataFrame, nodes: DataFrame, *, similarity: float, apart: DataFrame, spanning: bool = False) -> DataFrame:
+    """Postings, nodes (node, size, sketch) and apart (node, label) -> a, b: pairs of different labels that may be similar.
 
     Similar sets share a shingle of their prefixes, so those that share one are
-    compared by size and sketch.  A group of m gives m - 1 pairs at most, that
-    join what all its pairs would join.  With ``apart`` (node, label) it gives
-    all pairs whose labels differ instead; nodes without a label have their own.
+    compared by size and sketch.  Nodes without a label have their own.  With
+    ``spanning`` a group of m gives m - 1 pairs at most, that join what all its
+    pairs and equal labels would join.
     """
-    spanning = apart is None
     if spanning:
-        met = postings.join(nodes.select("node", "size", "sketch"), "node").withColumn("label", F.col("node"))
+        labelled = nodes.select("node", "size", "sketch").join(_few(apart), "node", "left")
+        met = postings.join(labelled.withColumn("label", F.coalesce("label", "node")), "node")
     else:
         labels = postings.join(_few(apart), "node", "left").select("node", "value", F.coalesce("label", "node").alias("label"))
         several = labels.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("value")
@@ -418,7 +438,10 @@ def shingle_links(postings: DataFrame, nodes: DataFrame, *, similarity: float, a
         for start, stop in zip(cuts[:-1], cuts[1:]):
             if stop - start > 2:
                 own = labels[start:stop]
-                label = np.arange(stop - start)
+                _, first, which = np.unique(own, return_index=True, return_inverse=True)
+                if len(first) == 1:
+                    continue
+                label = first[which]  # a label is known by its first row
                 for a, b in _sketch_pairs(sizes[start:stop], sketches[start:stop], similarity):
                     if spanning:
                         found += [(start + i, start + j) for i, j in _joining(len(label), a, b, label)]
@@ -490,15 +513,19 @@ def verified_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, *, shin
 
 
 def drop_near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = 3
 ) -> DataFrame:
     """docs with one row of each group of near copies, the one with the smallest id.
 
     Texts with the same words are copies (by 128-bit hashes).  Different texts
     are linked if the Jaccard of their sets of ``shingle`` words is
-    ``similarity`` or more.  Candidates that join what all candidates would join
-    are verified first; then all candidates that the links found leave apart, so
-    that no link between groups is lost.  Groups are what links reach.
+    ``similarity`` or more.  Candidates are, first, those whose fingerprints of
+    these sets differ in at most ``most`` bits, found through the tables of pivot
+    distances.  As fingerprints can't tell all similar sets, texts that these
+    leave apart are joined by the shingles that similar sets must share:
+    candidates that join what all would join, then all that are still apart, so
+    that no link between groups is lost.  Each candidate is verified.  Groups are
+    what links reach.
     Null and texts without words are one group; rows with null ids stay only if
     their group has no others; an empty table stays empty.
     """
@@ -509,17 +536,19 @@ def drop_near_duplicates(
     copies = materialize(rows.groupBy("same").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "simhash-copies")
     classed = rows.select("uid", "id", "same").join(_few(copies), "same", "left").select("uid", "id", F.coalesce("first", "uid").alias("node"))
     firsts = rows.join(_few(copies), "same", "left").where(F.col("first").isNull() | (F.col("first") == F.col("uid")))
-    nodes = materialize(firsts.select("uid", F.col("uid").alias("node"), "size", "sketch", "long", "prefix"), "simhash-nodes")
-    postings = shingle_postings(nodes)
+    nodes = materialize(firsts.select("uid", F.col("uid").alias("node"), "fp", "size", "sketch", "long", "prefix"), "simhash-nodes")
 
-    tried = materialize(shingle_links(postings, nodes, similarity=similarity), "simhash-pairs")
-    near = verified_links(tried, nodes, texts, shingle=shingle, similarity=similarity)
-    linked = components(near, "simhash-links")
-    others = shingle_links(postings, nodes, similarity=similarity, apart=linked.withColumnRenamed("root", "label"))
-    others = materialize(others.join(_few(tried.select(F.col("a").alias("x"), F.col("b").alias("y"))), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"), "simhash-others")
-    near = near.unionByName(verified_links(others, nodes, texts, shingle=shingle, similarity=similarity))
-    linked = _few(components(near, "simhash-links"))
-    drop_table(nodes, postings, tried, others)
+    tried = [materialize(fingerprint_links(nodes.select("node", "fp"), most=most), "simhash-near-fingerprints")]
+    near = [verified_links(tried[0], nodes, texts, shingle=shingle, similarity=similarity)]
+    postings = shingle_postings(nodes)
+    for spanning in (True, False):
+        linked = components(functools.reduce(DataFrame.unionByName, near), "simhash-links")
+        others = shingle_links(postings, nodes, similarity=similarity, apart=linked.withColumnRenamed("root", "label"), spanning=spanning)
+        done = _few(functools.reduce(DataFrame.unionByName, tried).select(F.col("a").alias("x"), F.col("b").alias("y")))
+        tried.append(materialize(others.join(done, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"), "simhash-others"))
+        near.append(verified_links(tried[-1], nodes, texts, shingle=shingle, similarity=similarity))
+    linked = _few(components(functools.reduce(DataFrame.unionByName, near), "simhash-links"))
+    drop_table(nodes, postings, *tried)
 
     grouped = classed.join(linked, "node", "left").select("uid", "id", F.coalesce("root", "node").alias("root"))
     kept = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "uid"))["uid"].alias("kept")).where("n > 1")

@@ -705,6 +705,41 @@ def test_sketches_bound_the_difference():
         assert all((simhash.folded(s, len(short[0])) == k).all() for s, k in zip(long, short))
 
 
+def test_fingerprint_links_of_sets(spark):
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    fps = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, d, replace=False)) for b in base for d in (0, 0, 2, 3, 4)]
+    close = np.bitwise_count(np.array(fps, dtype=np.uint64)[:, None] ^ np.array(fps, dtype=np.uint64)[None, :]) <= 3
+    label = np.arange(len(fps))
+    while (new := np.array([label[c].min() for c in close])).tolist() != label.tolist():
+        label = new
+    nodes = spark.createDataFrame([(i, f) for i, f in enumerate(np.array(fps, dtype=np.uint64).view(np.int64).tolist())], "node long, fp long")
+    root = {r["node"]: r["root"] for r in simhash.components(simhash.fingerprint_links(nodes)).collect()}
+    assert [root.get(i, i) for i in range(len(fps))] == label.tolist()
+
+
+def test_drop_near_duplicates_takes_links_of_fingerprints(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    texts = []
+    for _ in range(30):
+        text = [f"w{i}" for i in rng.integers(5000, size=300)]
+        texts += [text, *edited_copies(rng, text, 1, 6)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    table = frame(spark, [(i, t, "en", "a", 1) for i, t in rows])
+    sets = [simhash.shingle_hashes(t.encode().split(), 5) for _, t in rows]
+    fps = [simhash.majority(s.astype(">u8")) for s in sets]
+    alike = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))
+    gone = [i + 1 for i in range(0, len(rows), 2) if (fps[i] ^ fps[i + 1]).bit_count() <= 3 and alike(i, i + 1)]
+    assert 0 < len(gone) < 30
+    # all that fingerprints find, without the join on shingles
+    nothing = spark.createDataFrame([], "a long, b long")
+    with monkeypatch.context() as patched:
+        patched.setattr(simhash, "shingle_links", lambda *_, **__: nothing)
+        assert sorted(r[0] for r in simhash.drop_near_duplicates(table).select("doc_id").collect()) == [i for i in range(len(rows)) if i not in gone]
+    # and with it, those that fingerprints miss
+    assert sorted(r[0] for r in simhash.drop_near_duplicates(table).select("doc_id").collect()) == copies_by_hand(rows)
+
+
 @pytest.mark.parametrize("names", [("sim_uid", "uid", "same", "node"), ("doc", "text_", "label", "size")])
 def test_drop_near_duplicates_keeps_columns_of_any_name(spark, names):
     table = spark.createDataFrame([(1, "a b c", 7, 8, 9, 10), (2, "a b c", 17, 18, 19, 20), (3, "x y z", 27, 28, 29, 30)], f"doc_id long, text string, {' long, '.join(names)} long")
