@@ -27,6 +27,16 @@ def _plain(text: Column) -> Column:
     return F.lower(F.when(functools.reduce(operator.or_, other), F.regexp_replace(text, r"[\x09\x0B-\x0D]", " ")).otherwise(text))
 
 
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs -> doc_id, line_no, line; a null text has no lines.
+
+    An inner explode would have Spark infer filters on the array's size, which
+    split every text again.
+    """
+    split = docs.select(F.col(id_col).alias("doc_id"), F.split(_plain(F.col(text_col)), "\n", -1).alias("lines"))
+    return split.select("doc_id", F.posexplode_outer("lines").alias("line_no", "line")).where("line_no is not null")
+
+
 def _words(line: Column) -> Column:
     """Words of a line that ``_plain`` gave."""
     parts = F.split(line, " ", -1)
@@ -163,10 +173,8 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     whose lines are numbered alike: of equal lines with one number all stay or
     go together.  An empty table gives none.
     """
-    text = F.col(text_col)
     # the texts are read once; what follows has hashes of their words
-    split = docs.select(F.col(id_col).alias("doc_id"), F.split(_plain(text), "\n", -1).alias("lines"))
-    rows = split.select("doc_id", F.posexplode("lines").alias("line_no", "line")).select("doc_id", "line_no", _words(F.col("line")).alias("words"))
+    rows = _lines(docs, id_col, text_col).select("doc_id", "line_no", _words(F.col("line")).alias("words"))
     rows = rows.select("doc_id", "line_no", F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("h"))
     rows = rows.select("doc_id", "line_no", F.xxhash64(F.sort_array("h")).alias("class"), "h")
     words = materialize(rows, "lines-words", **{"parquet.enable.dictionary": "false"})

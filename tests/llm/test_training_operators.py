@@ -156,6 +156,14 @@ def test_line_dedup(which, spark, odd):
             assert clean[i] == "\n".join(x for k, x in enumerate(text.split("\n")) if k not in out[i][1])
 
 
+def test_line_dedup_splits_texts_once(odd):
+    lines = line_dedup._lines(odd, "doc_id", "text")
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    plain = str.maketrans("\t\x0b\x0c\r", "    ")
+    expected = Counter((r[0], k, x) for r in ODD if r[1] is not None for k, x in enumerate(r[1].lower().translate(plain).split("\n")))
+    assert Counter(map(tuple, lines.collect())) == expected
+
+
 # 3
 
 
