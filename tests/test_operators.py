@@ -556,3 +556,58 @@ def test_gzipped_fastq_as_fasta(spark, tmp_path):
         f.write("@a x\nACGT\n+\n@III\n@b\nTT\n+\nII\n")
     out = lines.fastq_to_fasta(lines.read_lines(spark, str(tmp_path / "r.fastq.gz"))).orderBy("line_no")
     assert [r.value for r in out.collect()] == [">a x", "ACGT", ">b", "TT"]
+
+
+def crowded(spark):
+    """Cells of two contigs: some reads far apart by id, one column with an unknown value, one read alone."""
+    dice = random.Random(5)
+    reads = [*range(40), 511, 512, 513, 5000, -3]
+    rows = [(c, p * 7, r, dice.choice((0, 1, 1))) for c in ("x", "y") for p in range(30) for r in dice.sample(reads, 12)]
+    return spark.createDataFrame([*rows, ("x", 999, 7, 1), ("x", 7, 9999, None)], "contig string, pos long, read_idx long, is_ref int")
+
+
+def test_pairs_are_counted_without_a_join_of_columns(spark):
+    cells = crowded(spark)
+    found = contingency.similarity_difference(cells)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    cells.createOrReplaceTempView("crowded")
+    plain = spark.sql("""select a.contig, a.read_idx as r1, b.read_idx as r2, sum(case when a.is_ref = 0 and b.is_ref = 0 then 3 when a.is_ref = 1 and b.is_ref = 1 then 1 else 0 end) as sim,
+        coalesce(sum(cast(a.is_ref <> b.is_ref as int)), 0) as diff from crowded a join crowded b on a.contig = b.contig and a.pos = b.pos and a.read_idx < b.read_idx group by all""")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect())) != []
+    d = read_graph.distances(plain)
+    assert sorted(map(tuple, read_graph.cell_distances(cells).collect())) == sorted(map(tuple, d.collect()))
+    for error in (0.05, 0.3, 0.5):
+        assert sorted(map(tuple, read_graph.cell_neighbours(cells, error=error).collect())) == sorted(map(tuple, read_graph.nearest_reads(d, error=error).collect()))
+    edges = read_graph.nearest_reads(d, error=0.5)
+    a, b = edges.toDF("contig", "r1", "m"), edges.toDF("contig", "m", "r2")
+    ways = a.join(b, ["contig", "m"]).where("r1 <> r2").groupBy("contig", "r1", "r2").count()
+    assert sorted(map(tuple, read_graph.strengthen(edges).collect())) == sorted(map(tuple, ways.collect())) != []
+
+
+def test_pairs_need_no_more_room_than_given(monkeypatch):
+    from skeinflow.operators import pairs
+
+    entry = np.array([0, 1, 2, 600, 0, 2, 600, 1, 2, 0])
+    block = pairs.Block(0, np.array([10, 20, 25]), np.array([4, 3, 3]), entry, np.ones(10, int))
+    whole = sorted((int(a), int(b)) for left, right in block.pairs(0, 3) for a, b in zip(left, right))
+    monkeypatch.setattr(pairs, "ROOM", 4)
+    cut = [len(left) for a, b in block.runs(4) for left, _ in block.pairs(a, b)]
+    assert max(cut) <= 4 and len(cut) > 3 and sum(cut) == len(whole)
+    assert sorted((int(x), int(y)) for a, b in block.runs(4) for left, right in block.pairs(a, b) for x, y in zip(left, right)) == whole
+
+
+def test_clusters_clash_at_spaced_sites_without_a_join(spark):
+    dice = random.Random(6)
+    rows = [("x", int(label), p, dice.choice((-1, 0, 1))) for p in range(0, 200, 4) for label in dice.sample([1, 2, 3, 700, 701], 4)]
+    found = read_graph.incompatible(spark.createDataFrame(rows, "contig string, label long, pos long, base int"))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    at = {(label, p): base for _, label, p, base in rows if base >= 0}
+    want = {}
+    for c1 in (1, 2, 3, 700, 701):
+        for c2 in (c for c in (1, 2, 3, 700, 701) if c > c1):
+            last = None
+            for p in range(0, 200, 4):
+                if (c1, p) in at and (c2, p) in at and at[c1, p] != at[c2, p] and (last is None or p - last > 10):
+                    want["x", c1, c2] = want.get(("x", c1, c2), 0) + 1
+                    last = p
+    assert {tuple(r)[:3]: r.n for r in found.collect()} == want
