@@ -134,9 +134,10 @@ def sessions(points: DataFrame, gap: int, *, by: tuple[str, ...], at: str) -> Da
 
 def unaligned_gaps(alignments: DataFrame, lengths: DataFrame, *, least: int = 1000, read: str = "read_idx", start: str = "qs", end: str = "qe") -> DataFrame:
     """Parts of a read that no alignment covers, head and tail included -> read_idx, gap_start, gap_end."""
-    rows = alignments.select(F.col(read).alias("read_idx"), F.col(start).alias("s"), F.col(end).alias("e"))
-    tail = lengths.select(F.col(read).alias("read_idx"), F.col("len").alias("s"), F.col("len").alias("e"))
-    order = Window.partitionBy("read_idx").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    rows = alignments.select(F.col(read).alias("read_idx"), F.lit(0).alias("tail"), F.col(start).alias("s"), F.col(end).alias("e"))
+    tail = lengths.select(F.col(read).alias("read_idx"), F.lit(1).alias("tail"), F.col("len").alias("s"), F.col("len").alias("e"))
+    # the read's end comes last, even where alignments go beyond it
+    order = Window.partitionBy("read_idx").orderBy("tail", "s", "e").rowsBetween(Window.unboundedPreceding, -1)
     covered = F.coalesce(F.max("e").over(order), F.lit(0).cast("long"))
     return rows.unionByName(tail).withColumn("gap_start", covered).where(F.col("s") - F.col("gap_start") > least).select("read_idx", "gap_start", F.col("s").alias("gap_end"))
 

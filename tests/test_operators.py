@@ -611,3 +611,10 @@ def test_clusters_clash_at_spaced_sites_without_a_join(spark):
                     want["x", c1, c2] = want.get(("x", c1, c2), 0) + 1
                     last = p
     assert {tuple(r)[:3]: r.n for r in found.collect()} == want
+
+
+def test_alignments_beyond_the_length_leave_no_tail(spark):
+    aln = spark.createDataFrame([(1, 100, 200), (1, 4000, 4100), (2, 10, 20)], "read_idx long, qs long, qe long")
+    lengths = spark.createDataFrame([(1, 2500), (2, 2500), (3, 2500)], "read_idx long, len long")
+    found = windows.unaligned_gaps(aln, lengths, least=100)
+    assert sorted(map(tuple, found.collect())) == [(1, 200, 4000), (2, 20, 2500), (3, 0, 2500)]
