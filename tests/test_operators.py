@@ -618,3 +618,24 @@ def test_alignments_beyond_the_length_leave_no_tail(spark):
     lengths = spark.createDataFrame([(1, 2500), (2, 2500), (3, 2500)], "read_idx long, len long")
     found = windows.unaligned_gaps(aln, lengths, least=100)
     assert sorted(map(tuple, found.collect())) == [(1, 200, 4000), (2, 20, 2500), (3, 0, 2500)]
+
+
+def test_many_like_rows_are_compared_once():
+    """Squares of these rows would take hundreds of GB, or steps for hours."""
+    dice = np.random.default_rng(3)
+    kinds = np.array([[1, 1, 1, np.nan], [0, 0, np.nan, 0], [1, np.nan, 1, 1], [0, 0, 0, 0], [1, 1, 1, 1]])
+    at = dice.integers(0, len(kinds), 200_000)
+    whole = bicluster.impute(kinds[at])
+    assert (whole == np.array([[1] * 4, [0] * 4, [1] * 4, [0] * 4, [1] * 4])[at]).all()
+    label = bicluster.complete_linkage(whole, 0.5)
+    ones = whole[:, 0] == 1
+    assert (label[ones] == np.argmax(ones)).all() and (label[~ones] == np.argmax(~ones)).all()
+    rows, cols = bicluster.quasi_biclique((whole == 1).astype(int))
+    assert np.isin(np.flatnonzero(ones), rows).all() and whole[rows].mean() >= 1 - 0.025 and len(cols) == 4
+    assert len(np.unique(bicluster.separate(whole))) == 2
+
+
+@pytest.mark.parametrize("clusters, want", [(1, [0, 0, 0, 0, 0]), (2, [0, 1, 0, 1, 0]), (3, [0, 1, 0, 3, 0]), (4, [0, 1, 0, 3, 4])])
+def test_like_rows_stay_apart_for_the_least_clusters(clusters, want):
+    rows = np.array([[1, 1], [0, 0], [1, 1], [0, 0], [1, 1]])
+    assert bicluster.complete_linkage(rows, 1.0, clusters=clusters).tolist() == want
