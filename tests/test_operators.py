@@ -639,3 +639,8 @@ def test_many_like_rows_are_compared_once():
 def test_like_rows_stay_apart_for_the_least_clusters(clusters, want):
     rows = np.array([[1, 1], [0, 0], [1, 1], [0, 0], [1, 1]])
     assert bicluster.complete_linkage(rows, 1.0, clusters=clusters).tolist() == want
+
+
+def test_chi_square_of_many_reads():
+    n = np.array([5, 48_000, 3_000_000])
+    assert partitions._chi(n, n * 0, n * 0, n).tolist() == (2 * n).tolist()
