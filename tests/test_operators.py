@@ -644,3 +644,22 @@ def test_like_rows_stay_apart_for_the_least_clusters(clusters, want):
 def test_chi_square_of_many_reads():
     n = np.array([5, 48_000, 3_000_000])
     assert partitions._chi(n, n * 0, n * 0, n).tolist() == (2 * n).tolist()
+
+
+def test_live_partitions_hold_only_the_reads_within_reach():
+    dice = np.random.default_rng(4)
+    names, live, width = np.arange(40_000), [], []
+    columns = [(k * 20, np.arange(k * 10, k * 10 + 30), dice.random(30) < 0.5) for k in range(3900)]
+    begin = partitions._Open.begin
+
+    def watch(self, *args):
+        begin(self, *args)
+        width.append(self.state.shape)
+
+    partitions._Open.begin = watch
+    try:
+        found = partitions.grown(columns, names, reach=400)
+    finally:
+        partitions._Open.begin = begin
+    assert max(w[1] for w in width) <= 1024 and max(w[0] for w in width) <= 64
+    assert sum(p.columns for p in found) == 3900 and all((np.diff(p.reads) > 0).all() for p in found)
