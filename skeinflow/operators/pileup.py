@@ -6,10 +6,16 @@ position.  Columns are named by arguments; results have the default names.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cigar as cg
+from ..functions.seq import ALPHABET
 
 
 def allele_counts(cells: DataFrame, *, contig: str = "contig", pos: str = "pos", allele: str = "allele") -> DataFrame:
@@ -105,22 +111,72 @@ def build_pileup(alignments: DataFrame, reads: DataFrame, contigs: DataFrame) ->
     """
     from ..functions import seq
 
-    runs = alignments.join(reads.select("read_idx", F.col("seq").alias("rseq")), "read_idx").withColumn("oriented", F.when(F.col("strand"), F.col("rseq")).otherwise(seq.reverse_complement(F.col("rseq"))))
-    ops = runs.select("read_idx", "contig_id", "start", "oriented", cg.columns_of(F.col("cigar")).alias("cols"))
-    # one row per alignment column that a base or a gap stands in
-    flat = ops.select("read_idx", "contig_id", "start", "oriented", F.posexplode("cols").alias("k", "c"))
-    flat = flat.where(F.col("c.op").isin("M", "=", "X", "D", "I"))
-    base = F.when(F.col("c.op") == "D", F.lit("-")).otherwise(F.substring("oriented", F.col("c.q") + 1, F.lit(1)))
-    flat = flat.select("read_idx", "contig_id", "start", "k", F.col("c.op").alias("op"), (F.col("start") + F.col("c.r")).alias("pos"), base.alias("base"))
-    history = Window.partitionBy("read_idx", "contig_id", "start").orderBy("k")
-    # the history before the first column
-    b1 = F.coalesce(F.lag("base", 1).over(history), F.lit("G"))
-    b2 = F.coalesce(F.lag("base", 2).over(history), F.when(F.lag("base", 1).over(history).isNull(), F.lit("C")).otherwise(F.lit("G")))
-    cells = flat.withColumn("symbol", seq.triplet(b2, b1, F.col("base"))).where(F.col("op") != "I")
+    runs = alignments.join(reads.select("read_idx", F.col("seq").alias("rseq")), "read_idx")
+    oriented = F.when(F.col("strand"), F.col("rseq")).otherwise(seq.reverse_complement(F.col("rseq")))
     own = contigs.select("contig_id", F.col("seq").alias("cseq"))
-    return cells.join(own, "contig_id").where(F.col("pos") < F.length("cseq")).select(
-        "contig_id", "pos", "read_idx", "symbol", ((F.col("base") != F.substring("cseq", (F.col("pos") + 1).cast("int"), F.lit(1))) & (F.col("op") != "D")).alias("mismatch")
-    )
+    # of the contig, only what lies under the alignment
+    under = F.substring("cseq", (F.col("start") + 1).cast("int"), cg.reference_length(F.col("cigar")))
+    rows = runs.select("read_idx", "contig_id", "start", "cigar", oriented.alias("oriented")).join(own, "contig_id")
+    rows = rows.where(F.col("start") < F.length("cseq")).select("contig_id", "read_idx", F.col("start").cast("long").alias("start"), "cigar", "oriented", under.alias("under"))
+    types = dict(alignments.dtypes)
+    place = "long" if types["start"] == "bigint" else "int"
+    schema = f"contig_id {types['contig_id']}, pos {place}, read_idx {types['read_idx']}, symbol smallint, mismatch boolean"
+    return rows.mapInArrow(lambda batches: _cells(batches, place), schema)
+
+
+def _letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _alignment_cells(start: int, cigar: str, oriented: str | None, under: str) -> tuple[np.ndarray, ...]:
+    """An alignment's cells: pos, symbol, whether it has one, mismatch, and whether that is known."""
+    runs = [(int(n), op) for n, op in re.findall(cg._RUN, cigar)]
+    op = np.repeat(np.array([ord(op) for _, op in runs], np.uint8), [n for n, _ in runs])
+    is_ = lambda letters: np.isin(op, np.frombuffer(letters.encode(), np.uint8))
+    on_r, on_q = is_("MD=X"), is_("MI=XSH")
+    r, q = np.cumsum(on_r) - on_r, np.cumsum(on_q) - on_q
+    used = is_("M=XDI")
+    op, r, q = op[used], r[used], q[used]
+    gap = op == ord("D")
+    read = _letters(oriented or "")
+    # 0: beyond the read's end, an empty string, which stands at the alphabet's begin
+    base = np.where(gap, ord("-"), np.append(read, 0)[np.minimum(q, len(read))])
+    code = np.full(len(base), -1)
+    for k, letter in enumerate(ALPHABET):
+        code[base == ord(letter)] = k
+    code[base == 0] = 0
+    known = gap | (oriented is not None)
+    # a column's history; before the first one it is C, then G
+    b1, has1 = np.r_[2, code[:-1]][: len(code)], np.r_[False, known[:-1]][: len(code)]
+    b2, has2 = np.r_[2, 2, code[:-2]][: len(code)], np.r_[False, False, known[:-2]][: len(code)]
+    b1, b2 = np.where(has1, b1, 2), np.where(has2, b2, np.where(has1, 2, 1))
+    symbol = 33 + 5 * b2 + b1 + 25 * code
+    cells = (op != ord("I")) & (r < len(under))
+    r, gap = r[cells], gap[cells]
+    return start + r, symbol[cells], known[cells], (base[cells] != _letters(under)[r]) & ~gap, known[cells] | gap
+
+
+def _cells(batches: Iterator[pa.RecordBatch], place: str, most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Cells of alignments, about ``most`` in a batch."""
+    for batch in batches:
+        ids, held, n = [], [], 0
+        for k, (start, cigar, oriented, under) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("start", "cigar", "oriented", "under")))):
+            if cigar and under is not None:
+                held.append(_alignment_cells(start, cigar, oriented, under))
+                ids.append(k)
+                n += len(held[-1][0])
+            if held and (n >= most or k == batch.num_rows - 1):
+                yield _batch(batch, ids, held, place)
+                ids, held, n = [], [], 0
+        if held:
+            yield _batch(batch, ids, held, place)
+
+
+def _batch(batch: pa.RecordBatch, ids: list[int], held: list[tuple[np.ndarray, ...]], place: str) -> pa.RecordBatch:
+    pos, symbol, known, mismatch, sure = (np.concatenate(x) for x in zip(*held))
+    at = pa.array(np.repeat(ids, [len(h[0]) for h in held]))
+    columns = [batch.column("contig_id").take(at), pa.array(pos, pa.int64() if place == "long" else pa.int32()), batch.column("read_idx").take(at), pa.array(symbol.astype(np.int16), mask=~known), pa.array(mismatch.astype(bool), mask=~sure)]
+    return pa.RecordBatch.from_arrays(columns, names=["contig_id", "pos", "read_idx", "symbol", "mismatch"])
 
 
 def error_rate(alignments: DataFrame, *, cap: float = 0.15) -> DataFrame:

@@ -663,3 +663,36 @@ def test_live_partitions_hold_only_the_reads_within_reach():
         partitions._Open.begin = begin
     assert max(w[1] for w in width) <= 1024 and max(w[0] for w in width) <= 64
     assert sum(p.columns for p in found) == 3900 and all((np.diff(p.reads) > 0).all() for p in found)
+
+
+def test_long_alignments_become_cells_without_windows(spark):
+    n = 300_000
+    reads = spark.createDataFrame([(0, "ACGT" * (n // 4)), (1, "ACG"), (2, "ACCN")], "read_idx int, seq string")
+    contigs = spark.createDataFrame([(9, "ACGT" * (n // 4) + "A")], "contig_id int, seq string")
+    aln = spark.createDataFrame([(0, 9, 0, True, f"{n}M"), (1, 9, n - 2, True, "1I2M4M"), (2, 9, 0, False, "4M")], "read_idx int, contig_id int, start int, strand boolean, cigar string")
+    rows = pileup.build_pileup(aln, reads, contigs)
+    assert "Window" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.where("read_idx = 0").agg(F.count("*"), F.max("pos"), F.count_if("mismatch")).first() == (n, n - 1, 0)
+    # an inserted A, then C, G, and nothing where the read has ended; the other way round, NGGT
+    got = [tuple(r) for r in rows.where("read_idx > 0").select("read_idx", "pos", "symbol", "mismatch").orderBy("read_idx", "pos").collect()]
+    code = lambda b2, b1, b: 33 + 5 * b2 + b1 + 25 * b
+    assert got == [(1, n - 2, code(2, 0, 1), True), (1, n - 1, code(0, 1, 2), True), (1, n, code(1, 2, 0), True),
+        (2, 0, code(1, 2, -1), True), (2, 1, code(2, -1, 2), True), (2, 2, code(-1, 2, 2), False), (2, 3, code(2, 2, 3), False)]
+
+
+def test_few_sequences_go_to_the_steps(spark):
+    steps = spark.range(20_000).select((F.col("id") % 5000).alias("seg_id"), F.col("id").alias("idx"), (F.col("id") % 7).alias("contig"), F.when(F.col("id") % 2 == 0, ">").otherwise("<").alias("orient"))
+    contigs = spark.range(7).select(F.col("id").alias("contig"), F.expr("repeat('AC', int(id) + 200000)").alias("seq"))
+    found = sinks.segment_sequences(steps.where("idx < 20"), contigs)
+    assert "hint=(strategy=broadcast)" in found._jdf.queryExecution().analyzed().toString() or "BroadcastHashJoin" in found._jdf.queryExecution().toString()
+    row = found.where("seg_id = 1").first()
+    assert row.seq == "GT" * 200_001
+
+
+def test_layouts_of_many_groups_share_a_batch(spark):
+    ways = spark.createDataFrame([(g, a, b, 10 * a, b) for g in range(3) for a, b in ((0, 1), (1, 2), (0, 2 + g), (2, 3))], "group int, left int, right int, shift int, overlap int")
+    found = kernels.layout(ways)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {0: [0, 2, 3], 1: [0, 3], 2: [0, 4]}
+    rows = sorted(map(tuple, found.collect()))
+    assert {g: [r[2] for r in rows if r[0] == g] for g in range(3)} == want and rows[2] == (0, 2, 3, 20)
