@@ -15,6 +15,26 @@ def tiles(lengths: DataFrame, size: int, *, least_tail: int = 100, contig: str =
     return rows.select("contig", "win", (F.col("win") * size).cast("long").alias("win_start"), end.cast("long").alias("win_end"))
 
 
+def in_tiles(lengths: DataFrame, size: int, intervals: DataFrame, *, least_tail: int = 100, contig: str = "contig", length: str = "len", start: str = "start_c", end: str = "end_c") -> DataFrame:
+    """Intervals with each tile that they touch, ends included -> intervals, win, win_start, win_end as ``tiles`` has them.
+
+    Tiles follow from a place and the contig's length, so that none is made
+    that no interval touches.
+    """
+    n = F.greatest(F.floor((F.col("_len") - least_tail) / size) + F.when((F.col("_len") - least_tail) % size >= 0, 1).otherwise(0), F.lit(1)).cast("int")
+    known = lengths.select(F.col(contig).alias("contig"), F.col(length).alias("_len")).withColumn("_n", n)
+    tile = lambda x: F.greatest(F.least(F.floor(F.col(x) / size), F.col("_n") - 1), F.lit(0)).cast("int")
+    rows = intervals.where(F.col(end) >= F.col(start)).join(known, "contig").withColumn("win", F.explode(F.sequence(tile(start), tile(end))))
+    last = F.when(F.col("win") == F.col("_n") - 1, F.col("_len")).otherwise((F.col("win") + 1) * size)
+    return rows.withColumn("win_start", (F.col("win") * size).cast("long")).withColumn("win_end", last.cast("long")).drop("_len", "_n")
+
+
+def clipped_by_tiles(lengths: DataFrame, size: int, intervals: DataFrame, *, start: str = "start_c", end: str = "end_c") -> DataFrame:
+    """J8 over tiles: what ``clipped`` gives for ``tiles``."""
+    both = in_tiles(lengths, size, intervals, start=start, end=end)
+    return both.withColumn("overlap", F.least("win_end", end) - F.greatest("win_start", start)).where("overlap > 0")
+
+
 def window_size(mean_length: float, long_reads: int, *, amplicon: bool = False, longest: int = 0) -> int:
     """2000 bases, fewer where reads are short, a whole contig for amplicons."""
     if amplicon:

@@ -696,3 +696,21 @@ def test_layouts_of_many_groups_share_a_batch(spark):
     want = {0: [0, 2, 3], 1: [0, 3], 2: [0, 4]}
     rows = sorted(map(tuple, found.collect()))
     assert {g: [r[2] for r in rows if r[0] == g] for g in range(3)} == want and rows[2] == (0, 2, 3, 20)
+
+
+def test_tiles_of_long_contigs_are_made_where_intervals_are(spark):
+    lengths = spark.createDataFrame([("x", 950), ("y", 40), ("z", 880), ("w", 10**11)], "contig string, len long")
+    dice = random.Random(8)
+    rows = [(c, a, a + dice.choice((0, 1, 30, 500, 900)), k) for k in range(60) for c, most in (("x", 1000), ("y", 60), ("z", 900)) for a in [dice.randrange(most)]]
+    aln = spark.createDataFrame([*rows, ("w", 10**10, 10**10 + 500, 99)], "contig string, start_c long, end_c long, k int")
+    few = lengths.where("contig <> 'w'")
+    want = windows.clipped(windows.tiles(few, 400), aln, bin_size=256).select("contig", "win", "k", "start_c", "overlap").collect()
+    found = [tuple(r) for r in windows.clipped_by_tiles(lengths, 400, aln).select("contig", "win", "k", "start_c", "overlap").collect()]
+    assert sorted(r for r in found if r[0] != "w") == sorted(map(tuple, want)) != []
+    assert sorted(r[1:] for r in found if r[0] == "w") == [(25_000_000, 99, 10**10, 400), (25_000_001, 99, 10**10, 100)]
+
+
+def test_runs_are_joined_without_expansion(spark):
+    for text, want in (("3M0D2M1I", "5M1I"), ("0S", ""), ("*", ""), ("1M1M1M", "3M"), ("3S4=1X2D2I6M7S", "3S4=1X2D2I6M7S"), ("2000000000D0I2000000000D", "4000000000D")):
+        assert one(spark, c=cigar.joined(F.lit(text))).c == want
+    assert one(spark, c=cigar.joined(F.lit(None).cast("string"))).c is None
