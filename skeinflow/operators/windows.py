@@ -25,8 +25,9 @@ def in_tiles(lengths: DataFrame, size: int, intervals: DataFrame, *, least_tail:
     known = lengths.select(F.col(contig).alias("contig"), F.col(length).alias("_len")).withColumn("_n", n)
     tile = lambda x: F.greatest(F.least(F.floor(F.col(x) / size), F.col("_n") - 1), F.lit(0)).cast("int")
     rows = intervals.where(F.col(end) >= F.col(start)).join(known, "contig").withColumn("win", F.explode(F.sequence(tile(start), tile(end))))
-    last = F.when(F.col("win") == F.col("_n") - 1, F.col("_len")).otherwise((F.col("win") + 1) * size)
-    return rows.withColumn("win_start", (F.col("win") * size).cast("long")).withColumn("win_end", last.cast("long")).drop("_len", "_n")
+    begin = F.col("win").cast("long") * size
+    last = F.when(F.col("win") == F.col("_n") - 1, F.col("_len").cast("long")).otherwise(begin + size)
+    return rows.withColumn("win_start", begin).withColumn("win_end", last).drop("_len", "_n")
 
 
 def clipped_by_tiles(lengths: DataFrame, size: int, intervals: DataFrame, *, start: str = "start_c", end: str = "end_c") -> DataFrame:
