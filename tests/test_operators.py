@@ -684,7 +684,7 @@ def test_few_sequences_go_to_the_steps(spark):
     steps = spark.range(20_000).select((F.col("id") % 5000).alias("seg_id"), F.col("id").alias("idx"), (F.col("id") % 7).alias("contig"), F.when(F.col("id") % 2 == 0, ">").otherwise("<").alias("orient"))
     contigs = spark.range(7).select(F.col("id").alias("contig"), F.expr("repeat('AC', int(id) + 200000)").alias("seq"))
     found = sinks.segment_sequences(steps.where("idx < 20"), contigs)
-    assert "hint=(strategy=broadcast)" in found._jdf.queryExecution().analyzed().toString() or "BroadcastHashJoin" in found._jdf.queryExecution().toString()
+    assert "strategy=broadcast" in found._jdf.queryExecution().analyzed().toString()
     row = found.where("seg_id = 1").first()
     assert row.seq == "GT" * 200_001
 
