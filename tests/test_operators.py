@@ -714,3 +714,19 @@ def test_runs_are_joined_without_expansion(spark):
     for text, want in (("3M0D2M1I", "5M1I"), ("0S", ""), ("*", ""), ("1M1M1M", "3M"), ("3S4=1X2D2I6M7S", "3S4=1X2D2I6M7S"), ("2000000000D0I2000000000D", "4000000000D")):
         assert one(spark, c=cigar.joined(F.lit(text))).c == want
     assert one(spark, c=cigar.joined(F.lit(None).cast("string"))).c is None
+
+
+def test_minimizers_are_those_of_sparks_hash(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (0, 3, 14, 15, 24, 25, 90)] + ["äé✓𝄞AC" * 8, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for k, w in ((15, 10), (3, 4), (8, 1), (40, 3), (4, 2)):
+        h = F.transform(F.sequence(F.lit(1), F.length("t") - k + 1), lambda i: F.xxhash64(F.substring("t", i, F.lit(k))))
+        own = {r.i: r.h for r in df.where(F.length("t") >= k).select("i", h.alias("h")).collect()}
+        want = {i: list(dict.fromkeys(min(v[j : j + w]) for j in range(max(len(v) - w + 1, 1)))) for i, v in own.items()}
+        assert {r.i: r.m for r in df.select("i", seq.minimizers(F.col("t"), k, w).alias("m")).collect()} == {i: want.get(i, []) for i in range(len(texts))}
+    long = "".join(rng.choice("ACGT") for _ in range(300))
+    whole = seq._minimizers(long, 15, 10).tolist()
+    monkeypatch.setattr(seq, "PIECE", 7)
+    assert seq._minimizers(long, 15, 10).tolist() == whole
+    assert "ArrowEvalPython" in df.select(seq.minimizers(F.col("t"), 15, 10))._jdf.queryExecution().executedPlan().toString()  # not a lambda for each window
