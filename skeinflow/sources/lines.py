@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Lines that are filled together.
+RUN = 4096
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """-> file, block, line_no (from 0, in each file), value.
@@ -23,15 +26,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def fill_down(lines: DataFrame, header: Column) -> DataFrame:
     """Each line with ``section``, the number of the last header line at or before it; lines before the first header are dropped.
 
-    Filled within splits, then with the last header of the splits before.
+    Filled within runs of lines, then with the last header of the runs before;
+    a split, or a file that is one, may be too much for a task.
     """
-    marked = lines.withColumn("_h", F.when(header, F.col("line_no")))
-    inside = marked.withColumn("_s", F.last("_h", ignorenulls=True).over(Window.partitionBy("file", "block").orderBy("line_no")))
-    blocks = marked.groupBy("file", "block").agg(F.max("_h").alias("_last"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("file", "block", F.max("_last").over(before).alias("_carry"))
-    filled = inside.join(blocks, ["file", "block"]).withColumn("section", F.coalesce("_s", "_carry"))
-    return filled.where("section is not null").drop("_h", "_s", "_carry")
+    marked = lines.withColumn("_h", F.when(header, F.col("line_no"))).withColumn("_r", F.floor(F.col("line_no") / RUN))
+    inside = marked.withColumn("_s", F.last("_h", ignorenulls=True).over(Window.partitionBy("file", "_r").orderBy("line_no")))
+    runs = marked.groupBy("file", "_r").agg(F.max("_h").alias("_last"))
+    before = Window.partitionBy("file").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("file", "_r", F.max("_last").over(before).alias("_carry"))
+    filled = inside.join(runs, ["file", "_r"]).withColumn("section", F.coalesce("_s", "_carry"))
+    return filled.where("section is not null").drop("_h", "_r", "_s", "_carry")
 
 
 def fastq_to_fasta(lines: DataFrame) -> DataFrame:

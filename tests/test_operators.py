@@ -730,3 +730,12 @@ def test_minimizers_are_those_of_sparks_hash(spark, monkeypatch):
     monkeypatch.setattr(seq, "PIECE", 7)
     assert seq._minimizers(long, 15, 10).tolist() == whole
     assert "ArrowEvalPython" in df.select(seq.minimizers(F.col("t"), 15, 10))._jdf.queryExecution().executedPlan().toString()  # not a lambda for each window
+
+
+def test_lines_of_one_split_are_filled_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(lines, "RUN", 3)
+    heads = (2, 3, 11)
+    rows = spark.range(20).select(F.lit("f").alias("file"), F.lit(0).alias("block"), F.col("id").alias("line_no"), F.when(F.col("id").isin(*heads), ">").otherwise("x").alias("value"))
+    filled = lines.fill_down(rows, F.col("value") == ">")
+    assert filled.columns == ["file", "block", "line_no", "value", "section"]
+    assert {r.line_no: r.section for r in filled.collect()} == {k: max(h for h in heads if h <= k) for k in range(2, 20)}
