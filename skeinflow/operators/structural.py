@@ -65,7 +65,11 @@ def solid_bridges(bridges_: DataFrame, *, least: int = 5, near: int = 1000, gap_
     rows, parts = bridges_, []
     for column, bound in (("pos1", near), ("pos2", near), ("gap", gap_near)):
         order = Window.partitionBy(*key, *parts).orderBy(column)
-        rows = rows.withColumn("_new", F.when(F.col(column) - F.lag(column).over(order) <= bound, 0).otherwise(1)).withColumn(f"_{column}", F.sum("_new").over(order)).drop("_new")
+        new, next_ = (F.when(x <= bound, 0).otherwise(1) for x in (F.col(column) - F.lag(column).over(order), F.lead(column).over(order) - F.col(column)))
+        rows = rows.withColumn("_new", new).withColumn("_next", next_).withColumn(f"_{column}", F.sum("_new").over(order))
+        if least > 1:  # one alone stays alone; sessions are numbered before it goes
+            rows = rows.where("_new = 0 or _next = 0")
+        rows = rows.drop("_new", "_next")
         parts.append(f"_{column}")
     session = F.concat_ws(".", *parts).alias("session")
     mid = lambda c: F.floor(F.avg(c)).cast("long").alias(c)

@@ -739,3 +739,28 @@ def test_lines_of_one_split_are_filled_in_runs(spark, monkeypatch):
     filled = lines.fill_down(rows, F.col("value") == ">")
     assert filled.columns == ["file", "block", "line_no", "value", "section"]
     assert {r.line_no: r.section for r in filled.collect()} == {k: max(h for h in heads if h <= k) for k in range(2, 20)}
+
+
+def test_bridges_that_are_alone_go_before_the_next_sort(spark):
+    rng = random.Random(5)
+    rows = [(r, 1, 1, 1, rng.randrange(4000), 2, 1, rng.randrange(4000), rng.randrange(3000)) for r in range(60)]
+    df = spark.createDataFrame(rows, "read_idx long, ord long, contig1 long, strand1 int, pos1 long, contig2 long, strand2 int, pos2 long, gap long")
+
+    def cut(group, at, bound):
+        parts, last = {}, None
+        for k, x in enumerate(sorted(group, key=lambda x: x[at])):
+            n = len(parts) + (k == 0 or x[at] - last > bound)
+            parts.setdefault(n, []).append(x)
+            last = x[at]
+        return parts
+
+    want = []
+    for a, g in cut(rows, 4, 40).items():
+        for b, h in cut(g, 7, 400).items():
+            for c, m in cut(h, 8, 400).items():
+                want.append((f"{a}.{b}.{c}", len(m), *(sum(x[k] for x in m) // len(m) for k in (4, 7, 8))))
+    sessions = lambda least: st.solid_bridges(df.withColumn("pos1", F.col("pos1") * 10), least=least, near=400, gap_near=400)
+    for least in (1, 2):
+        got = sorted((r.session, r.n, r.pos1 // 10, r.pos2, r.gap) for r in sessions(least).collect())
+        assert got == sorted(w for w in want if w[1] >= least)
+    assert "_next" in sessions(2)._jdf.queryExecution().optimizedPlan().toString()
