@@ -7,13 +7,19 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that every worker may hold.
+SENT = 500_000
+
+
+def sent(rows: DataFrame) -> DataFrame:
+    """Checkpointed rows for a join: each worker gets all of them while they are few, so that the other side stays where it is."""
+    return F.broadcast(rows) if rows.limit(SENT + 1).count() <= SENT else rows
 
 
 def _order():
     return Window.partitionBy("read_idx").orderBy("idx")
 
 
-
 def end_towards_next(orient: Column) -> Column:
     """The end by which a step is left: right (1) on the forward strand."""
     return F.when(orient == ">", 1).otherwise(0)
@@ -122,24 +128,29 @@ def consensus_next(paths: DataFrame) -> DataFrame:
 def consensus_paths(paths: DataFrame) -> DataFrame:
     """From each oriented contig, on along the consensus of the paths that share the way so far -> contig, orient, steps, path.
 
-    Paths are extended step by step, until there is no consensus anywhere; those that leave it drop out.
+    Ways grow step by step, until there is no consensus anywhere; paths that leave theirs drop out.  A path is
+    a row with its steps in order, so that a round sends counts and ways only.
     """
-    first = paths.select("read_idx", "idx", F.col("contig").alias("start"), F.col("orient").alias("start_orient"))
-    own = paths.select("read_idx", F.col("idx").alias("at"), "contig", "orient")
-    live = first.withColumn("at", F.col("idx") + 1)
-    best = first.select("start", "start_orient").distinct().withColumn("steps", F.lit(0)).withColumn("path", F.lit(""))
+    step = f"struct<contig:{dict(paths.dtypes)['contig']},orient:string>"
+    whole = paths.where("read_idx is not null").groupBy("read_idx").agg(F.sort_array(F.collect_list(F.struct("idx", "contig", "orient"))).alias("s"))
+    whole = whole.select(F.transform("s", lambda x: x["idx"]).alias("ids"), F.transform("s", lambda x: F.struct(x["contig"].alias("contig"), x["orient"].alias("orient"))).alias("s")).checkpoint()
+    places = whole.select("ids", "s", F.posexplode("s").alias("at", "own")).select("ids", "s", "at", F.col("own.contig").alias("start"), F.col("own.orient").alias("start_orient"))
+    best = paths.select(F.col("contig").alias("start"), F.col("orient").alias("start_orient")).distinct().withColumn("way", F.array().cast(f"array<{step}>")).checkpoint()
     for k in count(1):
-        seen = live.join(own, ["read_idx", "at"])
-        n = seen.groupBy("start", "start_orient", "contig", "orient").agg(F.count(F.lit(1)).alias("n"))
+        after = F.col("at") + k
+        live = places.where((F.size("s") > after) & (F.get("ids", after) == F.get("ids", "at") + k))
+        if k > 1:
+            live = live.join(sent(best.where(F.size("way") == k - 1)), ["start", "start_orient"]).where(F.slice("s", F.col("at") + 2, F.lit(k - 1)) == F.col("way"))
+        n = live.select("start", "start_orient", F.get("s", after).alias("x")).select("start", "start_orient", "x.*").groupBy("start", "start_orient", "contig", "orient").agg(F.count(F.lit(1)).alias("n"))
         by = Window.partitionBy("start", "start_orient")
         top = n.withColumn("total", F.sum("n").over(by)).withColumn("k", F.row_number().over(by.orderBy(F.desc("n"), "contig", "orient")))
-        top = top.where("k = 1 and (n > 0.6 * total or (n = total - 1 and n >= 2))").select("start", "start_orient", "contig", "orient").checkpoint()
+        top = top.where("k = 1 and (n > 0.6 * total or (n = total - 1 and n >= 2)) and contig is not null and orient is not null")
+        top = top.select("start", "start_orient", F.array(F.struct("contig", "orient")).alias("step")).checkpoint()
         if not top.head(1):
             break
-        grown = top.select("start", "start_orient", F.concat("orient", F.col("contig").cast("string")).alias("step"))
-        best = best.join(grown, ["start", "start_orient"], "left").select("start", "start_orient", F.when(F.col("step").isNotNull(), k).otherwise(F.col("steps")).alias("steps"), F.concat("path", F.coalesce("step", F.lit(""))).alias("path")).checkpoint()
-        live = seen.join(top, ["start", "start_orient", "contig", "orient"], "left_semi").select("read_idx", "idx", "start", "start_orient", (F.col("at") + 1).alias("at")).checkpoint()
-    return best.select(F.col("start").alias("contig"), F.col("start_orient").alias("orient"), "steps", "path")
+        best = best.join(top, ["start", "start_orient"], "left").select("start", "start_orient", F.when(F.col("step").isNotNull(), F.concat("way", "step")).otherwise(F.col("way")).alias("way")).checkpoint()
+    text = F.array_join(F.transform("way", lambda x: F.concat(x["orient"], x["contig"].cast("string"))), "")
+    return best.select(F.col("start").alias("contig"), F.col("start_orient").alias("orient"), F.size("way").alias("steps"), text.alias("path"))
 
 
 def assign_reads(paths: DataFrame, segments: DataFrame) -> DataFrame:

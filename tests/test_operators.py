@@ -764,3 +764,27 @@ def test_bridges_that_are_alone_go_before_the_next_sort(spark):
         got = sorted((r.session, r.n, r.pos1 // 10, r.pos2, r.gap) for r in sessions(least).collect())
         assert got == sorted(w for w in want if w[1] >= least)
     assert "_next" in sessions(2)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.fixture
+def counted(spark):
+    """A column as it is, and how many rows it was told for."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(x):
+        seen.add(1)
+        return x
+
+    return F.udf(look, "long").asNondeterministic(), seen
+
+
+def test_consensus_paths_read_the_paths_once_for_all_rounds(spark, counted):
+    look, seen = counted
+    ways = {1: [1, 2, 3, 4, 5], 2: [1, 2, 3, 4, 6], 3: [1, 2, 3, 4, 5], 4: [9, 2, 7], 5: [9, None, 1]}
+    rows = [(r, i, c, ">") for r, way in ways.items() for i, c in enumerate(way, 1)]
+    rows += [(6, 1, 8, ">"), (6, 3, 5, ">"), (None, 1, 8, ">"), (None, 2, 5, ">")]  # a gap; steps of no path
+    df = spark.createDataFrame(rows, "read_idx long, idx long, contig long, orient string").withColumn("idx", look("idx"))
+    got = {r.contig: (r.steps, r.path) for r in po.consensus_paths(df).collect()}
+    assert got[1] == (4, ">2>3>4>5") and got[2] == (3, ">3>4>5") and got[3] == (2, ">4>5") and got[4] == (1, ">5")
+    assert got[5] == got[6] == got[7] == got[8] == got[9] == got[None] == (0, "")
+    assert seen.value <= 2 * len(rows)
