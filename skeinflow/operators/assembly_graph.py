@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .path_ops import both_ways, dedupe_links, degrees, pair_support, steps
+from .path_ops import both_ways, dedupe_links, degrees, pair_support, sent, steps
+
+#: Rows that one task joins with themselves.
+SELF = 500_000
 
 
 def link_ends_valid(links: DataFrame) -> DataFrame:
@@ -258,7 +261,9 @@ def contacts(pairs: DataFrame, fragments: DataFrame | None = None) -> DataFrame:
 
 def barcode_contacts(reads: DataFrame) -> DataFrame:
     """Contigs by shared barcode, both orders and i = j -> i, j, n.  reads: (barcode, contig), counted as often as they stand."""
-    n = reads.groupBy("barcode", "contig").agg(F.count(F.lit(1)).alias("m"))
+    # as many tasks as the reads need: a task's pairs are counted in its memory
+    parts = max(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-reads.count() // SELF))
+    n = reads.repartition(parts, "barcode").groupBy("barcode", "contig").agg(F.count(F.lit(1)).alias("m"))
     a, b = n.select("barcode", F.col("contig").alias("i"), F.col("m").alias("m1")), n.select("barcode", F.col("contig").alias("j"), F.col("m").alias("m2"))
     return a.join(b, "barcode").groupBy("i", "j").agg(F.sum(F.col("m1") * F.col("m2")).alias("n"))
 

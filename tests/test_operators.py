@@ -788,3 +788,16 @@ def test_consensus_paths_read_the_paths_once_for_all_rounds(spark, counted):
     assert got[1] == (4, ">2>3>4>5") and got[2] == (3, ">3>4>5") and got[3] == (2, ">4>5") and got[4] == (1, ">5")
     assert got[5] == got[6] == got[7] == got[8] == got[9] == got[None] == (0, "")
     assert seen.value <= 2 * len(rows)
+
+
+def test_barcodes_go_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    monkeypatch.setattr(ag, "SELF", 2)
+    rows = [(b, c) for b in range(6) for c in (b % 3, b % 3, 5)] + [(1, None), (None, 5)]
+    got = ag.barcode_contacts(spark.createDataFrame(rows, "barcode long, contig long"))
+    n = {}
+    for b, c in rows:
+        for b2, c2 in rows:
+            if b is not None and b == b2:
+                n[c, c2] = n.get((c, c2), 0) + 1
+    assert {(r.i, r.j): r.n for r in got.collect()} == n
+    assert ", 10)" in got._jdf.queryExecution().executedPlan().toString()
