@@ -271,14 +271,16 @@ def barcode_contacts(reads: DataFrame) -> DataFrame:
 def sinkhorn(matrix: DataFrame, *, rounds: int = 10) -> DataFrame:
     """(i, j, v) with rows and columns scaled to 1 in turn, rows last -> i, j, v.
 
-    The matrix stays; only a factor for each row and each column changes.
+    The matrix is made once and stays; only a factor for each row and each column changes and moves.
     """
+    matrix = matrix.checkpoint()
     factors = {side: matrix.select(side).distinct().withColumn(f"f{side}", F.lit(1.0)) for side in ("i", "j")}
+    factors["j"] = factors["j"].checkpoint()  # those of rows are told by the first round
     for k in range(2 * rounds + 1):
         side, other = ("i", "j") if k % 2 == 0 else ("j", "i")
-        sums = matrix.join(factors[other], other).groupBy(side).agg(F.sum(F.col("v") * F.col(f"f{other}")).alias("s"))
+        sums = matrix.join(sent(factors[other]), other).groupBy(side).agg(F.sum(F.col("v") * F.col(f"f{other}")).alias("s"))
         factors[side] = sums.select(side, (1 / F.col("s")).alias(f"f{side}")).checkpoint()
-    return matrix.join(factors["i"], "i").join(factors["j"], "j").select("i", "j", (F.col("v") * F.col("fi") * F.col("fj")).alias("v"))
+    return matrix.join(sent(factors["i"]), "i").join(sent(factors["j"]), "j").select("i", "j", (F.col("v") * F.col("fi") * F.col("fj")).alias("v"))
 
 
 def best_contacts(matrix: DataFrame) -> DataFrame:

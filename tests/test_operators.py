@@ -801,3 +801,14 @@ def test_barcodes_go_to_as_many_tasks_as_they_need(spark, monkeypatch):
                 n[c, c2] = n.get((c, c2), 0) + 1
     assert {(r.i, r.j): r.n for r in got.collect()} == n
     assert ", 10)" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sinkhorn_makes_its_matrix_once(spark, counted):
+    look, seen = counted
+    rows = spark.createDataFrame([(i, j, float(1 + (i * j) % 5)) for i in range(4) for j in range(4)], "i long, j long, v double")
+    got = {(r.i, r.j): r.v for r in ag.sinkhorn(rows.withColumn("i", look("i")), rounds=3).collect()}
+    v = np.array([[1.0 + (i * j) % 5 for j in range(4)] for i in range(4)])
+    for k in range(7):
+        v = v / v.sum(1 - k % 2, keepdims=True)
+    assert all(abs(v[i, j] - x) < 1e-9 for (i, j), x in got.items()) and len(got) == 16
+    assert seen.value == 16
