@@ -237,12 +237,12 @@ def multiplicity(contigs: DataFrame, links: DataFrame, reference: float) -> Data
     clean = dedupe_links(links).checkpoint()
     d = degrees(clean).groupBy("contig").agg(F.max("degree").alias("most"))
     start = contigs.join(d, "contig", "left").select("contig", F.when(F.coalesce("most", F.lit(0)) <= 1, F.greatest(F.round(F.col("depth") / reference), F.lit(1.0)).cast("int")).alias("copies")).checkpoint()
-    ways = both_ways(clean)
     only = degrees(clean).where("degree = 1").select(F.col("contig").alias("n2"), F.col("end").alias("e2"), F.lit(1).alias("one"))
-    while True:  # each round but the last gives some contig its number
-        known = start.select(F.col("contig").alias("n2"), F.col("copies").alias("c2"))
-        ends = ways.join(only, ["n2", "e2"], "left").join(known, "n2").groupBy(F.col("n1").alias("contig"), F.col("e1").alias("end")).agg(F.sum("c2").alias("total"), F.bool_and(F.col("c2").isNotNull() & F.col("one").isNotNull()).alias("all"))
-        told = ends.where("all").groupBy("contig").agg(F.max("total").cast("int").alias("told"))
+    ways = both_ways(clean).join(only.hint("merge"), ["n2", "e2"], "left").checkpoint()
+    while True:  # each round but the last gives some contig its number; no broadcasts, which would pass the driver in each
+        known = start.select(F.col("contig").alias("n2"), F.col("copies").alias("c2")).hint("merge")
+        ends = ways.join(known, "n2").groupBy(F.col("n1").alias("contig"), F.col("e1").alias("end")).agg(F.sum("c2").alias("total"), F.bool_and(F.col("c2").isNotNull() & F.col("one").isNotNull()).alias("all"))
+        told = ends.where("all").groupBy("contig").agg(F.max("total").cast("int").alias("told")).hint("merge")
         new = start.join(told, "contig", "left").select("contig", F.coalesce("copies", "told").alias("copies")).checkpoint()
         if new.where("copies is not null").count() == start.where("copies is not null").count():
             return new
