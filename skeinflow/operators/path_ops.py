@@ -173,16 +173,17 @@ def reach(links: DataFrame, starts: DataFrame, lengths: DataFrame, *, most: int)
 
     starts: (start, end): leaving ``start`` by ``end``; lengths: (contig, len).
     Rounds go on until no path does; each joins once and is cut from its lineage.
+    None is broadcast: over many rounds all that would pass the driver.
     """
     ways = both_ways(links).checkpoint()
     live = starts.select("start", "end", F.col("start").alias("n1"), F.col("end").alias("e1"), F.lit(0).cast("long").alias("inner"), F.array("start").alias("path"))
     found = None
     while True:
-        here = live.join(ways, ["n1", "e1"]).where(~F.array_contains("path", F.col("n2"))).select("start", "end", F.col("n2").alias("target"), F.col("e2").alias("target_end"), "inner", F.concat("path", F.array("n2")).alias("path")).checkpoint()
+        here = live.join(ways.hint("merge"), ["n1", "e1"]).where(~F.array_contains("path", F.col("n2"))).select("start", "end", F.col("n2").alias("target"), F.col("e2").alias("target_end"), "inner", F.concat("path", F.array("n2")).alias("path")).checkpoint()
         if not here.head(1):
             return here if found is None else found
         found = here if found is None else found.unionByName(here)
-        live = here.join(lengths, F.col("target") == F.col("contig")).select("start", "end", F.col("target").alias("n1"), (1 - F.col("target_end")).alias("e1"), (F.col("inner") + F.col("len")).alias("inner"), "path").where(F.col("inner") <= most)
+        live = here.join(lengths.hint("merge"), F.col("target") == F.col("contig")).select("start", "end", F.col("target").alias("n1"), (1 - F.col("target_end")).alias("e1"), (F.col("inner") + F.col("len")).alias("inner"), "path").where(F.col("inner") <= most)
 
 
 def common_contigs(reached: DataFrame, *, n: int) -> DataFrame:

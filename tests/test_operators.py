@@ -812,3 +812,25 @@ def test_sinkhorn_makes_its_matrix_once(spark, counted):
         v = v / v.sum(1 - k % 2, keepdims=True)
     assert all(abs(v[i, j] - x) < 1e-9 for (i, j), x in got.items()) and len(got) == 16
     assert seen.value == 16
+
+
+@pytest.fixture
+def planned(monkeypatch):
+    """The plans of all that is checkpointed."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plans, real = [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self, eager=True: (plans.append(self._jdf.queryExecution().executedPlan().toString()), real(self, eager))[1])
+    return plans
+
+
+def test_loops_over_a_graph_broadcast_nothing(spark, planned):
+    chain = spark.createDataFrame([(k, 1, k + 1, 0) for k in range(6)] + [(2, 1, 7, 0)], "n1 long, e1 int, n2 long, e2 int")
+    contigs = spark.createDataFrame([(k, 10, 30.0 * (1 + (k == 7))) for k in range(8)], "contig long, len long, depth double")
+    copies = {r.contig: r.copies for r in ag.multiplicity(contigs, chain, 30.0).collect()}
+    assert copies == {0: 1, 1: 1, 2: 3, 3: 1, 4: 1, 5: 1, 6: 1, 7: 2}
+    starts = spark.createDataFrame([(0, 1)], "start long, end int")
+    found = {tuple(r.path): r.inner for r in po.reach(chain, starts, contigs, most=20).collect()}
+    assert found == {(0, 1): 0, (0, 1, 2): 10, (0, 1, 2, 3): 20, (0, 1, 2, 7): 20}
+    loops = [p for p in planned if "Join" in p]
+    assert loops and not any("Broadcast" in p for p in loops)
