@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows that every worker may hold.
 SENT = 500_000
+#: Steps whose lays on segments one task sorts.
+SORTED = 500_000
 
 
 def sent(rows: DataFrame) -> DataFrame:
@@ -252,7 +254,11 @@ def reads_between_unique(paths: DataFrame, segments: DataFrame, copies: DataFram
     # where the segment's first step falls on the path, in the path's direction
     from_ = F.when(turned, F.col("at") - (F.col("size") - 1 - F.col("idx"))).otherwise(F.col("at") - F.col("idx"))
     met = met.withColumn("shift", from_).withColumn("lo", F.greatest(F.col("shift"), F.lit(0))).withColumn("hi", F.least("long", F.col("shift") + F.col("size")) - 1)
-    lay = Window.partitionBy("read_idx", "seg_id", "turned", "shift")
+    # as many tasks as the steps need: a task sorts its part of the lays in its memory
+    parts = max(int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-paths.count() // SORTED))
+    keys = ["read_idx", "seg_id", "turned", "shift"]
+    met = met.select(*keys, "lo", "hi", "at", "contig", "copies").repartition(parts, *keys)
+    lay = Window.partitionBy(*keys)
     once = F.when(F.col("copies") == 1, F.col("at"))
     met = met.withColumn("n", F.count(F.lit(1)).over(lay)).withColumn("u1", F.min(once).over(lay)).withColumn("u2", F.max(once).over(lay))
     inside = (F.col("n") == F.col("hi") - F.col("lo") + 1) & (F.col("at") <= F.col("u2")) & ((F.col("at") > F.col("u1")) | (F.col("u1") == F.col("lo")) & (F.col("at") == F.col("u1")))

@@ -834,3 +834,15 @@ def test_loops_over_a_graph_broadcast_nothing(spark, planned):
     assert found == {(0, 1): 0, (0, 1, 2): 10, (0, 1, 2, 3): 20, (0, 1, 2, 7): 20}
     loops = [p for p in planned if "Join" in p]
     assert loops and not any("Broadcast" in p for p in loops)
+
+
+def test_lays_go_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    rows = [(r, k + 1, c, ">") for r in range(6) for k, c in enumerate((10 + r, 20, 30))]
+    paths_ = spark.createDataFrame(rows, "read_idx long, idx long, contig long, orient string")
+    segments = spark.createDataFrame([(1, 0, 20, ">"), (1, 1, 30, ">")], "seg_id long, idx int, contig long, orient string")
+    copies = paths_.select("contig").distinct().withColumn("copies", F.when(F.col("contig") == 20, 2).otherwise(1))
+    whole = sorted(map(tuple, po.reads_between_unique(paths_, segments, copies).collect()))
+    monkeypatch.setattr(po, "SORTED", 2)
+    got = po.reads_between_unique(paths_, segments, copies)
+    assert sorted(map(tuple, got.collect())) == whole
+    assert ", 9)" in got._jdf.queryExecution().executedPlan().toString()
