@@ -846,3 +846,13 @@ def test_lays_go_to_as_many_tasks_as_they_need(spark, monkeypatch):
     got = po.reads_between_unique(paths_, segments, copies)
     assert sorted(map(tuple, got.collect())) == whole
     assert ", 9)" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours_are_told_apart_before_they_are_turned(spark):
+    rng = random.Random(2)
+    cells = [(1, p, r, (r % 2) ^ (rng.random() < 0.05)) for p in range(20) for r in range(600) if rng.random() < 0.7]
+    got = read_graph.cell_neighbours(spark.createDataFrame(cells, "contig int, pos int, read_idx long, is_ref int"), error=0.05)
+    pairs_ = [(r.r1, r.r2) for r in got.collect()]
+    assert len(set(pairs_)) == len(pairs_) and {(b, a) for a, b in pairs_} == set(pairs_)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(array(") < plan.index("Aggregate")
