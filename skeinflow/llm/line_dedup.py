@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
+import math
 import operator
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +22,10 @@ EDGE, WIDE = 6, 40
 SLICES, EARLY = ((0, 0), (1, 2), (3, 8), (9, 15)), 2
 #: Lists of lines up to this length are broadcast; longer ones are joined by shuffle.  A row has four numbers at most.
 BROADCAST_ROWS = 1_000_000
+#: Postings are joined by hash if a partition has up to this number of them on average, else by sorting, which can spill.
+HASHED_ROWS = 1_000_000
+#: Spark's setting by which a join on several columns deals both sides out by all of them, even if they are dealt out by one.
+ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 def _plain(text: Column) -> Column:
@@ -37,11 +44,10 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return split.select("doc_id", F.posexplode_outer("lines").alias("line_no", "line")).where("line_no is not null")
 
 
-def _words(line: Column) -> Column:
-    """Words of a line that ``_plain`` gave."""
-    parts = F.split(line, " ", -1)
-    ragged = line.contains("  ") | line.startswith(" ") | line.endswith(" ") | (line == "")
-    return F.when(ragged, F.array_remove(parts, "")).otherwise(parts)
+def _hashes(line: Column) -> Column:
+    """Hashes of the different words of a line that ``_plain`` gave; what blanks in a row leave between them is no word."""
+    found = F.array_distinct(F.transform(F.split(line, " ", -1), lambda w: F.xxhash64(w)))
+    return F.array_remove(found, F.xxhash64(F.lit("")))
 
 
 def _order(doc: Column, line: Column, packed: bool) -> Column:
@@ -51,8 +57,8 @@ def _order(doc: Column, line: Column, packed: bool) -> Column:
     return F.coalesce(doc.cast("decimal(20,0)"), F.lit(-(1 << 63) - 1).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(11,0)") + line
 
 
-def _rarity(words: DataFrame) -> Column:
-    """An array of a level for each bucket of words, sixths of log2 of its lines: small ones are rare words.
+def _rarity(words: DataFrame) -> tuple[Column, int]:
+    """An array of a level for each bucket of words, sixths of log2 of its lines, above the BITS bits of a hash: small ones are rare words.  And the level of a word in the middle.
 
     It has 2 ** BUCKET_BITS numbers at any size of the corpus and goes to the
     tasks as a literal.  Any table gives an exact join, so words count as often
@@ -60,30 +66,31 @@ def _rarity(words: DataFrame) -> Column:
     """
     buckets = words.select(F.explode("h").alias("h")).select(F.shiftrightunsigned("h", 64 - BUCKET_BITS).cast("int").alias("b"))
     counts = buckets.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    levels = ["0"] * (1 << BUCKET_BITS)
-    for b, value in counts.select("b", F.least(F.floor(6 * F.log2(F.col("n") + 1)), F.lit(300))).collect():  # 2 ** BUCKET_BITS rows at most
-        levels[b] = str(value)
-    return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>")
+    levels, total = ["0"] * (1 << BUCKET_BITS), [0] * 301
+    for b, value, n in counts.select("b", F.least(F.floor(6 * F.log2(F.col("n") + 1)), F.lit(300)), "n").collect():  # 2 ** BUCKET_BITS rows at most
+        levels[b] = str(value << BITS)
+        total[value] += n
+    upto = list(itertools.accumulate(total))
+    return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>"), bisect.bisect_left(upto, upto[-1] / 2) << BITS
 
 
 def _codes(hashes: Column, levels: Column) -> Column:
-    """Words as numbers in order of rarity: level, then hash."""
+    """Words as numbers in order of rarity: level, then hash.
+
+    No hash is null, but a table's columns may be; only numbers that can't be are sorted as such.
+    """
 
     def code(h: Column) -> Column:
-        level = F.coalesce(F.get(levels, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")), F.lit(0).cast("long"))
-        return F.shiftleft(level, BITS).bitwiseOR(h.bitwiseAND((1 << BITS) - 1))
+        level = levels[F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")]
+        return F.coalesce(level.bitwiseOR(h.bitwiseAND((1 << BITS) - 1)), F.lit(0).cast("long"))
 
     return F.sort_array(F.transform(hashes, code))
 
 
-def _parity(hashes: Column, of: Column | None = None) -> Column:
+def _parity(words: Column) -> Column:
     """64 bits, each the parity of the words that fall on it: sketches differ in no more bits than sets do in words."""
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-
-    def bit(h: Column) -> Column:
-        return F.call_function("shiftleft", one if of is None else F.shiftright(h, 6).bitwiseAND(1), h.bitwiseAND(63).cast("int"))
-
-    return F.aggregate(hashes, zero, lambda s, h: s.bitwiseXOR(bit(h)))
+    return F.aggregate(words, zero, lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(63).cast("int"))))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -123,11 +130,14 @@ def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFram
     return found
 
 
-def _met(firsts: DataFrame, part: tuple[int, int], similarity: float) -> DataFrame:
+def _met(firsts: DataFrame, part: tuple[int, int], similarity: float, hashed: bool) -> DataFrame:
     """firsts: (at, asks, n, bits, wide, heads) -> later, earlier, apart: lines that ask with earlier ones that may be similar.
 
     Two sets share no more words than stand in either from the first shared one
     on, so of a similar pair some shared head leaves room for what it needs.
+    The smaller set needs more of its words than the larger one of its own, so
+    its first heads do; sizes stand in steps of 1 / similarity, and the larger
+    set is in the smaller one's step or the next.
     """
     zero = F.lit(0).cast("long")
     # asks stands in n's sign
@@ -135,14 +145,31 @@ def _met(firsts: DataFrame, part: tuple[int, int], similarity: float) -> DataFra
     posts = firsts.select("at", signed.alias("n"), "bits", "wide", F.posexplode("heads").alias("pos", "word"))
     own = posts.where(F.pmod("word", F.lit(16)).between(*part))
     own = own.select(*[F.coalesce(c, zero if c not in ("word", "pos") else F.lit(0)).alias(c) for c in ("word", "at", "n", "pos", "bits", "wide")])
-    # both sides are the same rows in the same columns, and no condition is on one side only, so that they are dealt out once
-    a, b = own.alias("a"), own.alias("b")
+    # both sides are the same rows in the same columns, and what differs can't move below this step, so that they are dealt out once
+    own = own.repartition("word")
+    n = F.abs("n")
+    # a little wider, so that rounding never makes two steps of one
+    step = F.coalesce(F.floor(F.log(n.cast("double")) / (max(math.log(1 / similarity), 0.01) * (1 + 1e-6))).cast("int"), F.lit(0))
+    first = F.col("pos") <= n - F.ceil(F.lit(2 * similarity / (1 + similarity)) * n - 1e-9)
+    a = own.select("*", F.explode_outer(F.when(first, F.array(step))).alias("step")).alias("a")
+    b = own.select("*", F.explode_outer(F.array(step, step - 1)).alias("step")).alias("b")
+    a = a.hint("shuffle_hash") if hashed else a
     sizes = _Sizes(F.abs("a.n"), F.abs("b.n"), similarity)
     apart = sizes.apart((F.col("a.bits"), F.col("b.bits")), (F.col("a.wide"), F.col("b.wide")))
-    asks = F.col("a.n") + F.abs("b.n") > F.abs("b.n")
+    before = F.col("a.at") < F.col("b.at")
+    smaller = (F.abs("a.n") < F.abs("b.n")) | ((F.abs("a.n") == F.abs("b.n")) & before)
+    asks = F.when(before, F.col("b.n")).otherwise(F.col("a.n")) > 0
     room = F.least(F.abs("a.n") - F.col("a.pos"), F.abs("b.n") - F.col("b.pos")) >= sizes.need
-    met = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("b.at") < F.col("a.at")) & asks & room & sizes.fit & sizes.near(apart))
-    return materialize(met.select(F.col("a.at").alias("later"), F.col("b.at").alias("earlier"), apart.alias("apart")), "lines-met")
+    same = (F.col("a.word") == F.col("b.word")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.at") != F.col("b.at"))
+    met = a.join(b, same & smaller & asks & room & sizes.fit & sizes.near(apart))
+    met = met.select(F.greatest("a.at", "b.at").alias("later"), F.least("a.at", "b.at").alias("earlier"), apart.alias("apart"))
+    conf = firsts.sparkSession.conf
+    was = conf.get(ALL_KEYS)
+    conf.set(ALL_KEYS, "false")
+    try:
+        return materialize(met, "lines-met")
+    finally:
+        conf.set(ALL_KEYS, was)
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -174,10 +201,10 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     go together.  An empty table gives none.
     """
     # the texts are read once; what follows has hashes of their words
-    rows = _lines(docs, id_col, text_col).select("doc_id", "line_no", _words(F.col("line")).alias("words"))
-    rows = rows.select("doc_id", "line_no", F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("h"))
+    rows = _lines(docs, id_col, text_col).select("doc_id", "line_no", _hashes(F.col("line")).alias("h"))
     rows = rows.select("doc_id", "line_no", F.xxhash64(F.sort_array("h")).alias("class"), "h")
-    words = materialize(rows, "lines-words", **{"parquet.enable.dictionary": "false"})
+    plain = {"parquet.enable.dictionary": "false"}  # hashes hardly repeat
+    words = materialize(rows, "lines-words", **plain)
     of_text = words.groupBy("doc_id").agg((F.max("line_no") + 1).alias("n_lines")).withColumnRenamed("doc_id", "of")
     counted = docs.groupBy(F.col(id_col).alias("doc_id")).agg(F.count(F.lit(1)).alias("rows"))
     counted = counted.join(of_text, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "rows", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
@@ -185,7 +212,7 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     reach = counted.agg(F.min("doc_id"), F.max("doc_id"), F.max("n_lines"), F.max("rows")).first()
     packed = reach[0] is None or (reach[0] >= 0 and reach[1] < 1 << 42 and reach[2] < 1 << 20)
     single = (reach[3] or 0) <= 1  # no id is repeated, so a place in the order is one line
-    levels = _rarity(words)
+    levels, middle = _rarity(words)
 
     words = words.where(F.size("h") > 0).withColumn("at", _order(F.col("doc_id"), F.col("line_no"), packed))
     copies = words.groupBy("class").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("lines")).where("lines > 1").select("class", "first")
@@ -197,17 +224,21 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     def coded(rows: DataFrame) -> DataFrame:
         n = F.size("h")
-        # the second sketch is of those words that have bit 6
-        wide = F.when(n > WIDE, _parity(F.col("h"), F.lit(1))).otherwise(0).alias("wide")
         pieces = {"begin": 1, "next": EDGE + 1, "end": -EDGE, "before": -2 * EDGE}
         keys = F.array(*[F.when(n >= (EDGE + 1 if abs(at) <= EDGE else 2 * EDGE), F.xxhash64(F.lit(name), F.slice("h", at, EDGE))) for name, at in pieces.items()])
-        rows = rows.select("class", "at", n.alias("n"), _parity(F.col("h")).alias("bits"), wide, _codes(F.col("h"), levels).alias("codes"), keys.alias("keys"))
+        rows = rows.select("class", "at", n.alias("n"), _codes(F.col("h"), levels).alias("codes"), keys.alias("keys"))
+        # the second sketch is of those words that are rarer than the middle one
+        of = F.lit(middle).cast("long")
+        rare = F.when(F.col("n") > WIDE, F.array_position(F.sort_array(F.array_append("codes", of)), of).cast("int") - 1).otherwise(0)
+        rows = rows.withColumn("rare", rare).withColumn("wide", _parity(F.slice("codes", 1, F.col("rare"))))
+        rest = _parity(F.slice("codes", F.col("rare") + 1, F.col("n")))
         heads = F.slice("codes", 1, (F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).cast("int"))
-        return rows.withColumn("heads", F.transform(heads, lambda c: c.bitwiseAND(0x7FFFFFFF).cast("int"))).drop("codes")
+        heads = F.transform(heads, lambda c: c.bitwiseAND(0x7FFFFFFF).cast("int"))
+        return rows.select("class", "at", "n", F.col("wide").bitwiseXOR(rest).alias("bits"), "wide", "keys", heads.alias("heads"))
 
     # the shorter rows are dealt out, if any
     short = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    firsts = materialize(coded(first_only(words)) if short else first_only(coded(words)), "lines-firsts")
+    firsts = materialize(coded(first_only(words)) if short else first_only(coded(words)), "lines-firsts", **plain)
 
     keyed = firsts.select("at", "n", "bits", "wide", F.explode("keys").alias("key")).where("key is not null")
     shared = materialize(keyed.groupBy("key").agg(F.min("at").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "lines-shared")
@@ -231,9 +262,12 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         settled = _few(materialize(functools.reduce(DataFrame.unionByName, hits).select(F.col("later").alias("l")).distinct(), "lines-settled"))
         return pairs.join(settled, F.col("later") == F.col("l"), "left_anti")
 
+    heads = firsts.agg(F.sum((1 - similarity) * F.col("n") + 2)).first()[0] or 0  # no more than these
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hits, met = [gone], []
     for k, part in enumerate(SLICES):
-        met.append(_met(asking(), part, similarity))
+        hashed = heads * (part[1] - part[0] + 1) / 16 <= HASHED_ROWS * partitions
+        met.append(_met(asking(), part, similarity, hashed))
         if k < EARLY:
             hits.append(_verified(_nearest(met[-1]), words, similarity))
     pairs = open_pairs(functools.reduce(DataFrame.unionByName, met)).groupBy("later", "earlier").agg(F.min("apart").alias("apart"))

@@ -164,6 +164,34 @@ def test_line_dedup_splits_texts_once(odd):
     assert Counter(map(tuple, lines.collect())) == expected
 
 
+@pytest.mark.parametrize("similarity, rows", [(0.5, 0), (0.8, 1_000_000), (1.0, 1_000_000)])
+def test_line_dedup_joins_near_sizes_only(similarity, rows, spark, monkeypatch):
+    plans, keep = [], line_dedup.materialize
+
+    def kept(df, name, **options):
+        if name == "lines-met":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name, **options)
+
+    monkeypatch.setattr(line_dedup, "materialize", kept)
+    monkeypatch.setattr(line_dedup, "HASHED_ROWS", rows)
+    rng = np.random.default_rng(6)
+    made = []
+    for i in range(60):
+        base = [f"w{x}" for x in rng.choice(300, int(rng.integers(1, 90)), replace=False)]
+        cut = base[: max(1, round(len(base) * similarity))]
+        made.append((i, "\n".join(" ".join(rng.permutation(line)) for line in (base, cut, cut[1:] + ["x"]))))
+    out = {r["doc_id"]: r["removed"] for r in line_dedup.removed_lines(frame(spark, [(i, t, "en", "a", 1) for i, t in made]), similarity=similarity).collect()}
+    lines = [(i, k, set(line.split())) for i, t in made for k, line in enumerate(t.split("\n"))]
+    expected = {i: [] for i, _ in made}
+    for j, (i, k, s) in enumerate(lines):
+        if any(len(s & t) >= similarity * len(s | t) - 1e-9 for _, _, t in lines[:j]):
+            expected[i].append(k)
+    assert out == expected
+    assert plans and all(re.search(r"Join \[word#\d+L?, step#\d+L?\], \[word#\d+L?, step#\d+L?\]", p) for p in plans)
+    assert all(("ShuffledHashJoin" in p) == (rows > 0) for p in plans)
+
+
 # 3
 
 
