@@ -8,7 +8,7 @@ import itertools
 import math
 import operator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import drop_table, free_name, materialize
@@ -24,6 +24,8 @@ SLICES, EARLY = ((0, 0), (1, 2), (3, 8), (9, 15)), 2
 BROADCAST_ROWS = 1_000_000
 #: Postings are joined by hash if a partition has up to this number of them on average, else by sorting, which can spill.
 HASHED_ROWS = 1_000_000
+#: How tables of hashes are written, which hardly repeat or shrink: what Parquet's writer does besides costs more than it saves.
+HASHES = {"parquet.enable.dictionary": "false", "parquet.compression.codec.zstd.level": "1", "parquet.page.write-checksum.enabled": "false", "parquet.column.statistics.enabled": "false", "parquet.size.statistics.enabled": "false"}
 #: Spark's setting by which a join on several columns deals both sides out by all of them, even if they are dealt out by one.
 ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
@@ -58,20 +60,22 @@ def _order(doc: Column, line: Column, packed: bool) -> Column:
 
 
 def _rarity(words: DataFrame) -> tuple[Column, int]:
-    """An array of a level for each bucket of words, sixths of log2 of its lines, above the BITS bits of a hash: small ones are rare words.  And the level of a word in the middle.
+    """An array of a number for each bucket of words: its level, sixths of log2 of its lines, with the bits that the bucket has above BITS taken out by xor.  And the code of a word in the middle.
 
-    It has 2 ** BUCKET_BITS numbers at any size of the corpus and goes to the
-    tasks as a literal.  Any table gives an exact join, so words count as often
+    Small levels are rare words.  The array has 2 ** BUCKET_BITS numbers at any
+    size of the corpus and goes to the tasks as a literal; they are small, as
+    the driver writes the literal out with the plan.  Any table gives an exact join, so words count as often
     as they stand there.
     """
     buckets = words.select(F.explode("h").alias("h")).select(F.shiftrightunsigned("h", 64 - BUCKET_BITS).cast("int").alias("b"))
     counts = buckets.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    levels, total = ["0"] * (1 << BUCKET_BITS), [0] * 301
+    upper = [b >> BUCKET_BITS - (64 - BITS) for b in range(1 << BUCKET_BITS)]
+    levels, total = list(upper), [0] * 301
     for b, value, n in counts.select("b", F.least(F.floor(6 * F.log2(F.col("n") + 1)), F.lit(300)), "n").collect():  # 2 ** BUCKET_BITS rows at most
-        levels[b] = str(value << BITS)
+        levels[b] = value ^ upper[b]
         total[value] += n
     upto = list(itertools.accumulate(total))
-    return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>"), bisect.bisect_left(upto, upto[-1] / 2) << BITS
+    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>"), bisect.bisect_left(upto, upto[-1] / 2) << BITS
 
 
 def _codes(hashes: Column, levels: Column) -> Column:
@@ -81,8 +85,8 @@ def _codes(hashes: Column, levels: Column) -> Column:
     """
 
     def code(h: Column) -> Column:
-        level = levels[F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")]
-        return F.coalesce(level.bitwiseOR(h.bitwiseAND((1 << BITS) - 1)), F.lit(0).cast("long"))
+        level = levels[F.shiftrightunsigned(h, 64 - BUCKET_BITS)]
+        return F.coalesce(h.bitwiseXOR(F.shiftleft(level, BITS)), F.lit(0).cast("long"))
 
     return F.sort_array(F.transform(hashes, code))
 
@@ -93,9 +97,15 @@ def _parity(words: Column) -> Column:
     return F.aggregate(words, zero, lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(63).cast("int"))))
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is short; df is a written table."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _listed(df: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """df as a written table, and whether it is short; its rows are counted as they are written, which takes no job."""
+    seen = Observation()
+    table = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return table, seen.get["rows"] <= BROADCAST_ROWS
+
+
+def _few(df: DataFrame, short: bool) -> DataFrame:
+    return F.broadcast(df) if short else df
 
 
 class _Sizes:
@@ -118,8 +128,8 @@ class _Sizes:
 
 def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """(later, earlier), a written table -> (later, class) of the pairs whose Jaccard is high enough."""
-    ids = materialize(pairs.select(F.col("later").alias("id")).unionByName(pairs.select(F.col("earlier").alias("id"))).distinct(), "lines-ids")
-    sets = words.join(_few(ids), F.col("at") == F.col("id"), "left_semi").select("at", "class", "h")
+    ids, short = _listed(pairs.select(F.col("later").alias("id")).unionByName(pairs.select(F.col("earlier").alias("id"))).distinct(), "lines-ids")
+    sets = words.join(_few(ids, short), F.col("at") == F.col("id"), "left_semi").select("at", "class", "h")
     sets = materialize(sets, "lines-sets")
     both = pairs.join(sets.select(F.col("at").alias("later"), "class", F.col("h").alias("x")), "later").join(sets.select(F.col("at").alias("earlier"), F.col("h").alias("y")), "earlier")
     # array functions are costly: only one of them, and only once for a pair
@@ -172,8 +182,8 @@ def _met(firsts: DataFrame, part: tuple[int, int], similarity: float, hashed: bo
         conf.set(ALL_KEYS, was)
 
 
-def _nearest(pairs: DataFrame) -> DataFrame:
-    return materialize(pairs.groupBy("later").agg(F.min_by("earlier", "apart").alias("earlier")), "lines-nearest")
+def _nearest(pairs: DataFrame) -> tuple[DataFrame, bool]:
+    return _listed(pairs.groupBy("later").agg(F.min_by("earlier", "apart").alias("earlier")), "lines-nearest")
 
 
 def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
@@ -203,8 +213,7 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     # the texts are read once; what follows has hashes of their words
     rows = _lines(docs, id_col, text_col).select("doc_id", "line_no", _hashes(F.col("line")).alias("h"))
     rows = rows.select("doc_id", "line_no", F.xxhash64(F.sort_array("h")).alias("class"), "h")
-    plain = {"parquet.enable.dictionary": "false"}  # hashes hardly repeat
-    words = materialize(rows, "lines-words", **plain)
+    words = materialize(rows, "lines-words", **HASHES)
     of_text = words.groupBy("doc_id").agg((F.max("line_no") + 1).alias("n_lines")).withColumnRenamed("doc_id", "of")
     counted = docs.groupBy(F.col(id_col).alias("doc_id")).agg(F.count(F.lit(1)).alias("rows"))
     counted = counted.join(of_text, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "rows", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
@@ -216,10 +225,10 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     words = words.where(F.size("h") > 0).withColumn("at", _order(F.col("doc_id"), F.col("line_no"), packed))
     copies = words.groupBy("class").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("lines")).where("lines > 1").select("class", "first")
-    copies = materialize(copies, "lines-copies")
+    copies, short = _listed(copies, "lines-copies")
 
     def first_only(rows: DataFrame) -> DataFrame:
-        rows = rows.join(_few(copies), "class", "left").where(F.col("first").isNull() | (F.col("at") == F.col("first"))).drop("first")
+        rows = rows.join(_few(copies, short), "class", "left").where(F.col("first").isNull() | (F.col("at") == F.col("first"))).drop("first")
         return rows if single else rows.dropDuplicates(["class", "at"])
 
     def coded(rows: DataFrame) -> DataFrame:
@@ -237,12 +246,11 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         return rows.select("class", "at", "n", F.col("wide").bitwiseXOR(rest).alias("bits"), "wide", "keys", heads.alias("heads"))
 
     # the shorter rows are dealt out, if any
-    short = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    firsts = materialize(coded(first_only(words)) if short else first_only(coded(words)), "lines-firsts", **plain)
+    firsts = materialize(coded(first_only(words)) if short else first_only(coded(words)), "lines-firsts", **HASHES)
 
     keyed = firsts.select("at", "n", "bits", "wide", F.explode("keys").alias("key")).where("key is not null")
-    shared = materialize(keyed.groupBy("key").agg(F.min("at").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "lines-shared")
-    keyed = materialize(keyed.join(_few(shared), "key"), "lines-keyed")
+    shared, brief = _listed(keyed.groupBy("key").agg(F.min("at").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "lines-shared")
+    keyed = materialize(keyed.join(_few(shared, brief), "key"), "lines-keyed")
     of_lead = keyed.where("at = lead").select("key", *[F.col(c).alias(f"lead_{c}") for c in ("n", "bits", "wide")])
     sizes = _Sizes(F.col("n"), F.col("lead_n"), similarity)
     apart = sizes.apart((F.col("bits"), F.col("lead_bits")), (F.col("wide"), F.col("lead_wide")))
@@ -252,14 +260,14 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     drop_table(shared, keyed, tried)
 
     def asking() -> DataFrame:
-        settled = _few(materialize(functools.reduce(DataFrame.unionByName, hits).distinct().withColumnRenamed("class", "gone"), "lines-settled"))
+        settled = _few(*_listed(functools.reduce(DataFrame.unionByName, hits).distinct().withColumnRenamed("class", "gone"), "lines-settled"))
         picked = firsts.join(settled, (F.col("at") == F.col("later")) & (F.col("class") == F.col("gone")), "left")
         return picked.select("at", F.col("gone").isNull().alias("asks"), "n", "bits", "wide", "heads")
 
     def open_pairs(pairs: DataFrame) -> DataFrame:
         if not single:
             return pairs
-        settled = _few(materialize(functools.reduce(DataFrame.unionByName, hits).select(F.col("later").alias("l")).distinct(), "lines-settled"))
+        settled = _few(*_listed(functools.reduce(DataFrame.unionByName, hits).select(F.col("later").alias("l")).distinct(), "lines-settled"))
         return pairs.join(settled, F.col("later") == F.col("l"), "left_anti")
 
     heads = firsts.agg(F.sum((1 - similarity) * F.col("n") + 2)).first()[0] or 0  # no more than these
@@ -269,13 +277,13 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         hashed = heads * (part[1] - part[0] + 1) / 16 <= HASHED_ROWS * partitions
         met.append(_met(asking(), part, similarity, hashed))
         if k < EARLY:
-            hits.append(_verified(_nearest(met[-1]), words, similarity))
+            hits.append(_verified(_nearest(met[-1])[0], words, similarity))
     pairs = open_pairs(functools.reduce(DataFrame.unionByName, met)).groupBy("later", "earlier").agg(F.min("apart").alias("apart"))
     pairs = materialize(pairs, "lines-pairs")
     drop_table(*met)
-    tried = _nearest(pairs)
+    tried, brief = _nearest(pairs)
     hits.append(_verified(tried, words, similarity))
-    tried = _few(tried.select(F.col("later").alias("l"), F.col("earlier").alias("e")))
+    tried = _few(tried.select(F.col("later").alias("l"), F.col("earlier").alias("e")), brief)
     left = pairs.select("later", "earlier").join(tried, (F.col("later") == F.col("l")) & (F.col("earlier") == F.col("e")), "left_anti")
     left = materialize(open_pairs(left), "lines-left")
     hits.append(_verified(left, words, similarity))
@@ -285,8 +293,8 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     if not single:  # a place may hold lines of several classes, of which it is not the first
         hits = hits.join(firsts.select(F.col("at").alias("later"), "class"), ["later", "class"], "left_semi")
     flagged = copies.join(hits.select("class", F.lit(True).alias("hit")), "class", "full")
-    flagged = materialize(flagged, "lines-flagged")
-    placed = words.select("doc_id", "line_no", "at", "class").join(_few(flagged), "class").where((F.col("at") > F.col("first")) | F.col("hit"))
+    flagged = _few(*_listed(flagged, "lines-flagged"))
+    placed = words.select("doc_id", "line_no", "at", "class").join(flagged, "class").where((F.col("at") > F.col("first")) | F.col("hit"))
     taken = placed.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
     out = counted.join(taken.withColumnRenamed("doc_id", "at_doc"), F.col("doc_id").eqNullSafe(F.col("at_doc")), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))

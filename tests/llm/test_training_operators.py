@@ -164,6 +164,29 @@ def test_line_dedup_splits_texts_once(odd):
     assert Counter(map(tuple, lines.collect())) == expected
 
 
+def test_line_dedup_counts_as_it_writes(spark, monkeypatch):
+    table = frame(spark, [(i, f"one two three four five six {i % 3}", "en", "a", 1) for i in range(9)])
+    counted = []
+    monkeypatch.setattr(type(table), "count", lambda self, keep=type(table).count: counted.append(self) or keep(self))
+    out = {r["doc_id"]: r["removed"] for r in line_dedup.removed_lines(table).collect()}
+    assert out == {i: [0] if i > 2 else [] for i in range(9)} and not counted
+    for rows, limit in ((table, 9), (table, 8), (table.where("false"), 0)):
+        monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", limit)
+        written, short = line_dedup._listed(rows.select("doc_id"), "lines-test")
+        assert short == (limit != 8) and sorted(written.collect()) == sorted(rows.select("doc_id").collect())
+
+
+def test_line_dedup_plans_are_short(spark):
+    words = spark.range(3000).select(F.array(F.xxhash64("id"), F.xxhash64(F.col("id") % 5)).alias("h"))
+    levels, middle = line_dedup._rarity(words)
+    coded = words.select("h", line_dedup._codes(F.col("h"), levels).alias("codes"))
+    assert len(coded._jdf.queryExecution().executedPlan().toString()) < 500_000
+    rows, low = coded.collect(), (1 << line_dedup.BITS) - 1
+    lines = Counter(h >> 48 & 0xFFFF for r in rows for h in r["h"])
+    for r in rows:
+        assert r["codes"] == sorted(math.floor(6 * math.log2(lines[h >> 48 & 0xFFFF] + 1)) << line_dedup.BITS | h & low for h in r["h"])
+
+
 @pytest.mark.parametrize("similarity, rows", [(0.5, 0), (0.8, 1_000_000), (1.0, 1_000_000)])
 def test_line_dedup_joins_near_sizes_only(similarity, rows, spark, monkeypatch):
     plans, keep = [], line_dedup.materialize
